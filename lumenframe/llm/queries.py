@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
+from . import packing as _packing
 from .common import read_table
 from .sql import ORACLES
 
@@ -15,9 +16,24 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(read_table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack_documents(
+        read_table(spark, sf_dir, "documents"),
+        json_path=_vocabulary("byte_bpe_50k.json"),
+        rank_path=_vocabulary("byte_bpe_50k.tiktoken"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
+        "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
