@@ -1 +1,9 @@
 """Spark-native analytics for annotated image datasets."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so a cluster needs
+# no copy of the package on its workers.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
