@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup as _exact
+from . import minhash as _minhash
 from . import packing as _packing
 from .common import read_table
 from .sql import ORACLES
@@ -16,6 +17,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(read_table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -33,6 +38,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
 
