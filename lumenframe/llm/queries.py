@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import exact_dedup as _exact
 from . import minhash as _minhash
 from . import packing as _packing
+from . import toxicity as _toxicity
 from .common import read_table
 from .sql import ORACLES
 
@@ -35,11 +36,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return _toxicity.score_texts(docs, _toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
