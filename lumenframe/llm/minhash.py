@@ -15,8 +15,8 @@ Method
    chosen through a bitmap of fixed size, and ships its set to its buckets.
 4. In a bucket, signatures of all pairs are compared; pairs that may reach the
    threshold are confirmed on full sets, unless links found before already join
-   them. A bucket larger than ``block`` is split in blocks, and each pair of blocks
-   is a task, so a task holds two blocks however large a bucket grows. Only a
+   them. A bucket of more than ``block`` shingles is split in blocks, and each pair
+   of blocks is a task, so a task holds two blocks however large a bucket grows. Only a
    spanning forest of the links leaves a task: at most one row for each member.
 5. Components by alternating large-star and small-star.
 
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, small_batches, text_or_empty
 from .components import connected_components
 from .exact_dedup import group_bitmap, mark_members
 from .shingles import SHINGLE_WORDS, Minima, Shingler
@@ -48,7 +48,8 @@ from .shingles import SHINGLE_WORDS, Minima, Shingler
 BANDS = 24
 ROWS = 5
 THRESHOLD = 85
-BLOCK = 1024
+#: Shingles in one block of a large bucket, whatever the lengths of its texts.
+BLOCK = 1 << 19
 BITMAP_BITS = 1 << 25
 #: Standard deviations that a signature may fall short of the threshold.
 SLACK = 6
@@ -73,7 +74,7 @@ def prints(docs: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
         import xxhash
 
         shingler, minima = Shingler(words), Minima(bands * rows)
-        for batch in batches:
+        for batch in small_batches(batches):
             sizes, keys, buckets = [], [], []
             for text in batch.column(1):
                 distinct = shingler.distinct(text.as_py())
@@ -98,7 +99,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [shingler.distinct(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -211,9 +212,11 @@ def near_duplicates(
     source = _source(docs, id_col, text_col)
     printed = materialize(prints(source, bands, rows, words), "near-prints")
     no_id = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("set_key"), 2)
-    classes = printed.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    classes = printed.filter("set_key IS NOT NULL").groupBy("set_key").agg(
+        F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size")
+    )
     classes = materialize(
-        classes.select("set_key", "rep", F.coalesce("rep", no_id).alias("node")), "near-classes"
+        classes.select("set_key", "rep", "size", F.coalesce("rep", no_id).alias("node")), "near-classes"
     )
 
     slots = printed.filter("set_key IS NOT NULL").select("set_key", F.explode("buckets").alias("bucket"))
@@ -225,13 +228,18 @@ def near_duplicates(
     )
     shared = materialize(shared, "near-buckets")
     members = slots.join(shared, "bucket").distinct()
-    members = materialize(members.join(classes, "set_key").select("bucket", "set_key", "rep", "node"), "near-members")
+    members = materialize(members.join(classes, "set_key").select("bucket", "set_key", "rep", "size", "node"), "near-members")
     same = members.groupBy("bucket").agg(
         F.count("*").alias("n_members"),
+        F.sum("size").alias("n_shingles"),
         F.bit_xor(F.xxhash64("node")).alias("x"),
         F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
     )
-    once = same.groupBy("n_members", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n_members")
+    once = (
+        same.groupBy("n_members", "n_shingles", "x", "y")
+        .agg(F.min("bucket").alias("bucket"))
+        .select("bucket", F.ceil(F.col("n_shingles") / F.lit(block)).cast("int").alias("n_parts"))
+    )
     once = materialize(once, "near-once")
     members = materialize(members.join(once, "bucket"), "near-chosen")
 
@@ -241,10 +249,9 @@ def near_duplicates(
     read = mark_members(source, wanted, doc_slot, "wanted").filter("wanted").select("doc_id", "text")
     sets = materialize(_sets(read, words), "near-sets")
 
-    n_parts = F.ceil(F.col("n_members") / F.lit(block)).cast("int")
-    part = F.pmod(F.xxhash64("node"), n_parts).cast("int")
+    part = F.pmod(F.xxhash64("node"), F.col("n_parts")).cast("int")
     tasks = (
-        members.select("bucket", "set_key", "node", part.alias("part"), n_parts.alias("n_parts"))
+        members.select("bucket", "set_key", "node", part.alias("part"), "n_parts")
         .join(sets, "set_key")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
         .select(
