@@ -45,7 +45,7 @@ class Shingler:
         starts = np.concatenate(([0], gaps + 1))
         ends = np.concatenate((gaps, [len(raw)]))
         if len(starts) > self.words:
-            starts, ends = starts[: 1 - self.words], ends[self.words - 1 :]
+            starts, ends = starts[: len(starts) - self.words + 1], ends[self.words - 1 :]
         else:
             starts, ends = starts[:1], ends[-1:]
         h = (sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64)

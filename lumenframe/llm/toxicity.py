@@ -328,3 +328,16 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_
         F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out")
     )
     return source.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = BLOCK_AT) -> DataFrame:
+    """Rows whose score is below ``threshold``, with all their columns; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = lexicon.matcher()
+        for batch in batches:
+            clean = [matcher.score(t.as_py() or "") < threshold for t in batch.column(at)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
