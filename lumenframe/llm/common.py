@@ -58,3 +58,24 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def slot_bitmap(slots: DataFrame, bits: int) -> bytes:
+    """Bitmap of the column ``slot`` (0 to bits - 1), brought to the driver.
+
+    Its size is bits / 8 bytes whatever the number of rows: partial bitmaps are
+    merged on the executors, 4096 bytes for each 32768 slots.
+    """
+    import numpy as np
+
+    slot = F.col("slot") + F.lit(1)
+    rows = (
+        slots.groupBy(F.bitmap_bucket_number(slot).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("piece"))
+        .collect()
+    )
+    whole = np.zeros(max(bits // 8, 4096), np.uint8)
+    for r in rows:
+        at = (r["bucket"] - 1) * 4096
+        whole[at : at + 4096] = np.frombuffer(r["piece"], np.uint8)
+    return whole.tobytes()

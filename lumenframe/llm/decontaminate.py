@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_or_empty
+from .common import materialize, slot_bitmap, small_batches, text_or_empty
 from .shingles import Shingler
 
 # Positions that take part in a seed.
@@ -94,27 +94,15 @@ def _test_seeds(benchmark: DataFrame, masks: tuple[str, ...]) -> DataFrame:
 
 
 def _bitmap(seed_table: DataFrame, bits: int) -> bytes:
-    """Both probes of every seed, in ``bits`` bits: at most bits / 8 bytes reach the driver."""
-    slot = "slot"
+    """Both probes of every seed, in ``bits`` bits."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             both = np.unique(np.concatenate(_probes(h, bits))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both + 1)], names=[slot])
+            yield pa.RecordBatch.from_arrays([pa.array(both)], names=["slot"])
 
-    rows = (
-        seed_table.select("seed")
-        .mapInArrow(mark, "slot long")
-        .groupBy(F.bitmap_bucket_number(slot).alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("piece"))
-        .collect()
-    )
-    whole = np.zeros(max(bits // 8, 4096), np.uint8)
-    for r in rows:
-        at = (r["bucket"] - 1) * 4096
-        whole[at : at + 4096] = np.frombuffer(r["piece"], np.uint8)
-    return whole.tobytes()
+    return slot_bitmap(seed_table.select("seed").mapInArrow(mark, "slot long"), bits)
 
 
 def _regions(docs: DataFrame, bitmap, bits: int, margin: int, masks: tuple[str, ...]) -> DataFrame:

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat as _chat
 from . import decontaminate as _decontaminate
 from . import exact_dedup as _exact
 from . import minhash as _minhash
 from . import packing as _packing
 from . import toxicity as _toxicity
+from . import url_filter as _url
 from .common import read_table
 from .sql import ORACLES
 
@@ -37,6 +39,27 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rules of the registered query: verdict, host, path.
+URL_RULES = [
+    _url.Rule("allow", "org", "/"),
+    _url.Rule("block", "example.org", "/es/"),
+    _url.Rule("block", "example.org", "/en/1"),
+    _url.Rule("allow", "com", "/fr/"),
+    _url.Rule("block", "com", "/de/"),
+]
+#: Host terms whose pages make up the list of the registered query.
+LISTED_TERMS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "track", "warez", "xxx")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return _url.judge_urls(pages, _url.listed_by_terms(pages, LISTED_TERMS), URL_RULES)
+
+
+def op6_chat_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chat.collapse_and_render(read_table(spark, sf_dir, "conversations"))
+
+
 def op7_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +73,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op5_url_filter": op5_url_filter,
+        "op6_chat_snapshot_collapse": op6_chat_snapshot_collapse,
         "op7_spaced_seed_decontamination": op7_spaced_seed_decontamination,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_toxicity": op10_toxicity,

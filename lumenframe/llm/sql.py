@@ -12,6 +12,60 @@ FROM (SELECT doc_id, h,
       FROM n)
 """
 
+URL_FILTER = r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (
+  SELECT page_id,
+         translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest),
+judged AS (
+  SELECT page_id, host, path,
+         CASE WHEN host = '' THEN ''
+              ELSE regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(path, '/+$', '') END AS canonical,
+         CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+              WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+              WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+              WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+              WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM parts),
+listed AS (
+  SELECT DISTINCT canonical FROM judged
+  WHERE regexp_matches(host, '(?:^|[.-])(?:ads|adult|bets|casino|pills|porn|spam|track|warez|xxx)(?:[.-]|$)'))
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN canonical <> '' AND canonical IN (SELECT canonical FROM listed) THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+CHAT = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations),
+p AS (
+  SELECT conv_id, pos + 1 AS length,
+         string_agg(length(role) || ':' || role || ':' || length(text) || ':' || text, '|') OVER
+           (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix,
+         count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM t),
+whole AS (SELECT conv_id, n_turns, prefix FROM p WHERE length = n_turns),
+kept AS (
+  SELECT min(w.conv_id) AS conv_id, w.n_turns
+  FROM whole w
+  WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.prefix = w.prefix AND p.n_turns > w.n_turns)
+  GROUP BY w.prefix, w.n_turns)
+SELECT k.conv_id, CAST(floor(t.pos / 1024) AS INTEGER) AS part, k.n_turns,
+       string_agg('<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10), '' ORDER BY t.pos) AS text
+FROM kept k JOIN t ON t.conv_id = k.conv_id
+GROUP BY k.conv_id, part, k.n_turns
+"""
+
 ORACLES = {
+    "op5_url_filter": URL_FILTER,
+    "op6_chat_snapshot_collapse": CHAT,
     "op3_exact_dedup": EXACT_DEDUP,
 }
