@@ -5,13 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Regex class and SQL list of the white space that the contracts name.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Rows in an Arrow batch while texts are written.
+ARROW_ROWS = 500
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def _arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Bound the rows of an Arrow batch while a table is written.
+
+    Whole texts of any length travel in these batches, outside the heap; the
+    default of 10,000 rows would need hundreds of MB for each task.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -41,7 +58,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenframe/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _arrow_rows(spark, ARROW_ROWS):
+        df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
