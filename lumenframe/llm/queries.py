@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat as _chat
 from . import decontaminate as _decontaminate
 from . import exact_dedup as _exact
+from . import html_text as _html
 from . import minhash as _minhash
 from . import packing as _packing
 from . import toxicity as _toxicity
@@ -17,6 +18,10 @@ from .common import read_table
 from .sql import ORACLES
 
 
+def op2_html_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(read_table(spark, sf_dir, "documents"), digest_all=True)
 
@@ -71,6 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html_page_differencing": op2_html_page_differencing,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_url_filter": op5_url_filter,
