@@ -12,12 +12,19 @@ from . import exact_dedup as _exact
 from . import html_text as _html
 from . import minhash as _minhash
 from . import packing as _packing
+from . import resampling as _resampling
 from . import toxicity as _toxicity
 from . import url_filter as _url
+from . import warc as _warc
 from .common import read_table
 from .sql import ORACLES
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    derived = _warc.derive(_warc.responses(read_table(spark, sf_dir, "pages")))
+    return derived.withColumnRenamed("source_id", "page_id")
+
+
 def op2_html_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _html.extract_main_text(read_table(spark, sf_dir, "pages"))
 
@@ -36,6 +43,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four fifths of the documents, sampled towards those labelled as good."""
+    good = read_table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return _resampling.importance_sample(read_table(spark, sf_dir, "documents"), good)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack_documents(
         read_table(spark, sf_dir, "documents"),
@@ -76,12 +89,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_derivatives": op1_warc_derivatives,
         "op2_html_page_differencing": op2_html_page_differencing,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_url_filter": op5_url_filter,
         "op6_chat_snapshot_collapse": op6_chat_snapshot_collapse,
         "op7_spaced_seed_decontamination": op7_spaced_seed_decontamination,
+        "op8_importance_resampling": op8_importance_resampling,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_toxicity": op10_toxicity,
     }

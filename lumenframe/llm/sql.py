@@ -64,7 +64,55 @@ FROM kept k JOIN t ON t.conv_id = k.conv_id
 GROUP BY k.conv_id, part, k.n_turns
 """
 
+def _urn(key: str) -> str:
+    h = f"md5({key})"
+    parts = [f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return "'<urn:uuid:' || " + " || '-' || ".join(parts) + " || '>'"
+
+
+_BLOCK_TAG = r"(?i)<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title)|br)(?:[ \t\r\n/][^>]*)?>"
+_CRLF = "chr(13) || chr(10)"
+
+WARC = rf"""
+WITH r AS (
+  SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload,
+         {_urn("coalesce(page_id::VARCHAR, '') || ' ' || coalesce(url, '')")} AS refers_to FROM pages),
+a AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(payload,
+      '(?is)<!--.*?-->|<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'),
+      '{_BLOCK_TAG}', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM r),
+b AS (
+  SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
+      '&quot;', chr(34)), '&#39;', chr(39)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS u FROM a),
+c AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(u, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'),
+      '^[ \n]+|[ \n]+$', '', 'g') AS text,
+    'sha256:' || sha256(payload) AS source_payload_digest,
+    'sha256:' || sha256('HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF}
+      || 'Content-Length: ' || strlen(payload) || {_CRLF} || {_CRLF} || payload) AS source_block_digest,
+    {_urn("'conversion ' || refers_to")} AS conversion_id,
+    {_urn("'metadata ' || refers_to")} AS metadata_id FROM b),
+d AS (
+  SELECT *, 'source-status: 200' || {_CRLF} || 'source-content-type: text/html; charset=utf-8' || {_CRLF}
+    || 'source-content-length: ' || strlen(payload) || {_CRLF}
+    || 'source-payload-digest: ' || source_payload_digest || {_CRLF}
+    || 'source-block-digest: ' || source_block_digest || {_CRLF}
+    || 'conversion-record-id: ' || conversion_id || {_CRLF}
+    || 'conversion-digest: sha256:' || sha256(text) || {_CRLF} AS fields FROM c),
+e AS (
+  SELECT page_id, 'conversion' AS warc_type, conversion_id AS record_id, refers_to, target_uri,
+         'text/plain; charset=utf-8' AS content_type, source_payload_digest, source_block_digest, text AS block FROM d
+  UNION ALL
+  SELECT page_id, 'metadata', metadata_id, refers_to, target_uri, 'application/warc-fields',
+         source_payload_digest, source_block_digest, fields FROM d)
+SELECT page_id, warc_type, record_id, refers_to, target_uri, '2024-01-01T00:00:00Z' AS warc_date, content_type,
+       'sha256:' || sha256(block) AS block_digest, source_payload_digest, source_block_digest,
+       CAST(strlen(block) AS BIGINT) AS content_length, block FROM e
+"""
+
+
 ORACLES = {
+    "op1_warc_derivatives": WARC,
     "op5_url_filter": URL_FILTER,
     "op6_chat_snapshot_collapse": CHAT,
     "op3_exact_dedup": EXACT_DEDUP,
