@@ -1,19 +1,822 @@
-"""Registered queries of the engine and their DuckDB twins."""
+"""Registered queries of the engine: each operator applied to the star-schema tables.
+
+Every query is a thin call of a library operator on the views of ``testbed``; its
+DuckDB twin is in ``oracles`` under the same name.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe.functions import geometry as G
+from lumenframe.functions import scalars as S
+from lumenframe.operators import dataset as D
+from lumenframe.operators import pixels as P
+from lumenframe.operators import ranked as R
+from lumenframe.operators import rules as V
+from lumenframe.operators import statistics as T
+from lumenframe.operators import training as M
+from lumenframe.plans import testbed as B
+from lumenframe.plans.oracles import ORACLES
+from lumenframe.sources import annotations as A
+from lumenframe.sources import sinks as K
+from lumenframe.sources import sniff as N
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    return quality_index_by_dataset(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: ORACLES[name] for name in _QUERIES if name in ORACLES}
+
+
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return B.images(spark, sf_dir), B.boxes(spark, sf_dir)
+
+
+def _flag(condition: Column) -> Column:
+    return condition.cast("int")
+
+
+# -- views and projections ---------------------------------------------------
+
+
+@query
+def images_view(spark, sf_dir):
+    return B.images(spark, sf_dir)
+
+
+@query
+def boxes_view(spark, sf_dir):
+    return B.boxes(spark, sf_dir)
+
+
+@query
+def nested_view(spark, sf_dir):
+    """Images with their objects as one array, told by its size and sums."""
+    nested = B.nested(*_both(spark, sf_dir))
+    area = F.aggregate("objects", F.lit(0.0), lambda a, o: a + o["w"] * o["h"])
+    names = F.array_join(F.transform("objects", lambda o: o["class_name"]), "|")
+    return nested.select("seq", F.size("objects").alias("n_objects"), F.round(area, 6).alias("total_area"), names.alias("names"))
+
+
+@query
+def path_parts(spark, sf_dir):
+    path = F.col("url")
+    return B.table(spark, sf_dir, "pages").select(
+        "page_id", S.filename(path).alias("filename"), S.stem(path).alias("stem"), S.extension(path).alias("extension")
+    )
+
+
+@query
+def normalized_class_names(spark, sf_dir):
+    names = B.table(spark, sf_dir, "part").select(S.normalized_class_name(F.col("p_name")).alias("name"))
+    return names.groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query
+def null_safe_predicates(spark, sf_dir):
+    images, boxes = _both(spark, sf_dir)
+    joined = images.join(boxes, "seq", "left")
+    return joined.groupBy("dataset").agg(
+        F.count_if(S.is_positive(F.col("width"))).alias("n_positive"),
+        F.count_if(S.is_non_negative(F.col("w"))).alias("n_non_negative"),
+        F.count_if(S.is_normalized(F.col("xc"))).alias("n_normalized"),
+        F.count_if(S.is_between(F.col("confidence"), 0.1, 0.9)).alias("n_between"),
+        F.count_if(S.valid_size(F.col("width"), F.col("height"))).alias("n_valid_size"),
+        F.count_if(G.is_valid_center_box(*[F.col(c) for c in ("xc", "yc", "w", "h")])).alias("n_valid_box"),
+        F.count_if(S.is_blank(F.col("class_name"))).alias("n_blank"),
+    )
+
+
+@query
+def safe_arithmetic(spark, sf_dir):
+    return B.images(spark, sf_dir).select(
+        "seq",
+        F.round(S.aspect_ratio(F.col("width"), F.col("height")), 6).alias("aspect_ratio"),
+        F.round(S.percentage(F.col("width"), F.col("height")), 6).alias("percent"),
+        (F.col("width").cast("long") * F.col("height")).alias("total_pixels"),
+    )
+
+
+# -- format inference and parsing --------------------------------------------
+
+
+@query
+def sniff_text_formats(spark, sf_dir):
+    """What each document would be taken for as an annotation file."""
+    docs = B.table(spark, sf_dir, "documents")
+    kind = N.detect(F.lit("a.txt"), F.col("text"))
+    return docs.groupBy(kind.alias("format")).agg(F.count("*").alias("n"))
+
+
+@query
+def sniff_keyword_score(spark, sf_dir):
+    score = N.keyword_score(F.col("text"), ("the", "und", "que", "les", "ción"))
+    return B.table(spark, sf_dir, "documents").select("doc_id", score.alias("score"))
+
+
+def _label_texts(spark, sf_dir):
+    """Label lines of each order, as text."""
+    lines = B.boxes(spark, sf_dir).select(
+        "seq", "object_index", F.format_string("%d %.3f %.2f %.6f %.5f", "class_id", "xc", "yc", "w", "h").alias("line")
+    )
+    grouped = lines.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("object_index", "line"))).alias("l"))
+    return grouped.select("seq", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+
+
+@query
+def parse_yolo_text(spark, sf_dir):
+    texts = _label_texts(spark, sf_dir)
+    found = texts.select("seq", F.posexplode(A.yolo_boxes(F.col("text"))).alias("object_index", "b"))
+    return found.select("seq", "object_index", "b.class_id", "b.xc", "b.yc", "b.w", "b.h")
+
+
+@query
+def parse_point_text(spark, sf_dir):
+    line = F.concat_ws(" ", F.col("l_partkey") % 640, F.col("l_suppkey") % 480, F.col("l_linenumber"))
+    texts = B.table(spark, sf_dir, "lineitem").select(F.concat(line, F.lit("\n\nbroken line\n")).alias("text"))
+    found = texts.select(F.explode(A.point_boxes(F.col("text"))).alias("b"))
+    return found.groupBy("b.class_id").agg(
+        F.count("*").alias("n"), F.round(F.avg("b.xc"), 6).alias("mean_xc"), F.round(F.avg("b.yc"), 6).alias("mean_yc"), F.round(F.max("b.w"), 6).alias("w")
+    )
+
+
+@query
+def parse_key_value_report(spark, sf_dir):
+    customers = B.table(spark, sf_dir, "customer")
+    text = F.concat(
+        F.lit("Hemoglobin: 1.5\nBalance: "), F.col("c_custkey").cast("string"), F.lit("\nSegment: "), F.col("c_mktsegment"),
+        F.lit("\nHemoglobin: 13.5\nMorphology: "), F.lower("c_mktsegment"), F.lit(", , small\n"),
+    )
+    values, findings = A.report_values(text), A.report_findings(text)
+    return customers.select(
+        "c_custkey",
+        F.try_element_at(values, F.lit("Hemoglobin")).alias("hemoglobin"),
+        F.try_element_at(values, F.lit("Balance")).alias("balance"),
+        F.size(values).alias("n_values"),
+        F.array_join(findings, "|").alias("findings"),
+    )
+
+
+@query
+def parse_json_props(spark, sf_dir):
+    events = B.table(spark, sf_dir, "events")
+    k = F.from_json("props", "k long")["k"]
+    return events.groupBy("event_type").agg(F.count(k).alias("n"), F.sum(k).alias("total"))
+
+
+@query
+def rowcol_json_to_box(spark, sf_dir):
+    """Row/column records written as JSON and parsed again."""
+    point = lambda r, c: F.struct(r.alias("r"), c.alias("c"))
+    p, s, q = F.col("l_partkey") % 400, F.col("l_suppkey") % 300, F.col("l_quantity").cast("long")
+    category = F.when(F.col("l_returnflag") == "A", "Trophozoite").when(F.col("l_returnflag") == "N", "red blood cell").otherwise("difficult")
+    box = F.struct(point(s, p).alias("minimum"), point(s + q, p + 2 * q).alias("maximum"))
+    record = F.to_json(
+        F.struct(
+            F.struct(F.lit("/a.png").alias("pathname"), point(F.lit(600), F.lit(800)).alias("shape")).alias("image"),
+            F.array(F.struct(category.alias("category"), box.alias("bounding_box"))).alias("objects"),
+        )
+    )
+    texts = B.table(spark, sf_dir, "lineitem").select(record.alias("text"))
+    found = texts.select(F.explode(A.rowcol_records(F.col("text"))).alias("r")).select(F.explode(A.rowcol_boxes(F.col("r"))).alias("b"))
+    return found.groupBy("b.class_id").agg(
+        F.count("*").alias("n"), F.round(F.sum("b.xc"), 4).alias("sum_xc"), F.round(F.sum("b.yc"), 4).alias("sum_yc"), F.round(F.sum(F.col("b.w") * F.col("b.h")), 6).alias("sum_area")
+    )
+
+
+@query
+def coco_join(spark, sf_dir):
+    """One COCO document for each dataset, joined back to boxes."""
+    images, boxes = _both(spark, sf_dir)
+    i = images.groupBy("dataset").agg(
+        F.collect_list(F.struct(F.col("seq").alias("id"), F.concat(F.col("seq").cast("string"), F.lit(".jpg")).alias("file_name"), "width", "height")).alias("images")
+    )
+    bbox = F.array(F.col("xc") * 100, F.col("yc") * 100, F.col("w") * 100, F.col("h") * 100)
+    a = boxes.join(images.select("seq", "dataset"), "seq").groupBy("dataset").agg(
+        F.collect_list(F.struct(F.lit(0).cast("long").alias("id"), F.col("seq").alias("image_id"), F.col("class_id").alias("category_id"), bbox.alias("bbox"))).alias("annotations")
+    )
+    names = F.array(F.struct(F.lit(0).alias("id"), F.lit("erythrocyte").alias("name")), F.struct(F.lit(3).alias("id"), F.lit("parasite").alias("name")))
+    documents = i.join(a, "dataset").select(F.col("dataset").alias("file"), F.struct("images", "annotations", names.alias("categories")).alias("doc"))
+    found = A.coco_boxes(documents)
+    return found.groupBy(F.col("file").alias("dataset"), "class_name").agg(
+        F.count("*").alias("n"), F.round(F.sum("xc"), 4).alias("sum_xc"), F.round(F.sum("w"), 4).alias("sum_w"), F.count_if(F.col("w") == 0).alias("n_flat")
+    )
+
+
+@query
+def dataset_format_cascade(spark, sf_dir):
+    """The format of a dataset whose files are the orders' images and label texts."""
+    images = B.images(spark, sf_dir).select(F.col("image_path").alias("path"), F.lit(None).cast("string").alias("text"))
+    labels = _label_texts(spark, sf_dir).select(F.concat(F.lit("labels/"), F.col("seq").cast("string"), F.lit(".txt")).alias("path"), "text")
+    return N.dataset_format(images.unionByName(labels))
+
+
+# -- filters and lookups -----------------------------------------------------
+
+
+@query
+def filter_by_dataset(spark, sf_dir):
+    return D.by_dataset(B.images(spark, sf_dir), "1-URGENT")
+
+
+@query
+def filter_by_split(spark, sf_dir):
+    return D.val_set(B.images(spark, sf_dir))
+
+
+@query
+def filter_by_class(spark, sf_dir):
+    return D.by_class(*_both(spark, sf_dir), "cell-RF")
+
+
+@query
+def composite_search(spark, sf_dir):
+    return D.search(
+        *_both(spark, sf_dir), dataset="2-HIGH", split="train", class_name="cell-AF", min_objects=2, max_objects=6, min_width=300, min_height=160
+    )
+
+
+@query
+def lookup_last_wins(spark, sf_dir):
+    return D.lookup_last(B.images(spark, sf_dir), "image_id")
+
+
+@query
+def first_match(spark, sf_dir):
+    return D.find_one(B.images(spark, sf_dir), (F.col("width") >= 1000) & (F.col("split") == "val"))
+
+
+@query
+def distinct_ids_first_seen(spark, sf_dir):
+    return D.image_ids(B.images(spark, sf_dir))
+
+
+# -- geometry ----------------------------------------------------------------
+
+
+def _corners(spark, sf_dir):
+    """Pairs of corner boxes of line items: x1..y2 and u1..v2, some inverted."""
+    p, s, q, n = F.col("l_partkey") % 500, F.col("l_suppkey") % 60, F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
+    d = lambda c: c.cast("double")
+    return B.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("seq"),
+        d(p).alias("x1"), d(s).alias("y1"), d(p + q - 3).alias("x2"), d(s + 2 * q - 5).alias("y2"),
+        d(p + n * 4 - 8).alias("u1"), d(s + n * 3 - 6).alias("v1"), d(p + n * 4 + 12).alias("u2"), d(s + n * 3 + 20).alias("v2"),
+    )
+
+
+_ONE, _TWO = ("x1", "y1", "x2", "y2"), ("u1", "v1", "u2", "v2")
+
+
+def _rounded(box: G.Box, prefix: str, places: int = 6) -> list[Column]:
+    return [F.round(v, places).alias(f"{prefix}{k}") for k, v in enumerate(box, 1)]
+
+
+@query
+def box_basic(spark, sf_dir):
+    a = G.Box.of(*_ONE)
+    cx, cy = G.center(a)
+    return _corners(spark, sf_dir).select(
+        *_ONE, G.width(a).alias("width"), G.height(a).alias("height"), G.area(a).alias("area"), cx.alias("cx"), cy.alias("cy"), F.round(G.diagonal(a), 6).alias("diagonal")
+    )
+
+
+@query
+def box_convert_roundtrip(spark, sf_dir):
+    w, h = F.lit(640), F.lit(480)
+    centre = G.convert(G.Box.of(*_ONE), "VOC", "yolo", w, h)
+    back = G.convert(centre, "yolo", "voc", w, h)
+    return _corners(spark, sf_dir).select(*_ONE, *_rounded(centre, "c"), *_rounded(back, "b"))
+
+
+@query
+def box_iou_pairs(spark, sf_dir):
+    a, b = G.Box.of(*_ONE), G.Box.of(*_TWO)
+    return _corners(spark, sf_dir).select(
+        *_ONE, *_TWO,
+        G.intersection(a, b).alias("intersection"), G.union_area(a, b).alias("union_area"), F.round(G.iou(a, b), 6).alias("iou"),
+        F.round(G.overlap_ratio(a, b), 6).alias("overlap_ratio"), G.intersects(a, b).alias("intersects"),
+    )
+
+
+@query
+def box_contains_clip(spark, sf_dir):
+    a, b = G.Box.of(*_ONE), G.Box.of(*_TWO)
+    w, h = F.lit(400), F.lit(60)
+    return _corners(spark, sf_dir).select(
+        *_ONE, *_TWO, G.contains(b, a).alias("contained"), G.inside_image(a, w, h).alias("inside"), *_rounded(G.clip(a, w, h), "k")
+    )
+
+
+@query
+def box_transforms(spark, sf_dir):
+    a = G.Box.of(*_ONE)
+    return _corners(spark, sf_dir).select(
+        *_ONE, *_rounded(G.scale(a, 2.0, 0.5), "s"), *_rounded(G.translate(a, 3.0, -4.0), "t"), *_rounded(G.expand(a, 2.0), "e"), *_rounded(G.shrink(a, 2.0), "h")
+    )
+
+
+@query
+def box_distances(spark, sf_dir):
+    a, b = G.Box.of(*_ONE), G.Box.of(*_TWO)
+    return _corners(spark, sf_dir).select(*_ONE, *_TWO, F.round(G.center_distance(a, b), 6).alias("distance"))
+
+
+@query
+def crop_rectangles(spark, sf_dir):
+    images, boxes = _both(spark, sf_dir)
+    joined = boxes.join(images.select("seq", "width", "height"), "seq")
+    bounds = G.crop_bounds(G.Box.of("xc", "yc", "w", "h"), F.col("width"), F.col("height"))
+    cropped = joined.select("seq", "object_index", *[v.alias(n) for n, v in zip(_ONE, bounds)])
+    return cropped.filter("x2 > x1 AND y2 > y1")
+
+
+# -- joins and sets ----------------------------------------------------------
+
+
+@query
+def class_dim_left_default(spark, sf_dir):
+    labelled = D.with_class_labels(B.boxes(spark, sf_dir), B.class_dim(spark))
+    return labelled.groupBy("label").agg(F.count("*").alias("n"))
+
+
+def _annotations(spark, sf_dir):
+    """Annotation files of some images: several suffixes for one stem."""
+    images = B.images(spark, sf_dir).filter("seq % 5 < 3")
+    suffix = F.when(F.col("seq") % 2 == 0, ".txt").otherwise(".xml")
+    path = F.concat(F.col("dataset"), F.lit("/labels/"), F.col("image_id"), suffix)
+    priority = F.when(F.col("seq") % 2 == 0, 0).otherwise(1)
+    return images.select("dataset", F.col("image_id").alias("stem"), path.alias("annotation_path"), priority.alias("priority"))
+
+
+@query
+def stem_match_left(spark, sf_dir):
+    matched = D.match_by_stem(B.images(spark, sf_dir), _annotations(spark, sf_dir))
+    return matched.select("seq", "image_path", "annotation_path")
+
+
+@query
+def stem_fallback(spark, sf_dir):
+    """Customer by exact name, else by number without leading zeros."""
+    customers = B.table(spark, sf_dir, "customer").select(
+        F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise("none").alias("exact"),
+        (F.col("c_custkey") % 700).cast("string").alias("short"),
+        F.col("c_custkey").alias("ord"),
+        F.col("c_acctbal").alias("balance"),
+    )
+    left = B.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("exact"), (F.col("c_custkey") % 900).cast("string").alias("short"))
+    return D.match_with_fallback(left, customers, "exact", "short", "balance").select("c_custkey", "balance")
+
+
+@query
+def missing_annotation_anti(spark, sf_dir):
+    images, boxes = _both(spark, sf_dir)
+    return D.missing(images, boxes, "seq").select("seq", "image_path")
+
+
+@query
+def missing_labels_anti(spark, sf_dir):
+    docs, labels = B.table(spark, sf_dir, "documents"), B.table(spark, sf_dir, "labels")
+    return D.missing(docs, labels, "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query
+def passing_semi(spark, sf_dir):
+    images = B.images(spark, sf_dir)
+    passed = images.filter("width >= 500 AND height >= 320").select("image_id")
+    return D.passing(images, passed).select("seq", "image_id")
+
+
+@query
+def dup_pairs_selfjoin(spark, sf_dir):
+    return D.duplicate_pairs(B.boxes(spark, sf_dir).withColumns({"xc": F.floor(F.col("xc") * 3), "yc": F.floor(F.col("yc") * 2), "w": F.lit(1.0), "h": F.lit(1.0)}))
+
+
+def _unit_corners(spark, sf_dir):
+    box = G.Box(F.col("xc") - F.col("w") / 2, F.col("yc") - F.col("h") / 2, F.col("xc") + F.col("w") / 2, F.col("yc") + F.col("h") / 2)
+    return B.boxes(spark, sf_dir).select("seq", "object_index", *[v.alias(n) for n, v in zip(_ONE, box)])
+
+
+@query
+def overlap_theta_selfjoin(spark, sf_dir):
+    found = D.overlapping_pairs(_unit_corners(spark, sf_dir), 0.3)
+    return found.select("seq", "i", "j", F.round("overlap", 6).alias("overlap"))
+
+
+@query
+def missing_classes_except(spark, sf_dir):
+    return D.missing_classes(B.boxes(spark, sf_dir), ("cell-AF", "cell-NO", "cell-RF"))
+
+
+@query
+def union_sources(spark, sf_dir):
+    parts = [
+        B.table(spark, sf_dir, name).select(F.lit(name).alias("source"), F.col(key).cast("long").alias("key"))
+        for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"))
+    ]
+    return D.union_sources(*parts).groupBy("source").agg(F.count("*").alias("n"), F.sum("key").alias("total"))
+
+
+@query
+def label_union(spark, sf_dir):
+    parts = B.table(spark, sf_dir, "part")
+    return D.label_union(parts.select(F.col("p_type").alias("label")), parts.select(F.col("p_brand").alias("label")))
+
+
+@query
+def unassigned_to_train(spark, sf_dir):
+    split = F.coalesce(F.nullif(F.col("split"), F.lit("")), F.lit("train"))
+    return B.images(spark, sf_dir).groupBy(split.alias("split")).agg(F.count("*").alias("n"))
+
+
+@query
+def metadata_update(spark, sf_dir):
+    images = B.images(spark, sf_dir)
+    metadata = F.create_map(F.lit("dataset"), F.col("dataset"), F.lit("stage"), F.lit("raw"))
+    new = D.update_metadata(metadata, {"stage": "clean", "by": "filter"})
+    tags = D.add_tag(D.add_tag(F.array(F.lit("a")), "b"), "a")
+    return images.select(
+        "seq",
+        D.get_metadata(new, "dataset").alias("dataset"), D.get_metadata(new, "stage").alias("stage"), D.get_metadata(new, "none", "-").alias("absent"),
+        F.array_join(tags, ",").alias("tags"),
+    )
+
+
+# -- aggregates --------------------------------------------------------------
+
+
+@query
+def dataset_statistics(spark, sf_dir):
+    return T.dataset_statistics(*_both(spark, sf_dir), by=["dataset"])
+
+
+@query
+def class_balance(spark, sf_dir):
+    return T.class_balance(B.boxes(spark, sf_dir))
+
+
+@query
+def split_counts(spark, sf_dir):
+    return T.split_counts(B.images(spark, sf_dir))
+
+
+@query
+def summary(spark, sf_dir):
+    return T.summary(*_both(spark, sf_dir))
+
+
+@query
+def v1_statistics(spark, sf_dir):
+    return T.v1_statistics(*_both(spark, sf_dir))
+
+
+@query
+def v2_image_stats(spark, sf_dir):
+    return T.v2_image_statistics(*_both(spark, sf_dir))
+
+
+@query
+def v2_box_stats(spark, sf_dir):
+    return T.v2_box_statistics(B.boxes(spark, sf_dir))
+
+
+@query
+def extension_histogram(spark, sf_dir):
+    return T.extension_histogram(B.images(spark, sf_dir))
+
+
+@query
+def modal_extension(spark, sf_dir):
+    return T.modal_extension(B.images(spark, sf_dir))
+
+
+@query
+def distributions(spark, sf_dir):
+    return T.distributions(*_both(spark, sf_dir))
+
+
+@query
+def object_class_counts(spark, sf_dir):
+    return T.object_class_counts(B.boxes(spark, sf_dir))
+
+
+def _predicted(spark, sf_dir):
+    """Embeddings with a rule's guess of their label."""
+    guess = (F.col("vec_id") * 7 + F.col("label") * 3) % 10
+    return B.table(spark, sf_dir, "embeddings").select(
+        "label", F.when(F.col("vec_id") % 3 == 0, F.col("label")).otherwise(guess).cast("int").alias("predicted")
+    )
+
+
+@query
+def confusion_matrix(spark, sf_dir):
+    return T.confusion_matrix(_predicted(spark, sf_dir), "label", "predicted")
+
+
+@query
+def precision_recall_f1(spark, sf_dir):
+    return T.precision_recall_f1(_predicted(spark, sf_dir), "label", "predicted")
+
+
+@query
+def accuracy(spark, sf_dir):
+    return T.accuracy(_predicted(spark, sf_dir), "label", "predicted")
+
+
+@query
+def correlations(spark, sf_dir):
+    return T.correlations(B.table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+@query
+def balanced_class_weights(spark, sf_dir):
+    return T.balanced_weights(B.boxes(spark, sf_dir), "class_id")
+
+
+@query
+def build_log_report(spark, sf_dir):
+    """Found, built and failed images of each dataset."""
+    matched = D.match_by_stem(B.images(spark, sf_dir), _annotations(spark, sf_dir))
+    built = F.col("annotation_path").isNotNull()
+    return matched.groupBy("dataset").agg(
+        F.count("*").alias("n_found"), F.count_if(built).alias("n_built"), F.count_if(~built).alias("n_failed"), F.round(F.count_if(built) * 100.0 / F.count("*"), 2).alias("percent")
+    )
+
+
+# -- windows -----------------------------------------------------------------
+
+
+@query
+def assign_splits_stratified(spark, sf_dir):
+    return R.assign_splits(B.images(spark, sf_dir)).select("seq", "dataset", "split", "new_split")
+
+
+@query
+def assign_splits_global(spark, sf_dir):
+    dealt = R.assign_splits(B.images(spark, sf_dir), 0.6, 0.2, 0.2, stratify_by=None, seed=7, overwrite=True)
+    return dealt.select("seq", "new_split")
+
+
+@query
+def dup_first_seen(spark, sf_dir):
+    found = R.first_seen(B.images(spark, sf_dir), [F.lower("image_path")], ["seq"])
+    return found.select("seq", "image_path", "is_repeat")
+
+
+@query
+def content_hash_dedup(spark, sf_dir):
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return R.first_seen(docs, [F.col("digest")], ["doc_id"]).select("doc_id", "is_repeat")
+
+
+@query
+def capped_per_class(spark, sf_dir):
+    kept = R.capped(B.boxes(spark, sf_dir), "class_id", ["seq", "object_index"], 25)
+    return kept.select("seq", "object_index", "class_id")
+
+
+@query
+def capped_random_subset(spark, sf_dir):
+    return R.capped_random(B.images(spark, sf_dir), "dataset", "seq", 40, seed=42).select("dataset", "seq")
+
+
+@query
+def contiguous_relabel(spark, sf_dir):
+    relabelled = R.relabel(B.boxes(spark, sf_dir))
+    return relabelled.groupBy("class_id", "new_id").agg(F.count("*").alias("n"))
+
+
+@query
+def sequential_issue_ids(spark, sf_dir):
+    images, boxes = _both(spark, sf_dir)
+    found = R.issue_ids(V.v1_issues(images, boxes))
+    return found.select("issue_id", "stage", "seq", "rule_id", "object_index")
+
+
+@query
+def pixel_cdf(spark, sf_dir):
+    tiles = B.tiles(spark, sf_dir)
+    counts = tiles.select("label", F.explode("pixels").alias("value")).groupBy("label", "value").agg(F.count("*").alias("n"))
+    return R.cumulative(counts, "label", "value", "n")
+
+
+# -- rules -------------------------------------------------------------------
+
+
+def _by_rule(issues: DataFrame) -> DataFrame:
+    return issues.groupBy("stage", "rule_id", "severity", "category").agg(F.count("*").alias("n"), F.sum("seq").alias("seq_total"))
+
+
+@query
+def rules_v1_counts(spark, sf_dir):
+    return _by_rule(V.v1_issues(*_both(spark, sf_dir)))
+
+
+@query
+def rules_v1_rows(spark, sf_dir):
+    found = V.v1_issues(*_both(spark, sf_dir))
+    return found.select("rule_id", "severity", "dataset", "seq", "object_index")
+
+
+@query
+def rules_v2_counts(spark, sf_dir):
+    return _by_rule(V.v2_issues(*_both(spark, sf_dir), min_side=32, max_side=1100, expected=("cell-AF", "cell-NO")))
+
+
+@query
+def rules_v2_corner_boxes(spark, sf_dir):
+    images = B.images(spark, sf_dir).select("seq", "dataset", "image_path", "width", "height")
+    corners = _corners(spark, sf_dir).select("seq", F.col("u1").alias("x1"), F.col("v1").alias("y1"), "x2", "y2")
+    return _by_rule(V.apply(corners.join(images, "seq"), V.v2_corner_box_rules(max_share=0.01, max_aspect=4.0), "v2", F.lit(0)))
+
+
+@query
+def issue_rollup(spark, sf_dir):
+    rolled = V.rollup(V.v1_issues(*_both(spark, sf_dir)), ["dataset"])
+    return V.success_rate(rolled).select("dataset", "n_issues", "n_info", "n_warning", "n_error", "n_critical", "passed", "success_rate")
+
+
+@query
+def topk_reasons(spark, sf_dir):
+    return T.top_reasons(V.v1_issues(*_both(spark, sf_dir)), "rule_id", 5)
+
+
+@query
+def v1_index(spark, sf_dir):
+    """Index of samples of issues: one in 2,000, so that scores are not all 0."""
+    issues = V.v1_issues(*_both(spark, sf_dir)).filter("seq % 2000 < 3")
+    scored = V.v1_index(V.rollup(issues, ["dataset"]))
+    return scored.select("dataset", "annotation_score", "image_score", "class_score", "box_score", "quality_index")
+
+
+@query
+def quality_index_by_dataset(spark, sf_dir):
+    return V.quality_by_dataset(*_both(spark, sf_dir))
+
+
+# -- pixels ------------------------------------------------------------------
+
+
+@query
+def pixel_measures(spark, sf_dir):
+    found = P.measured(B.tiles(spark, sf_dir), 8)
+    return found.select("vec_id", "brightness", "contrast", "dynamic_range", "entropy", "blur_score", "sharpness", "quality_score", F.array_join("issues", ",").alias("issues"))
+
+
+@query
+def pixel_histogram_moments(spark, sf_dir):
+    p = F.col("pixels")
+    return B.tiles(spark, sf_dir).select(
+        "vec_id", F.array_min(p).alias("least"), F.array_max(p).alias("most"), F.round(P.brightness(p), 4).alias("mean"), P.median(p).alias("median"), F.round(P.variance(p), 4).alias("variance")
+    )
+
+
+@query
+def assessment_report(spark, sf_dir):
+    return P.assessment_report(P.measured(B.tiles(spark, sf_dir), 8), ["label"])
+
+
+@query
+def gate_report(spark, sf_dir):
+    return P.gate_report(P.measured(B.tiles(spark, sf_dir), 8), 95.0, ["label"])
+
+
+@query
+def quality_issue_histogram(spark, sf_dir):
+    return P.issue_histogram(P.measured(B.tiles(spark, sf_dir), 8))
+
+
+def _mapped(spark, sf_dir, value: Column, places: int | None = None) -> DataFrame:
+    shown = value if places is None else F.transform(value, lambda x: F.round(x, places))
+    exploded = B.tiles(spark, sf_dir).select("vec_id", F.posexplode(shown).alias("at", "value"))
+    return exploded
+
+
+@query
+def norm_minmax(spark, sf_dir):
+    return _mapped(spark, sf_dir, P.min_max_normalize(F.col("pixels")), 6)
+
+
+@query
+def norm_zscore_clip(spark, sf_dir):
+    return _mapped(spark, sf_dir, P.z_score(F.col("pixels")), 6)
+
+
+@query
+def norm_standardize(spark, sf_dir):
+    return _mapped(spark, sf_dir, P.standardize(F.col("pixels"), 0.485, 0.229), 6)
+
+
+@query
+def contrast_stretch(spark, sf_dir):
+    return _mapped(spark, sf_dir, P.contrast_stretch(F.col("pixels"), 64, 192))
+
+
+@query
+def hist_stretch(spark, sf_dir):
+    return _mapped(spark, sf_dir, P.histogram_stretch(F.col("pixels")))
+
+
+@query
+def equalize(spark, sf_dir):
+    return _mapped(spark, sf_dir, P.equalize(F.col("pixels")))
+
+
+@query
+def adjust_contrast(spark, sf_dir):
+    return _mapped(spark, sf_dir, P.scale_contrast(P.add_brightness(F.col("pixels"), 12.0), 1.5))
+
+
+@query
+def brightness_normalize(spark, sf_dir):
+    return _mapped(spark, sf_dir, P.brightness_normalize(F.col("pixels")))
+
+
+@query
+def od_transform(spark, sf_dir):
+    return _mapped(spark, sf_dir, P.optical_density(F.col("pixels")), 6)
+
+
+@query
+def gamma_lut(spark, sf_dir):
+    table = P.gamma_table(2.0)
+    return _mapped(spark, sf_dir, P.look_up(F.col("pixels"), table))
+
+
+@query
+def cdf_match(spark, sf_dir):
+    reference = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i * 4 + 1).cast("int"))
+    return _mapped(spark, sf_dir, P.match_histogram(F.col("pixels"), reference))
+
+
+@query
+def channel_histogram(spark, sf_dir):
+    return _mapped(spark, sf_dir, P.channel_histogram(F.col("pixels")), 6)
+
+
+# -- degradation and sinks ---------------------------------------------------
+
+
+@query
+def degrade_boxes(spark, sf_dir):
+    images, boxes = _both(spark, sf_dir)
+    found = M.degraded_boxes(images, boxes, M.LEVELS["severe"], exclude_split="val")
+    return found.select("seq", "object_index", "class_id", F.round("xc", 6).alias("xc"), F.round("yc", 6).alias("yc"), "w", "h", "damaged")
+
+
+@query
+def degradation_index(spark, sf_dir):
+    """The index of a dataset at each level of damage."""
+    images, boxes = _both(spark, sf_dir)
+    out = None
+    for level in ("clean", "moderate", "extreme"):
+        damaged = M.degraded_boxes(images, boxes, M.LEVELS[level]).join(boxes.select("seq", "object_index", "class_name", "confidence"), ["seq", "object_index"])
+        issues = V.apply(damaged.join(images.select("seq", "dataset", "image_path"), "seq"), V.v2_center_box_rules(), "v2", F.col("object_index"))
+        part = issues.groupBy("rule_id").agg(F.count("*").alias("n")).select(F.lit(level).alias("level"), "rule_id", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def yolo_label_lines(spark, sf_dir):
+    return K.yolo_labels(*_both(spark, sf_dir)).select("seq", "split", "stem", "label_text")
+
+
+@query
+def manifest_rows(spark, sf_dir):
+    return K.class_names(B.boxes(spark, sf_dir))
+
+
+@query
+def class_folder_paths(spark, sf_dir):
+    return K.class_folder(*_both(spark, sf_dir))
+
+
+# -- rows only ---------------------------------------------------------------
+
+
+@query
+def forest_train_eval(spark, sf_dir):
+    """A random forest on tiles: accuracy on a stratified quarter."""
+    rows = B.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("features"))
+    train, test = M.stratified_halves(rows, "label", "vec_id")
+    model = M.train_forest(train, "label", trees=20)
+    return T.accuracy(M.predict(model, test), "label", "predicted")
