@@ -4,9 +4,9 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that its
 predecessor kept; all but the last return the columns of ``documents``. Between
 stages rows are written as Parquet in the shared folder and read again.
 
-Defined results: null texts count as empty; of rows that repeat a doc_id with an
-equal text one stays; a null doc_id is an id like any other; empty tables pass
-through; extra columns are carried.
+Defined results: null texts count as empty; where ids are null or repeat, rows are
+told apart by their place in the table, so of repeated rows one stays; empty tables
+pass through; extra columns are carried.
 """
 
 from __future__ import annotations
@@ -19,13 +19,36 @@ from lumenframe.llm import decontaminate, exact_dedup, minhash, packing, toxicit
 from lumenframe.llm.common import materialize, read_table
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not among ``dropped`` (a null id is compared like any other).
+#: Bits of the bitmap of dropped ids (4 MiB, whatever the number of documents).
+DROPPED_BITS = 1 << 25
 
-    Spark broadcasts the ids only if their measured size allows it.
+
+def _identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(docs, name of a column that tells every row apart).
+
+    That is doc_id, unless some are null or repeat: then rows are numbered by their
+    place in a written copy of the table.
+    """
+    n, known, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if n == known == distinct:
+        return docs, "doc_id"
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "stage-rows"), "_row"
+
+
+def _without(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """Rows whose key is not among ``dropped`` (doc_id).
+
+    A bitmap of fixed size tells which rows may be dropped; all others pass without a
+    shuffle, and only those few are joined with the dropped ids.
     """
-    gone = dropped.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    gone = materialize(dropped.select(F.col("doc_id").alias(key)).distinct(), "stage-dropped")
+    slot = F.pmod(F.xxhash64(key), F.lit(DROPPED_BITS)) + F.lit(1)
+    bitmap = materialize(exact_dedup.group_bitmap(gone, slot), "stage-bitmap")
+    marked = exact_dedup.mark_members(docs, bitmap, slot, "_maybe")
+    passed = marked.filter("NOT _maybe").drop("_maybe")
+    left = marked.filter("_maybe").drop("_maybe").join(gone, key, "left_anti")
+    columns = [c for c in docs.columns if c != "_row"]
+    return passed.select(*columns).unionByName(left.select(*columns))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,24 +57,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = materialize(exact_dedup.exact_dedup(docs), "stage-exact")
-    repeated = judged.filter("kept").groupBy("doc_id").count().filter("count > 1")
-    kept = _without(docs, judged.filter("NOT kept").join(judged.filter("kept").select("doc_id"), "doc_id", "left_anti"))
-    if repeated.isEmpty() and judged.filter("NOT kept AND doc_id <=> keep_id").isEmpty():
-        return kept
-    # ids that repeat: equal texts under one id leave one row
-    norm = exact_dedup.normalized(F.coalesce(F.col("text"), F.lit("")))
-    return kept.withColumn("_digest", F.sha2(norm, 256)).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    rows, key = _identified(docs)
+    judged = exact_dedup.exact_dedup(rows, id_col=key)
+    return _without(rows, key, judged.filter("NOT kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = materialize(minhash.near_duplicates(docs), "stage-near")
-    return _without(docs, judged.filter("NOT kept"))
+    rows, key = _identified(docs)
+    judged = minhash.near_duplicates(rows, id_col=key)
+    return _without(rows, key, judged.filter("NOT kept"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    return _without(docs, materialize(found.select("doc_id").distinct(), "stage-leaks"))
+    rows, key = _identified(docs)
+    found = decontaminate.contaminated(rows, read_table(spark, sf_dir, "benchmark"), id_col=key)
+    return _without(rows, key, found)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

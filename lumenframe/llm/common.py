@@ -64,7 +64,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     hadoop_path.getFileSystem(conf).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._lumenframe_path = hadoop_path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later result reads."""
+    for table in tables:
+        path = table._lumenframe_path
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(name: str) -> Column:

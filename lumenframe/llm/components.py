@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Link each node's larger neighbours to the least of the node and its neighbours."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Link each node's larger neighbours to the least of the node and its neighbours (and the minima's table)."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-least")
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Link each node and its smaller neighbours to the least of them."""
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Link each node and its smaller neighbours to the least of them (and the minima's table)."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
     moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))), least
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -42,8 +42,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     current = materialize(tidy(edges.select("a", "b")), "cc-edges")
     before = mark(current)
     for _ in range(max_rounds):
-        large = materialize(tidy(_large_star(current)), "cc-large")
-        current = materialize(tidy(_small_star(large)), "cc-small")
+        moved, least = _large_star(current)
+        large = materialize(tidy(moved), "cc-large")
+        discard(current, least)
+        moved, least = _small_star(large)
+        current = materialize(tidy(moved), "cc-small")
+        discard(large, least)
         after = mark(current)
         if after == before:
             break

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import discard, materialize, text_or_empty
 
 PREFIX_CHARS = 256
 BITMAP_BITS = 1 << 22
@@ -111,6 +111,7 @@ def exact_dedup(
         ),
         "dedup-prints",
     )
+    discard(prefix_counts, survivors)
     best = F.min(F.struct((-F.col("n_cp")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no"))
     groups = (
         prints.filter("survivor")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_or_empty
+from .common import discard, materialize, small_batches, text_or_empty
 from .components import connected_components
 from .exact_dedup import group_bitmap, mark_members
 from .shingles import SHINGLE_WORDS, Minima, Shingler
@@ -227,8 +227,8 @@ def near_duplicates(
         .select("bucket")
     )
     shared = materialize(shared, "near-buckets")
-    members = slots.join(shared, "bucket").distinct()
-    members = materialize(members.join(classes, "set_key").select("bucket", "set_key", "rep", "size", "node"), "near-members")
+    shared_slots = slots.join(shared, "bucket").distinct()
+    members = materialize(shared_slots.join(classes, "set_key").select("bucket", "set_key", "rep", "size", "node"), "near-members")
     same = members.groupBy("bucket").agg(
         F.count("*").alias("n_members"),
         F.sum("size").alias("n_shingles"),
@@ -241,7 +241,8 @@ def near_duplicates(
         .select("bucket", F.ceil(F.col("n_shingles") / F.lit(block)).cast("int").alias("n_parts"))
     )
     once = materialize(once, "near-once")
-    members = materialize(members.join(once, "bucket"), "near-chosen")
+    every_member, members = members, materialize(members.join(once, "bucket"), "near-chosen")
+    discard(shared, every_member, once)
 
     slot = F.pmod(F.xxhash64("rep"), F.lit(bitmap_bits)) + F.lit(1)
     wanted = materialize(group_bitmap(members, slot), "near-wanted")
@@ -259,6 +260,7 @@ def near_duplicates(
         )
     )
     links = materialize(_links(tasks, threshold, bands * rows), "near-links")
+    discard(sets, members, wanted)
     components = materialize(connected_components(links), "near-components")
 
     joined_classes = classes.join(components, "node", "left").select(
@@ -266,6 +268,7 @@ def near_duplicates(
         F.coalesce("component", "node").alias("component"),
     )
     joined_classes = materialize(joined_classes, "near-labels")
+    discard(links, components, classes)
     out = printed.select("doc_id", "n_shingles", "set_key").join(joined_classes, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).when(F.col("component") < NO_ID, F.col("component"))
     return out.select(

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import discard, materialize, text_or_empty
 
 CAPACITY = 1024
 END_ID = 2
@@ -370,7 +370,8 @@ def pack_pieces(
             .select("block", "island", "lengths", F.array("elite", "migrant").alias("seeds"))
             .repartition(spread, "block", "island")
         )
-        elites = materialize(_epoch(state, epoch, capacity, population, offspring), "pack-epoch")
+        before, elites = elites, materialize(_epoch(state, epoch, capacity, population, offspring), "pack-epoch")
+        discard(before)
     best = elites.groupBy("block").agg(
         F.min(F.struct("n_bins", "fitness", "island", "elite")).alias("best")
     )
