@@ -144,16 +144,16 @@ def quality_issues(m: dict[str, Column], t: Thresholds = Thresholds(), with_shar
 def measured(tiles: DataFrame, side: int, t: Thresholds = Thresholds()) -> DataFrame:
     """All measures of each tile as columns, rounded to 4 places, with score and issues."""
     p = F.col("pixels")
-    out = tiles.withColumns(
-        {
-            "brightness": F.round(brightness(p), 4),
-            "contrast": F.round(contrast(p), 4),
-            "dynamic_range": dynamic_range(p),
-            "entropy": F.round(entropy(p), 4),
-            "blur_score": F.round(blur_score(p, side), 4),
-            "sharpness": F.round(sharpness(p, side), 4),
-        }
-    )
+    values = {
+        "brightness": F.round(brightness(p), 4),
+        "contrast": F.round(contrast(p), 4),
+        "dynamic_range": dynamic_range(p),
+        "entropy": F.round(entropy(p), 4),
+        "blur_score": F.round(blur_score(p, side), 4),
+        "sharpness": F.round(sharpness(p, side), 4),
+    }
+    # a generator is evaluated once; plain projections would be inlined into every use
+    out = tiles.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
     score = quality_score(F.col("brightness"), F.col("contrast"), F.col("blur_score"), F.col("entropy"), t)
     out = out.withColumn("quality_score", score)
     names = ("brightness", "contrast", "blur_score", "entropy", "quality_score")

@@ -304,7 +304,7 @@ def box_convert_roundtrip(spark, sf_dir):
     w, h = F.lit(640), F.lit(480)
     centre = G.convert(G.Box.of(*_ONE), "VOC", "yolo", w, h)
     back = G.convert(centre, "yolo", "voc", w, h)
-    return _corners(spark, sf_dir).select(*_ONE, *_rounded(centre, "c"), *_rounded(back, "b"))
+    return _corners(spark, sf_dir).select(*_ONE, *_rounded(centre, "c", 9), *_rounded(back, "b"))
 
 
 @query
@@ -701,12 +701,13 @@ def gate_report(spark, sf_dir):
 
 @query
 def quality_issue_histogram(spark, sf_dir):
-    return P.issue_histogram(P.measured(B.tiles(spark, sf_dir), 8))
+    strict = P.Thresholds(126.0, 132.0, 34.0, 50.0, 9000.0, 5.2, 97.0)
+    return P.issue_histogram(P.measured(B.tiles(spark, sf_dir), 8, strict))
 
 
 def _mapped(spark, sf_dir, value: Column, places: int | None = None) -> DataFrame:
     shown = value if places is None else F.transform(value, lambda x: F.round(x, places))
-    exploded = B.tiles(spark, sf_dir).select("vec_id", F.posexplode(shown).alias("at", "value"))
+    exploded = B.tiles(spark, sf_dir).select("vec_id", F.posexplode(shown).alias("place", "value"))
     return exploded
 
 

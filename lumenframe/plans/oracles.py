@@ -37,7 +37,7 @@ geo AS (
 _TILES = r"""tiles AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: greatest(0, least(255, CAST(floor((CAST(x AS DOUBLE) + 0.5) * 256) AS INTEGER)))) AS pixels
   FROM embeddings),
-px AS (SELECT vec_id, label, unnest(range(64)) AS at, unnest(pixels) AS v FROM tiles),
+px AS (SELECT vec_id, label, unnest(range(64)) AS place, unnest(pixels) AS v FROM tiles),
 st AS (SELECT vec_id, any_value(label) AS label, count(*) AS n, min(v) AS least, max(v) AS most, sum(v)::DOUBLE AS total, sum(v * v)::DOUBLE AS squares FROM px GROUP BY vec_id),
 m AS (SELECT *, total / n AS mean, sqrt(greatest(0.0, squares / n - (total / n) * (total / n))) AS std FROM st)"""
 
@@ -179,7 +179,7 @@ def _uniform(seed: str, *keys: str) -> str:
 
 
 def _mapped(value: str) -> str:
-    return _with(_TILES, then=f"SELECT p.vec_id, CAST(p.at AS INTEGER) AS at, {value} AS value FROM px p JOIN m USING (vec_id)")
+    return _with(_TILES, then=f"SELECT p.vec_id, CAST(p.place AS INTEGER) AS place, {value} AS value FROM px p JOIN m USING (vec_id)")
 
 
 def _u8(value: str) -> str:
@@ -188,7 +188,7 @@ def _u8(value: str) -> str:
 
 _NEIGHBOURS = ",\n".join(
     [
-        "grid AS (SELECT vec_id, at // 8 AS r, at % 8 AS c, v FROM px)",
+        "grid AS (SELECT vec_id, place // 8 AS r, place % 8 AS c, v FROM px)",
         "near AS (SELECT g.vec_id, g.r, g.c, g.v, o.dr, o.dc, k.v AS nv FROM grid g, "
         "(SELECT unnest([-1, -1, -1, 0, 0, 1, 1, 1]) AS dr, unnest([-1, 0, 1, -1, 1, -1, 0, 1]) AS dc) o JOIN grid k ON k.vec_id = g.vec_id "
         "AND k.r = CASE WHEN g.r + o.dr < 0 THEN 1 WHEN g.r + o.dr > 7 THEN 6 ELSE g.r + o.dr END "
@@ -201,20 +201,37 @@ _NEIGHBOURS = ",\n".join(
         "FROM (SELECT vec_id, v, count(*) AS k FROM px GROUP BY vec_id, v) GROUP BY vec_id)",
         "base AS (SELECT vec_id, m.label, round(mean, 4) AS brightness, round(std, 4) AS contrast, most - least AS dynamic_range, entropy, blur_score, sharpness "
         "FROM m JOIN texture USING (vec_id) JOIN ent USING (vec_id))",
-        "scored AS (SELECT *, round(((CASE WHEN brightness BETWEEN 20 AND 235 THEN 100.0::DOUBLE ELSE greatest(0.0, 100.0 - least(abs(brightness - 20), abs(brightness - 235))) END) "
-        "+ least(100.0, 100.0 * contrast / 20) + least(100.0, 100.0 * blur_score / 200) + least(100.0, 100.0 * entropy / 3)) / 4.0, 2) AS quality_score FROM base)",
-        "judged AS (SELECT *, list_filter([CASE WHEN brightness < 20 THEN 'brightness_too_low' END, CASE WHEN brightness > 235 THEN 'brightness_too_high' END, "
-        "CASE WHEN contrast < 20 THEN 'contrast_too_low' END, CASE WHEN blur_score < 200 THEN 'blurry' END, CASE WHEN entropy < 3 THEN 'entropy_too_low' END, "
-        "CASE WHEN quality_score < 70 THEN 'quality_score_below_threshold' END], lambda x: x IS NOT NULL) AS issues FROM scored)",
     ]
 )
 
+
+def _judged(low: float = 20, high: float = 235, contrast: float = 20, blur: float = 200, entropy: float = 3, score: float = 70) -> str:
+    """Score and issues of measured tiles under thresholds."""
+    light = f"CASE WHEN brightness BETWEEN {low} AND {high} THEN 100.0::DOUBLE ELSE greatest(0.0, 100.0 - least(abs(brightness - {low}), abs(brightness - {high}))) END"
+    parts = f"({light}) + least(100.0, 100.0 * contrast / {contrast}) + least(100.0, 100.0 * blur_score / {blur}) + least(100.0, 100.0 * entropy / {entropy})"
+    codes = ", ".join(
+        f"CASE WHEN {condition} THEN '{code}' END"
+        for condition, code in (
+            (f"brightness < {low}", "brightness_too_low"),
+            (f"brightness > {high}", "brightness_too_high"),
+            (f"contrast < {contrast}", "contrast_too_low"),
+            (f"blur_score < {blur}", "blurry"),
+            (f"entropy < {entropy}", "entropy_too_low"),
+            (f"quality_score < {score}", "quality_score_below_threshold"),
+        )
+    )
+    return (
+        f"scored AS (SELECT *, round(({parts}) / 4.0, 2) AS quality_score FROM base),\n"
+        f"judged AS (SELECT *, list_filter([{codes}], lambda x: x IS NOT NULL) AS issues FROM scored)"
+    )
+
+
 _SPLITS = """free AS (
   SELECT *, {uniform} AS u, {stratum} AS stratum FROM images WHERE {free}),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY u, seq) AS at, count(*) OVER (PARTITION BY stratum) AS n FROM free),
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY u, seq) AS place, count(*) OVER (PARTITION BY stratum) AS n FROM free),
 bounds AS (SELECT *, CAST(round_even(n * {train}::DOUBLE, 0) AS BIGINT) AS a, CAST(round_even(n * {val}::DOUBLE, 0) AS BIGINT) AS b FROM placed)"""
-_NEW_SPLIT = "CASE WHEN at <= a THEN 'train' WHEN at <= a + b THEN 'val' ELSE 'test' END AS new_split"
+_NEW_SPLIT = "CASE WHEN place <= a THEN 'train' WHEN place <= a + b THEN 'val' ELSE 'test' END AS new_split"
 
 _PREDICTED = (
     "p AS (SELECT label, CASE WHEN vec_id % 3 = 0 THEN label ELSE CAST((vec_id * 7 + label * 3) % 10 AS INTEGER) END AS predicted FROM embeddings)"
@@ -249,11 +266,8 @@ def _level(name: str, share: str) -> str:
     return f"(WITH {body} SELECT '{name}' AS level, rule_id, count(*) AS n FROM ({rules}) GROUP BY rule_id)"
 
 
-_ROUND4 = "round(CAST({0} AS DOUBLE), 6) AS {1}"
-
-
-def _six(prefix: str, *values: str) -> str:
-    return ", ".join(_ROUND4.format(v, f"{prefix}{k}") for k, v in enumerate(values, 1))
+def _six(prefix: str, *values: str, places: int = 6) -> str:
+    return ", ".join(f"round(CAST({v} AS DOUBLE), {places}) AS {prefix}{k}" for k, v in enumerate(values, 1))
 
 
 ORACLES: dict[str, str] = {
@@ -336,7 +350,7 @@ ORACLES: dict[str, str] = {
     "box_convert_roundtrip": _with(
         _CORNERS,
         then="SELECT x1, y1, x2, y2, "
-        + _six("c", "(x1 + x2) / 2.0 / 640", "(y1 + y2) / 2.0 / 480", "(x2 - x1) / 640", "(y2 - y1) / 480")
+        + _six("c", "(x1 + x2) / 2.0 / 640", "(y1 + y2) / 2.0 / 480", "(x2 - x1) / 640", "(y2 - y1) / 480", places=9)
         + ", "
         + _six("b", "x1", "y1", "x2", "y2")
         + " FROM geo",
@@ -552,7 +566,7 @@ ORACLES: dict[str, str] = {
         SELECT *, CASE WHEN quality_index >= 95 THEN 'A+' WHEN quality_index >= 90 THEN 'A' WHEN quality_index >= 80 THEN 'B' WHEN quality_index >= 70 THEN 'C'
                        WHEN quality_index >= 60 THEN 'D' ELSE 'F' END AS grade FROM u""",
     "pixel_measures": _with(
-        _TILES, _NEIGHBOURS,
+        _TILES, _NEIGHBOURS, _judged(),
         then="SELECT vec_id, brightness, contrast, dynamic_range, entropy, blur_score, sharpness, quality_score, array_to_string(issues, ',') AS issues FROM judged",
     ),
     "pixel_histogram_moments": _with(
@@ -560,17 +574,17 @@ ORACLES: dict[str, str] = {
         then="SELECT vec_id, least, most, round(mean, 4) AS mean, (SELECT median(v) FROM px WHERE px.vec_id = m.vec_id) AS median, round(greatest(0.0, squares / n - mean * mean), 4) AS variance FROM m",
     ),
     "assessment_report": _with(
-        _TILES, _NEIGHBOURS,
+        _TILES, _NEIGHBOURS, _judged(),
         then="SELECT label, count(*) AS n_total, count(*) FILTER (len(issues) = 0) AS n_passed, count(*) FILTER (len(issues) > 0) AS n_failed, "
         "round(avg(quality_score), 2) AS mean_score, round(count(*) FILTER (len(issues) = 0) * 100.0::DOUBLE / count(*), 2) AS pass_percent FROM judged GROUP BY label",
     ),
     "gate_report": _with(
-        _TILES, _NEIGHBOURS,
+        _TILES, _NEIGHBOURS, _judged(),
         then="SELECT label, count(*) AS n_total, count(*) FILTER (quality_score >= 95) AS n_passed, count(*) FILTER (quality_score < 95) AS n_failed, 0 AS n_corrupted, "
         "round(avg(quality_score), 2) AS mean_score, min(quality_score) AS min_score, max(quality_score) AS max_score, "
         "round(count(*) FILTER (quality_score >= 95) * 1.0::DOUBLE / count(*), 4) AS pass_rate FROM judged GROUP BY label",
     ),
-    "quality_issue_histogram": _with(_TILES, _NEIGHBOURS, then="SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM judged) GROUP BY issue"),
+    "quality_issue_histogram": _with(_TILES, _NEIGHBOURS, _judged(126, 132, 34, 9000, 5.2, 97), then="SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM judged) GROUP BY issue"),
     "norm_minmax": _mapped("round(CASE WHEN most > least THEN (v - least)::DOUBLE / (most - least) ELSE least(1.0, greatest(0.0, v)) END, 6)"),
     "norm_zscore_clip": _mapped("round(least(1.0, greatest(0.0, CASE WHEN std > 0 THEN (v - mean) / std ELSE v END)), 6)"),
     "norm_standardize": _mapped("round((v / 255.0::DOUBLE - 0.485::DOUBLE) / 0.229::DOUBLE, 6)"),
@@ -578,9 +592,9 @@ ORACLES: dict[str, str] = {
     "hist_stretch": _mapped(f"CASE WHEN most > least THEN {_u8('(v - least) * 255.0::DOUBLE / (most - least)')} ELSE v END"),
     "equalize": _with(
         _TILES,
-        "c AS (SELECT a.vec_id, a.at, a.v, (SELECT count(*) FROM px b WHERE b.vec_id = a.vec_id AND b.v <= a.v) AS below FROM px a)",
+        "c AS (SELECT a.vec_id, a.place, a.v, (SELECT count(*) FROM px b WHERE b.vec_id = a.vec_id AND b.v <= a.v) AS below FROM px a)",
         "f AS (SELECT c.*, first_value(below) OVER (PARTITION BY vec_id ORDER BY v) AS first FROM c)",
-        then="SELECT vec_id, CAST(at AS INTEGER) AS at, CASE WHEN 64 > first THEN CAST(floor((below - first) * 255.0::DOUBLE / (64 - first) + 0.5) AS INTEGER) ELSE v END AS value FROM f",
+        then="SELECT vec_id, CAST(place AS INTEGER) AS place, CASE WHEN 64 > first THEN CAST(floor((below - first) * 255.0::DOUBLE / (64 - first) + 0.5) AS INTEGER) ELSE v END AS value FROM f",
     ),
     "adjust_contrast": _mapped(_u8(f"({_u8('v + 12.0')} - 127.5::DOUBLE) * 1.5 + 127.5")),
     "brightness_normalize": _mapped(f"CASE WHEN mean > 0 THEN {_u8('v * (128.0::DOUBLE / mean)')} ELSE v END"),
@@ -588,13 +602,13 @@ ORACLES: dict[str, str] = {
     "gamma_lut": _mapped(_u8("pow(v / 255.0::DOUBLE, 0.5::DOUBLE) * 255.0")),
     "cdf_match": _with(
         _TILES,
-        "c AS (SELECT a.vec_id, a.at, (SELECT count(*) FROM px b WHERE b.vec_id = a.vec_id AND b.v <= a.v) AS below FROM px a)",
-        then="SELECT vec_id, CAST(at AS INTEGER) AS at, CAST((below - 1) * 4 + 1 AS INTEGER) AS value FROM c",
+        "c AS (SELECT a.vec_id, a.place, (SELECT count(*) FROM px b WHERE b.vec_id = a.vec_id AND b.v <= a.v) AS below FROM px a)",
+        then="SELECT vec_id, CAST(place AS INTEGER) AS place, CAST((below - 1) * 4 + 1 AS INTEGER) AS value FROM c",
     ),
     "channel_histogram": _with(
         _TILES,
         "k AS (SELECT vec_id, unnest(range(16)) AS b FROM tiles)",
-        then="SELECT k.vec_id, CAST(k.b AS INTEGER) AS at, round(count(p.v) / 64.0::DOUBLE, 6) AS value FROM k LEFT JOIN px p ON p.vec_id = k.vec_id AND p.v * 16 // 256 = k.b GROUP BY k.vec_id, k.b",
+        then="SELECT k.vec_id, CAST(k.b AS INTEGER) AS place, round(count(p.v) / 64.0::DOUBLE, 6) AS value FROM k LEFT JOIN px p ON p.vec_id = k.vec_id AND p.v * 16 // 256 = k.b GROUP BY k.vec_id, k.b",
     ),
     "degrade_boxes": _with(
         _IMAGES, _BOXES, _damaged("0.5", 42, "val"),
