@@ -40,12 +40,17 @@ def is_well_formed(array: Column) -> Column:
     return F.coalesce((F.size(array) == 4) & F.forall(array, lambda x: x.isNotNull()), F.lit(False))
 
 
+def _at_least_zero(value: Column) -> Column:
+    """Null stays null: ``greatest`` alone would skip it."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), value))
+
+
 def width(b: Box) -> Column:
-    return F.greatest(F.lit(0.0), b.x2 - b.x1)
+    return _at_least_zero(b.x2 - b.x1)
 
 
 def height(b: Box) -> Column:
-    return F.greatest(F.lit(0.0), b.y2 - b.y1)
+    return _at_least_zero(b.y2 - b.y1)
 
 
 def area(b: Box) -> Column:
@@ -91,7 +96,8 @@ def convert(b: Box, source: str, target: str, image_width: Column, image_height:
 def intersection(a: Box, b: Box) -> Column:
     w = F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1)
     h = F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1)
-    return F.when((w > 0) & (h > 0), w * h).otherwise(F.lit(0.0))
+    absent = F.greatest(*[v.isNull() for v in (*a, *b)])
+    return F.when(absent, F.lit(None)).when((w > 0) & (h > 0), w * h).otherwise(F.lit(0.0))
 
 
 def union_area(a: Box, b: Box) -> Column:
@@ -100,13 +106,14 @@ def union_area(a: Box, b: Box) -> Column:
 
 def iou(a: Box, b: Box) -> Column:
     whole = union_area(a, b)
-    return F.when(whole > 0, intersection(a, b) / whole).otherwise(F.lit(0.0))
+    return F.when(whole > 0, intersection(a, b) / whole).when(whole.isNotNull(), F.lit(0.0))
 
 
 def overlap_ratio(a: Box, b: Box) -> Column:
     """Intersection over the smaller area."""
     smaller = F.least(area(a), area(b))
-    return F.when(smaller > 0, intersection(a, b) / smaller).otherwise(F.lit(0.0))
+    inside = intersection(a, b)
+    return F.when(smaller > 0, inside / smaller).when(inside.isNotNull(), F.lit(0.0))
 
 
 def intersects(a: Box, b: Box) -> Column:
@@ -119,7 +126,7 @@ def contains(outer: Box, inner: Box) -> Column:
 
 def clip(b: Box, image_width: Column, image_height: Column) -> Box:
     def at(value: Column, most: Column) -> Column:
-        return F.greatest(F.lit(0.0), F.least(value, most.cast("double")))
+        return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(value, most.cast("double"))))
 
     return Box(at(b.x1, image_width), at(b.y1, image_height), at(b.x2, image_width), at(b.y2, image_height))
 
@@ -168,7 +175,7 @@ def crop_bounds(b: Box, image_width: Column, image_height: Column, padding: floa
     bw, bh = b.x2 * w * (1 + 2 * padding), b.y2 * h * (1 + 2 * padding)
 
     def at(value: Column, most: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(value.cast("int"), most.cast("int")))
+        return F.when(value.isNotNull(), F.greatest(F.lit(0), F.least(value.cast("int"), most.cast("int"))))
 
     xc, yc = b.x1 * w, b.y1 * h
     return Box(at(xc - bw / 2, w), at(yc - bh / 2, h), at(xc + bw / 2, w), at(yc + bh / 2, h))

@@ -90,7 +90,7 @@ def grade(index: Column) -> Column:
 
 
 def clamp(value: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def uniform(seed: int, *keys: Column) -> Column:
