@@ -18,7 +18,7 @@ How it scales
   triples, not pairs of hits.
 
 Defined results: tokens are lower-cased runs of word characters; null text counts as
-empty; items of fewer tokens than the shortest mask cannot be matched; rows with a
+empty; items of fewer tokens than the shortest mask cannot be matched, nor items with a null id; rows with a
 null id are reported with a null id; repeated rows give repeated matches of one id,
 merged into one row; extra columns are ignored; empty tables give an empty result.
 """

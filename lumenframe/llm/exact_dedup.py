@@ -44,23 +44,23 @@ def _slot(bits: int, *keys: Column) -> Column:
 
 
 def group_bitmap(groups: DataFrame, slot: Column) -> DataFrame:
-    """Bitmap table (bm_bucket, bm_bits) of the slots present in ``groups``."""
+    """Bitmap table (_bm_bucket, _bm_bits) of the slots present in ``groups``."""
     marked = groups.select(slot.alias("slot"))
-    return marked.groupBy(F.bitmap_bucket_number("slot").alias("bm_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bm_bits")
+    return marked.groupBy(F.bitmap_bucket_number("slot").alias("_bm_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bm_bits")
     )
 
 
 def mark_members(rows: DataFrame, bitmap: DataFrame, slot: Column, flag: str) -> DataFrame:
     """Add boolean ``flag``: the row's slot is set in the fixed-size bitmap."""
-    with_slot = rows.withColumn("bm_slot", slot).withColumn("bm_bucket", F.bitmap_bucket_number("bm_slot"))
-    position = F.bitmap_bit_position("bm_slot")
-    byte = F.conv(F.hex(F.substring(F.col("bm_bits"), (position / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    with_slot = rows.withColumn("_bm_slot", slot).withColumn("_bm_bucket", F.bitmap_bucket_number("_bm_slot"))
+    position = F.bitmap_bit_position("_bm_slot")
+    byte = F.conv(F.hex(F.substring(F.col("_bm_bits"), (position / 8).cast("int") + 1, F.lit(1))), 16, 10)
     hit = F.getbit(byte.cast("int"), (position % 8).cast("int")) == 1
     return (
-        with_slot.join(F.broadcast(bitmap), "bm_bucket", "left")
+        with_slot.join(F.broadcast(bitmap), "_bm_bucket", "left")
         .withColumn(flag, F.coalesce(hit, F.lit(False)))
-        .drop("bm_slot", "bm_bucket", "bm_bits")
+        .drop("_bm_slot", "_bm_bucket", "_bm_bits")
     )
 
 

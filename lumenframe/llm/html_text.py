@@ -13,13 +13,14 @@ without that markup are differenced, on all blocks that may be text.
 
 How it scales: rows are ranged by (host, path, id) in one shuffle, so a host of any
 size spreads over many tasks; each task streams over its sorted rows and holds one
-page, its predecessor and its successor. The first and last page of a range look for
-their mate within the range.
+page, its predecessor and its successor (neighbours with the same blocks are one run,
+whose ids alone are kept). The first and last page of a range look for their mate
+within the range.
 
 Defined results: null or empty html gives an empty text; a page alone on its host (in
-its range) keeps all its blocks; pages with equal URLs are neighbours by id and, having
-equal lines, are not used as mates if their lines are all the same; repeated rows give
-repeated results; extra columns are ignored; an empty table gives an empty result.
+its range) keeps all its blocks; a page with the same blocks is no mate, the next one
+is taken; pages with equal URLs are neighbours by id; repeated rows give repeated
+results; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,8 @@ BESIDE_ROLES = frozenset(
 _NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 _SPACE = re.compile(r"\s+")
 OUTSIDE, INSIDE = 0, 1
+#: Rows in a batch of results.
+OUT_ROWS = 500
 
 
 def _beside(attrs: dict[str, str]) -> bool:
@@ -227,10 +231,13 @@ def _common_prefix(a: str, b: str) -> int:
 
 
 class _Page:
-    __slots__ = ("page_id", "url", "host", "path", "blocks")
+    """A page, or a run of neighbours on one host that have the same blocks."""
+
+    __slots__ = ("members", "host", "path", "blocks")
 
     def __init__(self, page_id, url, host, path, html):
-        self.page_id, self.url, self.host, self.path = page_id, url, host, path
+        self.members = [(page_id, url)]
+        self.host, self.path = host, path
         self.blocks = text_blocks(html)
 
     def has_article(self) -> bool:
@@ -242,8 +249,7 @@ class _Page:
 
 def nearest(page: _Page, before: _Page | None, after: _Page | None) -> _Page | None:
     """The neighbour on the same host whose path shares the longer prefix (the earlier, if equal)."""
-    own = page.lines()
-    mates = [m for m in (before, after) if m is not None and m.host == page.host and m.lines() != own]
+    mates = [m for m in (before, after) if m is not None and m.host == page.host]
     return max(mates, key=lambda m: _common_prefix(m.path, page.path), default=None)
 
 
@@ -255,6 +261,20 @@ def main_text(page: _Page, before: _Page | None, after: _Page | None) -> str:
     return "\n".join(text for k, (_, text) in enumerate(page.blocks) if k not in shared)
 
 
+def _runs(pages: Iterator[_Page]) -> Iterator[_Page]:
+    """Neighbours of one host with equal blocks as one run."""
+    run = None
+    for page in pages:
+        if run is not None and page.host == run.host and page.blocks == run.blocks:
+            run.members += page.members
+        else:
+            if run is not None:
+                yield run
+            run = page
+    if run is not None:
+        yield run
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     host, path = host_and_path(F.col(url_col))
@@ -268,30 +288,32 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     ranged = ranged.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
+        def pages_of() -> Iterator[_Page]:
+            for batch in small_batches(batches):
+                for values in zip(*batch.columns):
+                    yield _Page(*(v.as_py() for v in values))
+
+        def texts() -> Iterator[tuple]:
+            before = current = None
+            for after in _runs(pages_of()):
+                if current is not None:
+                    text = main_text(current, before, after)
+                    yield from ((i, url, text) for i, url in current.members)
+                before, current = current, after
+            if current is not None:
+                text = main_text(current, before, None)
+                yield from ((i, url, text) for i, url in current.members)
+
+        rows = texts()
+        while part := list(islice(rows, OUT_ROWS)):
+            yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.string()),
-                    pa.array([r[2] for r in rows], pa.string()),
-                    pa.array([len(r[2]) for r in rows], pa.int64()),
+                    pa.array([r[0] for r in part], pa.int64()),
+                    pa.array([r[1] for r in part], pa.string()),
+                    pa.array([r[2] for r in part], pa.string()),
+                    pa.array([len(r[2]) for r in part], pa.int64()),
                 ],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-        before = page = None
-        for batch in small_batches(batches):
-            for values in zip(*batch.columns):
-                after = _Page(*(v.as_py() for v in values))
-                if page is not None:
-                    out.append((page.page_id, page.url, main_text(page, before, after)))
-                before, page = page, after
-            if out:
-                yield batch_of(out)
-                out = []
-        if page is not None:
-            yield batch_of([(page.page_id, page.url, main_text(page, before, None))])
-
     return ranged.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -91,7 +91,7 @@ class Lexicon:
 
     weights: dict[str, float]
     exceptions: tuple[str, ...]
-    curve: tuple[float, float, float] = (-3.0, 1.5, 1.0)
+    curve: tuple[float, float, float] = (-3.0, 2.0, 1.0)
 
     def matcher(self) -> Matcher:
         return Matcher(self)
