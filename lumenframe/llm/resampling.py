@@ -5,6 +5,10 @@ over target texts, one over all raw texts. A text's log importance is the sum ov
 n-grams of the log ratio of the models; adding Gumbel noise drawn from a hash of its id
 and keeping the ``k`` greatest samples without replacement in proportion to importance.
 
+The raw model covers every text. The target model is fitted on at most ``max_target``
+labelled texts, chosen by a hash of their id, so their ids may be broadcast and no text
+is shuffled; with fewer labels all are used.
+
 How it scales: counting emits at most ``buckets`` partial sums a task and merges them
 with map-side combine, so what reaches the driver is two vectors of fixed size, while
 counts cover every text. The k-th greatest value is found exactly by histograms of
@@ -31,6 +35,8 @@ from .common import materialize, small_batches, text_or_empty
 from .shingles import Shingler
 
 BUCKETS = 10_000
+#: Bound of the labelled sample that the target model is fitted on.
+MAX_TARGET = 50_000
 SHARE = 0.8
 SMOOTHING = 1.0
 SEED = 17
@@ -135,16 +141,23 @@ def top_k(rows: DataFrame, value: str, k: int, tie: list[str]) -> DataFrame:
 
 
 def importance_sample(
-    docs: DataFrame, target: DataFrame, share: float = SHARE, buckets: int = BUCKETS, seed: int = SEED, smoothing: float = SMOOTHING
+    docs: DataFrame,
+    target: DataFrame,
+    share: float = SHARE,
+    buckets: int = BUCKETS,
+    seed: int = SEED,
+    smoothing: float = SMOOTHING,
+    max_target: int = MAX_TARGET,
 ) -> DataFrame:
     """``share`` of the rows of docs (doc_id, text): doc_id, log_importance, sample_key.
 
-    ``target`` has the doc_id of target texts; it is joined by hash, whatever its size.
+    ``target`` has the doc_id of target texts.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    is_target = wanted.withColumn("is_target", F.lit(True))
-    marked = source.join(is_target, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    sample = materialize(wanted.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_target), "resample-target")
+    is_target = sample.withColumn("is_target", F.lit(True))
+    marked = source.join(F.broadcast(is_target), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     ratio = log_ratio(count_buckets(marked, buckets), smoothing)
 
     scored = materialize(_scored(source, ratio).withColumn("row_no", F.monotonically_increasing_id()), "resample-scores")
