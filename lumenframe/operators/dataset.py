@@ -188,23 +188,33 @@ def duplicate_pairs(boxes: DataFrame) -> DataFrame:
     return a.join(b, ["seq", "xc", "yc", "w", "h"]).filter("i < j").select("seq", "i", "j")
 
 
+#: Images with more objects than this are joined cell by cell.
+CROWDED = 64
+
+
 def overlapping_pairs(boxes: DataFrame, threshold: float, cells: int = 8) -> DataFrame:
     """Pairs of one image's objects whose overlap reaches ``threshold`` (seq, i, j, overlap).
 
-    Boxes are corners x1, y1, x2, y2 in frame units. Each box is dealt to the grid
-    cells it touches, so a crowded image is joined cell by cell; a pair is taken in
-    the cell that holds the corner where their intersection begins.
+    Boxes are corners x1, y1, x2, y2 in frame units. In a crowded image each box is
+    dealt to the grid cells it touches, and a pair is taken in the cell where its
+    intersection begins; other images are one cell.
     """
     from lumenframe.functions import geometry as G
 
-    def cell(value: Column) -> Column:
-        return F.greatest(F.lit(-1), F.least(F.lit(cells), F.floor(value * cells).cast("int")))
+    grid = F.col("cells")
 
-    dealt = boxes.filter("x2 > x1 AND y2 > y1").withColumn(
-        "gx", F.explode(F.sequence(cell(F.col("x1")), cell(F.col("x2"))))
-    ).withColumn("gy", F.explode(F.sequence(cell(F.col("y1")), cell(F.col("y2")))))
+    def cell(value: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(grid - 1, F.floor(value * grid).cast("int")))
+
+    sizes = object_counts(boxes).select("seq", F.when(F.col("n_objects") > CROWDED, cells).otherwise(1).alias("cells"))
+    dealt = (
+        boxes.filter("x2 > x1 AND y2 > y1")
+        .join(sizes, "seq")
+        .withColumn("gx", F.explode(F.sequence(cell(F.col("x1")), cell(F.col("x2")))))
+        .withColumn("gy", F.explode(F.sequence(cell(F.col("y1")), cell(F.col("y2")))))
+    )
     names = ("x1", "y1", "x2", "y2")
-    a = dealt.select("seq", "gx", "gy", F.col("object_index").alias("i"), *[F.col(n).alias("a_" + n) for n in names])
+    a = dealt.select("seq", "gx", "gy", "cells", F.col("object_index").alias("i"), *[F.col(n).alias("a_" + n) for n in names])
     b = dealt.select("seq", "gx", "gy", F.col("object_index").alias("j"), *[F.col(n).alias("b_" + n) for n in names])
     one, two = G.Box.of(*["a_" + n for n in names]), G.Box.of(*["b_" + n for n in names])
     pairs = a.join(b, ["seq", "gx", "gy"]).filter("i < j")
