@@ -57,9 +57,16 @@ def find_splits(files: DataFrame) -> DataFrame:
     return files.groupBy(split_of_path(F.col("path")).alias("split")).agg(F.count("*").alias("n")).filter("split IS NOT NULL")
 
 
+def _image_glob() -> str:
+    """A glob of the image suffixes in any case."""
+    either = ["".join(f"[{c}{c.upper()}]" for c in e[1:]) for e in IMAGE_EXTENSIONS]
+    return "*.{" + ",".join(either) + "}"
+
+
 def read_images(spark: SparkSession, root: str) -> DataFrame:
     """path, width, height, channels, data (BGR rows); an undecodable file has width -1."""
-    found = spark.read.format("image").option("recursiveFileLookup", "true").load(root)
+    source = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", _image_glob())
+    found = source.load(root)
     return found.select(
         F.col("image.origin").alias("path"),
         F.col("image.width").alias("width"),
