@@ -14,7 +14,7 @@ fitted to the same rows.
 How it scales: fitting uses at most ``max_toxic`` + ``max_clean`` labelled rows,
 chosen by a hash of their id, so the ids that are broadcast and the counts that reach
 the driver are bounded by parameters whatever the input; with fewer labels all are
-used. Scoring is one pass over all texts by Arrow batches; nothing is shuffled.
+used. Of near copies in this sample one is kept. Scoring is one pass over all texts by Arrow batches; nothing is shuffled.
 
 Defined results: null text counts as empty; an empty text gets the score of a text
 without hits; null or repeated ids and rows are scored as they are; without usable
@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
+from .shingles import Shingler
 
 #: Bounds of the labelled sample that a model is fitted on.
 MAX_TOXIC = 4000
@@ -47,6 +48,8 @@ MIN_SHARE = 0.002
 MIN_DOCS = 3
 MIN_WEIGHT = 2.0
 MAX_ENTRIES = 20000
+#: Likelihood ratio that an entry needs, in logarithms of the number of candidates.
+EVIDENCE = 1.5
 BLOCK_AT = 0.7
 
 # Base lexicon and harmless phrases, used with the learned ones.
@@ -128,10 +131,11 @@ class Matcher:
         words = folded_words(text)
         hits = self.hits(f" {' '.join(words)} ")
         # entries beginning at one place are one hit, by the greatest weight
-        at: dict[int, float] = {}
-        for start, _, weight in hits:
-            at[start] = max(weight, at.get(start, 0.0))
-        total = sum(at.values())
+        at: dict[int, tuple[float, str]] = {}
+        for start, entry, weight in hits:
+            at[start] = max((weight, entry), at.get(start, (0.0, "")))
+        # an entry that is repeated adds by the logarithm of its count
+        total = sum(weight * (1 + math.log(n)) for (weight, _), n in Counter(at.values()).items())
         return math.log1p(total), math.log1p(100 * total / (len(words) + 100))
 
     def score(self, text: str) -> float:
@@ -153,7 +157,21 @@ def _labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_cle
     for value, most in ((1, max_toxic), (0, max_clean)):
         part = known.filter(F.col("toxic") == value).orderBy(order, "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    return _with_sketch(sample).dropDuplicates(["toxic", "sketch"]).select("text", "toxic")
+
+
+def _with_sketch(sample: DataFrame) -> DataFrame:
+    """Adds the least shingle hash: copies share it, so one text speaks for all its copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            lows = [s[0] if len(s) else 0 for s in map(shingler.distinct, batch.column(0).to_pylist())]
+            sketch = pa.array(np.array(lows, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, sketch], names=["text", "toxic", "sketch"])
+
+    return sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "text string, toxic int, sketch long")
 
 
 def _count(sample: DataFrame, find) -> DataFrame:
@@ -220,24 +238,38 @@ def _by_entry(rows) -> dict[str, list[int]]:
     return found
 
 
-def choose_entries(counts: dict[str, list[int]], n_clean: int, n_toxic: int) -> dict[str, float]:
-    """Entries with enough weight; a stem takes the place of longer entries it explains."""
+def choose_entries(counts: dict[str, list[int]], n_clean: int, n_toxic: int, n_tried: int) -> dict[str, float]:
+    """Entries with enough weight and evidence; an entry explained by chosen ones is left out.
+
+    Evidence is the likelihood ratio of the entry's counts against the share of toxic
+    texts; the bound grows with the number of candidates, so that rare words which met
+    toxic texts by chance do not pass. Of equal candidates the longest stem is taken.
+    """
+    share = n_toxic / (n_toxic + n_clean)
 
     def weight(clean: int, toxic: int) -> float:
         return math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
 
+    def evidence(clean: int, toxic: int) -> float:
+        n = clean + toxic
+        return 2 * sum(k * math.log(k / (n * p)) for k, p in ((toxic, share), (clean, 1 - share)) if k)
+
+    bound = EVIDENCE * math.log(max(n_tried, 2))
     least = max(MIN_DOCS, MIN_SHARE * n_toxic)
-    good = {e: weight(*c) for e, c in counts.items() if c[1] >= least and weight(*c) >= MIN_WEIGHT}
+
+    def passes(clean: int, toxic: int) -> bool:
+        return toxic >= least and weight(clean, toxic) >= MIN_WEIGHT and evidence(clean, toxic) >= bound
+
+    good = {e: weight(*c) for e, c in counts.items() if passes(*c)}
     chosen: dict[str, float] = {}
-    for entry in sorted(good, key=lambda e: (-counts[e][1] * good[e], len(e), e)):
-        parts = [entry[:n] for n in range(2, len(entry))]
-        if any(p in chosen for p in parts):
+    for entry in sorted(good, key=lambda e: (-counts[e][1] * good[e], e.endswith(" "), -len(e), e)):
+        if any(entry[:n] in chosen for n in range(2, len(entry))):
             continue  # a chosen stem covers it
         covered = [e for e in chosen if e.startswith(entry)]
         if covered:
             toxic = counts[entry][1] - sum(counts[e][1] for e in covered)
             clean = counts[entry][0] - sum(counts[e][0] for e in covered)
-            if toxic < least or weight(max(clean, 0), toxic) < MIN_WEIGHT:
+            if not passes(max(clean, 0), max(toxic, 0)):
                 continue
         chosen[entry] = good[entry]
     return chosen
@@ -287,10 +319,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         return Lexicon(base, BASE_EXCEPTIONS)
 
     least = max(MIN_DOCS, MIN_SHARE * n_toxic)
-    seen = _count(sample.filter("toxic = 1"), lambda: lambda words: _candidates(set(words)))
+    seen = materialize(_count(sample.filter("toxic = 1"), lambda: lambda words: _candidates(set(words))), "tox-candidates")
+    n_tried = seen.count()
     common = seen.filter(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(MAX_ENTRIES).select("entry").collect()
     counts = _by_entry(_count(sample, _known_entries([r["entry"] for r in common] + list(base))).collect())
-    weights = choose_entries(counts, n_clean, n_toxic)
+    weights = choose_entries(counts, n_clean, n_toxic, n_tried)
     for entry in base:  # listed words count unless labelled texts speak against them
         if not any(entry.startswith(e) for e in weights):
             clean, toxic = counts.get(entry, [0, 0])
