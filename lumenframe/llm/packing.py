@@ -41,11 +41,11 @@ from .common import discard, materialize, text_or_empty
 
 CAPACITY = 1024
 END_ID = 2
-BLOCK_SIZE = 8192
+BLOCK_SIZE = 16384
 ISLANDS = 3
 EPOCHS = 2
 POPULATION = 3
-OFFSPRING = 4
+OFFSPRING = 12
 #: Bins at least this full may be injected by crossover.
 WELL_FILLED = 0.98
 #: Sequence numbers of a block start at block * BLOCK_STRIDE.
@@ -182,6 +182,51 @@ def _built(bins: list[list[int]], loose: list[int], lengths: list[int], capacity
     return _fitness(made.room, capacity), made.members
 
 
+def completed(loose: list[int], lengths: list[int], capacity: int, rng: random.Random | None = None) -> list[list[int]]:
+    """Bins built around the longest documents left, each completed exactly where one or two others can.
+
+    The room that is left is filled by one document of that length, else by two that
+    add up to it, else by the longest that fits, and so on. ``rng`` shuffles documents
+    of one length and picks among pairs.
+    """
+    stock: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i in loose:
+        stock[lengths[i]].append(i)
+    have = np.array([bool(s) for s in stock])
+
+    def take(length: int) -> int:
+        i = stock[length].pop()
+        if not stock[length]:
+            have[length] = False
+        return i
+
+    bins = []
+    longest = capacity
+    while True:
+        while longest and not have[longest]:
+            longest -= 1
+        if not longest:
+            return bins
+        members, room = [take(longest)], capacity - longest
+        while room:
+            if have[room]:
+                members.append(take(room))
+                break
+            pairs = np.flatnonzero(have[1:room] & have[room - 1 : 0 : -1]) + 1
+            pairs = pairs[pairs * 2 > room] if len(pairs) else pairs
+            if len(pairs):
+                long_one = int(pairs[-1] if rng is None else rng.choice(pairs[-4:]))
+                members += [take(long_one), take(room - long_one)]
+                break
+            fits = np.flatnonzero(have[1 : room + 1])
+            if not len(fits):
+                break
+            length = int(fits[-1]) + 1
+            members.append(take(length))
+            room -= length
+        bins.append(members)
+
+
 def crossover(receiver: list[list[int]], donor: list[list[int]], lengths: list[int], capacity: int, rng: random.Random):
     """Inject a random share of the donor's well-filled bins into the receiver."""
     full = [b for b in donor if sum(lengths[i] for i in b) >= WELL_FILLED * capacity]
@@ -200,7 +245,7 @@ def crossover(receiver: list[list[int]], donor: list[list[int]], lengths: list[i
 
 
 def mutate(parent: list[list[int]], lengths: list[int], capacity: int, rng: random.Random):
-    """Open the emptiest bins and a few others; put their documents back by best fit."""
+    """Open the emptiest bins and a few others, and complete new ones from their documents."""
     by_fill = sorted(parent, key=lambda b: sum(lengths[i] for i in b))
     opened = max(1, len(parent) // 20)
     kept = by_fill[opened:]
@@ -208,8 +253,8 @@ def mutate(parent: list[list[int]], lengths: list[int], capacity: int, rng: rand
     rng.shuffle(kept)
     extra = min(len(kept), opened)
     loose += [i for b in kept[:extra] for i in b]
-    loose.sort(key=lambda i: -(lengths[i] + rng.uniform(0, capacity / 16)))
-    return _built(kept[extra:], loose, lengths, capacity)
+    rng.shuffle(loose)
+    return _built(kept[extra:] + completed(loose, lengths, capacity, rng), [], lengths, capacity)
 
 
 def evolve(
@@ -226,6 +271,8 @@ def evolve(
     people = [_built(bins, [], lengths, capacity) for bins in seeds]
     if not people:
         people.append(_built([], order, lengths, capacity))
+        if people[0][0][0] > floor:
+            people.append(_built(completed(order, lengths, capacity), [], lengths, capacity))
     while len(people) < population and min(people)[0][0] > floor:
         shaken = sorted(order, key=lambda i: -(lengths[i] + rng.uniform(0, capacity / 8)))
         people.append(_built([], shaken, lengths, capacity))
@@ -270,8 +317,9 @@ def _epoch(islands: DataFrame, epoch: int, capacity: int, population: int, offsp
                 rng = random.Random(f"{row['block']}:{row['island']}:{epoch}")
                 seeds = [_decode_bins(s) for s in row["seeds"]]
                 if not epoch and row["island"]:  # islands start from different individuals
-                    order = sorted(range(len(lengths)), key=lambda i: -(lengths[i] + rng.uniform(0, capacity / 8)))
-                    seeds = [_built([], order, lengths, capacity)[1]]
+                    order = list(range(len(lengths)))
+                    rng.shuffle(order)
+                    seeds = [completed(order, lengths, capacity, rng)]
                 (n_bins, squares), bins = evolve(lengths, capacity, seeds, rng, population, offspring)
                 yield pa.RecordBatch.from_pylist(
                     [
