@@ -234,14 +234,54 @@ def v2_image_facts(images: DataFrame, boxes: DataFrame, expected: tuple[str, ...
     return R.first_seen(facts, [F.col("image_path")], ["seq"])
 
 
-def v2_issues(images: DataFrame, boxes: DataFrame, min_side: int = 1, max_side: int = 100000, expected: tuple[str, ...] | None = None) -> DataFrame:
-    """All issues of the second engine on centre boxes, with the bounds its engine sets."""
+def with_corners(boxes: DataFrame) -> DataFrame:
+    """Corners x1, y1, x2, y2, in frame units, of normalised centre boxes."""
+    half_w, half_h = F.col("w") / 2, F.col("h") / 2
+    return boxes.withColumns(
+        {"x1": F.col("xc") - half_w, "y1": F.col("yc") - half_h, "x2": F.col("xc") + half_w, "y2": F.col("yc") + half_h}
+    )
+
+
+def v2_dataset_issues(files: DataFrame) -> DataFrame:
+    """rule_id, severity, path of the whole-dataset checks on a listing (path, length, kind).
+
+    Images and annotations are matched by stem; checks of the whole have a null path.
+    """
+    known = files.filter("kind IN ('image', 'annotation')").withColumns({"stem": S.stem(F.col("path")), "name": S.filename(F.col("path"))})
+    images, notes = known.filter("kind = 'image'"), known.filter("kind = 'annotation'")
+
+    def issue(rows: DataFrame, rule_id: str, severity: str, path: Column) -> DataFrame:
+        return rows.select(F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"), path.cast("string").alias("path"))
+
+    counts = files.agg(F.count_if(F.col("kind") == "image").alias("i"), F.count_if(F.col("kind") == "annotation").alias("a"))
+    nowhere = F.lit(None)
+    found = issue(counts.filter("i = 0"), "DS003", ERROR, nowhere)
+    repeats = R.first_seen(images, [F.col("name")], ["path"]).filter("is_repeat")
+    for part in (
+        issue(counts.filter("a = 0"), "DS004", ERROR, nowhere),
+        issue(counts.filter("i = 0 AND a = 0"), "DS005", CRITICAL, nowhere),
+        issue(counts.filter("i <> a"), "DS006", WARNING, nowhere),
+        issue(images.join(notes.select("stem"), "stem", "left_anti"), "DS007", ERROR, F.col("path")),
+        issue(repeats, "DS008", WARNING, F.col("path")),
+        issue(notes.filter("length = 0"), "DS009", ERROR, F.col("path")),
+    ):
+        found = found.unionByName(part)
+    return found
+
+
+def v2_issues(
+    images: DataFrame, boxes: DataFrame, min_side: int = 1, max_side: int = 100000, expected: tuple[str, ...] | None = None, iou: float | None = None
+) -> DataFrame:
+    """All issues of the second engine on centre boxes, with the bounds its engine sets.
+
+    With ``iou`` pairs of boxes that overlap so far are reported too (BOX012).
+    """
     facts = v2_image_facts(images, boxes, expected)
     keys = [F.col(c) for c in ("seq", "class_id", "xc", "yc", "w", "h")]
     objects = _boxes_of_images(images, R.first_seen(boxes, keys, ["object_index"]))
     found = apply(facts, v2_image_rules(min_side, max_side), "v2")
     found = found.unionByName(apply(objects, v2_object_rules() + v2_center_box_rules(), "v2", F.col("object_index")))
-    return found.unionByName(v2_pair_issues(images, boxes))
+    return found.unionByName(v2_pair_issues(images, with_corners(boxes), iou))
 
 
 # -- roll-ups and indexes ----------------------------------------------------

@@ -648,6 +648,25 @@ def rules_v2_corner_boxes(spark, sf_dir):
     return _by_rule(V.apply(corners.join(images, "seq"), V.v2_corner_box_rules(max_share=0.01, max_aspect=4.0), "v2", F.lit(0)))
 
 
+def _files(spark, sf_dir):
+    """Images and some annotations as a file listing."""
+    images = B.images(spark, sf_dir).select(F.col("image_path").alias("path"), F.col("seq").alias("length"), F.lit("image").alias("kind"))
+    notes = _annotations(spark, sf_dir).select(F.col("annotation_path").alias("path"), (F.length("stem") - 6).cast("long").alias("length"), F.lit("annotation").alias("kind"))
+    return images.unionByName(notes)
+
+
+@query
+def rules_v2_dataset(spark, sf_dir):
+    return V.v2_dataset_issues(_files(spark, sf_dir)).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_paths"))
+
+
+@query
+def rules_v2_overlaps(spark, sf_dir):
+    images, boxes = _both(spark, sf_dir)
+    found = V.v2_pair_issues(images, V.with_corners(boxes), 0.5)
+    return found.groupBy("rule_id", "dataset").agg(F.count("*").alias("n"))
+
+
 @query
 def issue_rollup(spark, sf_dir):
     rolled = V.rollup(V.v1_issues(*_both(spark, sf_dir)), ["dataset"])

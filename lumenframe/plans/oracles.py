@@ -546,6 +546,27 @@ ORACLES: dict[str, str] = {
         + ")",
         then=_BY_RULE,
     ),
+    "rules_v2_dataset": _with(
+        _IMAGES, _ANNOTATIONS,
+        r"""i AS (SELECT image_path AS path, split_part(image_path, '/', -1) AS name, regexp_replace(split_part(image_path, '/', -1), '\.[^.]*$', '') AS stem FROM images)""",
+        "k AS (SELECT (SELECT count(*) FROM i) AS n, (SELECT count(*) FROM ann) AS a)",
+        """x AS (SELECT 'DS006' AS rule_id, 'WARNING' AS severity, NULL AS path FROM k WHERE n <> a
+        UNION ALL SELECT 'DS007', 'ERROR', path FROM i WHERE stem NOT IN (SELECT stem FROM ann)
+        UNION ALL SELECT 'DS008', 'WARNING', path FROM (SELECT path, rank() OVER (PARTITION BY name ORDER BY path) AS r FROM i) WHERE r > 1
+        UNION ALL SELECT 'DS009', 'ERROR', annotation_path FROM ann WHERE length(stem) = 6)""",
+        then="SELECT rule_id, severity, count(*) AS n, count(DISTINCT path) AS n_paths FROM x GROUP BY ALL",
+    ),
+    "rules_v2_overlaps": _with(
+        _IMAGES, _BOXES,
+        "c AS (SELECT b.*, i.dataset, xc - w / 2 AS x1, yc - h / 2 AS y1, xc + w / 2 AS x2, yc + h / 2 AS y2 FROM boxes b JOIN images i USING (seq))",
+        "p AS (SELECT a.dataset, a.xc = b.xc AND a.yc = b.yc AND a.w = b.w AND a.h = b.h AS same, "
+        "CASE WHEN least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1) "
+        "THEN (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) ELSE 0.0 END AS o, "
+        "greatest(0.0, a.x2 - a.x1) * greatest(0.0, a.y2 - a.y1) + greatest(0.0, b.x2 - b.x1) * greatest(0.0, b.y2 - b.y1) AS s "
+        "FROM c a JOIN c b ON a.seq = b.seq AND a.object_index < b.object_index)",
+        then="SELECT 'BOX011' AS rule_id, dataset, count(*) AS n FROM p WHERE same GROUP BY dataset UNION ALL "
+        "SELECT 'BOX012', dataset, count(*) FROM p WHERE s - o > 0 AND o / (s - o) >= 0.5 GROUP BY dataset",
+    ),
     "issue_rollup": "WITH " + _V1 + f"""
         , r AS (SELECT dataset, {_ROLLED} FROM issues GROUP BY dataset)
         SELECT *, n_error + n_critical = 0 AS passed, round((n_issues - n_error - n_critical) * 100.0::DOUBLE / n_issues, 4) AS success_rate FROM r""",
@@ -580,7 +601,7 @@ ORACLES: dict[str, str] = {
     ),
     "gate_report": _with(
         _TILES, _NEIGHBOURS, _judged(),
-        then="SELECT label, count(*) AS n_total, count(*) FILTER (quality_score >= 95) AS n_passed, count(*) FILTER (quality_score < 95) AS n_failed, 0 AS n_corrupted, "
+        then="SELECT label, count(*) AS n_total, count(*) FILTER (quality_score >= 95) AS n_passed, count(*) FILTER (quality_score < 95) AS n_failed, CAST(0 AS BIGINT) AS n_corrupted, "
         "round(avg(quality_score), 2) AS mean_score, min(quality_score) AS min_score, max(quality_score) AS max_score, "
         "round(count(*) FILTER (quality_score >= 95) * 1.0::DOUBLE / count(*), 4) AS pass_rate FROM judged GROUP BY label",
     ),

@@ -103,3 +103,20 @@ def report_text(title: str, one_row: DataFrame, markdown: bool = False) -> str:
 def save(report: str, any_frame: DataFrame, path: str) -> str:
     write_text(any_frame, report, path)
     return path
+
+
+def write_log(log: DataFrame, path: str) -> None:
+    """A build log as CSV."""
+    log.write.mode("overwrite").option("header", True).csv(path)
+
+
+def sidecars(processed: DataFrame) -> DataFrame:
+    """path, metadata (JSON) of preprocessed images, without their pixels."""
+    columns = [c for c in processed.columns if c not in ("path", "data")]
+    return processed.select("path", F.to_json(F.struct(*columns)).alias("metadata"))
+
+
+def output_path(path: Column, source_root: str, target_root: str) -> Column:
+    """The path under another root, its folders kept."""
+    inside = F.substring(path, F.lit(len(source_root.rstrip("/")) + 1), F.length(path))
+    return F.when(path.startswith(source_root), F.concat(F.lit(target_root.rstrip("/")), inside)).otherwise(path)

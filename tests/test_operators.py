@@ -224,3 +224,17 @@ def test_streaming_ingest(spark, tmp_path):
     new = spark.createDataFrame([(1, 9), (30, 9)], "id long, k long")
     merged = I.upsert(rows, new, "id")
     assert merged.count() == 21 and merged.filter("k = 9").count() == 2
+
+
+def test_dataset_rules_on_a_listing(spark):
+    rows = [("d/a.jpg", 5, "image"), ("e/a.jpg", 5, "image"), ("d/b.jpg", 5, "image"), ("d/a.txt", 0, "annotation"), ("d/x.md", 1, "other")]
+    files = spark.createDataFrame(rows, "path string, length long, kind string")
+    found = {(r.rule_id, r.path) for r in V.v2_dataset_issues(files).collect()}
+    assert found == {("DS006", None), ("DS007", "d/b.jpg"), ("DS008", "e/a.jpg"), ("DS009", "d/a.txt")}
+    assert {r.rule_id for r in V.v2_dataset_issues(files.limit(0)).collect()} == {"DS003", "DS004", "DS005"}
+
+
+def test_overlaps_are_reported(small):
+    images, boxes = small
+    ids = [r.rule_id for r in V.v2_issues(images, boxes, iou=0.9).collect()]
+    assert ids.count("BOX012") == 4 and ids.count("BOX011") == 4
