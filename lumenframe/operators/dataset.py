@@ -14,7 +14,8 @@ from lumenframe.functions import scalars as S
 
 
 def find(images: DataFrame, condition: Column) -> DataFrame:
-    return images.filter(S.is_true(condition))
+    """Rows where the condition holds; a null does not, and a bare condition reaches the scan."""
+    return images.filter(condition)
 
 
 def find_one(images: DataFrame, condition: Column) -> DataFrame:
@@ -199,8 +200,6 @@ def overlapping_pairs(boxes: DataFrame, threshold: float, cells: int = 8) -> Dat
     dealt to the grid cells it touches, and a pair is taken in the cell where its
     intersection begins; other images are one cell.
     """
-    from lumenframe.functions import geometry as G
-
     grid = F.col("cells")
 
     def cell(value: Column) -> Column:
@@ -214,12 +213,19 @@ def overlapping_pairs(boxes: DataFrame, threshold: float, cells: int = 8) -> Dat
         .withColumn("gy", F.explode(F.sequence(cell(F.col("y1")), cell(F.col("y2")))))
     )
     names = ("x1", "y1", "x2", "y2")
-    a = dealt.select("seq", "gx", "gy", "cells", F.col("object_index").alias("i"), *[F.col(n).alias("a_" + n) for n in names])
-    b = dealt.select("seq", "gx", "gy", F.col("object_index").alias("j"), *[F.col(n).alias("b_" + n) for n in names])
-    one, two = G.Box.of(*["a_" + n for n in names]), G.Box.of(*["b_" + n for n in names])
-    pairs = a.join(b, ["seq", "gx", "gy"]).filter("i < j")
-    home = (cell(F.greatest("a_x1", "b_x1")) == F.col("gx")) & (cell(F.greatest("a_y1", "b_y1")) == F.col("gy"))
-    return pairs.filter(home).withColumn("overlap", G.iou(one, two)).filter(F.col("overlap") >= threshold).select("seq", "i", "j", "overlap")
+    size = ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("size")
+
+    def side(prefix: str, number: str) -> DataFrame:
+        renamed = [F.col(n).alias(prefix + n) for n in names] + [size.alias(prefix + "size")]
+        return dealt.select("seq", "gx", "gy", *(["cells"] if prefix == "a_" else []), F.col("object_index").alias(number), *renamed)
+
+    pairs = side("a_", "i").join(side("b_", "j"), ["seq", "gx", "gy"]).filter("i < j")
+    begin_x, begin_y = F.greatest("a_x1", "b_x1"), F.greatest("a_y1", "b_y1")
+    w, h = F.least("a_x2", "b_x2") - begin_x, F.least("a_y2", "b_y2") - begin_y
+    home = (cell(begin_x) == F.col("gx")) & (cell(begin_y) == F.col("gy"))
+    shared = pairs.filter((w > 0) & (h > 0) & home).select("seq", "i", "j", (w * h).alias("shared"), (F.col("a_size") + F.col("b_size")).alias("sizes"))
+    overlap = F.col("shared") / (F.col("sizes") - F.col("shared"))
+    return shared.filter(overlap >= threshold).select("seq", "i", "j", overlap.alias("overlap"))
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str, window_key: Column | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import geometry as G
@@ -226,14 +226,21 @@ def v2_pair_issues(images: DataFrame, boxes: DataFrame, iou: float | None = None
 
 
 def v2_image_facts(images: DataFrame, boxes: DataFrame, expected: tuple[str, ...] | None = None) -> DataFrame:
-    """Images with what the second engine's image and object rules need."""
-    classes = boxes.groupBy("seq").agg(F.countDistinct("class_id").alias("n_classes"))
-    facts = with_object_counts(images, boxes).join(classes, "seq", "left").na.fill(0, ["n_classes"])
+    """Images with what the second engine's image and object rules need: one aggregate of the boxes."""
+    per_image = [F.count("*").alias("n_objects"), F.size(F.collect_set("class_id")).alias("n_classes")]
     if expected:
-        facts = facts.join(D.missing_classes(boxes, expected), "seq", "left")
+        lacking = F.array_except(F.array(*[F.lit(e) for e in expected]), F.collect_set("class_name"))
+        per_image.append(F.array_join(F.array_sort(lacking), ",").alias("missing"))
+    facts = images.join(boxes.groupBy("seq").agg(*per_image), "seq", "left").na.fill(0, ["n_objects", "n_classes"])
     return R.first_seen(facts, [F.col("image_path")], ["seq"])
 
 
+def with_repeats(boxes: DataFrame) -> DataFrame:
+    """Column is_repeat: an earlier object of the image has the same class and box."""
+    same = Window.partitionBy("seq", "class_id", "xc", "yc", "w", "h").orderBy("object_index")
+    return boxes.withColumn("is_repeat", F.row_number().over(same) > 1)
+
+
 def with_corners(boxes: DataFrame) -> DataFrame:
     """Corners x1, y1, x2, y2, in frame units, of normalised centre boxes."""
     half_w, half_h = F.col("w") / 2, F.col("h") / 2
@@ -277,8 +284,7 @@ def v2_issues(
     With ``iou`` pairs of boxes that overlap so far are reported too (BOX012).
     """
     facts = v2_image_facts(images, boxes, expected)
-    keys = [F.col(c) for c in ("seq", "class_id", "xc", "yc", "w", "h")]
-    objects = _boxes_of_images(images, R.first_seen(boxes, keys, ["object_index"]))
+    objects = _boxes_of_images(images, with_repeats(boxes))
     found = apply(facts, v2_image_rules(min_side, max_side), "v2")
     found = found.unionByName(apply(objects, v2_object_rules() + v2_center_box_rules(), "v2", F.col("object_index")))
     return found.unionByName(v2_pair_issues(images, with_corners(boxes), iou))
