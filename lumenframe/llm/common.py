@@ -106,3 +106,16 @@ def slot_bitmap(slots: DataFrame, bits: int) -> bytes:
         at = (r["bucket"] - 1) * 4096
         whole[at : at + 4096] = np.frombuffer(r["piece"], np.uint8)
     return whole.tobytes()
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int, seed: str) -> DataFrame:
+    """At most ``most`` rows, chosen by a hash of ``key``; all of them if they are fewer.
+
+    A first cut by the hash leaves about twice as many as are wanted, so what is sorted
+    in one place does not grow with the rows.
+    """
+    n = rows.count()
+    order = F.xxhash64(key, F.lit(seed))
+    if n > 2 * most:
+        rows = rows.filter(F.pmod(order, F.lit(1 << 40)) < F.lit(int(2 * most / n * (1 << 40))))
+    return rows.orderBy(order, key).limit(most)

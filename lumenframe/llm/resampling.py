@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_or_empty
+from .common import bounded_sample, materialize, small_batches, text_or_empty
 from .shingles import Shingler
 
 BUCKETS = 10_000
@@ -155,7 +155,8 @@ def importance_sample(
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    sample = materialize(wanted.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_target), "resample-target")
+    wanted = materialize(wanted, "resample-labels")
+    sample = materialize(bounded_sample(wanted, "doc_id", max_target, str(seed)), "resample-target")
     is_target = sample.withColumn("is_target", F.lit(True))
     marked = source.join(F.broadcast(is_target), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     ratio = log_ratio(count_buckets(marked, buckets), smoothing)

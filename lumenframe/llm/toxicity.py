@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import bounded_sample, materialize, text_or_empty
 from .shingles import Shingler
 
 #: Bounds of the labelled sample that a model is fitted on.
@@ -161,11 +161,10 @@ def held_out(id_col: Column) -> Column:
 def _labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> DataFrame:
     """Texts of the sampled labelled rows that may be learned from."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.filter(~held_out(F.col("doc_id")))
-    order = F.xxhash64("doc_id", F.lit("toxicity"))
+    known = materialize(known.filter(~held_out(F.col("doc_id"))), "tox-labels")
     chosen = None
     for value, most in ((1, max_toxic), (0, max_clean)):
-        part = known.filter(F.col("toxic") == value).orderBy(order, "doc_id").limit(most)
+        part = bounded_sample(known.filter(F.col("toxic") == value), "doc_id", most, "toxicity")
         chosen = part if chosen is None else chosen.unionByName(part)
     sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     return _with_sketch(sample).dropDuplicates(["toxic", "sketch"]).select("text", "toxic")

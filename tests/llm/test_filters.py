@@ -183,3 +183,13 @@ def test_toxicity_without_labels_and_exceptions(spark):
     assert matcher.score("you are an 1diot") > 0.7 > matcher.score("put it in the trash can") and matcher.score("") < 0.5
     assert X.folded_words("Stuuuupid w0rd5 2024") [:2] == ["stupid", "words"]
     assert math.isfinite(matcher.score("idiot " * 10000))
+
+
+def test_bounded_sample(spark):
+    from lumenframe.llm.common import bounded_sample
+
+    rows = spark.range(20000).withColumnRenamed("id", "doc_id")
+    assert bounded_sample(rows, "doc_id", 1000, "s").count() == 1000
+    assert bounded_sample(rows.limit(900), "doc_id", 1000, "s").count() == 900
+    first = {r.doc_id for r in bounded_sample(rows, "doc_id", 1000, "s").collect()}
+    assert first == {r.doc_id for r in bounded_sample(rows.repartition(3), "doc_id", 1000, "s").collect()}
