@@ -277,11 +277,11 @@ def v2_dataset_issues(files: DataFrame) -> DataFrame:
 
 
 def v2_issues(
-    images: DataFrame, boxes: DataFrame, min_side: int = 1, max_side: int = 100000, expected: tuple[str, ...] | None = None, iou: float | None = None
+    images: DataFrame, boxes: DataFrame, min_side: int = 1, max_side: int = 100000, expected: tuple[str, ...] | None = None, iou: float | None = 0.9
 ) -> DataFrame:
     """All issues of the second engine on centre boxes, with the bounds its engine sets.
 
-    With ``iou`` pairs of boxes that overlap so far are reported too (BOX012).
+    Pairs of boxes that overlap by ``iou`` or more are reported (BOX012), unless it is None.
     """
     facts = v2_image_facts(images, boxes, expected)
     objects = _boxes_of_images(images, with_repeats(boxes))
