@@ -1,15 +1,18 @@
 import gzip
+import os
 import random
+import re
+import tracemalloc
 
 import pytest
+import xxhash
 
 from lumenframe.llm import html_text as H
 from lumenframe.llm import warc as W
 
 
 def text(html):
-    page = H._Page(1, "http://a/b", "a", "/b", html)
-    return H.main_text(page, None, None)
+    return H.main_text(H.text_blocks(html), set())[0]
 
 
 @pytest.mark.parametrize(
@@ -37,37 +40,120 @@ def lcs_length(a, b):
     return best[-1][-1]
 
 
-@pytest.mark.parametrize("seed", range(30))
-def test_shared_lines_are_a_longest_common_subsequence(seed):
-    rng = random.Random(seed)
-    a, b = ([rng.choice("abcd") for _ in range(rng.randrange(12))] for _ in range(2))
-    shared = sorted(H.shared_lines(a, b))
-    assert len(shared) == lcs_length(a, b)
+def check_alignment(a, b, shared):
+    assert shared == sorted(set(shared))
     rest = iter(b)
     assert all(any(y == a[k] for y in rest) for k in shared)
 
 
-def test_differencing_of_neighbours(spark):
-    def page(body):
-        return f"<div>Site name</div><div>Home | News</div>{body}<div>Imprint</div>"
-
+@pytest.mark.parametrize("seed", range(60))
+def test_shared_lines_are_a_longest_common_subsequence(seed):
+    rng = random.Random(seed)
+    n, symbols = (12, 4) if seed < 30 else (200, rng.choice((2, 5, 100)))
+    a, b = ([rng.randrange(symbols) for _ in range(rng.randrange(n))] for _ in range(2))
+    shared = H.shared_lines(a, b)
+    assert len(shared) == lcs_length(a, b)
+    check_alignment(a, b, shared)
+
+
+def test_very_long_pages_need_linear_memory():
+    rng = random.Random(4)
+    a = list(range(40000))
+    b = a[:]
+    rng.shuffle(b)
+    tracemalloc.start()
+    shared = H.shared_lines(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    check_alignment(a, b, shared)
+    assert 350 < len(shared) < 450 and most < 64 << 20  # a random order holds an increasing run of about 2 sqrt(n)
+
+
+def brute_force(rows):
+    """Every page's text from its definition: all pages in one place, a plain quadratic alignment."""
+    pages = []
+    for page_id, url, html in rows:
+        rest = (url or "").partition("://")[2]
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        pages.append((host.lower(), path, page_id, url, H.text_blocks(html)))
+    out = []
+    for host, path, page_id, url, blocks in pages:
+        lines = tuple(t for _, t in blocks)
+        classes = {}
+        for h, p, _, _, other in pages:
+            texts = tuple(t for _, t in other)
+            if h and h == host and texts:
+                classes[texts] = min(p, classes.get(texts, p))
+        shared = set()
+        if lines in classes:
+            ordered = sorted((p.encode(), xxhash.xxh3_128_digest(H.line_hashes([(0, t) for t in ts]).tobytes()), p, ts) for ts, p in classes.items())
+            at = [x[3] for x in ordered].index(lines)
+            near = [ordered[k] for k in (at - 1, at + 1) if 0 <= k < len(ordered)]
+            if near:
+                mate = max(near, key=lambda x: len(os.path.commonprefix([x[2], ordered[at][2]])))
+                shared = H.shared_lines(list(lines), list(mate[3]))
+                assert len(shared) == lcs_length(lines, mate[3])
+        out.append((page_id, url, *H.main_text(blocks, set(shared))))
+    return sorted(out, key=repr)
+
+
+def template(body):
+    return f"<div>Site name</div><div>Home | News</div>{body}<div>Imprint</div>"
+
+
+def site():
     rows = [
-        (1, "http://h.com/news/1", page("<p>one</p><p>two</p>")), (2, "http://h.com/news/2", page("<p>three</p>")), (3, "http://h.com/zz", page("<p>four</p>")),
-        (4, "http://solo.com/a", page("<p>five</p>")), (5, None, None), (6, "http://h.com/news/1", page("<p>one</p><p>two</p>")),
-        (7, "http://q.com/1", "<article><p>quoted</p></article>"), (8, "http://q.com/2", "<article><p>quoted</p></article>"), (8, "http://q.com/2", "<article><p>quoted</p></article>"),
+        (1, "http://h.com/news/1", template("<p>one</p><p>two</p>")), (2, "http://h.com/news/2", template("<p>three</p>")), (3, "http://h.com/zz", template("<p>four</p>")),
+        (4, "http://solo.com/a", template("<p>five</p>")), (5, None, None), (6, "http://h.com/news/1", template("<p>one</p><p>two</p>")),
+        (7, "http://q.com/1", "<p>Top</p><article><p>quoted</p><p>x</article>"), (8, "http://q.com/2", "<p>Top</p><article><p>quoted</p><p>y</article>"), (8, "http://q.com/2", "<p>Top</p><article><p>quoted</p><p>y</article>"),
+        (9, "no scheme", template("<p>z</p>")), (None, "http://H.com/news/3?x", template("<p>three</p>") + "<!-- other html, same lines -->"),
     ]
-    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string").coalesce(1)
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    return rows + [(100 + k, f"http://many.com/p/{k:03d}", template(f"<p>body {k}</p>")) for k in range(40)]
+
+
+def extracted(spark, rows, parts):
+    pages = spark.createDataFrame([(*r, "x", "x", 1) for r in rows], "page_id long, url string, html string, host string, Shared string, marked int").repartition(parts)
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k) for k in keys]
+    spark.conf.set(keys[0], str(parts))
+    spark.conf.set(keys[1], "false")
     try:
-        found = [(r.page_id, r.text, r.n_chars) for r in H.extract_main_text(pages).collect()]
+        return sorted(((r.page_id, r.url, r.text, r.n_shared, r.n_quoted) for r in H.extract_main_text(pages).collect()), key=repr)
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    by_id = {i: t for i, t, _ in found}
-    assert len(found) == len(rows) and all(n == len(t) for _, t, n in found)
-    assert by_id[1] == "one\ntwo" and by_id[2] == "three" and by_id[3] == "four" and by_id[6] == "one\ntwo"
-    assert by_id[4] == "Site name\nHome | News\nfive\nImprint" and by_id[5] == "" and by_id[7] == by_id[8] == "quoted"
-    assert H.extract_main_text(pages.limit(0)).count() == 0
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("parts", [1, 8, 40])
+def test_differencing_does_not_depend_on_partitions(spark, parts):
+    rows = site()
+    found = extracted(spark, rows, parts)
+    assert found == brute_force(rows)
+    by_id = {r[0]: r for r in found}
+    assert by_id[1][2] == by_id[6][2] == "one\ntwo" and by_id[2][2] == by_id[None][2] == "three" and by_id[3][2] == "four"
+    assert by_id[4][2] == by_id[9][2].replace("z", "five") == "Site name\nHome | News\nfive\nImprint" and by_id[5][2] == ""
+    assert by_id[7][2:] == ("quoted\nx", 1, 1) and all(by_id[100 + k][2] == f"body {k}" for k in range(40))
+
+
+def test_long_pages_and_no_pages(spark):
+    rng = random.Random(3)
+    lines = [f"line {k}" for k in range(20000)]
+    mixed = rng.sample(lines, len(lines))
+    rows = [(1, "http://l.com/1", "".join(f"<p>{t}</p>" for t in lines)), (2, "http://l.com/2", "".join(f"<p>{t}</p>" for t in mixed)), (3, "http://l.com/3", "word " * 500000)]
+    found = extracted(spark, rows, 2)
+    assert len(found) == 3 and found[0][3] == found[0][2].count("\n") * -1 + 19999 and found[2][2] == ("word " * 500000).strip()
+    assert extracted(spark, rows[:0] or [(1, None, None)], 1)[0][2] == ""
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert H.extract_main_text(empty).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are absent")
+def test_differencing_acts_on_the_test_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = H.extract_main_text(pages).collect()
+    assert sum(r.n_shared > 0 for r in found) > 0
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    assert sorted(((r.page_id, r.url, r.text, r.n_shared, r.n_quoted) for r in found), key=repr) == brute_force(rows)
 
 
 def test_warc_round_trip(spark, tmp_path):
