@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,11 +24,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (a single machine, as in tests) is a folder of our own made and set.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset on a
+    single machine, as in tests, is a folder of our own made and set. A cluster whose
+    executors share no named folder is an error: each would write to its own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         named = "file://" + tempfile.mkdtemp(prefix="lumenframe-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -76,6 +81,19 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh_name(wanted: str, *frames: DataFrame) -> str:
+    """``wanted``, with underscores added until no column of ``frames`` has that name in any case."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def bitmap_bits(n_keys: int, least: int = 1 << 22, most: int = 1 << 30, bits_per_key: int = 16) -> int:
+    """Slots of a bitmap for ``n_keys`` keys: a power of two, at most ``most`` / 8 bytes."""
+    return min(most, max(least, 1 << (bits_per_key * max(n_keys, 1) - 1).bit_length()))
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -8,8 +8,8 @@ How it scales
 -------------
 * Scan 1 aggregates ``(length, prefix hash) -> rows`` with map-side combine; no
   text leaves its task.
-* The surviving groups become a bitmap of fixed size (``bitmap_bits`` / 8 bytes,
-  512 KiB by default, whatever the input), so it may be broadcast. A bit shared
+* The surviving groups become a bitmap of 16 slots a group, 512 KiB at least and
+  128 MiB at most (or ``slots`` / 8 bytes), so it may be broadcast. A bit shared
   by two groups only lets a lone row go on to the full hash: never a wrong merge.
 * Scan 2 computes full hashes and writes narrow fingerprints; texts are never
   shuffled. The final join is between two written tables, so adaptive execution
@@ -26,10 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_or_empty
+from .common import bitmap_bits, discard, fresh_name, materialize, text_or_empty
 
 PREFIX_CHARS = 256
-BITMAP_BITS = 1 << 22
 #: Bits in one row of Spark's ``bitmap_construct_agg``.
 BITS_PER_ROW = 32768
 
@@ -44,23 +43,28 @@ def _slot(bits: int, *keys: Column) -> Column:
 
 
 def group_bitmap(groups: DataFrame, slot: Column) -> DataFrame:
-    """Bitmap table (_bm_bucket, _bm_bits) of the slots present in ``groups``."""
+    """Bitmap table (bm_bucket, bm_bits) of the slots present in ``groups``."""
     marked = groups.select(slot.alias("slot"))
-    return marked.groupBy(F.bitmap_bucket_number("slot").alias("_bm_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bm_bits")
+    return marked.groupBy(F.bitmap_bucket_number("slot").alias("bm_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bm_bits")
     )
 
 
 def mark_members(rows: DataFrame, bitmap: DataFrame, slot: Column, flag: str) -> DataFrame:
-    """Add boolean ``flag``: the row's slot is set in the fixed-size bitmap."""
-    with_slot = rows.withColumn("_bm_slot", slot).withColumn("_bm_bucket", F.bitmap_bucket_number("_bm_slot"))
-    position = F.bitmap_bit_position("_bm_slot")
-    byte = F.conv(F.hex(F.substring(F.col("_bm_bits"), (position / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    """Add boolean ``flag``: the row's slot is set in the fixed-size bitmap.
+
+    Names used on the way are chosen so that they clash with no column of ``rows``.
+    """
+    at, bucket, bits = (fresh_name(n, rows) for n in ("bm_slot", "bm_bucket", "bm_bits"))
+    with_slot = rows.withColumn(at, slot).withColumn(bucket, F.bitmap_bucket_number(at))
+    pieces = bitmap.select(F.col("bm_bucket").alias(bucket), F.col("bm_bits").alias(bits))
+    position = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (position / 8).cast("int") + 1, F.lit(1))), 16, 10)
     hit = F.getbit(byte.cast("int"), (position % 8).cast("int")) == 1
     return (
-        with_slot.join(F.broadcast(bitmap), "_bm_bucket", "left")
+        with_slot.join(F.broadcast(pieces), bucket, "left")
         .withColumn(flag, F.coalesce(hit, F.lit(False)))
-        .drop("_bm_slot", "_bm_bucket", "_bm_bits")
+        .drop(at, bucket, bits)
     )
 
 
@@ -70,7 +74,7 @@ def exact_dedup(
     text_col: str = "text",
     digest_all: bool = False,
     prefix_chars: int = PREFIX_CHARS,
-    bitmap_bits: int = BITMAP_BITS,
+    slots: int | None = None,
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -91,10 +95,11 @@ def exact_dedup(
         keyed.groupBy("norm_len", "prefix_hash").agg(F.count("*").alias("n_rows")), "dedup-prefixes"
     )
     long_enough = prefix_counts.groupBy("norm_len").agg(F.sum("n_rows").alias("n")).filter("n > 1")
-    length_map = group_bitmap(long_enough, _slot(bitmap_bits, F.col("norm_len")))
-    after_length = mark_members(prefix_counts, length_map, _slot(bitmap_bits, F.col("norm_len")), "by_length")
+    bits = slots or bitmap_bits(prefix_counts.filter("n_rows > 1").count())
+    length_map = group_bitmap(long_enough, _slot(bits, F.col("norm_len")))
+    after_length = mark_members(prefix_counts, length_map, _slot(bits, F.col("norm_len")), "by_length")
     after_prefix = after_length.filter("by_length AND n_rows > 1")
-    pair_slot = _slot(bitmap_bits, F.col("norm_len"), F.col("prefix_hash"))
+    pair_slot = _slot(bits, F.col("norm_len"), F.col("prefix_hash"))
     survivors = materialize(group_bitmap(after_prefix, pair_slot), "dedup-survivors")
 
     flagged = mark_members(keyed, survivors, pair_slot, "survivor")

@@ -12,7 +12,7 @@ Method
 2. A band bucket matters if it holds two classes: least and greatest class key
    differ, a map-side aggregate. Buckets with the same members are taken once.
 3. A second scan reads the texts of one document for each class in such a bucket,
-   chosen through a bitmap of fixed size, and ships its set to its buckets.
+   chosen through a bitmap whose size is taken from their number (128 MiB at most), and ships its set to its buckets.
 4. In a bucket, signatures of all pairs are compared; pairs that may reach the
    threshold are confirmed on full sets, unless links found before already join
    them. A bucket of more than ``block`` shingles is split in blocks, and each pair
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small_batches, text_or_empty
+from .common import bitmap_bits, discard, materialize, small_batches, text_or_empty
 from .components import connected_components
 from .exact_dedup import group_bitmap, mark_members
 from .shingles import SHINGLE_WORDS, Minima, Shingler
@@ -50,7 +50,6 @@ ROWS = 5
 THRESHOLD = 85
 #: Shingles in one block of a large bucket, whatever the lengths of its texts.
 BLOCK = 1 << 19
-BITMAP_BITS = 1 << 25
 #: Standard deviations that a signature may fall short of the threshold.
 SLACK = 6
 #: Nodes from here on stand for classes without any id.
@@ -206,7 +205,6 @@ def near_duplicates(
     rows: int = ROWS,
     words: int = SHINGLE_WORDS,
     block: int = BLOCK,
-    bitmap_bits: int = BITMAP_BITS,
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     source = _source(docs, id_col, text_col)
@@ -244,9 +242,10 @@ def near_duplicates(
     every_member, members = members, materialize(members.join(once, "bucket"), "near-chosen")
     discard(shared, every_member, once)
 
-    slot = F.pmod(F.xxhash64("rep"), F.lit(bitmap_bits)) + F.lit(1)
+    bits = bitmap_bits(members.count())
+    slot = F.pmod(F.xxhash64("rep"), F.lit(bits)) + F.lit(1)
     wanted = materialize(group_bitmap(members, slot), "near-wanted")
-    doc_slot = F.pmod(F.xxhash64("doc_id"), F.lit(bitmap_bits)) + F.lit(1)
+    doc_slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + F.lit(1)
     read = mark_members(source, wanted, doc_slot, "wanted").filter("wanted").select("doc_id", "text")
     sets = materialize(_sets(read, words), "near-sets")
 

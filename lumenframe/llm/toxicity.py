@@ -382,4 +382,5 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", thresh
             clean = [matcher.score(t.as_py() or "") < threshold for t in batch.column(at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names with dots cannot travel
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

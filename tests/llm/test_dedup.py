@@ -35,7 +35,7 @@ EXACT = [(1, "a b"), (2, "ab"), (3, " a b "), (4, None), (5, ""), (6, " \t\n\x0b
 @pytest.mark.parametrize("bits", [1 << 15, 1 << 22])
 @pytest.mark.parametrize("digest_all", [False, True])
 def test_exact_against_brute_force(spark, bits, digest_all):
-    found = exact_dedup(docs(spark, EXACT), digest_all=digest_all, bitmap_bits=bits).collect()
+    found = exact_dedup(docs(spark, EXACT), digest_all=digest_all, slots=bits).collect()
     wanted = brute_exact(EXACT)
     if digest_all:
         assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found], key=repr) == wanted
