@@ -6,7 +6,7 @@ stages rows are written as Parquet in the shared folder and read again.
 
 Defined results: null texts count as empty; where ids are null or repeat, rows are
 told apart by their place in the table, so of repeated rows one stays; empty tables
-pass through; extra columns are carried.
+pass through; extra columns of any name are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -16,11 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import decontaminate, exact_dedup, minhash, packing, toxicity
-from lumenframe.llm.common import materialize, read_table
+from lumenframe.llm.common import bitmap_bits, discard, fresh_name, materialize, read_table
 
-
-#: Bits of the bitmap of dropped ids (4 MiB, whatever the number of documents).
-DROPPED_BITS = 1 << 25
 #: Near copies share 80 % of their shingles or more (the contract of op4 is its own, 85). With 28 bands of 4 minima a
 #: pair at exactly 0.80 shares no band once in 2.6 million; with op4's 24 of 5 it would be once in 14,000.
 NEAR_THRESHOLD, NEAR_BANDS, NEAR_ROWS = 80, 28, 4
@@ -30,27 +27,29 @@ def _identified(docs: DataFrame) -> tuple[DataFrame, str]:
     """(docs, name of a column that tells every row apart).
 
     That is doc_id, unless some are null or repeat: then rows are numbered by their
-    place in a written copy of the table.
+    place in a written copy of the table, in a column whose name the input lacks.
     """
     n, known, distinct = docs.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id")).first()
     if n == known == distinct:
         return docs, "doc_id"
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "stage-rows"), "_row"
+    row = fresh_name("row_no", docs)
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "stage-rows"), row
 
 
-def _without(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
-    """Rows whose key is not among ``dropped`` (doc_id).
+def _without(docs: DataFrame, rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """Columns of ``docs`` of the ``rows`` whose key is not among ``dropped`` (doc_id).
 
-    A bitmap of fixed size tells which rows may be dropped; all others pass without a
-    shuffle, and only those few are joined with the dropped ids.
+    A bitmap sized by the number of dropped rows tells which rows may be dropped; all
+    others pass without a shuffle, and only those few are joined with the dropped ids.
     """
     gone = materialize(dropped.select(F.col("doc_id").alias(key)).distinct(), "stage-dropped")
-    slot = F.pmod(F.xxhash64(key), F.lit(DROPPED_BITS)) + F.lit(1)
+    slot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bitmap_bits(gone.count()))) + F.lit(1)
     bitmap = materialize(exact_dedup.group_bitmap(gone, slot), "stage-bitmap")
-    marked = exact_dedup.mark_members(docs, bitmap, slot, "_maybe")
-    passed = marked.filter("NOT _maybe").drop("_maybe")
-    left = marked.filter("_maybe").drop("_maybe").join(gone, key, "left_anti")
-    columns = [c for c in docs.columns if c != "_row"]
+    maybe = fresh_name("may_be_dropped", rows)
+    marked = exact_dedup.mark_members(rows, bitmap, slot, maybe)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    passed = marked.filter(~F.col(maybe))
+    left = marked.filter(F.col(maybe)).join(gone, key, "left_anti")
     return passed.select(*columns).unionByName(left.select(*columns))
 
 
@@ -62,19 +61,19 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = _identified(docs)
     judged = exact_dedup.exact_dedup(rows, id_col=key)
-    return _without(rows, key, judged.filter("NOT kept"))
+    return _without(docs, rows, key, judged.filter("NOT kept"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = _identified(docs)
     judged = minhash.near_duplicates(rows, id_col=key, threshold=NEAR_THRESHOLD, bands=NEAR_BANDS, rows=NEAR_ROWS)
-    return _without(rows, key, judged.filter("NOT kept"))
+    return _without(docs, rows, key, judged.filter("NOT kept"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = _identified(docs)
     found = decontaminate.contaminated(rows, read_table(spark, sf_dir, "benchmark"), id_col=key)
-    return _without(rows, key, found)
+    return _without(docs, rows, key, found)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,11 +93,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The lexicon, the near-duplicate classes and the packing are beyond SQL; see tests/llm.
