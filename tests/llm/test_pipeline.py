@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import corpus_pipeline as P
 from lumenframe.llm import queries as Q
@@ -46,6 +47,33 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert packed.select("doc_id").distinct().count() == len(left)
 
 
+CLASHING = ("_row", "row_no", "_maybe", "May_Be_Dropped", "_bm_slot", "bm_slot", "BM_BUCKET", "bm_bits", "a.b", "set_key", "score", "kept", "item_id", "norm", "toxic")
+
+
+def test_every_stage_carries_clashing_columns_and_long_texts(spark, tmp_path):
+    rng = random.Random(7)
+    item = prose(rng, 30)
+    long_text = " ".join(prose(rng, 120000))
+    texts = [" ".join(prose(rng, 100)) for _ in range(12)] + [long_text, long_text + " ", " ".join(prose(rng, 60) + item), "you stupid idiot", None]
+    rows = [(k, t, "en", "s", len(t or "")) + tuple(f"{c}{k}" for c in CLASHING) for k, t in enumerate(texts)]
+    sf = write(spark, tmp_path, [], [(0, 1, 0)], [(1, " ".join(item))])
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHING]
+    schema = StructType([StructField(n, LongType() if n in ("doc_id", "n_chars") else StringType()) for n in names])
+    for repeated in (False, True):
+        given = rows + [(None, *rows[0][1:]), (3, *rows[4][1:])] if repeated else rows
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in P.STAGES[:-1]:
+            docs = stage(spark, docs, sf)
+            assert docs.columns == names, name
+            docs.write.parquet(f"{sf}/{repeated}-{name}")
+            docs = spark.read.parquet(f"{sf}/{repeated}-{name}")
+        left = docs.collect()
+        assert {r.text for r in left if len(r.text or "") > 1000} <= {long_text, long_text + " "}
+        assert {r.doc_id for r in left if r.doc_id is not None} >= set(range(1, 12)) - {3, 4} and len(left) == 14
+        assert all(r[c] == f"{c}{r[names.index('_row')][4:]}" for r in left for c in CLASHING)
+        assert P.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == len({r.doc_id for r in left})
+
+
 def test_empty_tables(spark, tmp_path):
     sf = write(spark, tmp_path, [], [], [])
     assert P.run(spark, sf).count() == 0
