@@ -1,27 +1,35 @@
 """WARC derivative builder: responses to linked metadata and plain-text conversion records.
 
 For each ``response`` record two records are derived. The ``conversion`` record holds
-the page's plain text; the ``metadata`` record (application/warc-fields) holds the
-source's headers and digests and what the conversion found. Both name the response in
+the page's plain text; the ``metadata`` record (application/warc-fields) holds every
+HTTP header of the source, the digests that its WARC record named, digests computed
+from its bytes, and what the conversion found. Both name the response in
 ``WARC-Refers-To`` and keep its target URI and date. Record ids are computed from the
 source's id, so a repeated run gives the same records.
 
 ``read_warc`` and ``to_warc`` parse and write the file format (gzip members or plain);
-``derive`` is a projection with built-in functions: one scan, nothing shuffled.
-
-Defined results: a null URL or payload counts as empty; an empty payload gives an empty
-conversion (its digest is that of the empty string); repeated rows give repeated
-records with equal ids; extra columns are ignored; an empty table gives an empty
-result.
+``read_responses`` makes ``derive``'s input from records that were read: digests cover
+the payload as stored, and its text is taken after undoing chunks, gzip or deflate and
+the charset that the headers name (else UTF-8). ``derive`` is a projection: one scan,
+nothing shuffled; the stripped text passes through Python once, to decode references.
+
+Defined results: a null URL, header block or payload counts as empty; an empty payload
+gives an empty conversion (its digest is that of the empty string); bytes that the
+charset lacks become U+FFFD; an unknown charset is read as UTF-8; a payload that claims
+a coding it does not have is taken as it is; repeated rows give repeated records with
+equal ids; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import gzip
+import html as _html
 import io
+import re
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +42,10 @@ _RECORD = (
     "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
     "block_digest string, payload_digest string, content_length long, block binary"
 )
+_RESPONSE = (
+    "source_id string, record_id string, target_uri string, warc_date string, http_headers string, payload binary, text string, "
+    "warc_payload_digest string, warc_block_digest string"
+)
 
 
 def digest(data: Column) -> Column:
@@ -48,13 +60,26 @@ def uuid_urn(key: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
+#: Elements whose content no reader sees as text.
+INVISIBLE = ("script", "style", "noscript", "template", "textarea", "select", "iframe", "object", "svg", "math", "canvas", "audio", "video")
+_HIDDEN = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(rf"<{t}(?:[\s/][^>]*)?>.*?(?:</{t}\s*>|\z)" for t in INVISIBLE)
+_BLOCK = r"(?i)<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title)|br)(?:[ \t\r\n/][^>]*)?>"
+
+
+def _decoded(text: Column) -> Column:
+    """Character references decoded."""
+
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(_html.unescape, na_action="ignore")
+
+    return F.pandas_udf(decode, "string")(text)
+
+
 def plain_text(html: Column) -> Column:
-    """Text without scripts, styles, comments and markup; common references decoded."""
-    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)[^>]*>.*?</(?:script|style)>", " ")
-    text = F.regexp_replace(text, r"(?i)<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title)|br)(?:[ \t\r\n/][^>]*)?>", "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    """Visible text without markup; all named and numeric character references decoded."""
+    text = F.regexp_replace(html, _HIDDEN, " ")
+    text = F.regexp_replace(F.regexp_replace(text, _BLOCK, "\n"), r"<[^>]*>", "")
+    text = F.translate(_decoded(text), "\u00a0", " ")
     text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
@@ -81,20 +106,41 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 def derive(source: DataFrame) -> DataFrame:
     """Two derived records for each response.
 
-    ``source``: source_id, record_id, target_uri, warc_date, http_headers, payload.
+    ``source``: source_id, record_id, target_uri, warc_date, http_headers, payload (text or
+    bytes), and where known text (the payload decoded), warc_payload_digest, warc_block_digest.
     """
-    known = source.withColumn("text", plain_text(F.col("payload"))).withColumns(
+    named = [F.col(c) if c in source.columns else F.lit(None).cast("string") for c in ("warc_payload_digest", "warc_block_digest")]
+    text = F.col("text") if "text" in source.columns else F.coalesce(F.col("payload").cast("string"), F.lit(""))
+    payload = F.coalesce(F.col("payload").cast("binary"), F.lit(b""))
+    known = source.select(
+        "source_id",
+        "record_id",
+        F.coalesce("target_uri", F.lit("")).alias("target_uri"),
+        "warc_date",
+        F.coalesce("http_headers", F.lit("")).alias("http_headers"),
+        F.octet_length(payload).alias("size"),
+        digest(payload).alias("source_payload_digest"),
+        digest(F.when(F.length("http_headers") > 0, F.concat(F.col("http_headers").cast("binary"), F.lit(CRLF).cast("binary"), payload)).otherwise(payload)).alias("source_block_digest"),
+        named[0].alias("warc_payload_digest"),
+        named[1].alias("warc_block_digest"),
+        plain_text(text).alias("text"),
+    ).withColumns(
         {
-            "source_payload_digest": digest(F.col("payload")),
-            "source_block_digest": digest(F.concat("http_headers", F.lit(CRLF), "payload")),
             "conversion_digest": digest(F.col("text")),
             "conversion_id": uuid_urn(F.concat(F.lit("conversion "), F.col("record_id"))),
         }
     )
+    lines = F.filter(F.split("http_headers", CRLF), lambda line: (line != "") & ~line.startswith("HTTP/"))
+    headers = F.array_join(F.transform(lines, lambda line: F.concat(F.lit("source-http-"), line, F.lit(CRLF))), "")
+    kept = [
+        F.coalesce(F.concat(F.lit(f"source-{label}: "), F.col(c), F.lit(CRLF)), F.lit(""))
+        for label, c in (("warc-payload-digest", "warc_payload_digest"), ("warc-block-digest", "warc_block_digest"))
+    ]
     fields = F.concat(
         F.lit("source-status: "), F.regexp_extract("http_headers", r"^HTTP/[0-9.]+ ([0-9]+)", 1), F.lit(CRLF),
-        F.lit("source-content-type: "), F.regexp_extract("http_headers", r"(?i)\nContent-Type: *([^\r\n]*)", 1), F.lit(CRLF),
-        F.lit("source-content-length: "), F.octet_length("payload").cast("string"), F.lit(CRLF),
+        headers,
+        F.lit("source-payload-length: "), F.col("size").cast("string"), F.lit(CRLF),
+        *kept,
         F.lit("source-payload-digest: "), F.col("source_payload_digest"), F.lit(CRLF),
         F.lit("source-block-digest: "), F.col("source_block_digest"), F.lit(CRLF),
         F.lit("conversion-record-id: "), F.col("conversion_id"), F.lit(CRLF),
@@ -234,9 +280,57 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _RECORD)
 
 
-def split_http(block: Column) -> tuple[Column, Column]:
-    """(headers with their last line end, payload) of a response's block as text."""
-    text = F.decode(block, "UTF-8")
-    at = F.instr(text, CRLF + CRLF)
-    head = F.when(at > 0, F.substring(text, F.lit(1), at + 1)).otherwise(F.lit(""))
-    return head, F.when(at > 0, F.substring(text, at + 4, F.length(text))).otherwise(text)
+def undone(payload: bytes, headers: str) -> str:
+    """A response's payload as text: chunks, content coding and charset undone as its headers say."""
+    named = {}
+    for line in headers.split(CRLF)[1:]:
+        name, _, value = line.partition(":")
+        named.setdefault(name.strip().lower(), value.strip())
+    if "chunked" in named.get("transfer-encoding", "").lower():
+        payload = _joined_chunks(payload)
+    coding = named.get("content-encoding", "").lower()
+    if coding in ("gzip", "x-gzip", "deflate"):
+        for bits in (47, -15):  # zlib or gzip by its header, else a bare deflate stream
+            try:
+                payload = zlib.decompressobj(bits).decompress(payload)
+                break
+            except zlib.error:
+                continue
+    charset = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", named.get("content-type", ""), re.I)
+    try:
+        return payload.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
+def _joined_chunks(payload: bytes) -> bytes:
+    """The chunks of a chunked body; the body itself if it is none."""
+    parts, at = [], 0
+    while True:
+        end = payload.find(b"\r\n", at)
+        size = re.match(rb"[0-9A-Fa-f]+", payload[at:end]) if end >= 0 else None
+        if not size:
+            return payload if not parts else b"".join(parts)
+        n = int(size[0], 16)
+        if not n:
+            return b"".join(parts)
+        parts.append(payload[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+
+
+def read_responses(records: DataFrame) -> DataFrame:
+    """``derive``'s input from the response records that ``read_warc`` gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [(b.as_py() or b"").partition(b"\r\n\r\n") for b in batch.column(3)]
+            heads = [(head + b"\r\n").decode("utf-8", "replace") if gap else "" for head, gap, _ in split]
+            bodies = [body if gap else head for head, gap, body in split]
+            texts = [undone(body, head) for body, head in zip(bodies, heads)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *batch.columns[:3], pa.array(heads), pa.array(bodies, pa.binary()), pa.array(texts, pa.string()), *batch.columns[4:]],
+                names=[f.split()[0] for f in _RESPONSE.split(", ")],
+            )
+
+    columns = ("record_id", "target_uri", "warc_date", "block", "payload_digest", "block_digest")
+    return records.filter("lower(warc_type) = 'response'").select(*columns).mapInArrow(run, _RESPONSE)

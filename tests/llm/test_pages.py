@@ -1,4 +1,7 @@
 import gzip
+import hashlib
+import html
+import html.entities
 import os
 import random
 import re
@@ -6,17 +9,18 @@ import tracemalloc
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lumenframe.llm import html_text as H
 from lumenframe.llm import warc as W
 
 
-def text(html):
-    return H.main_text(H.text_blocks(html), set())[0]
+def text(page):
+    return H.main_text(H.text_blocks(page), set())[0]
 
 
 @pytest.mark.parametrize(
-    ("html", "wanted"),
+    ("page", "wanted"),
     [
         ("<article><h1>T&amp;t</h1><p>a  b\n c<p>d<b>e</b>f</article>", "T&t\na b c\ndef"),
         ("<nav>menu</nav><main><p>x</p><aside>s</aside><form>f<p>g</form><p>y</p></main><footer>z</footer>", "x\ny"),
@@ -28,8 +32,8 @@ def text(html):
         ("", ""), (None, ""), ("<article></article>", ""), ("plain & simple", "plain & simple"), ("<p>a<br>b</p></div></p>", "a\nb"),
     ],
 )
-def test_main_text(html, wanted):
-    assert text(html) == wanted
+def test_main_text(page, wanted):
+    assert text(page) == wanted
 
 
 def lcs_length(a, b):
@@ -72,10 +76,10 @@ def test_very_long_pages_need_linear_memory():
 def brute_force(rows):
     """Every page's text from its definition: all pages in one place, a plain quadratic alignment."""
     pages = []
-    for page_id, url, html in rows:
+    for page_id, url, source in rows:
         rest = (url or "").partition("://")[2]
         host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
-        pages.append((host.lower(), path, page_id, url, H.text_blocks(html)))
+        pages.append((host.lower(), path, page_id, url, H.text_blocks(source)))
     out = []
     for host, path, page_id, url, blocks in pages:
         lines = tuple(t for _, t in blocks)
@@ -174,6 +178,46 @@ def test_warc_round_trip(spark, tmp_path):
     assert W.derive(W.responses(pages.limit(0))).count() == 0
 
 
+def test_plain_text_decodes_every_reference(spark):
+    names = sorted(html.entities.html5)
+    texts = [f"a &{n} b" if n.endswith(";") else f"a &{n}; b" for n in names] + ["&#233;&#xe9;&#128;&#0;&#x110000;", "&amp;lt; &notit; &nosuch; &", "caf&eacute; &mdash; &rsquo;"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, html string")
+    found = {r.id: r.text for r in rows.select("id", W.plain_text(F.col("html")).alias("text")).collect()}
+    for k, t in enumerate(texts):
+        plain = re.sub(r"[ \t\r\f]+", " ", html.unescape(t).replace("\u00a0", " "))
+        assert found[k] == re.sub(r" ?\n[ \n]*", "\n", plain).strip(" \n"), t
+    hidden = spark.createDataFrame([("x<textarea>t</textarea><noscript>n</noscript ><SVG a='1'>s</SVG><selection>k</selection><!-- c -->y<script>never closed",)], "html string")
+    assert hidden.select(W.plain_text(F.col("html")).alias("t")).first().t == "x k y"
+
+
+def test_derivatives_of_read_responses(spark, tmp_path):
+    pages = {
+        "plain": (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\nX-Cache: hit\r\nSet-Cookie: a=1\r\n\r\n", "<p>caf\u00e9 &eacute;</p>".encode("latin-1"), "caf\u00e9 \u00e9"),
+        "zipped": (b"HTTP/1.0 404 Not Found\r\nContent-Encoding: gzip\r\n\r\n", gzip.compress("<p>z\u00fc</p>".encode()), "z\u00fc"),
+        "chunked": (b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n", b"4\r\n<p>a\r\n6;x=y\r\nb</p>c\r\n0\r\n\r\n", "ab\nc"),
+        "false": (b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\nContent-Type: x; charset=nonesuch\r\n\r\n", b"<p>not \xff</p>", "not \ufffd"),
+        "headless": (b"", b"only text", "only text"),
+    }
+    raw = b""
+    for name, (head, body, _) in pages.items():
+        block = head + body
+        raw += f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{name}>\r\nWARC-Target-URI: http://x/{name}\r\nWARC-Date: 2020-02-02T00:00:00Z\r\nWARC-Payload-Digest: sha1:{name}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    raw += b"WARC/1.1\r\nWARC-Type: request\r\nWARC-Record-ID: <urn:q>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    (tmp_path / "in.warc").write_bytes(raw)
+    records = W.read_warc(spark, str(tmp_path / "in.warc"))
+    found = {(r.source_id, r.warc_type): r for r in W.derive(W.read_responses(records)).collect()}
+    assert len(found) == 10
+    for name, (head, body, text) in pages.items():
+        conversion, metadata = found[f"<urn:{name}>", "conversion"], found[f"<urn:{name}>", "metadata"]
+        assert conversion.block == text and conversion.refers_to == metadata.refers_to == f"<urn:{name}>" and conversion.warc_date == "2020-02-02T00:00:00Z"
+        assert conversion.source_payload_digest == "sha256:" + hashlib.sha256(body).hexdigest()
+        if head:
+            assert conversion.source_block_digest == "sha256:" + hashlib.sha256(head + body).hexdigest()
+        assert f"source-warc-payload-digest: sha1:{name}\r\n" in metadata.block and f"source-payload-length: {len(body)}\r\n" in metadata.block
+        for line in head.decode().split("\r\n")[1:]:
+            assert not line or f"source-http-{line}\r\n" in metadata.block
+
+
 def test_broken_warc_raises():
     import io
 
