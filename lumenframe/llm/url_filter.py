@@ -13,7 +13,8 @@ rows share.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no
 rule, is never listed, and is allowed; repeated rows are judged alike; null entries of
-the list are ignored; extra columns are ignored; an empty table gives an empty result.
+the list are ignored; URLs of any length are judged whole; extra columns are ignored; an
+empty table gives an empty result, an empty list lists nothing.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def judge_urls(
     host, path = host_and_path(F.col(url_col))
     rule, verdict = longest_rule(rules, F.col("host"), F.col("path"))
     judged = (
-        pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+        pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
         .withColumns({"rule": rule, "by_rule": verdict, "canonical": canonical(F.col("host"), F.col("path"))})
         .withColumn("possible", bloom.may_hold(F.xxhash64("canonical")))
     )
@@ -144,13 +145,10 @@ def judge_urls(
     return settled.unionByName(checked)
 
 
-def listed_by_terms(pages: DataFrame, terms: tuple[str, ...], url_col: str = "url") -> DataFrame:
-    """Canonical URLs whose host has one of ``terms`` between dots or hyphens."""
+def listed_by_ids(pages: DataFrame, ids: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """Canonical URLs of the pages that ``ids`` (column ``id``) names; null ids name none."""
     host, path = host_and_path(F.col(url_col))
-    pattern = rf"(?:^|[.-])(?:{'|'.join(terms)})(?:[.-]|$)"
-    return (
-        pages.select(host.alias("host"), path.alias("path"))
-        .filter(F.col("host").rlike(pattern))
-        .select(canonical(F.col("host"), F.col("path")).alias("canonical"))
-        .distinct()
+    named = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path")).join(
+        ids.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi"
     )
+    return named.select(canonical(F.col("host"), F.col("path")).alias("canonical")).distinct()
