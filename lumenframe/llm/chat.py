@@ -7,8 +7,11 @@ only those are rendered.
 
 Rolling hashes: a turn's two 64-bit hashes cover its position, role and text; the hash
 of a prefix is their exclusive or, so it is built from partial results. Turns are
-dealt in chunks of ``chunk`` positions: running hashes within a chunk, one total per
-chunk carried on. A conversation with very many turns is thus never in one task.
+ranged by (conversation, turn, digest, a random number), so neither a conversation of
+very many turns nor all repeats of one turn fall to one task; a turn's place is its
+place in its range and the number of its conversation's turns in earlier ranges. From
+there on turns are dealt in chunks of ``chunk`` positions: running hashes within a
+chunk, one total per chunk carried on.
 
 How it scales: prefixes are reduced to (length, hash, longest conversation) with
 map-side combine before they are shuffled, so thousands of conversations with one
@@ -16,8 +19,8 @@ first turn give one row; joins are between written tables, which adaptive execut
 splits. A kept conversation is rendered in parts of ``chunk`` turns.
 
 Defined results: null role and text count as empty; turns are ordered by turn (nulls
-last), then role and text; equal rows stay as repeated turns; rows with a null
-conv_id are one conversation; of equal conversations the smallest id stays (null
+last), then by the MD5 of role, line end and text; equal rows stay as repeated turns; rows with a
+null conv_id are one conversation; of equal conversations the smallest id stays (null
 last); extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -26,37 +29,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 CHUNK = 1024
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def positions(turns: DataFrame, chunk: int) -> DataFrame:
-    """Turns with their place in the conversation (``pos``, from 0) and their ``chunk_no``.
-
-    Rows are counted by ranges of the turn number first, so ranks need only be
-    taken within a range.
-    """
-    ranged = turns.select(
+    """Turns with their place in the conversation (``pos``, from 0) and their ``chunk_no``."""
+    turn = F.col("turn").cast("long")
+    rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
+        turn.isNull().alias("no_turn"),
+        turn.alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("range_no", F.coalesce(F.floor(F.col("turn") / chunk), F.lit((1 << 62))))
-    sizes = ranged.groupBy("conv_id", "range_no").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        F.col("conv_id").alias("c"),
-        F.col("range_no").alias("r"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
+    ).withColumn("digest", F.md5(F.concat_ws("\n", "role", "text")))
+    # the number only splits equal rows, which may stand in any order
+    order = ["conv_id", "no_turn", "turn", "digest", "any_no"]
+    rows = rows.withColumn("any_no", F.xxhash64(F.monotonically_increasing_id()))
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    ranged = materialize(
+        ranged.select(
+            "conv_id",
+            "role",
+            "text",
+            F.shiftright(place, 33).cast("int").alias("part"),
+            place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"),
+        ),
+        "chat-ranged",
+    )
+    spans = ranged.groupBy("conv_id", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(
+        F.col("conv_id").alias("c"), F.col("part").alias("p"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")
+    )
+    spans = materialize(spans, "chat-spans")
+    placed = ranged.join(spans, (ranged["part"] == spans["p"]) & ranged["conv_id"].eqNullSafe(spans["c"]))
+    pos = F.col("at") + F.col("shift")
+    placed = materialize(
+        placed.select("conv_id", "role", "text", pos.alias("pos"), F.floor(pos / chunk).alias("chunk_no")), "chat-placed"
     )
-    starts = materialize(starts, "chat-starts")
-    inside = Window.partitionBy("conv_id", "range_no").orderBy("turn", "role", "text")
-    ranked = ranged.withColumn("rank", F.row_number().over(inside) - 1)
-    placed = ranked.join(starts, ranked["conv_id"].eqNullSafe(starts["c"]) & (ranked["range_no"] == starts["r"]))
-    pos = F.col("start") + F.col("rank")
-    return placed.select("conv_id", "role", "text", pos.alias("pos"), F.floor(pos / chunk).alias("chunk_no"))
+    discard(ranged, spans)
+    return placed
 
 
 def prefix_hashes(placed: DataFrame) -> DataFrame:
@@ -119,7 +135,7 @@ def rendered(role: Column, text: Column) -> Column:
 
 def collapse_and_render(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Maximal conversations in parts: conv_id, part, n_turns, text."""
-    placed = materialize(positions(turns, chunk), "chat-placed")
+    placed = positions(turns, chunk)
     kept = materialize(maximal_conversations(prefix_hashes(placed)), "chat-kept")
     kept = kept.select(F.col("conv_id").alias("c"), "n_turns")
     mine = placed.join(kept, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
