@@ -17,8 +17,12 @@ How it scales
   split by adaptive execution, and rows are distinct (region, item, diagonal)
   triples, not pairs of hits.
 
+Items of fewer tokens than the shortest mask have no spaced seed: the hash of the whole
+item is joined with the windows of its length, and all its tokens must be equal; of
+many such places in one text the first is taken.
+
 Defined results: tokens are lower-cased runs of word characters; null text counts as
-empty; items of fewer tokens than the shortest mask cannot be matched, nor items with a null id; rows with a
+empty; items without a token, or with a null id, match nothing; rows with a
 null id are reported with a null id; repeated rows give repeated matches of one id,
 merged into one row; extra columns are ignored; empty tables give an empty result.
 """
@@ -52,22 +56,31 @@ def tokens(text: str, shingler: Shingler) -> np.ndarray:
     return shingler.shingles(" ".join(_WORD.findall(text.lower())))
 
 
-def seeds(words: np.ndarray, masks: tuple[str, ...] = MASKS) -> list[tuple[int, np.ndarray]]:
-    """(mask number, seed at every position where the mask fits)."""
+def seeds(words: np.ndarray, masks: tuple[str, ...] = MASKS) -> list[tuple[str, np.ndarray]]:
+    """(mask, seed at every position where the mask fits)."""
     found = []
-    for number, mask in enumerate(masks):
+    for mask in masks:
         n = len(words) - len(mask) + 1
         if n <= 0:
             continue
-        h = np.full(n, number + 1, np.uint64)
+        h = np.full(n, (len(mask) << 32) + int(mask, 2), np.uint64)
         for at, flag in enumerate(mask):
             if flag == "1":
                 h = (h ^ words[at : at + n]) * np.uint64(_SALT)
                 h ^= h >> np.uint64(32)
-        found.append((number, h))
+        found.append((mask, h))
     return found
 
 
+def whole_mask(n: int) -> str:
+    return "1" * n
+
+
+def masks_for(n_words: int, masks: tuple[str, ...]) -> tuple[str, ...]:
+    """Masks for an item: the spaced ones, or that of the whole item if it is shorter than all of them."""
+    return masks if n_words >= min(map(len, masks)) else (whole_mask(n_words),) if n_words else ()
+
+
 def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     mixed = h * np.uint64(0x9E3779B97F4A7C15)
     return h & np.uint64(bits - 1), (mixed >> np.uint64(20)) & np.uint64(bits - 1)
@@ -82,7 +95,7 @@ def _test_seeds(benchmark: DataFrame, masks: tuple[str, ...]) -> DataFrame:
         for batch in small_batches(batches):
             words = [tokens(t.as_py(), shingler) for t in batch.column(1)]
             found = [
-                [{"seed": int(s), "at": k} for _, h in seeds(w, masks) for k, s in enumerate(h.view(np.int64).tolist())]
+                [{"seed": int(s), "at": k} for _, h in seeds(w, masks_for(len(w), masks)) for k, s in enumerate(h.view(np.int64).tolist())]
                 for w in words
             ]
             yield pa.RecordBatch.from_arrays(
@@ -105,8 +118,11 @@ def _bitmap(seed_table: DataFrame, bits: int) -> bytes:
     return slot_bitmap(seed_table.select("seed").mapInArrow(mark, "slot long"), bits)
 
 
-def _regions(docs: DataFrame, bitmap, bits: int, margin: int, masks: tuple[str, ...]) -> DataFrame:
-    """doc_id, first, words (binary), hits array<struct<seed, at>>: stretches of text with possible hits."""
+def _regions(docs: DataFrame, bitmap, bits: int, margin: int, masks: tuple[str, ...], whole: frozenset[str]) -> DataFrame:
+    """doc_id, first, words (binary), hits array<struct<seed, at>>: stretches of text with possible hits.
+
+    Of equal seeds by a mask in ``whole`` a text's first is taken.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(1)
@@ -121,10 +137,12 @@ def _regions(docs: DataFrame, bitmap, bits: int, margin: int, masks: tuple[str,
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 w = tokens(text.as_py(), shingler)
                 found = []
-                for _, h in seeds(w, masks):
+                for mask, h in seeds(w, masks):
                     one, two = _probes(h, bits)
                     at = np.flatnonzero(holds(one))
                     at = at[holds(two[at])]
+                    if mask in whole:
+                        at = at[np.unique(h[at], return_index=True)[1]]
                     found += zip(at.tolist(), h[at].view(np.int64).tolist())
                 found.sort()
                 begin = 0
@@ -164,8 +182,11 @@ def best_segment(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int
     return int(equal[begin:end].sum()), a + begin, end - begin
 
 
-def _verify(rows: DataFrame, min_overlap: int, min_share: float) -> DataFrame:
-    """rows: doc_id, item_id, diagonal, first, words, item_words; verified overlaps."""
+def _verify(rows: DataFrame, min_overlap: int, min_share: float, shortest: int) -> DataFrame:
+    """rows: doc_id, item_id, diagonal, first, words, item_words; verified overlaps.
+
+    Of items of fewer tokens than ``shortest`` all tokens must be equal.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -173,7 +194,7 @@ def _verify(rows: DataFrame, min_overlap: int, min_share: float) -> DataFrame:
             for r in batch.to_pylist():
                 text, item = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["item_words"], np.uint64)
                 equal, start, length = best_segment(text, item, r["diagonal"])
-                if equal >= min(min_overlap, min_share * len(item)):
+                if equal >= (min(min_overlap, min_share * len(item)) if len(item) >= shortest else len(item)):
                     for column, value in zip(out, (r["doc_id"], r["item_id"], equal, length, r["first"] + start)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
@@ -203,14 +224,17 @@ def contaminated(
         "decon-seeds",
     )
     n_seeds = test_seeds.count()
+    n_words = (F.length("words") / 8).cast("int")
     longest = tests.agg(F.max(F.length("words"))).first()[0] or 0
+    short = [r["n"] for r in tests.select(n_words.alias("n")).filter(f"n > 0 AND n < {min(map(len, masks))}").distinct().collect()]
+    whole = frozenset(map(whole_mask, short))
     margin = max(longest // 8, max(map(len, masks)))
     bits = min(MAX_BITMAP_BITS, max(MIN_BITMAP_BITS, 1 << (64 * max(n_seeds, 1) - 1).bit_length()))
     bitmap = spark.sparkContext.broadcast(_bitmap(test_seeds, bits))
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     regions = materialize(
-        _regions(source, bitmap, bits, margin, masks).withColumn("region", F.monotonically_increasing_id()), "decon-regions"
+        _regions(source, bitmap, bits, margin, (*masks, *sorted(whole)), whole).withColumn("region", F.monotonically_increasing_id()), "decon-regions"
     )
     hits = regions.select("region", F.explode("hits").alias("h")).select("region", "h.seed", "h.at")
     diagonals = (
@@ -226,7 +250,7 @@ def contaminated(
     )
     best = F.max(F.struct("n_equal", (-F.col("n_span")).alias("less"), (-F.col("doc_start")).alias("early"))).alias("best")
     return (
-        _verify(rows, min_overlap, min_share)
+        _verify(rows, min_overlap, min_share, min(map(len, masks)))
         .groupBy("doc_id", "item_id")
         .agg(best)
         .select(
