@@ -5,19 +5,20 @@ over target texts, one over all raw texts. A text's log importance is the sum ov
 n-grams of the log ratio of the models; adding Gumbel noise drawn from a hash of its id
 and keeping the ``k`` greatest samples without replacement in proportion to importance.
 
-The raw model covers every text. The target model is fitted on at most ``max_target``
-labelled texts, chosen by a hash of their id, so their ids may be broadcast and no text
-is shuffled; with fewer labels all are used.
+Both models cover every text of theirs. A bitmap of 16 slots a target id (128 MiB at
+most) tells which rows may be targets, so no text is shuffled to be counted. The few
+rows whose id only shares a slot are found by a join of ids, counted in a second pass
+that shuffles no other texts, and subtracted: the counts are exact.
 
 How it scales: counting emits at most ``buckets`` partial sums a task and merges them
 with map-side combine, so what reaches the driver is two vectors of fixed size, while
 counts cover every text. The k-th greatest value is found exactly by histograms of
-fixed size (a few narrow passes), not by sorting all rows in one place; ``k`` grows
-with the input.
+fixed size (a few narrow passes), not by sorting all rows in one place; ties are
+settled by further columns in the same way; ``k`` grows with the input.
 
 Defined results: null text counts as empty; a text without words has log importance 0;
-equal values are ordered by id (null last), then by a row number; repeated rows are
-sampled row by row; without target texts all importances are 0 and the sample is
+equal values are ordered by id (null last), then by a row number; rows that share a
+target's id all count as target, a null id never does; repeated rows are sampled row by row; without target texts all importances are 0 and the sample is
 uniform; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -28,15 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialize, small_batches, text_or_empty
+from .common import bitmap_bits, discard, fresh_name, materialize, small_batches, text_or_empty
+from .exact_dedup import group_bitmap, mark_members
 from .shingles import Shingler
 
 BUCKETS = 10_000
-#: Bound of the labelled sample that the target model is fitted on.
-MAX_TARGET = 50_000
 SHARE = 0.8
 SMOOTHING = 1.0
 SEED = 17
@@ -103,18 +103,9 @@ def _scored(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_importance double")
 
 
-def top_k(rows: DataFrame, value: str, k: int, tie: list[str]) -> DataFrame:
-    """The ``k`` rows with the greatest ``value``, ties by ``tie``; exact.
-
-    Histograms of ``HISTOGRAM`` bins close in on the k-th value until one bin's rows
-    are few or all equal; only that bin's remainder is ranked.
-    """
-    span = rows.agg(F.min(value), F.max(value), F.count("*")).first()
-    low, high, n = span
-    if k >= n:
-        return rows
-    if k <= 0:
-        return rows.limit(0)
+def _narrowed(rows: DataFrame, value: str, k: int) -> tuple[DataFrame, DataFrame, int, bool]:
+    """(rows surely among the k greatest, rows of which some are, how many of those, whether they are all equal)."""
+    low, high = rows.agg(F.min(value), F.max(value)).first()
     above = 0
     while True:
         inside = rows.filter((F.col(value) >= low) & (F.col(value) <= high))
@@ -135,9 +126,55 @@ def top_k(rows: DataFrame, value: str, k: int, tie: list[str]) -> DataFrame:
         low, high = narrowed
         if done:
             break
-    sure = rows.filter(F.col(value) > high)
-    edge = rows.filter((F.col(value) >= low) & (F.col(value) <= high)).orderBy(F.desc(value), *[F.col(c).asc_nulls_last() for c in tie])
-    return sure.unionByName(edge.limit(k - above))
+    return rows.filter(F.col(value) > high), rows.filter((F.col(value) >= low) & (F.col(value) <= high)), k - above, low == high
+
+
+def top_k(rows: DataFrame, value: str, k: int, tie: list[str]) -> DataFrame:
+    """The ``k`` rows with the greatest ``value``, ties by ``tie`` (least first, null last); exact.
+
+    Histograms of ``HISTOGRAM`` bins close in on the k-th value until one bin's rows are
+    few or all equal. Few are ranked; equal ones are narrowed by the next tie column, so
+    no sort holds more than a bin. Rows that agree in every column are interchangeable.
+    """
+    n = rows.count()
+    if k >= n:
+        return rows
+    if k <= 0:
+        return rows.limit(0)
+    sure, edge, wanted, equal = _narrowed(rows, value, k)
+    if not equal or not tie:
+        order = [F.desc(value), *[F.col(c).asc_nulls_last() for c in tie]]
+        return sure.unionByName(edge.orderBy(*order).limit(wanted))
+    column, *rest = tie
+    known, unknown = edge.filter(F.col(column).isNotNull()), edge.filter(F.col(column).isNull())
+    n_known, rank = known.count(), fresh_name("rank_by", rows)
+    if wanted > n_known:
+        chosen = known.unionByName(top_k(unknown.withColumn(rank, F.lit(0)), rank, wanted - n_known, rest).drop(rank))
+    else:
+        chosen = top_k(known.withColumn(rank, -F.col(column)), rank, wanted, rest).drop(rank)
+    return sure.unionByName(chosen)
+
+
+def target_counts(source: DataFrame, wanted: DataFrame, buckets: int) -> np.ndarray:
+    """Counts over source (doc_id, text): row 0 for all texts, row 1 for those whose id is in ``wanted`` (doc_id)."""
+
+    def slot(bits: int) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + F.lit(1)
+
+    def marked(ids: DataFrame, bits: int) -> DataFrame:
+        bitmap = materialize(group_bitmap(ids, slot(bits)), "resample-bitmap")
+        return mark_members(source, bitmap, slot(bits), "is_target").withColumn("is_target", F.col("is_target") & F.col("doc_id").isNotNull())
+
+    bits = bitmap_bits(wanted.count())
+    maybe = marked(wanted, bits)
+    counts = count_buckets(maybe, buckets)
+    wrong = materialize(maybe.filter("is_target").select("doc_id").distinct().join(wanted, "doc_id", "left_anti"), "resample-wrong")
+    n_wrong = wrong.count()
+    if n_wrong:
+        doubtful = marked(wrong, bitmap_bits(n_wrong)).filter("is_target").join(wrong, "doc_id", "left_semi")
+        counts[1] -= count_buckets(doubtful, buckets)[0]
+    discard(wrong)
+    return counts
 
 
 def importance_sample(
@@ -147,7 +184,6 @@ def importance_sample(
     buckets: int = BUCKETS,
     seed: int = SEED,
     smoothing: float = SMOOTHING,
-    max_target: int = MAX_TARGET,
 ) -> DataFrame:
     """``share`` of the rows of docs (doc_id, text): doc_id, log_importance, sample_key.
 
@@ -156,14 +192,13 @@ def importance_sample(
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
     wanted = target.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
     wanted = materialize(wanted, "resample-labels")
-    sample = materialize(bounded_sample(wanted, "doc_id", max_target, str(seed)), "resample-target")
-    is_target = sample.withColumn("is_target", F.lit(True))
-    marked = source.join(F.broadcast(is_target), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    ratio = log_ratio(count_buckets(marked, buckets), smoothing)
+    ratio = log_ratio(target_counts(source, wanted, buckets), smoothing)
+    discard(wanted)
 
     scored = materialize(_scored(source, ratio).withColumn("row_no", F.monotonically_increasing_id()), "resample-scores")
     # uniform in (0, 1) from 53 bits of a hash of the id
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     keyed = materialize(scored.withColumn("sample_key", F.col("log_importance") - F.log(-F.log(uniform))), "resample-keys")
+    discard(scored)
     chosen = top_k(keyed, "sample_key", round(share * keyed.count()), ["doc_id", "row_no"])
     return chosen.select("doc_id", "log_importance", "sample_key")
