@@ -14,7 +14,10 @@ fitted to the same rows.
 How it scales: fitting uses at most ``max_toxic`` + ``max_clean`` labelled rows,
 chosen by a hash of their id, so the ids that are broadcast and the counts that reach
 the driver are bounded by parameters whatever the input; with fewer labels all are
-used. Of near copies in this sample one is kept. Scoring is one pass over all texts by Arrow batches; nothing is shuffled.
+used. Of near copies in this sample the one with the least id speaks (of rows with one
+id that whose text has the least hash), so a repeated fit gives the same lexicon. Every
+candidate entry that enough sampled texts hold is tried. Scoring is one pass over all
+texts by Arrow batches; nothing is shuffled.
 
 Defined results: null text counts as empty; an empty text gets the score of a text
 without hits; null or repeated ids and rows are scored as they are; without usable
@@ -47,9 +50,8 @@ STEMS = (4, 5, 6)
 MIN_SHARE = 0.002
 MIN_DOCS = 3
 MIN_WEIGHT = 2.0
-MAX_ENTRIES = 20000
 #: Likelihood ratio that an entry needs, in logarithms of the number of candidates.
-EVIDENCE = 1.5
+EVIDENCE = 2.0
 BLOCK_AT = 0.7
 
 # Base lexicon and harmless phrases, used with the learned ones.
@@ -79,7 +81,9 @@ def folded_words(text: str) -> list[str]:
     if "­" in text:
         text = text.replace("­", "")
     if _DIGIT.search(text):
-        text = _SIGN.sub(lambda m: m[0].translate(SIGNS), text)
+        undone = _SIGN.sub(lambda m: m[0].translate(SIGNS), text)
+        # a sign at an edge may stand beside a sign that is a letter only now
+        text = undone if undone == text else _SIGN.sub(lambda m: m[0].translate(SIGNS), undone)
     if _has_triples(text):
         text = _STRETCHED.sub(r"\1", text)
     return _WORD.findall(text)
@@ -166,8 +170,9 @@ def _labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_cle
     for value, most in ((1, max_toxic), (0, max_clean)):
         part = bounded_sample(known.filter(F.col("toxic") == value), "doc_id", most, "toxicity")
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    return _with_sketch(sample).dropDuplicates(["toxic", "sketch"]).select("text", "toxic")
+    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic", F.col("doc_id").cast("long").alias("doc_id"))
+    speaker = F.min_by("text", F.struct("doc_id", F.xxhash64("text"))).alias("text")
+    return _with_sketch(sample).groupBy("toxic", "sketch").agg(speaker).select("text", "toxic")
 
 
 def _with_sketch(sample: DataFrame) -> DataFrame:
@@ -178,9 +183,11 @@ def _with_sketch(sample: DataFrame) -> DataFrame:
         for batch in batches:
             lows = [s[0] if len(s) else 0 for s in map(shingler.distinct, batch.column(0).to_pylist())]
             sketch = pa.array(np.array(lows, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, sketch], names=["text", "toxic", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, sketch], names=["text", "toxic", "doc_id", "sketch"])
 
-    return sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "text string, toxic int, sketch long")
+    return sample.select("text", F.col("toxic").cast("int").alias("toxic"), "doc_id").mapInArrow(
+        run, "text string, toxic int, doc_id long, sketch long"
+    )
 
 
 def _count(sample: DataFrame, find) -> DataFrame:
@@ -330,7 +337,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     least = max(MIN_DOCS, MIN_SHARE * n_toxic)
     seen = materialize(_count(sample.filter("toxic = 1"), lambda: lambda words: _candidates(set(words))), "tox-candidates")
     n_tried = seen.count()
-    common = seen.filter(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(MAX_ENTRIES).select("entry").collect()
+    common = seen.filter(F.col("n") >= least).select("entry").collect()
     counts = _by_entry(_count(sample, _known_entries([r["entry"] for r in common] + list(base))).collect())
     weights = choose_entries(counts, n_clean, n_toxic, n_tried)
     for entry in base:  # listed words count unless labelled texts speak against them
