@@ -1,4 +1,9 @@
-"""Connected components by alternating large-star and small-star."""
+"""Connected components by alternating large-star and small-star.
+
+Defined results: an edge with a null end joins nothing and is ignored; a node whose
+only edge is to itself is its own component; repeated and reversed edges count once;
+extra columns are ignored; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -39,7 +44,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def mark(rows: DataFrame):
         return rows.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
 
-    current = materialize(tidy(edges.select("a", "b")), "cc-edges")
+    edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    alone = edges.filter("a = b").select(F.col("a").alias("node")).distinct()
+    current = materialize(tidy(edges), "cc-edges")
     before = mark(current)
     for _ in range(max_rounds):
         moved, least = _large_star(current)
@@ -57,4 +64,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     # at the fixed point every edge leads from a node to its component's least node
     ends = current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return ends.unionByName(roots)
+    linked = ends.unionByName(roots)
+    return linked.unionByName(alone.join(linked, "node", "left_anti").select("node", F.col("node").alias("component")))

@@ -58,9 +58,11 @@ _LONG_SPACE = re.compile(r"\s{2000}")
 class Encoder:
     """Token ids of the byte-level BPE in ``json_path``.
 
-    ``rank_path`` may name the same vocabulary as ranks; it is then used for all
-    texts but those where the two libraries differ: texts that spell a special
-    token, and runs of white space beyond the other library's stack.
+    ``rank_path`` may name the same vocabulary as ranks, for a faster library that
+    gives the same ids: both cut a text by the same pattern and merge bytes by the same
+    ranks (the tests compare them on all documents and on hostile texts). They differ
+    on texts that spell a special token, and on runs of white space beyond the other
+    library's stack, so these go through ``json_path`` itself.
     """
 
     def __init__(self, json_path: str, rank_path: str | None = None):

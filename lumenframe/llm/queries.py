@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat as _chat
 from . import decontaminate as _decontaminate
@@ -65,13 +66,13 @@ URL_RULES = [
     _url.Rule("allow", "com", "/fr/"),
     _url.Rule("block", "com", "/de/"),
 ]
-#: Host terms whose pages make up the list of the registered query.
-LISTED_TERMS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "track", "warez", "xxx")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds the canonical URLs of the pages whose numbers reviewers labelled as toxic."""
     pages = read_table(spark, sf_dir, "pages")
-    return _url.judge_urls(pages, _url.listed_by_terms(pages, LISTED_TERMS), URL_RULES)
+    reported = read_table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    return _url.judge_urls(pages, _url.listed_by_ids(pages, reported), URL_RULES)
 
 
 def op6_chat_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:

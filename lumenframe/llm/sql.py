@@ -31,8 +31,7 @@ judged AS (
               WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
   FROM parts),
 listed AS (
-  SELECT DISTINCT canonical FROM judged
-  WHERE regexp_matches(host, '(?:^|[.-])(?:ads|adult|bets|casino|pills|porn|spam|track|warez|xxx)(?:[.-]|$)'))
+  SELECT DISTINCT canonical FROM judged WHERE page_id IN (SELECT doc_id FROM labels WHERE toxic = 1))
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
             WHEN rule IS NOT NULL THEN 'block'
@@ -44,7 +43,7 @@ FROM judged
 CHAT = r"""
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, md5(coalesce(role, '') || chr(10) || coalesce(text, ''))) - 1 AS pos
   FROM conversations),
 p AS (
   SELECT conv_id, pos + 1 AS length,
@@ -71,6 +70,8 @@ def _urn(key: str) -> str:
 
 
 _BLOCK_TAG = r"(?i)<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title)|br)(?:[ \t\r\n/][^>]*)?>"
+_UNSEEN = "script style noscript template textarea select iframe object svg math canvas audio video".split()
+_UNSEEN_PART = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{t}(?:[\s/][^>]*)?>.*?(?:</{t}\s*>|\z)" for t in _UNSEEN)
 _CRLF = "chr(13) || chr(10)"
 
 WARC = rf"""
@@ -79,11 +80,11 @@ WITH r AS (
          {_urn("coalesce(page_id::VARCHAR, '') || ' ' || coalesce(url, '')")} AS refers_to FROM pages),
 a AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(payload,
-      '(?is)<!--.*?-->|<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'),
+      '{_UNSEEN_PART}', ' ', 'g'),
       '{_BLOCK_TAG}', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM r),
 b AS (
-  SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
-      '&quot;', chr(34)), '&#39;', chr(39)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS u FROM a),
+  SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'),
+      '&quot;', chr(34)), '&#39;', chr(39)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'), chr(160), ' ') AS u FROM a),
 c AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(u, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'),
       '^[ \n]+|[ \n]+$', '', 'g') AS text,
@@ -93,8 +94,9 @@ c AS (
     {_urn("'conversion ' || refers_to")} AS conversion_id,
     {_urn("'metadata ' || refers_to")} AS metadata_id FROM b),
 d AS (
-  SELECT *, 'source-status: 200' || {_CRLF} || 'source-content-type: text/html; charset=utf-8' || {_CRLF}
-    || 'source-content-length: ' || strlen(payload) || {_CRLF}
+  SELECT *, 'source-status: 200' || {_CRLF} || 'source-http-Content-Type: text/html; charset=utf-8' || {_CRLF}
+    || 'source-http-Content-Length: ' || strlen(payload) || {_CRLF}
+    || 'source-payload-length: ' || strlen(payload) || {_CRLF}
     || 'source-payload-digest: ' || source_payload_digest || {_CRLF}
     || 'source-block-digest: ' || source_block_digest || {_CRLF}
     || 'conversion-record-id: ' || conversion_id || {_CRLF}

@@ -109,3 +109,12 @@ def test_components(spark):
     assert {found[k] for k in range(41)} == {0} and {found[k] for k in (100, 200, 300)} == {100} and {found[500 + k] for k in range(51)} == {500}
     assert len(found) == 41 + 3 + 51
     assert connected_components(edges.filter(F.lit(False))).count() == 0
+
+
+def test_components_with_null_ends_and_self_loops(spark):
+    from lumenframe.llm.components import connected_components
+
+    rows = [(1, 2), (2, 1), (1, 2), (5, 5), (None, 7), (8, None), (2, 3), (3, 3), (9, 10)]
+    edges = spark.createDataFrame([(*r, "x", 0) for r in rows], "a long, b long, node string, u int")
+    assert {(r.node, r.component) for r in connected_components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (9, 9), (10, 9)}
+    assert connected_components(edges.limit(0)).count() == 0

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -73,3 +74,12 @@ def test_evolution_never_loses_or_doubles(seed):
     child = P.crossover(bins, P._built([], list(range(300)), lengths, 1024)[1], lengths, 1024, rng)[1]
     assert sorted(i for b in child for i in b) == list(range(300))
     assert P._decode_bins(P._encode_bins(bins, 300)) and len(P._decode_bins(P._encode_bins(bins, 300))) == n_bins
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables are absent")
+def test_encoder_agrees_on_all_documents():
+    import pyarrow.parquet as pq
+
+    fast, exact = P.Encoder(JSON, RANKS), P.Encoder(JSON)
+    for text in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist():
+        assert fast.ids(text or "") == exact.ids(text or "")
