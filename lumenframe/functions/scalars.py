@@ -28,6 +28,27 @@ def bare_extension(path: Column) -> Column:
     return F.when(F.instr(path, ".") > 0, F.lower(F.substring_index(path, ".", -1)))
 
 
+def normalized_path(path: Column) -> Column:
+    """Path without empty and ``.`` parts; a scheme and a leading slash stay. Paths without such parts are only looked at."""
+    scheme = F.regexp_extract(path, r"^[A-Za-z][A-Za-z0-9+.-]*:/*", 0)
+    rest = F.substring(path, F.length(scheme) + 1, F.length(path))
+    root = F.when(rest.startswith("/"), "/").otherwise("")
+    parts = F.filter(F.split(rest, "/"), lambda x: (x != "") & (x != "."))
+    return F.when(path.rlike(r"//|/\.(?:/|$)|^\./|.+/$"), F.concat(scheme, root, F.array_join(parts, "/"))).otherwise(path)
+
+
+def resolved_path(path: Column) -> Column:
+    """Normalised path whose ``..`` parts are undone with the part before them."""
+    clean = normalized_path(path)
+    scheme = F.regexp_extract(clean, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:/*|/)", 0)
+    parts = F.split(F.substring(clean, F.length(scheme) + 1, F.length(clean)), "/")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(
+        parts, none, lambda got, x: F.when(x == "..", F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(0)))).otherwise(F.array_append(got, x))
+    )
+    return F.when(clean.rlike(r"(?:^|/)\.\.(?:/|$)"), F.concat(scheme, F.array_join(kept, "/"))).otherwise(clean)
+
+
 def has_extension(path: Column, extensions: tuple[str, ...]) -> Column:
     return F.coalesce(extension(path).isin(*extensions), F.lit(False))
 
@@ -68,6 +89,11 @@ def is_blank(value: Column) -> Column:
     return value.isNull() | (F.trim(value) == "")
 
 
+def is_empty(value: Column) -> Column:
+    """Null or the empty string; blanks count as a value."""
+    return value.isNull() | (value == "")
+
+
 def is_empty_array(value: Column) -> Column:
     return F.coalesce(F.size(value) == 0, F.lit(True))
 
@@ -104,3 +130,17 @@ def uniform(seed: int, *keys: Column) -> Column:
         key = F.pmod(key.cast("long"), F.lit(2147483648))
         state = F.pmod((state + key) * F.lit(1103515245) + F.lit(12345), F.lit(2147483648))
     return state / F.lit(2147483648.0)
+
+
+def value_range(value: Column) -> Column:
+    """A non-decreasing whole number of a numeric value: its power of two and the seven bits after it.
+
+    Each power of two is dealt to 128 ranges, so consecutive numbers, hashes and prices
+    alike spread over many ranges without a look at the data. Null stays null.
+    """
+    v = value.cast("double")
+    size = F.abs(v)
+    power = F.floor(F.log2(size))
+    place = F.floor(size / F.pow(F.lit(2.0), power - 7))
+    ranged = (power + 1100) * 1024 + place
+    return F.when(v > 0, ranged).when(v < 0, -ranged).when(v == 0, F.lit(0).cast("long"))

@@ -189,23 +189,26 @@ def duplicate_pairs(boxes: DataFrame) -> DataFrame:
     return a.join(b, ["seq", "xc", "yc", "w", "h"]).filter("i < j").select("seq", "i", "j")
 
 
-#: Images with more objects than this are joined cell by cell.
+#: Images with more objects than this are joined cell by cell, with about so many objects a cell, and so many cells a side at most.
 CROWDED = 64
+PER_CELL = 8
+MOST_CELLS = 256
 
 
-def overlapping_pairs(boxes: DataFrame, threshold: float, cells: int = 8) -> DataFrame:
+def overlapping_pairs(boxes: DataFrame, threshold: float) -> DataFrame:
     """Pairs of one image's objects whose overlap reaches ``threshold`` (seq, i, j, overlap).
 
     Boxes are corners x1, y1, x2, y2 in frame units. In a crowded image each box is
-    dealt to the grid cells it touches, and a pair is taken in the cell where its
-    intersection begins; other images are one cell.
+    dealt to the cells it touches of a grid as fine as its objects are many, and a pair
+    is taken in the cell where its intersection begins; other images are one cell.
     """
     grid = F.col("cells")
 
     def cell(value: Column) -> Column:
         return F.greatest(F.lit(0), F.least(grid - 1, F.floor(value * grid).cast("int")))
 
-    sizes = object_counts(boxes).select("seq", F.when(F.col("n_objects") > CROWDED, cells).otherwise(1).alias("cells"))
+    side_cells = F.least(F.lit(MOST_CELLS), F.ceil(F.sqrt(F.col("n_objects") / PER_CELL)).cast("int"))
+    sizes = object_counts(boxes).select("seq", F.when(F.col("n_objects") > CROWDED, side_cells).otherwise(1).alias("cells"))
     dealt = (
         boxes.filter("x2 > x1 AND y2 > y1")
         .join(sizes, "seq")
@@ -227,8 +230,3 @@ def overlapping_pairs(boxes: DataFrame, threshold: float, cells: int = 8) -> Dat
     overlap = F.col("shared") / (F.col("sizes") - F.col("shared"))
     return shared.filter(overlap >= threshold).select("seq", "i", "j", overlap.alias("overlap"))
 
-
-def numbered(rows: DataFrame, order: list[Column], name: str, window_key: Column | None = None) -> DataFrame:
-    """Consecutive numbers from 1 in the given order within ``window_key``."""
-    window = Window.partitionBy(window_key) if window_key is not None else Window.partitionBy()
-    return rows.withColumn(name, F.row_number().over(window.orderBy(*order)))

@@ -119,8 +119,9 @@ def relabel(boxes: DataFrame) -> DataFrame:
 
 
 def issue_ids(issues: DataFrame, prefix: str = "VAL") -> DataFrame:
-    """Issue ids in rule order: stage, image, rule, object."""
-    numbered = global_number(issues, ["stage", "seq", "rule_no", "object_index"], "_no", F.col("stage"))
+    """Issue ids in rule order: stage, image, rule, object; ranked within ranges of (stage, image)."""
+    ranges = F.col("stage").cast("long") * F.lit(1 << 32) + F.coalesce(S.value_range(F.col("seq")), F.lit(-(1 << 31)))
+    numbered = global_number(issues, ["stage", "seq", "rule_no", "object_index"], "_no", ranges)
     return numbered.withColumn("issue_id", F.format_string(f"{prefix}-%06d", F.col("_no"))).drop("_no")
 
 

@@ -7,9 +7,11 @@ however many rules it has. Conditions are two-valued: null does not fire.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions import geometry as G
@@ -32,6 +34,18 @@ class Rule:
     condition: Column
     message: str
     needs: tuple[str, ...] = ()
+    advice: str = ""
+
+
+#: Columns of issue rows.
+ISSUE_COLUMNS = (
+    "engine", "stage", "rule_no", "rule_id", "severity", "category", "message", "recommendation", "dataset", "seq", "image_path", "object_index",
+)
+ISSUE_SCHEMA = (
+    "engine string, stage int, rule_no int, rule_id string, severity string, category string, message string, recommendation string, "
+    "dataset string, seq long, image_path string, object_index int"
+)
+CATEGORIES = ("DATASET", "IMAGE", "OBJECT", "BOUNDING_BOX", "DUPLICATE", "METADATA")
 
 
 def usable(rules: list[Rule], rows: DataFrame) -> list[Rule]:
@@ -40,7 +54,7 @@ def usable(rules: list[Rule], rows: DataFrame) -> list[Rule]:
 
 
 def apply(rows: DataFrame, rules: list[Rule], engine: str, object_index: Column | None = None) -> DataFrame:
-    """Issues (engine, stage, rule_no, rule_id, severity, category, dataset, seq, image_path, object_index, message)."""
+    """Issue rows (``ISSUE_COLUMNS``) of all rules on rows with dataset, seq and image_path."""
     fired = [
         F.when(
             S.is_true(r.condition),
@@ -51,15 +65,81 @@ def apply(rows: DataFrame, rules: list[Rule], engine: str, object_index: Column
                 F.lit(r.severity).alias("severity"),
                 F.lit(r.category).alias("category"),
                 F.lit(r.message).alias("message"),
+                F.lit(r.advice).alias("recommendation"),
             ),
         )
         for k, r in enumerate(usable(rules, rows))
     ]
+    kind = "array<struct<stage: int, rule_no: int, rule_id: string, severity: string, category: string, message: string, recommendation: string>>"
     index = F.lit(-1) if object_index is None else object_index
     issue = rows.select(
-        "dataset", "seq", "image_path", index.cast("int").alias("object_index"), F.explode(F.array_compact(F.array(*fired))).alias("i")
+        "dataset", F.col("seq").cast("long").alias("seq"), "image_path", index.cast("int").alias("object_index"), F.explode(F.array_compact(F.array(*fired)).cast(kind)).alias("i")
     )
-    return issue.select(F.lit(engine).alias("engine"), "i.*", "dataset", "seq", "image_path", "object_index")
+    return issue.select(F.lit(engine).alias("engine"), "i.*", "dataset", "seq", "image_path", "object_index").select(*ISSUE_COLUMNS)
+
+
+def of_whole(facts: DataFrame) -> DataFrame:
+    """One row of facts about a whole dataset, with the columns that issues name (all null)."""
+    return facts.withColumns({"dataset": F.lit(None).cast("string"), "seq": F.lit(None).cast("long"), "image_path": F.lit(None).cast("string")})
+
+
+def new_issues(spark: SparkSession, *issues: dict) -> DataFrame:
+    """Issue rows from dictionaries; what they lack is null, an issue of None is left out."""
+    given = [i for i in issues if i is not None]
+    unknown = {k for i in given for k in i} - set(ISSUE_COLUMNS)
+    if unknown:
+        raise KeyError(f"unknown fields: {sorted(unknown)}")
+    return spark.createDataFrame([tuple(i.get(c) for c in ISSUE_COLUMNS) for i in given], ISSUE_SCHEMA)
+
+
+def exception_issue(spark: SparkSession, category: str, rule_name: str, message: str, dataset: str | None = None, image_path: str | None = None) -> DataFrame:
+    """The issue that stands for a check that raised; unknown categories are UNKNOWN."""
+    known = {"BBOX": "BOUNDING_BOX"}.get(category.upper(), category.upper())
+    known = known if known in CATEGORIES else "UNKNOWN"
+    stage = {"DATASET": 1, "IMAGE": 2, "OBJECT": 3, "BOUNDING_BOX": 4}.get(known, 0)
+    return new_issues(
+        spark,
+        dict(
+            engine="v2", stage=stage, rule_no=-1, rule_id=str(uuid.uuid4()), severity=ERROR, category=known, message=f"{rule_name}: {message}",
+            recommendation="look at the check that raised", dataset=dataset, image_path=image_path, object_index=-1,
+        ),
+    )
+
+
+def guarded(spark: SparkSession, category: str, rule_name: str, check: Callable[[], DataFrame]) -> DataFrame:
+    """The issues of a check, or one issue that says why it could not be planned."""
+    try:
+        return check()
+    except Exception as error:  # a check that fails is itself a finding
+        return exception_issue(spark, category, rule_name, str(error).split("\n")[0])
+
+
+def until_error(stages: list[DataFrame]) -> DataFrame:
+    """Issues of the stages up to the first one with an error (one look at each stage for whether it has any)."""
+    found = stages[0]
+    for before, stage in zip(stages, stages[1:]):
+        if not before.filter(F.col("severity").isin(ERROR, CRITICAL)).isEmpty():
+            break
+        found = found.unionByName(stage)
+    return found
+
+
+def issue_json(issues: DataFrame) -> DataFrame:
+    """One JSON text for each issue, its fields in order, nulls left out (column ``issue``)."""
+    return issues.select(F.to_json(F.struct(*ISSUE_COLUMNS)).alias("issue"))
+
+
+def issues_from_json(texts: DataFrame, column: str = "issue") -> DataFrame:
+    """Issue rows from their JSON texts; fields that a text lacks are null."""
+    return texts.select(F.from_json(column, ISSUE_SCHEMA).alias("i")).select("i.*")
+
+
+def by_severity(issues: DataFrame, severity: str) -> DataFrame:
+    return issues.filter(F.col("severity") == severity)
+
+
+def by_category(issues: DataFrame, category: str) -> DataFrame:
+    return issues.filter(F.col("category") == category)
 
 
 def list_rules(rules: list[Rule]) -> list[tuple[str, str, str]]:
@@ -69,19 +149,37 @@ def list_rules(rules: list[Rule]) -> list[tuple[str, str, str]]:
 
 # -- first engine ------------------------------------------------------------
 
+# Severities, categories and bounds of both engines' checks; DS, IMG, OBJ and BOX ids of the second.
+
+
+def v1_dataset_rules() -> list[Rule]:
+    """Checks of a whole dataset, on its n_images and n_objects (both null without a dataset)."""
+    n_images, n_objects = F.col("n_images"), F.col("n_objects")
+    return [
+        Rule("V1-DS-NONE", "dataset", ERROR, "DATASET", n_images.isNull(), "there is no dataset", advice="give a dataset"),
+        Rule("V1-DS-NONAME", "dataset", WARNING, "DATASET", n_images == 0, "no source dataset is known", advice="add images with their dataset"),
+        Rule("V1-DS-NOIMAGES", "dataset", WARNING, "DATASET", n_images == 0, "dataset has no images", advice="add images"),
+        Rule("V1-DS-NOCLASSES", "dataset", WARNING, "DATASET", n_images.isNotNull() & (n_objects == 0), "dataset has no classes", advice="check that annotations were parsed"),
+    ]
+
 
 def v1_image_rules() -> list[Rule]:
     path, width, height = F.col("image_path"), F.col("width"), F.col("height")
+    dataset = F.col("dataset")
+    no_path, no_size = S.is_empty(path), width.isNull() | height.isNull()
     return [
-        Rule("V1-IMG-PATH", "image", ERROR, "IMAGE", S.is_blank(path), "image path is missing"),
-        Rule("V1-IMG-DUP", "image", WARNING, "IMAGE", F.col("is_repeat"), "image path repeats an earlier one", ("is_repeat",)),
-        Rule("V1-IMG-EXT", "image", WARNING, "IMAGE", ~S.has_extension(path, IMAGE_EXTENSIONS), "unsupported file suffix"),
-        Rule("V1-IMG-NOSIZE", "image", WARNING, "IMAGE", width.isNull() | height.isNull(), "image size is unknown"),
-        Rule("V1-IMG-SIZE", "image", ERROR, "IMAGE", (width <= 0) | (height <= 0), "image size is not positive"),
-        Rule("V1-IMG-ID", "image", WARNING, "METADATA", S.is_blank(F.col("image_id")), "image id is missing"),
-        Rule("V1-IMG-DATASET", "image", WARNING, "METADATA", S.is_blank(F.col("dataset")), "dataset name is missing"),
-        Rule("V1-IMG-EMPTY", "image", WARNING, "OBJECT", F.col("n_objects") == 0, "image has no objects", ("n_objects",)),
-    ]
+        Rule("V1-IMG-PATH", "image", ERROR, "IMAGE", no_path, "image path is missing", advice="set the image path"),
+        Rule("V1-IMG-FILE", "image", ERROR, "IMAGE", ~no_path & ~F.col("file_found"), "image file is missing", ("file_found",), "check where the file is"),
+        Rule("V1-IMG-DUPFILE", "image", WARNING, "IMAGE", ~no_path & F.col("is_repeat"), "image file repeats an earlier one", ("is_repeat",), "remove or rename the copy"),
+        Rule("V1-IMG-EXT", "image", WARNING, "IMAGE", ~no_path & ~S.has_extension(path, IMAGE_EXTENSIONS), "unsupported file suffix", advice="convert the image"),
+        Rule("V1-IMG-NOSIZE", "image", WARNING, "IMAGE", no_size, "image size is unknown", advice="set width and height"),
+        Rule("V1-IMG-SIZE", "image", ERROR, "IMAGE", ~no_size & ((width <= 0) | (height <= 0)), "image size is not positive", advice="sizes must be greater than 0"),
+        Rule("V1-IMG-ID", "image", WARNING, "IMAGE", S.is_empty(F.col("image_id")), "image id is missing", advice="set the image id"),
+        Rule("V1-IMG-NODATASET", "image", WARNING, "IMAGE", S.is_empty(dataset), "dataset name is missing", advice="set the dataset"),
+        Rule("V1-IMG-DATASET", "image", WARNING, "IMAGE", S.is_blank(dataset), "image belongs to no dataset", advice="set the dataset"),
+        Rule("V1-IMG-EMPTY", "image", WARNING, "IMAGE", F.col("n_objects") == 0, "image has no objects", ("n_objects",), "check its annotation"),
+        Rule("V1-IMG-DUPPATH", "image", WARNING, "IMAGE", ~no_path & F.col("is_path_repeat"), "image path repeats an earlier one", ("is_path_repeat",), "remove the second reference"),
+    ]
 
 
 def v1_object_rules() -> list[Rule]:
@@ -89,22 +187,23 @@ def v1_object_rules() -> list[Rule]:
     absent = sides[0].isNull() | sides[1].isNull() | sides[2].isNull() | sides[3].isNull()
     class_id = F.col("class_id")
     return [
-        Rule("V1-OBJ-NAME", "object", WARNING, "CLASS", S.is_blank(F.col("class_name")), "class name is missing"),
-        Rule("V1-OBJ-ID", "object", ERROR, "CLASS", class_id.isNull() | (class_id < 0), "class id is missing or negative"),
-        Rule("V1-OBJ-BOX", "object", ERROR, "BOUNDING_BOX", absent, "a box field is missing"),
-    ]
+        Rule("V1-OBJ-NAME", "object", WARNING, "OBJECT", S.is_empty(F.col("class_name")), "class name is missing", advice="set the class name"),
+        Rule("V1-OBJ-ID", "object", ERROR, "OBJECT", class_id.isNull() | (class_id < 0), "class id is missing or negative", advice="class ids start at 0"),
+        Rule("V1-OBJ-DUP", "object", WARNING, "OBJECT", F.col("object_id").isNotNull() & F.col("is_id_repeat"), "object id repeats an earlier one", ("object_id", "is_id_repeat"), "ids must be unique"),
+        Rule("V1-OBJ-BOX", "object", ERROR, "BOUNDING_BOX", absent, "a box field is missing", advice="set all four fields"),
+    ]
 
 
 def v1_box_rules() -> list[Rule]:
     rules = [
-        Rule(f"V1-BOX-{c.upper()}", "box", ERROR, "BOUNDING_BOX", ~S.is_normalized(F.col(c)), f"{c} is not within 0 and 1")
+        Rule(f"V1-BOX-{c.upper()}", "box", ERROR, "BOUNDING_BOX", ~S.is_normalized(F.col(c)), f"{c} is not within 0 and 1", advice="normalise the box")
         for c in ("xc", "yc", "w", "h")
     ]
     return rules + [
-        Rule("V1-BOX-W0", "box", ERROR, "BOUNDING_BOX", F.col("w") <= 0, "width is not positive"),
-        Rule("V1-BOX-H0", "box", ERROR, "BOUNDING_BOX", F.col("h") <= 0, "height is not positive"),
-        Rule("V1-BOX-CONF", "box", WARNING, "CONFIDENCE", ~F.col("confidence").between(0.0, 1.0), "confidence is not within 0 and 1"),
-    ]
+        Rule("V1-BOX-W0", "box", ERROR, "BOUNDING_BOX", F.col("w") <= 0, "width is not positive", advice="widths must be greater than 0"),
+        Rule("V1-BOX-H0", "box", ERROR, "BOUNDING_BOX", F.col("h") <= 0, "height is not positive", advice="heights must be greater than 0"),
+        Rule("V1-BOX-CONF", "box", WARNING, "BOUNDING_BOX", ~F.col("confidence").between(0.0, 1.0), "confidence is not within 0 and 1", advice="confidences lie between 0 and 1"),
+    ]
 
 
 def _boxes_of_images(images: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -112,26 +211,36 @@ def _boxes_of_images(images: DataFrame, boxes: DataFrame) -> DataFrame:
     return boxes.join(images.select("seq", "dataset", "image_path", "width", "height"), "seq")
 
 
-def v1_issues(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    counted = R.first_seen(with_object_counts(images, boxes), [F.lower("image_path")], ["seq"])
+def v1_dataset_issues(images: DataFrame | None, boxes: DataFrame) -> DataFrame:
+    """Issues of the whole dataset; ``images`` is None where there is no dataset."""
+    spark = boxes.sparkSession
+    if images is None:
+        facts = spark.createDataFrame([(None, 0)], "n_images long, n_objects long")
+    else:
+        facts = images.agg(F.count("*").alias("n_images")).crossJoin(boxes.agg(F.count("*").alias("n_objects")))  # one row each
+    return apply(of_whole(facts), v1_dataset_rules(), "v1")
+
+
+def v1_stages(images: DataFrame | None, boxes: DataFrame) -> list[DataFrame]:
+    """Issues of the first engine, stage by stage: dataset, images, objects and boxes.
+
+    Files and paths repeat without regard to case; the second check resolves ``..``.
+    """
+    whole = v1_dataset_issues(images, boxes)
+    if images is None:
+        return [whole]
+    counted = with_object_counts(images, boxes)
+    counted = R.first_seen(counted, [F.lower(S.resolved_path(F.col("image_path")))], ["seq"]).withColumnRenamed("is_repeat", "is_path_repeat")
+    counted = R.first_seen(counted, [F.lower(S.normalized_path(F.col("image_path")))], ["seq"])
+    if "object_id" in boxes.columns:
+        boxes = R.first_seen(boxes, [F.col("object_id")], ["seq", "object_index"]).withColumnRenamed("is_repeat", "is_id_repeat")
     objects = _boxes_of_images(images, boxes)
-    index = F.col("object_index")
-    per_image = apply(counted, v1_image_rules(), "v1")
-    return per_image.unionByName(apply(objects, v1_object_rules() + v1_box_rules(), "v1", index))
-
-
-def dataset_level_rules(n_images: int | None, n_objects: int, dataset_name: str | None) -> list[tuple[str, str]]:
-    """(rule id, severity) of the whole-dataset checks, from counts."""
-    found = []
-    if n_images is None:
-        return [("V1-DS-NONE", ERROR)]
-    if n_images == 0:
-        found += [("V1-DS-NOIMAGES", WARNING), ("V1-DS-NONAME", WARNING)]
-    if n_objects == 0:
-        found.append(("V1-DS-NOCLASSES", WARNING))
-    if not (dataset_name or "").strip():
-        found.append(("DS011", WARNING))
-    return found
+    return [whole, apply(counted, v1_image_rules(), "v1"), apply(objects, v1_object_rules() + v1_box_rules(), "v1", F.col("object_index"))]
+
+
+def v1_issues(images: DataFrame | None, boxes: DataFrame) -> DataFrame:
+    """All issues of the first engine."""
+    return D.union_sources(*v1_stages(images, boxes))
 
 
 # -- second engine -----------------------------------------------------------
@@ -139,47 +248,70 @@ def dataset_level_rules(n_images: int | None, n_objects: int, dataset_name: str
 
 def v2_image_rules(min_side: int = 32, max_side: int = 10000) -> list[Rule]:
     path, width, height = F.col("image_path"), F.col("width"), F.col("height")
+    found, decoded = F.col("file_found"), ("file_found", "decoded_width", "decoded_height")
+    no_frame = (F.col("decoded_width") <= 0) | (F.col("decoded_height") <= 0)
     return [
-        Rule("IMG001", "image", ERROR, "IMAGE", ~F.col("file_found"), "file does not exist", ("file_found",)),
-        Rule("IMG002", "image", ERROR, "IMAGE", ~S.has_extension(path, IMAGE_EXTENSIONS), "unsupported file suffix"),
-        Rule("IMG003", "image", ERROR, "IMAGE", F.col("decoded_width") == -1, "file cannot be decoded", ("decoded_width",)),
-        Rule("IMG004", "image", ERROR, "IMAGE", F.col("file_length") == 0, "file is empty", ("file_length",)),
-        Rule("IMG005", "image", WARNING, "IMAGE", (width < min_side) | (height < min_side), "image is too small"),
-        Rule("IMG006", "image", WARNING, "IMAGE", (width > max_side) | (height > max_side), "image is too large"),
-        Rule("IMG007", "image", WARNING, "IMAGE", F.col("is_repeat"), "image path repeats an earlier one", ("is_repeat",)),
-        Rule("OBJ001", "object", ERROR, "OBJECT", F.col("n_objects") == 0, "image has no objects", ("n_objects",)),
-        Rule(
-            "OBJ009", "object", INFO, "CLASS", (F.col("n_classes") == 1) & (F.col("n_objects") > 1),
-            "all objects have one class", ("n_classes",),
-        ),
-        Rule("OBJ008", "object", INFO, "CLASS", F.col("missing") != "", "expected classes are missing", ("missing",)),
+        Rule("IMG001", "image", ERROR, "IMAGE", ~found, "file does not exist", ("file_found",), "check where the file is"),
+        Rule("IMG002", "image", ERROR, "IMAGE", ~S.has_extension(path, IMAGE_EXTENSIONS), "unsupported file suffix", advice="convert the image"),
+        Rule("IMG003", "image", ERROR, "IMAGE", found & (F.col("decoded_width") == -1), "file cannot be decoded", ("file_found", "decoded_width"), "replace the file"),
+        Rule("IMG004", "image", ERROR, "IMAGE", F.col("file_length") == 0, "file is empty", ("file_length",), "replace the file"),
+        Rule("IMG005", "image", WARNING, "IMAGE", (width < min_side) | (height < min_side), "image is too small", advice="use larger images"),
+        Rule("IMG006", "image", WARNING, "IMAGE", (width > max_side) | (height > max_side), "image is too large", advice="shrink the image"),
+        Rule("IMG007", "image", WARNING, "DUPLICATE", F.col("is_repeat"), "image path repeats an earlier one", ("is_repeat",), "remove the second entry"),
+        Rule("IMG008", "image", ERROR, "METADATA", found & no_frame, "image has no readable size", decoded, "check the file"),
+        Rule("OBJ001", "object", ERROR, "OBJECT", F.col("n_objects") == 0, "image has no objects", ("n_objects",), "check its annotation"),
+        Rule("OBJ009", "object", INFO, "OBJECT", (F.col("n_classes") == 1) & (F.col("n_objects") > 1), "all objects have one class", ("n_classes",), "may be as intended"),
+        Rule("OBJ008", "object", INFO, "OBJECT", F.col("missing") != "", "expected classes are missing", ("missing",), "check whether they should be there"),
     ]
 
 
+def _is_number(raw: Column) -> Column:
+    """Whether a JSON token is a number (or true or false, which count as 1 and 0)."""
+    return S.is_true(raw.try_cast("double").isNotNull() | raw.isin("true", "false"))
+
+
 def v2_object_rules(valid_class_ids: tuple[int, ...] | None = None) -> list[Rule]:
-    class_id, confidence = F.col("class_id"), F.col("confidence")
+    """Checks of objects; ``confidence_raw`` is the confidence as a JSON token."""
+    class_id, confidence, raw = F.col("class_id"), F.col("confidence"), F.col("confidence_raw")
     rules = [
-        Rule("OBJ002", "object", ERROR, "CLASS", class_id.isNull(), "class id is missing"),
-        Rule("OBJ003", "object", WARNING, "CLASS", F.col("class_name").isNull(), "class name is missing"),
-        Rule("OBJ005", "object", WARNING, "OBJECT", F.col("is_repeat"), "object repeats an earlier one", ("is_repeat",)),
-        Rule("OBJ007", "object", ERROR, "CONFIDENCE", ~confidence.between(0.0, 1.0), "confidence is not within 0 and 1"),
-    ]
+        Rule("OBJ002", "object", ERROR, "OBJECT", class_id.isNull(), "class id is missing", advice="set the class id"),
+        Rule("OBJ003", "object", WARNING, "OBJECT", F.col("class_name").isNull(), "class name is missing", advice="set the class name"),
+        Rule("OBJ005", "object", WARNING, "DUPLICATE", F.col("is_repeat"), "object repeats an earlier one", ("is_repeat",), "remove the copy"),
+        Rule("OBJ006", "object", ERROR, "OBJECT", raw.isNotNull() & ~_is_number(raw), "confidence is no number", ("confidence_raw",), "confidences are numbers"),
+        Rule("OBJ007", "object", ERROR, "OBJECT", ~confidence.between(0.0, 1.0), "confidence is not within 0 and 1", advice="confidences lie between 0 and 1"),
+    ]
     if valid_class_ids is not None:
-        rules.append(Rule("OBJ004", "object", ERROR, "CLASS", ~class_id.isin(*valid_class_ids), "class id is not allowed"))
+        rules.append(Rule("OBJ004", "object", ERROR, "OBJECT", ~S.is_true(class_id.isin(*valid_class_ids)), "class id is not allowed", advice="use a class of the dataset"))
     return rules
 
 
+def v2_raw_box_rules() -> list[Rule]:
+    """Checks of boxes as JSON texts (``bbox_raw``, null for a missing one): type, arity, numbers."""
+    raw = F.col("bbox_raw")
+    items = F.from_json(F.when(F.ltrim(raw).startswith("["), raw), "array<string>")
+    quoted = F.regexp_like(raw, F.lit(r'"|null|\[\s*\[|\{'))
+    listed = items.isNotNull()
+    numeric = F.forall(items, lambda x: S.is_true(x.try_cast("double").isNotNull() | x.isin("true", "false"))) & ~quoted
+    return [
+        Rule("BOX001", "box", ERROR, "BOUNDING_BOX", raw.isNull(), "box is missing", ("bbox_raw",), "give a box"),
+        Rule("BOX002", "box", ERROR, "BOUNDING_BOX", raw.isNotNull() & ~listed, "box is no list", ("bbox_raw",), "boxes are lists of four numbers"),
+        Rule("BOX003", "box", ERROR, "BOUNDING_BOX", listed & (F.size(items) != 4), "box has not four values", ("bbox_raw",), "boxes have four values"),
+        Rule("BOX004", "box", ERROR, "BOUNDING_BOX", listed & (F.size(items) == 4) & ~numeric, "a coordinate is no number", ("bbox_raw",), "coordinates are numbers"),
+    ]
+
+
 def v2_center_box_rules() -> list[Rule]:
-    """Checks of normalised centre boxes."""
+    """Checks of normalised centre boxes; those after the first look only at boxes of four numbers."""
     xc, yc, w, h = (F.col(c) for c in ("xc", "yc", "w", "h"))
+    no_number = xc.isNull() | yc.isNull() | w.isNull() | h.isNull()
     centre_out = ~xc.between(0.0, 1.0) | ~yc.between(0.0, 1.0)
     side_out = (w <= 0) | (w > 1) | (h <= 0) | (h > 1)
     return [
-        Rule("BOX004", "box", ERROR, "BOUNDING_BOX", xc.isNull() | yc.isNull() | w.isNull() | h.isNull(), "a coordinate is no number"),
-        Rule("BOX005", "box", ERROR, "BOUNDING_BOX", (w < 0) | (h < 0), "a side is negative"),
-        Rule("BOX007", "box", ERROR, "BOUNDING_BOX", (w <= 0) | (h <= 0), "box has no area"),
-        Rule("BOX010", "box", ERROR, "BOUNDING_BOX", centre_out | side_out, "box is not normalised"),
-    ]
+        Rule("BOX004", "box", ERROR, "BOUNDING_BOX", no_number, "a coordinate is no number", advice="coordinates are numbers"),
+        Rule("BOX005", "box", ERROR, "BOUNDING_BOX", ~no_number & ((w < 0) | (h < 0)), "a side is negative", advice="sides are positive"),
+        Rule("BOX007", "box", ERROR, "BOUNDING_BOX", ~no_number & ((w <= 0) | (h <= 0)), "box has no area", advice="boxes have an area"),
+        Rule("BOX010", "box", ERROR, "BOUNDING_BOX", ~no_number & (centre_out | side_out), "box is not normalised", advice="normalise the box"),
+    ]
 
 
 def v2_corner_box_rules(min_side: float = 3.0, max_share: float = 0.95, max_aspect: float = 20.0) -> list[Rule]:
@@ -190,7 +322,7 @@ def v2_corner_box_rules(min_side: float = 3.0, max_share: float = 0.95, max_aspe
     long_side, short_side = F.greatest(bw, bh, F.lit(1.0)), F.greatest(F.least(bw, bh), F.lit(1.0))
     negative = (box.x1 < 0) | (box.y1 < 0) | (box.x2 < 0) | (box.y2 < 0)
     return [
-        Rule("BOX001", "box", ERROR, "BOUNDING_BOX", box.x1.isNull() & box.y1.isNull() & box.x2.isNull() & box.y2.isNull(), "box is missing"),
+        Rule("BOX001", "box", ERROR, "BOUNDING_BOX", box.x1.isNull() & box.y1.isNull() & box.x2.isNull() & box.y2.isNull(), "box is missing", advice="give a box"),
         Rule("BOX006", "box", ERROR, "BOUNDING_BOX", negative, "a corner is negative"),
         Rule("BOX008", "box", ERROR, "BOUNDING_BOX", (box.x2 <= box.x1) | (box.y2 <= box.y1), "box has no area"),
         Rule("BOX009", "box", ERROR, "BOUNDING_BOX", ~G.inside_image(box, width, height), "box leaves the image"),
@@ -213,6 +345,7 @@ def v2_pair_issues(images: DataFrame, boxes: DataFrame, iou: float | None = None
             F.lit(WARNING).alias("severity"),
             F.lit("BOUNDING_BOX").alias("category"),
             F.lit(message).alias("message"),
+            F.lit("remove one of them").alias("recommendation"),
             "dataset",
             "seq",
             "image_path",
@@ -227,11 +360,13 @@ def v2_pair_issues(images: DataFrame, boxes: DataFrame, iou: float | None = None
 
 def v2_image_facts(images: DataFrame, boxes: DataFrame, expected: tuple[str, ...] | None = None) -> DataFrame:
     """Images with what the second engine's image and object rules need: one aggregate of the boxes."""
-    per_image = [F.count("*").alias("n_objects"), F.size(F.collect_set("class_id")).alias("n_classes")]
+    per_image = [F.count("*").alias("n_objects"), F.size(F.collect_set("class_name")).alias("n_classes")]
     if expected:
         lacking = F.array_except(F.array(*[F.lit(e) for e in expected]), F.collect_set("class_name"))
         per_image.append(F.array_join(F.array_sort(lacking), ",").alias("missing"))
     facts = images.join(boxes.groupBy("seq").agg(*per_image), "seq", "left").na.fill(0, ["n_objects", "n_classes"])
+    if expected:  # an image without objects lacks them all
+        facts = facts.na.fill(",".join(sorted(expected)), ["missing"])
     return R.first_seen(facts, [F.col("image_path")], ["seq"])
 
 
@@ -249,45 +384,89 @@ def with_corners(boxes: DataFrame) -> DataFrame:
     )
 
 
-def v2_dataset_issues(files: DataFrame) -> DataFrame:
-    """rule_id, severity, path of the whole-dataset checks on a listing (path, length, kind).
+def v2_dataset_issues(files: DataFrame, root_found: bool = True, root_is_folder: bool = True) -> DataFrame:
+    """Issues of a whole dataset's folder, from a listing (path, length, kind, and readable where known).
 
     Images and annotations are matched by stem; checks of the whole have a null path.
+    After a critical finding about the root nothing else is checked.
     """
+    spark = files.sparkSession
+
+    def critical(rule_id: str, message: str, advice: str) -> DataFrame:
+        return new_issues(spark, dict(engine="v2", stage=1, rule_no=0, rule_id=rule_id, severity=CRITICAL, category="DATASET", message=message, recommendation=advice, object_index=-1))
+
+    if not root_found:
+        return critical("DS001", "dataset folder does not exist", "give an existing folder")
+    if not root_is_folder:
+        return critical("DS002", "dataset path is no folder", "give a folder")
+
     known = files.filter("kind IN ('image', 'annotation')").withColumns({"stem": S.stem(F.col("path")), "name": S.filename(F.col("path"))})
     images, notes = known.filter("kind = 'image'"), known.filter("kind = 'annotation'")
+    facts = files.agg(F.count_if(F.col("kind") == "image").alias("i"), F.count_if(F.col("kind") == "annotation").alias("a"))
+    i, a = F.col("i"), F.col("a")
+    of_all = [
+        Rule("DS003", "dataset", ERROR, "DATASET", i == 0, "folder has no images", advice="add images"),
+        Rule("DS004", "dataset", ERROR, "DATASET", a == 0, "folder has no annotations", advice="add annotations"),
+        Rule("DS005", "dataset", CRITICAL, "DATASET", F.col("n") == 0, "folder is empty", advice="add files"),
+        Rule("DS006", "dataset", WARNING, "DATASET", i != a, "images and annotations differ in number", advice="each image needs one annotation"),
+    ]
+    facts = facts.crossJoin(files.agg(F.count("*").alias("n")))  # one row each
+
+    def of_file(rows: DataFrame, *rules: Rule) -> DataFrame:
+        named = rows.withColumns({"dataset": F.lit(None).cast("string"), "seq": F.lit(None).cast("long"), "image_path": F.col("path")})
+        return apply(named, list(rules), "v2")
+
+    yes = F.lit(True)
+    unmatched = images.join(notes.select("stem"), "stem", "left_anti")
+    repeats = R.first_seen(images, [F.col("name")], ["path"])
+    return D.union_sources(
+        apply(of_whole(facts), of_all, "v2"),
+        of_file(unmatched, Rule("DS007", "dataset", ERROR, "DATASET", yes, "image has no annotation", advice="add its annotation")),
+        of_file(repeats, Rule("DS008", "dataset", WARNING, "DUPLICATE", F.col("is_repeat"), "file name repeats an earlier one", advice="rename the file")),
+        of_file(
+            notes,
+            Rule("DS009", "dataset", ERROR, "DATASET", F.col("length") == 0, "annotation is empty", advice="fill it"),
+            Rule("DS010", "dataset", ERROR, "DATASET", ~F.col("readable"), "annotation cannot be read", ("readable",), "check the file"),
+        ),
+    )
 
-    def issue(rows: DataFrame, rule_id: str, severity: str, path: Column) -> DataFrame:
-        return rows.select(F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"), path.cast("string").alias("path"))
-
-    counts = files.agg(F.count_if(F.col("kind") == "image").alias("i"), F.count_if(F.col("kind") == "annotation").alias("a"))
-    nowhere = F.lit(None)
-    found = issue(counts.filter("i = 0"), "DS003", ERROR, nowhere)
-    repeats = R.first_seen(images, [F.col("name")], ["path"]).filter("is_repeat")
-    for part in (
-        issue(counts.filter("a = 0"), "DS004", ERROR, nowhere),
-        issue(counts.filter("i = 0 AND a = 0"), "DS005", CRITICAL, nowhere),
-        issue(counts.filter("i <> a"), "DS006", WARNING, nowhere),
-        issue(images.join(notes.select("stem"), "stem", "left_anti"), "DS007", ERROR, F.col("path")),
-        issue(repeats, "DS008", WARNING, F.col("path")),
-        issue(notes.filter("length = 0"), "DS009", ERROR, F.col("path")),
-    ):
-        found = found.unionByName(part)
-    return found
 
+def dataset_name(images: DataFrame) -> DataFrame:
+    """One row: the dataset's name, or the names of several in order, joined by ``+`` (empty without any)."""
+    return images.agg(F.array_join(F.array_sort(F.collect_set("dataset")), "+").alias("dataset_name"))
 
-def v2_issues(
-    images: DataFrame, boxes: DataFrame, min_side: int = 1, max_side: int = 100000, expected: tuple[str, ...] | None = None, iou: float | None = 0.9
-) -> DataFrame:
-    """All issues of the second engine on centre boxes, with the bounds its engine sets.
 
-    Pairs of boxes that overlap by ``iou`` or more are reported (BOX012), unless it is None.
+def v2_stages(
+    images: DataFrame,
+    boxes: DataFrame,
+    min_side: int = 1,
+    max_side: int = 100000,
+    expected: tuple[str, ...] | None = None,
+    iou: float | None = 0.9,
+    valid_class_ids: tuple[int, ...] | None = None,
+    files: DataFrame | None = None,
+) -> list[DataFrame]:
+    """Issues of the second engine on centre boxes, stage by stage, with the bounds its engine sets.
+
+    The name of the dataset is always checked, its files where a listing is given.
     """
+    name = Rule("DS011", "dataset", WARNING, "METADATA", F.trim("dataset_name") == "", "dataset has no name", advice="name the dataset")
+    whole = apply(of_whole(dataset_name(images)), [name], "v2")
+    if files is not None:
+        whole = whole.unionByName(v2_dataset_issues(files))
     facts = v2_image_facts(images, boxes, expected)
     objects = _boxes_of_images(images, with_repeats(boxes))
-    found = apply(facts, v2_image_rules(min_side, max_side), "v2")
-    found = found.unionByName(apply(objects, v2_object_rules() + v2_center_box_rules(), "v2", F.col("object_index")))
-    return found.unionByName(v2_pair_issues(images, with_corners(boxes), iou))
+    of_images = apply(facts, v2_image_rules(min_side, max_side), "v2")
+    of_objects = apply(objects, v2_object_rules(valid_class_ids) + v2_center_box_rules(), "v2", F.col("object_index"))
+    return [whole, of_images, of_objects, v2_pair_issues(images, with_corners(boxes), iou)]
+
+
+def v2_issues(images: DataFrame, boxes: DataFrame, **options) -> DataFrame:
+    """All issues of the second engine (options of ``v2_stages``).
+
+    Pairs of boxes that overlap by ``iou`` or more are reported (BOX012), unless it is None.
+    """
+    return D.union_sources(*v2_stages(images, boxes, **options))
 
 
 # -- roll-ups and indexes ----------------------------------------------------
@@ -350,7 +529,8 @@ def v2_index(rolled: DataFrame) -> DataFrame:
     )
     names = ("annotation_completeness", "image_integrity", "class_consistency", "box_validity")
     total = sum((F.col(n) for n in names), F.lit(0.0))
-    indexed = scored.withColumn("quality_index", F.round(total / 4.0, 2))
+    # scores have two places, so their mean is rounded in whole hundredths: halves go up, whatever the sum's last bits
+    indexed = scored.withColumn("quality_index", F.round(F.round(total * 100) / 4) / 100)
     return indexed.withColumn("grade", S.grade(F.col("quality_index")))
 
 

@@ -158,14 +158,18 @@ def correlations(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson, and Spearman over average ranks.
 
     Ranks come from counts by value: smaller values' running count plus half of the
-    value's own, so only distinct values are ordered.
+    value's own. Distinct values are ordered within ranges, and the sizes of earlier
+    ranges are added, so no task orders all values.
     """
 
     def ranks(column: str, name: str) -> DataFrame:
-        counts = rows.groupBy(column).agg(F.count("*").alias("n"))
-        before = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-        below = F.coalesce(F.sum("n").over(before), F.lit(0))
-        return counts.select(column, (below + (F.col("n") + 1) / 2.0).alias(name))
+        counts = rows.groupBy(column).agg(F.count("*").alias("n")).withColumn("_range", S.value_range(F.col(column)))
+        sizes = counts.groupBy("_range").agg(F.sum("n").alias("_n"))
+        earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+        starts = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+        before = Window.partitionBy("_range").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+        below = F.col("_start") + F.coalesce(F.sum("n").over(before), F.lit(0))
+        return counts.join(starts, "_range").select(column, (below + (F.col("n") + 1) / 2.0).alias(name))
 
     ranked = rows.select(x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = ranked.join(ranks(x, "_rx"), x).join(ranks(y, "_ry"), y)

@@ -204,19 +204,20 @@ def rowcol_json_to_box(spark, sf_dir):
 
 @query
 def coco_join(spark, sf_dir):
-    """One COCO document for each dataset, joined back to boxes."""
+    """COCO documents of a dataset, one for each range of images, joined back to boxes."""
     images, boxes = _both(spark, sf_dir)
-    i = images.groupBy("dataset").agg(
+    images = images.withColumn("file", F.concat_ws("/", "dataset", F.floor(F.col("seq") / 4096).cast("string")))
+    i = images.groupBy("file").agg(
         F.collect_list(F.struct(F.col("seq").alias("id"), F.concat(F.col("seq").cast("string"), F.lit(".jpg")).alias("file_name"), "width", "height")).alias("images")
     )
     bbox = F.array(F.col("xc") * 100, F.col("yc") * 100, F.col("w") * 100, F.col("h") * 100)
-    a = boxes.join(images.select("seq", "dataset"), "seq").groupBy("dataset").agg(
+    a = boxes.join(images.select("seq", "file"), "seq").groupBy("file").agg(
         F.collect_list(F.struct(F.lit(0).cast("long").alias("id"), F.col("seq").alias("image_id"), F.col("class_id").alias("category_id"), bbox.alias("bbox"))).alias("annotations")
     )
     names = F.array(F.struct(F.lit(0).alias("id"), F.lit("erythrocyte").alias("name")), F.struct(F.lit(3).alias("id"), F.lit("parasite").alias("name")))
-    documents = i.join(a, "dataset").select(F.col("dataset").alias("file"), F.struct("images", "annotations", names.alias("categories")).alias("doc"))
+    documents = i.join(a, "file").select("file", F.struct("images", "annotations", names.alias("categories")).alias("doc"))
     found = A.coco_boxes(documents)
-    return found.groupBy(F.col("file").alias("dataset"), "class_name").agg(
+    return found.groupBy(F.substring_index("file", "/", 1).alias("dataset"), "class_name").agg(
         F.count("*").alias("n"), F.round(F.sum("xc"), 4).alias("sum_xc"), F.round(F.sum("w"), 4).alias("sum_w"), F.count_if(F.col("w") == 0).alias("n_flat")
     )
 
@@ -657,7 +658,94 @@ def _files(spark, sf_dir):
 
 @query
 def rules_v2_dataset(spark, sf_dir):
-    return V.v2_dataset_issues(_files(spark, sf_dir)).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_paths"))
+    found = V.v2_dataset_issues(_files(spark, sf_dir))
+    return found.groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("image_path").alias("n_paths"))
+
+
+@query
+def rules_v1_planted(spark, sf_dir):
+    """The first engine on views in which every defect is planted."""
+    return _by_rule(V.v1_issues(B.planted_images(spark, sf_dir), B.planted_boxes(spark, sf_dir)))
+
+
+@query
+def rules_v2_planted(spark, sf_dir):
+    """The second engine on views in which every defect is planted."""
+    images, boxes = B.planted_images(spark, sf_dir), B.planted_boxes(spark, sf_dir)
+    return _by_rule(V.v2_issues(images, boxes, expected=("cell-AF", "cell-NO"), valid_class_ids=(0, 1, 3, 7, 12)))
+
+
+@query
+def rules_raw_boxes(spark, sf_dir):
+    """Checks of boxes as raw JSON texts."""
+    images = B.planted_images(spark, sf_dir).select("seq", "dataset", "image_path")
+    boxes = B.planted_boxes(spark, sf_dir).select("seq", "object_index", "bbox_raw")
+    return _by_rule(V.apply(boxes.join(images, "seq"), V.v2_raw_box_rules(), "v2", F.col("object_index")))
+
+
+@query
+def rules_dataset_stage(spark, sf_dir):
+    """Whole-dataset checks of both engines on folders and datasets that lack something."""
+    images, boxes = _both(spark, sf_dir)
+    none = boxes.limit(0)
+    listing = "path string, length long, kind string, readable boolean"
+    empty = spark.createDataFrame([], listing)
+    only_other = spark.createDataFrame([("d/readme.md", 3, "other", True)], listing)
+    odd = [("d/a.jpg", 5, "image", True), ("e/a.jpg", 5, "image", True), ("d/b.png", 5, "image", True), ("d/a.txt", 0, "annotation", True), ("d/b.txt", 9, "annotation", False)]
+    cases = {
+        "v1 none": V.v1_dataset_issues(None, none),
+        "v1 empty": V.v1_dataset_issues(images.limit(0), none),
+        "v1 no boxes": V.v1_dataset_issues(images, none),
+        "v1 whole": V.v1_dataset_issues(images, boxes),
+        "v2 no root": V.v2_dataset_issues(empty, root_found=False),
+        "v2 file as root": V.v2_dataset_issues(empty, root_is_folder=False),
+        "v2 empty": V.v2_dataset_issues(empty),
+        "v2 only other": V.v2_dataset_issues(only_other),
+        "v2 odd": V.v2_dataset_issues(spark.createDataFrame(odd, listing)),
+        "v2 no name": V.v2_stages(images.limit(0), none)[0],
+        "v2 name": V.v2_stages(images, boxes)[0],
+    }
+    found = D.union_sources(*[rows.select(F.lit(name).alias("case"), "stage", "rule_id", "severity", "category", "image_path") for name, rows in cases.items()])
+    return found
+
+
+@query
+def dataset_names(spark, sf_dir):
+    return V.dataset_name(B.images(spark, sf_dir))
+
+
+@query
+def stop_on_error(spark, sf_dir):
+    """Stages up to the first with an error: the second engine without its name stage stops after the images."""
+    images, boxes = _both(spark, sf_dir)
+    return _by_rule(V.until_error(V.v2_stages(images, boxes, max_side=1100)))
+
+
+@query
+def issues_as_json(spark, sf_dir):
+    """Issues written as JSON, read again, and selected by severity and category."""
+    issues = V.issues_from_json(V.issue_json(V.v1_issues(*_both(spark, sf_dir))))
+    errors, of_boxes = V.by_severity(issues, "ERROR"), V.by_category(issues, "BOUNDING_BOX")
+    parts = [rows.select(F.lit(name).alias("kind"), "rule_id", "dataset", "seq", "object_index") for name, rows in (("error", errors), ("box", of_boxes))]
+    return D.union_sources(*parts).groupBy("kind", "rule_id", "dataset").agg(F.count("*").alias("n"), F.sum("seq").alias("seq_total"), F.sum("object_index").alias("index_total"))
+
+
+@query
+def failed_check_issue(spark, sf_dir):
+    """A check that cannot be planned becomes an issue."""
+    images = B.images(spark, sf_dir)
+    bad = V.guarded(spark, "bbox", "check_nothing", lambda: images.select("no_such_column"))
+    odd = V.exception_issue(spark, "weather", "check_rain", "wet", "d", "p")
+    fine = V.guarded(spark, "image", "check_fine", lambda: V.apply(images, [], "v2"))
+    found = D.union_sources(bad, odd, fine)
+    return found.select("engine", "stage", "severity", "category", F.substring_index("message", ":", 1).alias("rule"), "dataset", "image_path", F.length("rule_id").alias("id_length"))
+
+
+@query
+def rule_listing(spark, sf_dir):
+    """Stage, id and severity of every rule of the second engine's row checks."""
+    rules = V.v2_image_rules() + V.v2_object_rules((0,)) + V.v2_raw_box_rules() + V.v2_center_box_rules()[1:] + V.v2_corner_box_rules()[1:]
+    return spark.createDataFrame(V.list_rules(rules), "stage string, rule_id string, severity string")
 
 
 @query

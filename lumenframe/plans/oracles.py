@@ -71,58 +71,133 @@ def _issue(rule_no: int, stage: int, rule: str, severity: str, category: str, ta
 
 
 _EXT = r"regexp_extract(lower(split_part(image_path, '/', -1)), '.(\.[^.]*)$', 1)"
-_BAD_EXT = f"{_EXT} NOT IN ('.jpg', '.jpeg', '.png', '.bmp', '.tif', '.tiff')"
+_BAD_EXT = f"coalesce({_EXT}, '') NOT IN ('.jpg', '.jpeg', '.png', '.bmp', '.tif', '.tiff')"
+_PLAIN_PATH = r"lower(regexp_replace(regexp_replace(image_path, '/(\./)+', '/', 'g'), '/+', '/', 'g'))"
+_REAL_PATH = rf"regexp_replace({_PLAIN_PATH}, '[^/]+/\.\./', '', 'g')"
+
+#: The views with planted defects, over the plain ones.
+_PLANTED = r"""images AS (
+  SELECT seq,
+    CASE k WHEN 9 THEN NULL WHEN 10 THEN '' ELSE image_id END AS image_id,
+    CASE k WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN '/data/x/Same.JPG' WHEN 4 THEN '/data/./x//same.jpg' WHEN 17 THEN '/data/y/../x/same.jpg'
+           WHEN 18 THEN 'odd.gif' ELSE image_path END AS image_path,
+    CASE k WHEN 11 THEN NULL WHEN 12 THEN ' ' WHEN 19 THEN '' ELSE dataset END AS dataset,
+    CASE k WHEN 5 THEN NULL WHEN 6 THEN 0 WHEN 7 THEN -5 WHEN 20 THEN NULL ELSE width END AS width,
+    CASE k WHEN 8 THEN NULL WHEN 20 THEN -1 WHEN 21 THEN 20000 ELSE height END AS height,
+    split, k <> 13 AS file_found, CASE k WHEN 14 THEN 0 ELSE seq + 1000 END AS file_length,
+    CASE WHEN k IN (13, 15) THEN -1 ELSE 64 END AS decoded_width, CASE k WHEN 15 THEN -1 WHEN 16 THEN 0 ELSE 48 END AS decoded_height
+  FROM (SELECT *, seq % 97 AS k FROM plain_images)),
+boxes AS (
+  SELECT seq, object_index,
+    CASE WHEN j = 1 THEN NULL WHEN j = 2 THEN 99 WHEN j IN (18, 19, 25, 32) THEN 0 ELSE class_id END AS class_id,
+    CASE j WHEN 3 THEN NULL WHEN 4 THEN '' ELSE class_name END AS class_name,
+    CASE WHEN j = 5 THEN NULL WHEN j = 6 THEN 1.2 WHEN j = 7 THEN -0.1 WHEN j IN (18, 19, 25, 32) THEN 0.5 ELSE xc END AS xc,
+    CASE WHEN j = 8 THEN 1.5 WHEN j = 21 THEN NULL WHEN j IN (18, 19, 25, 32) THEN 0.5 ELSE yc END AS yc,
+    CASE WHEN j = 9 THEN 0 WHEN j = 10 THEN -0.2 WHEN j = 11 THEN 1.4 WHEN j = 22 THEN NULL WHEN j IN (18, 19, 25, 32) THEN 0.25 ELSE w END AS w,
+    CASE WHEN j = 12 THEN 0 WHEN j = 13 THEN -0.3 WHEN j = 14 THEN NULL WHEN j IN (18, 19, 25, 32) THEN 0.25 ELSE h END AS h,
+    CASE j WHEN 15 THEN 1.5 WHEN 16 THEN NULL WHEN 17 THEN -0.5 ELSE confidence END AS confidence,
+    CASE j WHEN 40 THEN 'same' WHEN 41 THEN NULL ELSE seq || '-' || object_index END AS object_id, j
+  FROM (SELECT *, (seq * 7 + object_index) % 89 AS j FROM plain_boxes))"""
 
 _OBJECTS = "objects AS (SELECT b.*, i.dataset, i.image_path, i.width, i.height FROM boxes b JOIN images i USING (seq))"
 
-_V1 = ",\n".join(
-    [
-        _IMAGES,
-        _BOXES,
+
+def _views(planted: bool) -> list[str]:
+    if not planted:
+        return [_IMAGES, _BOXES]
+    return [_IMAGES.replace("images AS", "plain_images AS", 1), _BOXES.replace("boxes AS", "plain_boxes AS", 1), _PLANTED]
+
+
+def _v1_issues(planted: bool = False) -> str:
+    path = "image_path IS NOT NULL AND image_path <> ''"
+    size = "width IS NOT NULL AND height IS NOT NULL"
+    lines = [
+        _issue(0, 2, "V1-IMG-PATH", "ERROR", "IMAGE", "facts", "coalesce(image_path, '') = ''", "-1"),
+        _issue(2, 2, "V1-IMG-DUPFILE", "WARNING", "IMAGE", "facts", f"{path} AND file_repeat", "-1"),
+        _issue(3, 2, "V1-IMG-EXT", "WARNING", "IMAGE", "facts", f"{path} AND {_BAD_EXT}", "-1"),
+        _issue(4, 2, "V1-IMG-NOSIZE", "WARNING", "IMAGE", "facts", f"NOT ({size})", "-1"),
+        _issue(5, 2, "V1-IMG-SIZE", "ERROR", "IMAGE", "facts", f"{size} AND (width <= 0 OR height <= 0)", "-1"),
+        _issue(6, 2, "V1-IMG-ID", "WARNING", "IMAGE", "facts", "coalesce(image_id, '') = ''", "-1"),
+        _issue(7, 2, "V1-IMG-NODATASET", "WARNING", "IMAGE", "facts", "coalesce(dataset, '') = ''", "-1"),
+        _issue(8, 2, "V1-IMG-DATASET", "WARNING", "IMAGE", "facts", "trim(coalesce(dataset, '')) = ''", "-1"),
+        _issue(9, 2, "V1-IMG-EMPTY", "WARNING", "IMAGE", "facts", "n_objects = 0", "-1"),
+        _issue(10, 2, "V1-IMG-DUPPATH", "WARNING", "IMAGE", "facts", f"{path} AND path_repeat", "-1"),
+        _issue(0, 3, "V1-OBJ-NAME", "WARNING", "OBJECT", "objects", "coalesce(class_name, '') = ''", "object_index"),
+        _issue(1, 3, "V1-OBJ-ID", "ERROR", "OBJECT", "objects", "class_id IS NULL OR class_id < 0", "object_index"),
+        _issue(3, 3, "V1-OBJ-BOX", "ERROR", "BOUNDING_BOX", "objects", "xc IS NULL OR yc IS NULL OR w IS NULL OR h IS NULL", "object_index"),
+        *[
+            _issue(4 + n, 4, f"V1-BOX-{c.upper()}", "ERROR", "BOUNDING_BOX", "objects", f"{c} IS NULL OR {c} < 0 OR {c} > 1", "object_index")
+            for n, c in enumerate(("xc", "yc", "w", "h"))
+        ],
+        _issue(8, 4, "V1-BOX-W0", "ERROR", "BOUNDING_BOX", "objects", "w <= 0", "object_index"),
+        _issue(9, 4, "V1-BOX-H0", "ERROR", "BOUNDING_BOX", "objects", "h <= 0", "object_index"),
+        _issue(10, 4, "V1-BOX-CONF", "WARNING", "BOUNDING_BOX", "objects", "confidence < 0 OR confidence > 1", "object_index"),
+    ]
+    if planted:
+        lines += [
+            _issue(1, 2, "V1-IMG-FILE", "ERROR", "IMAGE", "facts", f"{path} AND NOT file_found", "-1"),
+            _issue(2, 3, "V1-OBJ-DUP", "WARNING", "OBJECT", "named", "object_id IS NOT NULL AND r > 1", "object_index"),
+        ]
+    parts = [
+        *_views(planted),
         _COUNTED,
-        "facts AS (SELECT *, row_number() OVER (PARTITION BY lower(image_path) ORDER BY seq) > 1 AS is_repeat FROM counted)",
+        f"facts AS (SELECT *, row_number() OVER (PARTITION BY {_PLAIN_PATH} ORDER BY seq) > 1 AS file_repeat, "
+        f"row_number() OVER (PARTITION BY {_REAL_PATH} ORDER BY seq) > 1 AS path_repeat FROM counted)",
         _OBJECTS,
-        "issues AS (\n"
-        + "\nUNION ALL ".join(
-            [
-                _issue(0, 2, "V1-IMG-PATH", "ERROR", "IMAGE", "facts", "image_path IS NULL OR trim(image_path) = ''", "-1"),
-                _issue(1, 2, "V1-IMG-DUP", "WARNING", "IMAGE", "facts", "is_repeat", "-1"),
-                _issue(2, 2, "V1-IMG-EXT", "WARNING", "IMAGE", "facts", _BAD_EXT, "-1"),
-                _issue(3, 2, "V1-IMG-NOSIZE", "WARNING", "IMAGE", "facts", "width IS NULL OR height IS NULL", "-1"),
-                _issue(4, 2, "V1-IMG-SIZE", "ERROR", "IMAGE", "facts", "width <= 0 OR height <= 0", "-1"),
-                _issue(5, 2, "V1-IMG-ID", "WARNING", "METADATA", "facts", "image_id IS NULL OR trim(image_id) = ''", "-1"),
-                _issue(6, 2, "V1-IMG-DATASET", "WARNING", "METADATA", "facts", "dataset IS NULL OR trim(dataset) = ''", "-1"),
-                _issue(7, 2, "V1-IMG-EMPTY", "WARNING", "OBJECT", "facts", "n_objects = 0", "-1"),
-                _issue(0, 3, "V1-OBJ-NAME", "WARNING", "CLASS", "objects", "class_name IS NULL OR trim(class_name) = ''", "object_index"),
-                _issue(1, 3, "V1-OBJ-ID", "ERROR", "CLASS", "objects", "class_id IS NULL OR class_id < 0", "object_index"),
-                _issue(2, 3, "V1-OBJ-BOX", "ERROR", "BOUNDING_BOX", "objects", "xc IS NULL OR yc IS NULL OR w IS NULL OR h IS NULL", "object_index"),
-                *[
-                    _issue(3 + k, 4, f"V1-BOX-{c.upper()}", "ERROR", "BOUNDING_BOX", "objects", f"{c} IS NULL OR {c} < 0 OR {c} > 1", "object_index")
-                    for k, c in enumerate(("xc", "yc", "w", "h"))
-                ],
-                _issue(7, 4, "V1-BOX-W0", "ERROR", "BOUNDING_BOX", "objects", "w <= 0", "object_index"),
-                _issue(8, 4, "V1-BOX-H0", "ERROR", "BOUNDING_BOX", "objects", "h <= 0", "object_index"),
-                _issue(9, 4, "V1-BOX-CONF", "WARNING", "CONFIDENCE", "objects", "confidence < 0 OR confidence > 1", "object_index"),
-            ]
-        )
-        + ")",
+        *(["named AS (SELECT o.*, row_number() OVER (PARTITION BY object_id ORDER BY seq, object_index) AS r FROM objects o)"] if planted else []),
+        "issues AS (\n" + "\nUNION ALL ".join(lines) + ")",
     ]
-)
+    return ",\n".join(parts)
+
 
+_V1 = _v1_issues()
 
-def _v2(min_side: int, max_side: int, expected: tuple[str, ...] | None) -> str:
+
+def _v2(min_side: int, max_side: int, expected: tuple[str, ...] | None, planted: bool = False, valid: tuple[int, ...] | None = None) -> str:
     known = ", ".join(f"'{e}'" for e in expected or ())
     lacking = (
-        f"SELECT seq FROM (SELECT seq, count(DISTINCT class_name) FILTER (class_name IN ({known})) AS k FROM boxes GROUP BY seq) WHERE k < {len(expected)}"
+        f"SELECT seq FROM (SELECT i.seq, count(DISTINCT class_name) FILTER (class_name IN ({known})) AS k FROM images i LEFT JOIN boxes b USING (seq) GROUP BY i.seq) WHERE k < {len(expected)}"
         if expected
         else "SELECT NULL AS seq WHERE FALSE"
     )
+    four = "xc IS NOT NULL AND yc IS NOT NULL AND w IS NOT NULL AND h IS NOT NULL"
+    lines = [
+        _issue(0, 2, "IMG002", "ERROR", "IMAGE", "facts", _BAD_EXT, "-1"),
+        _issue(1, 2, "IMG005", "WARNING", "IMAGE", "facts", f"width < {min_side} OR height < {min_side}", "-1"),
+        _issue(2, 2, "IMG006", "WARNING", "IMAGE", "facts", f"width > {max_side} OR height > {max_side}", "-1"),
+        _issue(3, 2, "IMG007", "WARNING", "DUPLICATE", "facts", "is_repeat", "-1"),
+        _issue(4, 3, "OBJ001", "ERROR", "OBJECT", "facts", "n_objects = 0", "-1"),
+        _issue(5, 3, "OBJ009", "INFO", "OBJECT", "facts", "n_classes = 1 AND n_objects > 1", "-1"),
+        _issue(6, 3, "OBJ008", "INFO", "OBJECT", "facts", "seq IN (SELECT seq FROM lacking)", "-1"),
+        _issue(0, 3, "OBJ002", "ERROR", "OBJECT", "objects", "class_id IS NULL", "object_index"),
+        _issue(1, 3, "OBJ003", "WARNING", "OBJECT", "objects", "class_name IS NULL", "object_index"),
+        _issue(2, 3, "OBJ005", "WARNING", "DUPLICATE", "objects", "is_repeat", "object_index"),
+        _issue(3, 3, "OBJ007", "ERROR", "OBJECT", "objects", "confidence < 0 OR confidence > 1", "object_index"),
+        _issue(4, 4, "BOX004", "ERROR", "BOUNDING_BOX", "objects", f"NOT ({four})", "object_index"),
+        _issue(5, 4, "BOX005", "ERROR", "BOUNDING_BOX", "objects", f"{four} AND (w < 0 OR h < 0)", "object_index"),
+        _issue(6, 4, "BOX007", "ERROR", "BOUNDING_BOX", "objects", f"{four} AND (w <= 0 OR h <= 0)", "object_index"),
+        _issue(
+            7, 4, "BOX010", "ERROR", "BOUNDING_BOX", "objects",
+            f"{four} AND (xc < 0 OR xc > 1 OR yc < 0 OR yc > 1 OR w <= 0 OR w > 1 OR h <= 0 OR h > 1)", "object_index",
+        ),
+        _issue(90, 4, "BOX011", "WARNING", "BOUNDING_BOX", "pairs", "TRUE", "object_index"),
+        _issue(91, 4, "BOX012", "WARNING", "BOUNDING_BOX", "crossed", "o / (s - o) >= 0.9", "object_index"),
+    ]
+    if planted:
+        lines += [
+            _issue(0, 2, "IMG001", "ERROR", "IMAGE", "facts", "NOT file_found", "-1"),
+            _issue(0, 2, "IMG003", "ERROR", "IMAGE", "facts", "file_found AND decoded_width = -1", "-1"),
+            _issue(0, 2, "IMG004", "ERROR", "IMAGE", "facts", "file_length = 0", "-1"),
+            _issue(0, 2, "IMG008", "ERROR", "METADATA", "facts", "file_found AND (decoded_width <= 0 OR decoded_height <= 0)", "-1"),
+            _issue(0, 3, "OBJ006", "ERROR", "OBJECT", "objects", "j IN (50, 51)", "object_index"),
+        ]
+    if valid:
+        lines.append(_issue(0, 3, "OBJ004", "ERROR", "OBJECT", "objects", f"class_id IS NULL OR class_id NOT IN {valid}", "object_index"))
     return ",\n".join(
         [
-            _IMAGES,
-            _BOXES,
+            *_views(planted),
             _COUNTED,
-            "classes AS (SELECT seq, count(DISTINCT class_id) AS n_classes FROM boxes GROUP BY seq)",
+            "classes AS (SELECT seq, count(DISTINCT class_name) AS n_classes FROM boxes GROUP BY seq)",
             f"lacking AS ({lacking})",
             "facts AS (SELECT c.*, coalesce(k.n_classes, 0) AS n_classes, "
             "row_number() OVER (PARTITION BY image_path ORDER BY seq) > 1 AS is_repeat FROM counted c LEFT JOIN classes k USING (seq))",
@@ -130,31 +205,11 @@ def _v2(min_side: int, max_side: int, expected: tuple[str, ...] | None) -> str:
             "objects AS (SELECT b.*, i.dataset, i.image_path, i.width, i.height FROM marked b JOIN images i USING (seq))",
             "pairs AS (SELECT a.seq, b.object_index AS object_index, i.dataset FROM boxes a JOIN boxes b "
             "ON a.seq = b.seq AND a.xc = b.xc AND a.yc = b.yc AND a.w = b.w AND a.h = b.h AND a.object_index < b.object_index JOIN images i ON i.seq = a.seq)",
-            "issues AS (\n"
-            + "\nUNION ALL ".join(
-                [
-                    _issue(0, 2, "IMG002", "ERROR", "IMAGE", "facts", _BAD_EXT, "-1"),
-                    _issue(1, 2, "IMG005", "WARNING", "IMAGE", "facts", f"width < {min_side} OR height < {min_side}", "-1"),
-                    _issue(2, 2, "IMG006", "WARNING", "IMAGE", "facts", f"width > {max_side} OR height > {max_side}", "-1"),
-                    _issue(3, 2, "IMG007", "WARNING", "IMAGE", "facts", "is_repeat", "-1"),
-                    _issue(4, 3, "OBJ001", "ERROR", "OBJECT", "facts", "n_objects = 0", "-1"),
-                    _issue(5, 3, "OBJ009", "INFO", "CLASS", "facts", "n_classes = 1 AND n_objects > 1", "-1"),
-                    _issue(6, 3, "OBJ008", "INFO", "CLASS", "facts", "seq IN (SELECT seq FROM lacking)", "-1"),
-                    _issue(0, 3, "OBJ002", "ERROR", "CLASS", "objects", "class_id IS NULL", "object_index"),
-                    _issue(1, 3, "OBJ003", "WARNING", "CLASS", "objects", "class_name IS NULL", "object_index"),
-                    _issue(2, 3, "OBJ005", "WARNING", "OBJECT", "objects", "is_repeat", "object_index"),
-                    _issue(3, 3, "OBJ007", "ERROR", "CONFIDENCE", "objects", "confidence < 0 OR confidence > 1", "object_index"),
-                    _issue(4, 4, "BOX004", "ERROR", "BOUNDING_BOX", "objects", "xc IS NULL OR yc IS NULL OR w IS NULL OR h IS NULL", "object_index"),
-                    _issue(5, 4, "BOX005", "ERROR", "BOUNDING_BOX", "objects", "w < 0 OR h < 0", "object_index"),
-                    _issue(6, 4, "BOX007", "ERROR", "BOUNDING_BOX", "objects", "w <= 0 OR h <= 0", "object_index"),
-                    _issue(
-                        7, 4, "BOX010", "ERROR", "BOUNDING_BOX", "objects",
-                        "xc < 0 OR xc > 1 OR yc < 0 OR yc > 1 OR w <= 0 OR w > 1 OR h <= 0 OR h > 1", "object_index",
-                    ),
-                    _issue(90, 4, "BOX011", "WARNING", "BOUNDING_BOX", "pairs", "TRUE", "object_index"),
-                ]
-            )
-            + ")",
+            "corner AS (SELECT b.seq, b.object_index, i.dataset, xc - w / 2 AS x1, yc - h / 2 AS y1, xc + w / 2 AS x2, yc + h / 2 AS y2 FROM boxes b JOIN images i USING (seq))",
+            "crossed AS (SELECT a.seq, b.object_index, a.dataset, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS o, "
+            "(a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s FROM corner a JOIN corner b ON a.seq = b.seq AND a.object_index < b.object_index "
+            "AND least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1))",
+            "issues AS (\n" + "\nUNION ALL ".join(lines) + ")",
         ]
     )
 
@@ -556,6 +611,45 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'DS009', 'ERROR', annotation_path FROM ann WHERE length(stem) = 6)""",
         then="SELECT rule_id, severity, count(*) AS n, count(DISTINCT path) AS n_paths FROM x GROUP BY ALL",
     ),
+    "rules_v1_planted": "WITH " + _v1_issues(planted=True) + "\n" + _BY_RULE,
+    "rules_v2_planted": "WITH " + _v2(1, 100000, ("cell-AF", "cell-NO"), True, (0, 1, 3, 7, 12)) + "\n" + _BY_RULE,
+    "rules_raw_boxes": _with(
+        *_views(True),
+        "issues AS ("
+        + " UNION ALL ".join(
+            f"SELECT 4 AS stage, '{rule}' AS rule_id, 'ERROR' AS severity, 'BOUNDING_BOX' AS category, seq FROM boxes WHERE j IN {cases}"
+            for rule, cases in (("BOX001", "(55)"), ("BOX002", "(56, 61)"), ("BOX003", "(57, 59)"), ("BOX004", "(58)"))
+        )
+        + ")",
+        then=_BY_RULE,
+    ),
+    "rules_dataset_stage": """SELECT * FROM (VALUES
+        ('v1 none', 1, 'V1-DS-NONE', 'ERROR', 'DATASET', NULL), ('v1 empty', 1, 'V1-DS-NONAME', 'WARNING', 'DATASET', NULL),
+        ('v1 empty', 1, 'V1-DS-NOIMAGES', 'WARNING', 'DATASET', NULL), ('v1 empty', 1, 'V1-DS-NOCLASSES', 'WARNING', 'DATASET', NULL),
+        ('v1 no boxes', 1, 'V1-DS-NOCLASSES', 'WARNING', 'DATASET', NULL), ('v2 no root', 1, 'DS001', 'CRITICAL', 'DATASET', NULL),
+        ('v2 file as root', 1, 'DS002', 'CRITICAL', 'DATASET', NULL), ('v2 empty', 1, 'DS003', 'ERROR', 'DATASET', NULL),
+        ('v2 empty', 1, 'DS004', 'ERROR', 'DATASET', NULL), ('v2 empty', 1, 'DS005', 'CRITICAL', 'DATASET', NULL),
+        ('v2 only other', 1, 'DS003', 'ERROR', 'DATASET', NULL), ('v2 only other', 1, 'DS004', 'ERROR', 'DATASET', NULL),
+        ('v2 odd', 1, 'DS006', 'WARNING', 'DATASET', NULL), ('v2 odd', 1, 'DS008', 'WARNING', 'DUPLICATE', 'e/a.jpg'),
+        ('v2 odd', 1, 'DS009', 'ERROR', 'DATASET', 'd/a.txt'), ('v2 odd', 1, 'DS010', 'ERROR', 'DATASET', 'd/b.txt'),
+        ('v2 no name', 1, 'DS011', 'WARNING', 'METADATA', NULL)) t("case", stage, rule_id, severity, category, image_path)""",
+    "dataset_names": "SELECT string_agg(d, '+' ORDER BY d) AS dataset_name FROM (SELECT DISTINCT o_orderpriority AS d FROM orders)",
+    "stop_on_error": "WITH " + _v2(1, 1100, None) + "\n" + _BY_RULE.replace("FROM issues", "FROM issues WHERE rule_id LIKE 'IMG%' OR rule_id IN ('OBJ001', 'OBJ009')"),
+    "issues_as_json": "WITH " + _V1 + """
+        SELECT kind, rule_id, dataset, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_total, CAST(sum(object_index) AS BIGINT) AS index_total
+        FROM (SELECT 'error' AS kind, * FROM issues WHERE severity = 'ERROR' UNION ALL SELECT 'box', * FROM issues WHERE category = 'BOUNDING_BOX') GROUP BY ALL""",
+    "failed_check_issue": """SELECT * FROM (VALUES ('v2', 4, 'ERROR', 'BOUNDING_BOX', 'check_nothing', NULL, NULL, 36), ('v2', 0, 'ERROR', 'UNKNOWN', 'check_rain', 'd', 'p', 36))
+        t(engine, stage, severity, category, rule, dataset, image_path, id_length)""",
+    "rule_listing": "SELECT * FROM (VALUES "
+    + ", ".join(
+        f"('{stage}', '{prefix}{number:03}', '{severity}')"
+        for stage, prefix, severity, numbers in (
+            ("image", "IMG", "ERROR", (1, 2, 3, 4, 8)), ("image", "IMG", "WARNING", (5, 6, 7)), ("object", "OBJ", "ERROR", (1, 2, 4, 6, 7)),
+            ("object", "OBJ", "WARNING", (3, 5)), ("object", "OBJ", "INFO", (8, 9)), ("box", "BOX", "ERROR", (*range(1, 11),)), ("box", "BOX", "WARNING", (13, 14, 15)),
+        )
+        for number in numbers
+    )
+    + ") t(stage, rule_id, severity)",
     "rules_v2_overlaps": _with(
         _IMAGES, _BOXES,
         "c AS (SELECT b.*, i.dataset, xc - w / 2 AS x1, yc - h / 2 AS y1, xc + w / 2 AS x2, yc + h / 2 AS y2 FROM boxes b JOIN images i USING (seq))",
@@ -572,7 +666,7 @@ ORACLES: dict[str, str] = {
         SELECT *, n_error + n_critical = 0 AS passed, round((n_issues - n_error - n_critical) * 100.0::DOUBLE / n_issues, 4) AS success_rate FROM r""",
     "topk_reasons": "WITH " + _V1 + "\nSELECT rule_id, count(*) AS n FROM issues GROUP BY rule_id ORDER BY n DESC, rule_id LIMIT 5",
     "v1_index": "WITH " + _V1 + f"""
-        , r AS (SELECT dataset, {_ROLLED} FROM issues WHERE seq % 2000 < 3 GROUP BY dataset),
+        , r AS (SELECT dataset, {_ROLLED} FROM issues GROUP BY dataset),
         s AS (SELECT dataset, greatest(0.0::DOUBLE, 100 - 5 * n_error) AS annotation_score, greatest(0.0::DOUBLE, 100 - 2 * (n_error + n_warning)) AS image_score,
               greatest(0.0::DOUBLE, 100 - 3 * n_warning) AS class_score, greatest(0.0::DOUBLE, 100 - 4 * (n_error + n_critical)) AS box_score FROM r)
         SELECT *, round((annotation_score + image_score + class_score + box_score) / 4.0, 4) AS quality_index FROM s""",
@@ -583,7 +677,7 @@ ORACLES: dict[str, str] = {
                      coalesce(n_error, 0) AS n_error, coalesce(n_critical, 0) AS n_critical FROM d LEFT JOIN r USING (dataset)),
         t AS (SELECT *, {_clamped('n_error', 'n_objects')} AS annotation_completeness, {_clamped('n_error', 'n_images')} AS image_integrity,
                      {_clamped('n_warning', 'n_objects')} AS class_consistency, {_clamped('n_issues', 'n_objects')} AS box_validity FROM s),
-        u AS (SELECT *, round((annotation_completeness + image_integrity + class_consistency + box_validity) / 4.0, 2) AS quality_index FROM t)
+        u AS (SELECT *, round(round((annotation_completeness + image_integrity + class_consistency + box_validity) * 100) / 4) / 100 AS quality_index FROM t)
         SELECT *, CASE WHEN quality_index >= 95 THEN 'A+' WHEN quality_index >= 90 THEN 'A' WHEN quality_index >= 80 THEN 'B' WHEN quality_index >= 70 THEN 'C'
                        WHEN quality_index >= 60 THEN 'D' ELSE 'F' END AS grade FROM u""",
     "pixel_measures": _with(

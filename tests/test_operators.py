@@ -98,7 +98,7 @@ def test_rules_and_index(small, spark):
     assert graded["B"].n_error == 0 and graded["C"].n_error == 1
     bad = boxes.withColumn("w", F.lit(0.0)).withColumn("confidence", F.lit(1.5))
     assert {"BOX007", "BOX010", "OBJ007", "OBJ001", "BOX011", "OBJ005"} <= {r.rule_id for r in V.v2_issues(images, bad).collect()}
-    assert V.dataset_level_rules(None, 0, None) == [("V1-DS-NONE", "ERROR")]
+    assert [r.rule_id for r in V.v1_issues(None, boxes).collect()] == ["V1-DS-NONE"]
     ids = R.issue_ids(V.v2_issues(images, bad)).select("issue_id").collect()
     assert len({r.issue_id for r in ids}) == len(ids)
 
@@ -229,7 +229,7 @@ def test_streaming_ingest(spark, tmp_path):
 def test_dataset_rules_on_a_listing(spark):
     rows = [("d/a.jpg", 5, "image"), ("e/a.jpg", 5, "image"), ("d/b.jpg", 5, "image"), ("d/a.txt", 0, "annotation"), ("d/x.md", 1, "other")]
     files = spark.createDataFrame(rows, "path string, length long, kind string")
-    found = {(r.rule_id, r.path) for r in V.v2_dataset_issues(files).collect()}
+    found = {(r.rule_id, r.image_path) for r in V.v2_dataset_issues(files).collect()}
     assert found == {("DS006", None), ("DS007", "d/b.jpg"), ("DS008", "e/a.jpg"), ("DS009", "d/a.txt")}
     assert {r.rule_id for r in V.v2_dataset_issues(files.limit(0)).collect()} == {"DS003", "DS004", "DS005"}
 

@@ -28,18 +28,3 @@ def test_v1_index_covers_every_issue(spark):
     found = catalogue.queries()["v1_index"](spark, SF).collect()
     assert {r.dataset: [r.annotation_score, r.image_score, r.class_score, r.box_score] for r in found} == wanted
     assert all(r.quality_index == round(sum(wanted[r.dataset]) / 4, 4) for r in found)
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
-def test_v2_queries_report_overlaps(spark):
-    duck = duckdb.connect()
-    for name in ("orders", "lineitem"):
-        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
-    sql = catalogue.oracle_sql()
-    pairs = sql["rules_v2_overlaps"].replace(">= 0.5", ">= 0.9")
-    overlaps = dict(duck.sql(f"SELECT dataset, n FROM ({pairs}) WHERE rule_id = 'BOX012'").fetchall())
-    without = duck.sql(f"SELECT dataset, n_warning, n_issues FROM ({sql['quality_index_by_dataset']})").fetchall()
-    found = {r.dataset: (r.n_warning, r.n_issues) for r in catalogue.queries()["quality_index_by_dataset"](spark, SF).collect()}
-    assert found == {d: (w + overlaps.get(d, 0), n + overlaps.get(d, 0)) for d, w, n in without}
-    counted = catalogue.queries()["rules_v2_counts"](spark, SF).filter("rule_id = 'BOX012'").select("n").collect()
-    assert [r.n for r in counted] == [sum(overlaps.values())] and overlaps
