@@ -7,9 +7,12 @@ edge, unless said otherwise.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
-LUMA = np.array([0.114, 0.587, 0.299])
+# Shares of blue, green and red in luma, of 2 to the power of 14.
+LUMA = np.array([1868, 9617, 4899])
 
 
 def to_uint8(image: np.ndarray) -> np.ndarray:
@@ -17,20 +20,52 @@ def to_uint8(image: np.ndarray) -> np.ndarray:
 
 
 def to_gray(image: np.ndarray) -> np.ndarray:
-    return image if image.ndim == 2 else to_uint8(image[..., :3] @ LUMA)
+    """Luma in whole numbers, halves up."""
+    return image if image.ndim == 2 else ((image[..., :3].astype(np.int64) @ LUMA + (1 << 13)) >> 14).astype(np.uint8)
 
 
 def per_channel(image: np.ndarray, f) -> np.ndarray:
     return f(image) if image.ndim == 2 else np.stack([f(image[..., k]) for k in range(image.shape[2])], axis=-1)
 
 
-def on_luma(image: np.ndarray, f) -> np.ndarray:
-    """Apply ``f`` to the gray image and carry its change to all channels."""
+# Linear RGB to XYZ (D65 white) and its white point; bounds and slopes of the CIE curves.
+_XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
+_WHITE = np.array([0.950456, 1.0, 1.088754])
+_CIE_BOUND, _CIE_SLOPE = 0.008856, 7.787
+
+
+def to_lab(image: np.ndarray) -> np.ndarray:
+    """BGR bytes as CIE L, a, b bytes: L times 255/100, a and b plus 128."""
+    rgb = image[..., 2::-1].astype(float) / 255
+    linear = np.where(rgb <= 0.04045, rgb / 12.92, ((rgb + 0.055) / 1.055) ** 2.4)
+    ratio = linear @ _XYZ.T / _WHITE
+    curve = np.where(ratio > _CIE_BOUND, np.cbrt(ratio), _CIE_SLOPE * ratio + 16 / 116)
+    x, y, z = (curve[..., k] for k in range(3))
+    return to_uint8(np.stack([(116 * y - 16) * 2.55, 500 * (x - y) + 128, 200 * (y - z) + 128], axis=-1))
+
+
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    """BGR bytes of L, a, b bytes."""
+    y = (lab[..., 0] / 2.55 + 16) / 116
+    curve = np.stack([y + (lab[..., 1] - 128.0) / 500, y, y - (lab[..., 2] - 128.0) / 200], axis=-1)
+    ratio = np.where(curve**3 > _CIE_BOUND, curve**3, (curve - 16 / 116) / _CIE_SLOPE)
+    linear = np.clip((ratio * _WHITE) @ np.linalg.inv(_XYZ).T, 0, 1)
+    rgb = np.where(linear <= 0.0031308, linear * 12.92, 1.055 * linear ** (1 / 2.4) - 0.055)
+    return to_uint8(rgb[..., ::-1] * 255)
+
+
+def on_lightness(image: np.ndarray, f) -> np.ndarray:
+    """Apply ``f`` to a gray image, or to the lightness channel of a colour image."""
     if image.ndim == 2:
         return f(image)
-    before = to_gray(image).astype(float)
-    after = f(to_gray(image)).astype(float)
-    return to_uint8(image * ((after + 1e-6) / np.maximum(before, 1e-6))[..., None])
+    lab = to_lab(image)
+    lab[..., 0] = f(np.ascontiguousarray(lab[..., 0]))
+    return from_lab(lab)
+
+
+def truncated(image: np.ndarray) -> np.ndarray:
+    """Clipped to bytes, fractions cut off."""
+    return np.clip(image, 0, 255).astype(np.uint8)
 
 
 def windows(image: np.ndarray, size: int) -> np.ndarray:
@@ -43,17 +78,30 @@ def convolve(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return np.einsum("ijkl,kl->ij", windows(image.astype(float), kernel.shape[0]), kernel)
 
 
+def convolve_lines(image: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Convolution with the outer product of ``line`` with itself, one axis after the other."""
+    out, pad = image.astype(float), len(line) // 2
+    for axis in (0, 1):
+        width = [(pad, pad) if k == axis else (0, 0) for k in range(2)]
+        padded = np.pad(out, width, mode="reflect" if out.shape[axis] > 1 else "edge")
+        out = sum(w * np.take(padded, range(k, k + out.shape[axis]), axis) for k, w in enumerate(line))
+    return out
+
+
 def odd(size: int) -> int:
     size = max(1, int(size))
     return size + 1 - size % 2
 
 
-def gaussian_kernel(size: int, sigma: float = 0.0) -> np.ndarray:
+def gaussian_line(size: int, sigma: float = 0.0) -> np.ndarray:
     size = odd(size)
     sigma = sigma if sigma > 0 else 0.3 * ((size - 1) * 0.5 - 1) + 0.8
     line = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma**2))
-    kernel = np.outer(line, line)
-    return kernel / kernel.sum()
+    return line / line.sum()
+
+
+def gaussian_kernel(size: int, sigma: float = 0.0) -> np.ndarray:
+    return np.outer(gaussian_line(size, sigma), gaussian_line(size, sigma))
 
 
 LAPLACIAN = np.array([[0, 1, 0], [1, -4, 1], [0, 1, 0]], float)
@@ -128,8 +176,8 @@ def letterbox(image: np.ndarray, width: int, height: int, fill: int = 0, method:
 
 
 def gaussian_blur(image: np.ndarray, size: int = 5, sigma: float = 0.0) -> np.ndarray:
-    kernel = gaussian_kernel(size, sigma)
-    return per_channel(image, lambda c: to_uint8(convolve(c, kernel)))
+    line = gaussian_line(size, sigma)
+    return per_channel(image, lambda c: to_uint8(convolve_lines(c, line)))
 
 
 def median_blur(image: np.ndarray, size: int = 5) -> np.ndarray:
@@ -137,7 +185,10 @@ def median_blur(image: np.ndarray, size: int = 5) -> np.ndarray:
 
 
 def bilateral(image: np.ndarray, size: int = 9, sigma_color: float = 75.0, sigma_space: float = 75.0) -> np.ndarray:
-    near = gaussian_kernel(size, sigma_space)
+    """Weights by distance, within a circle, and by difference of levels."""
+    away = np.arange(odd(size)) - odd(size) // 2
+    apart = away[:, None] ** 2 + away[None, :] ** 2
+    near = np.exp(-apart / (2 * sigma_space**2)) * (apart <= (odd(size) // 2) ** 2)
 
     def one(c: np.ndarray) -> np.ndarray:
         view = windows(c.astype(float), odd(size))
@@ -176,13 +227,15 @@ def kernel_sharpen(image: np.ndarray, strength: float = 0.0) -> np.ndarray:
 
 
 def laplacian_sharpen(image: np.ndarray, strength: float = 1.0) -> np.ndarray:
-    return per_channel(image, lambda c: to_uint8(c - strength * convolve(c, LAPLACIAN)))
+    """The Laplacian of the gray image, taken from every channel."""
+    edges = strength * convolve(to_gray(image), LAPLACIAN)
+    return truncated(image - (edges if image.ndim == 2 else edges[..., None]))
 
 
 # -- tone --------------------------------------------------------------------
 
 
-def clahe(image: np.ndarray, clip_limit: float = 2.0, grid: int = 8, luma_only: bool = True, keep_brightness: bool = False) -> np.ndarray:
+def clahe(image: np.ndarray, clip_limit: float = 2.0, grid: int = 8, lightness_only: bool = True, keep_brightness: bool = False) -> np.ndarray:
     """Contrast-limited equalisation in a grid of tiles, blended between tile centres."""
 
     def one(c: np.ndarray) -> np.ndarray:
@@ -212,7 +265,7 @@ def clahe(image: np.ndarray, clip_limit: float = 2.0, grid: int = 8, luma_only:
         bottom = value(r1, c0) * (1 - fc) + value(r1, c1) * fc
         return to_uint8(top * (1 - fr) + bottom * fr)
 
-    out = on_luma(image, one) if luma_only else per_channel(image, one)
+    out = on_lightness(image, one) if lightness_only else per_channel(image, one)
     return restore_brightness(image, out) if keep_brightness else out
 
 
@@ -229,18 +282,19 @@ def equalize(image: np.ndarray) -> np.ndarray:
             return c
         return to_uint8((sums - first) * 255.0 / (sums[-1] - first))[c]
 
-    return on_luma(image, one)
+    return on_lightness(image, one)
 
 
 def match_histogram(image: np.ndarray, reference: np.ndarray) -> np.ndarray:
     """Values go to the least reference value whose cumulative share reaches theirs."""
-    wanted = np.cumsum(np.bincount(to_gray(reference).ravel(), minlength=256)) / to_gray(reference).size
+    tone = to_gray(reference) if image.ndim == 2 else to_lab(reference)[..., 0]
+    wanted = np.cumsum(np.bincount(tone.ravel(), minlength=256)) / tone.size
 
     def one(c: np.ndarray) -> np.ndarray:
         have = np.cumsum(np.bincount(c.ravel(), minlength=256)) / c.size
         return np.minimum(np.searchsorted(wanted, have - 1e-12), 255).astype(np.uint8)[c]
 
-    return on_luma(image, one)
+    return on_lightness(image, one)
 
 
 def gamma(image: np.ndarray, g: float) -> np.ndarray:
@@ -302,8 +356,10 @@ def element(shape: str = "rectangle", size: int = 3) -> np.ndarray:
         return np.ones((size, size), bool)
     if shape == "cross":
         return (axis[:, None] == 0) | (axis[None, :] == 0)
-    if shape == "ellipse":
-        return axis[:, None] ** 2 + axis[None, :] ** 2 <= (size / 2) ** 2
+    if shape == "ellipse":  # each row as wide as the ellipse is there, rounded
+        half = size // 2
+        wide = np.rint(half * np.sqrt(1 - (axis / max(half, 1)) ** 2))
+        return axis[None, :] <= wide[:, None]
     raise ValueError(f"unknown element: {shape}")
 
 
@@ -362,7 +418,7 @@ def tissue_mask(density: np.ndarray, threshold: float = 0.15) -> np.ndarray:
 
 def stain_vectors(density: np.ndarray, percentile: float = 1.0) -> np.ndarray:
     """Two unit stain directions (rows) of optical densities (pixels x 3)."""
-    density = density[np.isfinite(density).all(-1)]
+    density = valid_density(density)
     _, basis = np.linalg.eigh(np.cov(density.T))
     plane = basis[:, [2, 1]]
     plane = plane * np.where(plane.sum(0) < 0, -1, 1)
@@ -377,56 +433,105 @@ def concentrations(density: np.ndarray, stains: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(stains.T, density.T, rcond=None)[0].T
 
 
-def macenko(image: np.ndarray, reference: np.ndarray, threshold: float = 0.15) -> np.ndarray:
-    """Stains of the image rescaled to the reference's; background pixels stay."""
+@dataclass(frozen=True)
+class Stains:
+    """What ``macenko`` needs of a reference image."""
+
+    vectors: np.ndarray
+    most: np.ndarray
+
+
+def _stained(image: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    density = optical_density(image)
+    mask = tissue_mask(density, threshold)
+    inside = density[mask]
+    vectors = stain_vectors(inside)
+    found = concentrations(inside, vectors)
+    return mask, vectors, found, np.maximum(np.percentile(found, 99, axis=0), 1e-8)
+
 
-    def parts(x: np.ndarray):
-        density = optical_density(x)
-        mask = tissue_mask(density, threshold)
-        inside = density[mask]
-        stains = stain_vectors(inside)
-        c = concentrations(inside, stains)
-        return mask, stains, c, np.maximum(np.percentile(c, 99, axis=0), 1e-8)
+def stains_of(reference: np.ndarray, threshold: float = 0.15) -> Stains:
+    _, vectors, _, most = _stained(as_reference(reference), threshold)
+    return Stains(vectors, most)
 
-    mask, _, c, most = parts(image)
-    _, wanted, _, wanted_most = parts(reference)
+
+def macenko(image: np.ndarray, reference: np.ndarray | Stains, threshold: float = 0.15) -> np.ndarray:
+    """Stains of the image rescaled to the reference's (an image, or its ``Stains``); background pixels stay."""
+    wanted = reference if isinstance(reference, Stains) else stains_of(reference, threshold)
+    mask, _, found, most = _stained(image, threshold)
     out = image.copy()
-    out[mask] = from_optical_density(c * (wanted_most / most) @ wanted)
+    out[mask] = from_optical_density(found * (wanted.most / most) @ wanted.vectors)
     return out
 
 
+def as_reference(image: np.ndarray) -> np.ndarray:
+    """A reference image, if it is one: three channels of bytes, not empty."""
+    if image is None:
+        raise ValueError("a reference image is needed")
+    if not isinstance(image, np.ndarray) or image.dtype != np.uint8:
+        raise TypeError("a reference image holds bytes")
+    if image.ndim != 3 or image.shape[2] != 3 or not image.size:
+        raise ValueError("a reference image has three channels and at least one pixel")
+    return image
+
+
+def valid_density(density: np.ndarray) -> np.ndarray:
+    """Optical densities (pixels x 3) that are finite; at least two pixels must be left."""
+    if density.ndim != 2 or density.shape[1] != 3:
+        raise ValueError("optical densities have three columns")
+    kept = density[np.isfinite(density).all(-1)]
+    if len(kept) < 2:
+        raise ValueError("too few pixels with tissue")
+    return kept
+
+
+def background_mask(image: np.ndarray, threshold: int = 220) -> np.ndarray:
+    """Pixels that are darker than the background."""
+    return to_gray(image) < threshold
+
+
+def without_background(image: np.ndarray, threshold: int = 220) -> np.ndarray:
+    """Pixels (rows of three) that are darker than the background."""
+    return image[background_mask(image, threshold)]
+
+
 def channel_moments(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = image.reshape(-1, image.shape[-1]).astype(float)
-    std = flat.std(0)
-    return flat.mean(0), np.where(std < 1e-8, 1.0, std)
+    return flat.mean(0), flat.std(0)
 
 
-def reinhard(image: np.ndarray, reference: np.ndarray) -> np.ndarray:
-    """Channel means and deviations matched in an opponent log space."""
-    source, wanted = _to_opponent(image), _to_opponent(reference)
-    mean, std = channel_moments(source)
-    wanted_mean, wanted_std = channel_moments(wanted)
-    return _from_opponent((source - mean) * (wanted_std / std) + wanted_mean)
+@dataclass(frozen=True)
+class Moments:
+    """Means and deviations of the L, a and b channels of a reference image."""
 
+    mean: np.ndarray
+    std: np.ndarray
 
-# RGB to cone responses, and decorrelated axes of their logarithms.
-_CONES = np.array([[0.3811, 0.5783, 0.0402], [0.1967, 0.7244, 0.0782], [0.0241, 0.1288, 0.8444]])
-_AXES = np.diag([1 / 3**0.5, 1 / 6**0.5, 1 / 2**0.5]) @ np.array([[1, 1, 1], [1, 1, -2], [1, -1, 0]])
 
+def lab_moments(image: np.ndarray) -> Moments:
+    return Moments(*channel_moments(to_lab(as_reference(image))))
 
-def _to_opponent(image: np.ndarray) -> np.ndarray:
-    cones = np.maximum(image[..., ::-1].astype(float) / 255, 1 / 255) @ _CONES.T
-    return np.log10(cones) @ _AXES.T
 
+def matched_moments(channels: np.ndarray, wanted: Moments) -> np.ndarray:
+    """Channels shifted and scaled to the wanted means and deviations, within bytes."""
+    mean, std = channel_moments(channels)
+    return np.clip((channels - mean) * (wanted.std / np.maximum(std, 1e-8)) + wanted.mean, 0, 255)
 
-def _from_opponent(values: np.ndarray) -> np.ndarray:
-    rgb = 10 ** (values @ np.linalg.inv(_AXES).T) @ np.linalg.inv(_CONES).T
-    return to_uint8(rgb[..., ::-1] * 255)
+
+def reinhard(image: np.ndarray, reference: np.ndarray | Moments) -> np.ndarray:
+    """Means and deviations of the L, a and b channels matched to a reference's (an image, or its ``Moments``)."""
+    wanted = reference if isinstance(reference, Moments) else lab_moments(reference)
+    return from_lab(truncated(matched_moments(to_lab(image), wanted)))
 
 
 def standardize_brightness(image: np.ndarray, percentile: float = 90.0) -> np.ndarray:
-    most = np.percentile(to_gray(image), percentile)
-    return to_uint8(image * (255.0 / most)) if most > 0 else image
+    """Lightness scaled so that its percentile becomes 255."""
+
+    def scaled(c: np.ndarray) -> np.ndarray:
+        most = np.percentile(c, percentile)
+        return truncated(c * (255.0 / most)) if most > 0 else c
+
+    return on_lightness(image, scaled)
 
 
 # -- features ----------------------------------------------------------------
@@ -440,17 +545,51 @@ def crop(image: np.ndarray, xc: float, yc: float, w: float, h: float, padding: f
     return image[y1:y2, x1:x2] if x2 > x1 and y2 > y1 else None
 
 
+def canny(gray: np.ndarray, low: float = 100.0, high: float = 200.0) -> np.ndarray:
+    """Edge pixels: ridges of the gradient (sum of its absolute parts) above ``high``, and those above ``low`` that hang on them."""
+    padded = np.pad(gray.astype(float), 1, mode="edge")
+    view = np.lib.stride_tricks.sliding_window_view(padded, (3, 3))
+    gx, gy = np.einsum("ijkl,kl->ij", view, SOBEL_X), np.einsum("ijkl,kl->ij", view, SOBEL_X.T)
+    size = np.abs(gx) + np.abs(gy)
+    around = np.pad(size, 1)
+
+    def moved(dr: int, dc: int) -> np.ndarray:
+        return around[1 + dr : 1 + dr + size.shape[0], 1 + dc : 1 + dc + size.shape[1]]
+
+    slope = np.tan(np.pi / 8)
+    flat, steep = np.abs(gy) < np.abs(gx) * slope, np.abs(gy) > np.abs(gx) / slope
+    down = (gx * gy) >= 0
+    ridge = np.select(
+        [flat, steep, down],
+        [(size > moved(0, -1)) & (size >= moved(0, 1)), (size > moved(-1, 0)) & (size >= moved(1, 0)), (size > moved(-1, -1)) & (size > moved(1, 1))],
+        (size > moved(-1, 1)) & (size > moved(1, -1)),
+    )
+    weak, edges = ridge & (size > low), ridge & (size > high)
+    while True:
+        grown = weak & np.lib.stride_tricks.sliding_window_view(np.pad(edges, 1), (3, 3)).any((2, 3))
+        if (grown == edges).all():
+            return edges
+        edges = grown
+
+
+#: Names of the patch features, in order.
+FEATURE_NAMES = (
+    "B_mean", "B_std", "G_mean", "G_std", "R_mean", "R_std", "gray_mean", "gray_std", "gray_entropy", *(f"hue_{k}" for k in range(8)), "edge_density",
+)
+
+
 def patch_features(patch: np.ndarray, size: int = 64) -> np.ndarray:
-    """18 numbers: channel means and deviations, gray mean, deviation, entropy, 8 hue shares, edge share."""
+    """18 numbers: mean and deviation of each channel, gray mean, deviation and entropy, 8 hue shares, edge share."""
     patch = resize(patch, size, size)
     gray = to_gray(patch)
-    flat = patch.reshape(-1, 3).astype(float)
-    m = measures(patch)
-    hues = np.histogram(to_hsv(patch)[..., 0], bins=8, range=(0, 180))[0] / size**2
-    edges = np.hypot(convolve(gray, SOBEL_X), convolve(gray, SOBEL_X.T)) > 100
-    return np.concatenate(
-        [flat.mean(0), flat.std(0), [m["brightness"], m["contrast"], m["entropy"]], hues, [edges.mean()]]
-    ).astype(np.float32)
+    mean, std = channel_moments(patch)
+    share = np.bincount(gray.ravel(), minlength=256) / (gray.size + 1e-8)
+    share = share[share > 0]
+    hue = np.rint(to_hsv(patch)[..., 0]).astype(int) % 180
+    hues = np.histogram(hue, bins=8, range=(0, 180))[0] / (size**2 + 1e-8)
+    by_channel = np.column_stack([mean, std]).ravel()
+    entropy = float(-(share * np.log2(share)).sum())
+    return np.concatenate([by_channel, [gray.mean(), gray.std(), entropy], hues, [canny(gray).mean()]]).astype(np.float32)
 
 
 def hog(gray: np.ndarray, size: int = 64, cell: int = 8, bins: int = 9) -> np.ndarray:
@@ -472,8 +611,15 @@ def color_histogram(image: np.ndarray, bins: int = 16) -> np.ndarray:
     return np.concatenate(parts).astype(np.float32)
 
 
+# Sizes of the blur and strengths of the noise and the darkening.
+BLUR_SIZES, NOISE = (9, 15, 21), 35.0
+DARK_BLUR_SIZES, DARK_FACTORS = (121, 151, 171), (0.05, 0.10)
+
+
 def degrade(image: np.ndarray, rng: np.random.Generator, darken: bool = False) -> np.ndarray:
-    """Blur with noise, or heavy blur with darkening."""
+    """Blur with noise, or heavy blur with darkening (noise would raise contrast, entropy and the blur score)."""
     if darken:
-        return to_uint8(gaussian_blur(image, 15).astype(float) * 0.3)
-    return to_uint8(gaussian_blur(image, 7).astype(float) + rng.normal(0, 25, image.shape))
+        blurred = gaussian_blur(image, int(rng.choice(DARK_BLUR_SIZES)))
+        return truncated(blurred * rng.uniform(*DARK_FACTORS))
+    blurred = gaussian_blur(image, int(rng.choice(BLUR_SIZES)))
+    return truncated(blurred + rng.normal(0, NOISE, image.shape))

@@ -1,18 +1,23 @@
-"""Measures and point transforms of gray pixel arrays, as array functions.
+"""Measures and point transforms of pixel arrays.
 
-``pixels`` is an array of numbers in row order. Everything here stays in the JVM; the
-kernels module has what needs neighbourhoods of arbitrary size.
+``pixels`` is an array of numbers in row order. Point transforms are array functions in
+the JVM, one step a pixel. What needs histograms or neighbourhoods runs the kernels on
+Arrow batches, once for each tile.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import scalars as S
+from lumenframe.operators import kernels as K
 
 
 def total(pixels: Column) -> Column:
@@ -44,60 +49,48 @@ def median(pixels: Column) -> Column:
     return (F.get(ordered, ((n - 1) / 2).cast("int")) + F.get(ordered, (n / 2).cast("int"))) / 2.0
 
 
-def histogram(pixels: Column, bins: int = 256) -> Column:
-    """Counts of the values 0 to bins - 1."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda v: F.size(F.filter(pixels, lambda x: x == v)))
+#: Measures that ``kernels.measures`` gives.
+MEASURES = ("brightness", "contrast", "dynamic_range", "entropy", "blur_score", "sharpness", "noise_level")
 
 
-def value_counts(pixels: Column) -> Column:
-    """Counts of the values that occur."""
-    return F.transform(F.array_distinct(pixels), lambda v: F.size(F.filter(pixels, lambda x: x == v)))
+def measures(pixels: Column, side: int) -> Column:
+    """All measures of square gray tiles as one struct."""
 
+    def of(tiles: pd.Series) -> pd.DataFrame:
+        rows = [K.measures(np.asarray(t, np.uint8).reshape(side, side)) for t in tiles]
+        return pd.DataFrame(rows, columns=list(MEASURES))
 
-def entropy(pixels: Column) -> Column:
-    """Bits per pixel of the value distribution."""
-    n = F.size(pixels)
-    return F.aggregate(value_counts(pixels), F.lit(0.0), lambda a, c: a - (c / n) * F.log2(c / n))
-
-
-def _reflected(k: Column, n: int) -> Column:
-    """Index mirrored at the border without repeating the edge."""
-    return F.when(k < 0, -k).when(k >= n, F.lit(2 * n - 2) - k).otherwise(k)
-
-
-def neighbourhood(pixels: Column, side: int, value: Callable[[Callable[[int, int], Column]], Column]) -> Column:
-    """``value`` at every pixel of a square tile; its argument reads a neighbour by (row, column) offset."""
-
-    def one(i: Column) -> Column:
-        row, column = F.floor(i / side).cast("int"), (i % side).cast("int")
-
-        def read(dr: int, dc: int) -> Column:
-            at = _reflected(row + dr, side) * side + _reflected(column + dc, side)
-            return F.get(pixels, at.cast("int"))
-
-        return value(read)
+    return F.pandas_udf(of, "struct<" + ", ".join(f"{m}: double" for m in MEASURES) + ">")(pixels)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), one)
 
+def kernel(tiles: DataFrame, f: Callable[[np.ndarray], np.ndarray], side: int, key: str = "vec_id", pixels: str = "pixels", channels: int = 1) -> DataFrame:
+    """key, channel, place, value of what ``f`` makes of each tile.
 
-def laplacian(pixels: Column, side: int) -> Column:
-    return neighbourhood(pixels, side, lambda p: p(-1, 0) + p(1, 0) + p(0, -1) + p(0, 1) - 4 * p(0, 0))
+    Pixels of colour tiles follow each other as blue, green, red; ``f`` may give an array
+    of any shape of rows, columns (and channels).
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = (side, side) if channels == 1 else (side, side, channels)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                made = [np.asarray(f(np.array(p.as_py(), np.uint8).reshape(shape))) for p in part.column(1)]
+                flat = [m.reshape(m.shape[0] * m.shape[1], -1) if m.ndim > 1 else m.reshape(-1, 1) for m in made]
+                sizes = [m.size for m in flat]
+                places = [np.indices(m.shape).reshape(2, -1) for m in flat]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), sizes), pa.int64()),
+                        pa.array(np.concatenate([p[1] for p in places]), pa.int32()),
+                        pa.array(np.concatenate([p[0] for p in places]), pa.int32()),
+                        pa.array(np.concatenate([m.ravel() for m in flat]).astype(float), pa.float64()),
+                    ],
+                    names=[key, "channel", "place", "value"],
+                )
 
-def blur_score(pixels: Column, side: int) -> Column:
-    """Variance of the Laplacian: low for blurred tiles."""
-    return variance(laplacian(pixels, side))
-
-
-def sharpness(pixels: Column, side: int) -> Column:
-    """Mean Sobel gradient magnitude."""
-
-    def magnitude(p) -> Column:
-        gx = p(-1, 1) + 2 * p(0, 1) + p(1, 1) - p(-1, -1) - 2 * p(0, -1) - p(1, -1)
-        gy = p(1, -1) + 2 * p(1, 0) + p(1, 1) - p(-1, -1) - 2 * p(-1, 0) - p(-1, 1)
-        return F.sqrt((gx * gx + gy * gy).cast("double"))
-
-    return brightness(neighbourhood(pixels, side, magnitude))
+    wanted = tiles.select(F.col(key).cast("long").alias(key), F.col(pixels).cast("array<int>").alias(pixels))
+    return wanted.mapInArrow(run, f"{key} long, channel int, place int, value double")
 
 
 @dataclass(frozen=True)
@@ -143,17 +136,13 @@ def quality_issues(m: dict[str, Column], t: Thresholds = Thresholds(), with_shar
 
 def measured(tiles: DataFrame, side: int, t: Thresholds = Thresholds()) -> DataFrame:
     """All measures of each tile as columns, rounded to 4 places, with score and issues."""
-    p = F.col("pixels")
-    values = {
-        "brightness": F.round(brightness(p), 4),
-        "contrast": F.round(contrast(p), 4),
-        "dynamic_range": dynamic_range(p),
-        "entropy": F.round(entropy(p), 4),
-        "blur_score": F.round(blur_score(p, side), 4),
-        "sharpness": F.round(sharpness(p, side), 4),
-    }
-    # a generator is evaluated once; plain projections would be inlined into every use
-    out = tiles.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
+    m = measures(F.col("pixels"), side)
+    out = tiles.withColumn("_measured", m).select(
+        "*",
+        *[F.round(F.col(f"_measured.{n}"), 4).alias(n) for n in MEASURES if n != "dynamic_range"],
+        F.col("_measured.dynamic_range").cast("int").alias("dynamic_range"),
+    )
+    out = out.drop("_measured")
     score = quality_score(F.col("brightness"), F.col("contrast"), F.col("blur_score"), F.col("entropy"), t)
     out = out.withColumn("quality_score", score)
     names = ("brightness", "contrast", "blur_score", "entropy", "quality_score")
@@ -278,32 +267,6 @@ def brightness_normalize(pixels: Column, target: float = 128.0) -> Column:
     return each(pixels, lambda x: F.when(mean > 0, as_uint8(x * (F.lit(target) / F.nullif(mean, F.lit(0.0))))).otherwise(x))
 
 
-def equalize(pixels: Column) -> Column:
-    """Histogram equalisation: ranks in the value distribution spread over 0..255."""
-    n = F.size(pixels)
-    least = F.array_min(pixels)
-    first = F.size(F.filter(pixels, lambda x: x == least))
-
-    def one(x: Column) -> Column:
-        below = F.size(F.filter(pixels, lambda y: y <= x))
-        return F.when(n > first, F.floor((below - first) * 255.0 / F.nullif(n - first, F.lit(0)) + 0.5).cast("int")).otherwise(x)
-
-    return each(pixels, one)
-
-
-def match_histogram(pixels: Column, reference: Column) -> Column:
-    """Each value goes to the least reference value whose share of values below reaches its own."""
-    n, m = F.size(pixels), F.size(reference)
-    ordered = F.array_sort(reference)
-
-    def one(x: Column) -> Column:
-        below = F.size(F.filter(pixels, lambda y: y <= x))
-        at = F.ceil(below * m / n).cast("int") - 1
-        return F.get(ordered, F.greatest(F.lit(0), F.least(m - 1, at)))
-
-    return each(pixels, one)
-
-
 def optical_density(pixels: Column) -> Column:
     return each(pixels, lambda x: -F.ln(F.greatest(x, F.lit(1)) / 255.0))
 
@@ -321,20 +284,6 @@ def gray_world(channels: list[Column]) -> list[Column]:
     ]
 
 
-def gray(b: Column, g: Column, r: Column) -> Column:
-    """Luma of a blue, green, red triple, rounded."""
-    return F.floor(0.114 * b + 0.587 * g + 0.299 * r + 0.5).cast("int")
-
-
-def channel_histogram(channel: Column, bins: int = 16) -> Column:
-    """Shares of equal value ranges."""
-    n = F.size(channel)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(bins - 1)),
-        lambda k: F.size(F.filter(channel, lambda x: F.floor(x * bins / 256) == k)) / n,
-    )
-
-
 def rows_unit_length(vector: Column) -> Column:
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
     return each(vector, lambda x: F.when(norm > 0, x / F.nullif(norm, F.lit(0.0))).otherwise(x))

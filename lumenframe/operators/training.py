@@ -17,6 +17,13 @@ from lumenframe.operators import kernels as K
 from lumenframe.operators import ranked as R
 
 
+def parts(batches: Iterator[pd.DataFrame], rows: int = 16) -> Iterator[pd.DataFrame]:
+    """Slices of batches, so that few images are unpacked at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def object_features(objects: DataFrame, max_objects_per_class: int | None = None) -> DataFrame:
     """seq, object_index, class_id, features of objects joined with their image's pixels.
 
@@ -26,7 +33,7 @@ def object_features(objects: DataFrame, max_objects_per_class: int | None = None
     rows = objects if max_objects_per_class is None else R.capped(objects, "class_id", ["seq", "object_index"], max_objects_per_class)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for r in batch.itertuples(index=False):
                 if r.width <= 0:
@@ -45,7 +52,7 @@ def baseline_features(images: DataFrame) -> DataFrame:
     """path, features (gradient and colour histograms) of decoded images; broken ones are dropped."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for r in batch.itertuples(index=False):
                 image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
@@ -64,13 +71,18 @@ def stratified_halves(rows: DataFrame, label: str, id_col: str, test: float = 0.
     return train, dealt.filter("new_split = 'test'").select(*rows.columns)
 
 
+def class_weights(rows: DataFrame, label: str) -> DataFrame:
+    """label, weight: n / (classes x n of the class), so that classes count alike."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    n, k = rows.count(), counts.count()
+    return counts.select(label, (F.lit(float(n)) / (F.lit(k) * F.col("_n"))).alias("weight"))
+
+
 def train_forest(rows: DataFrame, label: str, features: str = "features", trees: int = 200, seed: int = 42, balanced: bool = True) -> RandomForestClassificationModel:
     """Random forest on an array column; balanced weights make classes count alike."""
     ready = rows.withColumn("_x", array_to_vector(F.col(features).cast("array<double>"))).withColumn("_y", F.col(label).cast("double"))
     if balanced:
-        counts = ready.groupBy("_y").agg(F.count("*").alias("_n"))
-        n, k = ready.count(), counts.count()
-        ready = ready.join(counts.withColumn("_weight", F.lit(float(n)) / (F.lit(k) * F.col("_n"))), "_y")
+        ready = ready.join(class_weights(ready, "_y").withColumnRenamed("weight", "_weight"), "_y")
     else:
         ready = ready.withColumn("_weight", F.lit(1.0))
     return RandomForestClassifier(featuresCol="_x", labelCol="_y", weightCol="_weight", numTrees=trees, seed=seed).fit(ready)
@@ -130,19 +142,33 @@ LEVELS = {
 }
 
 
+#: Only the pixels are damaged, by blur and darkening: what a score of image quality can see.
+IMAGE_ONLY = Level("image_only", 0.5, annotations=False, labels=False, darken=True)
+
+
+def touched_images(images: DataFrame, share: float, seed: int = 42, exclude_split: str = "test") -> DataFrame:
+    """seq of exactly round(n x share) of the n images outside of one split, in a repeatable random order."""
+    eligible = images.filter(~S.is_true(F.col("split") == exclude_split)).select("seq").withColumn("_u", S.uniform(seed, F.col("seq")))
+    wanted = round(eligible.count() * share)
+    placed = R.global_number(eligible, ["_u", "seq"], "_place", F.floor(F.col("_u") * 4096))
+    return placed.filter(F.col("_place") <= wanted).select("seq")
+
+
 def degraded_boxes(images: DataFrame, boxes: DataFrame, level: Level, seed: int = 42, exclude_split: str = "test") -> DataFrame:
     """Boxes with repeatable damage in a share of the images outside of one split.
 
     Half of a touched image's objects get a damaged box (collapsed to 0.001, or shifted
-    by 0.3 to 0.6 and capped at 1.2), three in ten another class.
+    by 0.3 to 0.6 and capped at 1.2), three in ten the name of another class.
     """
-    touched = S.is_true(S.uniform(seed, F.col("seq")) < level.share) & ~S.is_true(F.col("split") == exclude_split)
-    joined = boxes.join(images.select("seq", touched.alias("touched")), "seq")
-    roll = [S.uniform(seed + k, F.col("seq"), F.col("object_index")) for k in range(1, 6)]
-    hit = F.col("touched") & F.lit(level.annotations) & (roll[0] < 0.5)
+    names = sorted(r[0] for r in boxes.select("class_name").distinct().collect() if r[0] is not None)  # one row per class
+    joined = boxes.join(touched_images(images, level.share, seed, exclude_split).withColumn("touched", F.lit(True)), "seq", "left")
+    touched = S.is_true(F.col("touched"))
+    roll = [S.uniform(seed + k, F.col("seq"), F.col("object_index")) for k in range(1, 7)]
+    hit = touched & F.lit(level.annotations) & (roll[0] < 0.5)
     collapse = hit & (roll[1] < 0.5)
     shift = hit & (roll[1] >= 0.5)
-    relabel = F.col("touched") & F.lit(level.labels) & (roll[4] < 0.3)
+    others = F.filter(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda n: ~S.is_true(n == F.col("class_name")))
+    relabel = touched & F.lit(level.labels) & (roll[4] < 0.3) & (F.size(others) > 0)
 
     def moved(value, r):
         return F.when(shift, F.least(F.lit(1.2), value + 0.3 + 0.3 * r)).otherwise(value)
@@ -150,10 +176,32 @@ def degraded_boxes(images: DataFrame, boxes: DataFrame, level: Level, seed: int
     return joined.select(
         "seq",
         "object_index",
-        F.when(relabel, F.pmod(F.col("class_id") + 1, F.lit(4))).otherwise(F.col("class_id")).cast("int").alias("class_id"),
+        "class_id",
+        F.when(relabel, F.get(others, F.floor(roll[5] * F.size(others)).cast("int"))).otherwise(F.col("class_name")).alias("class_name"),
         moved(F.col("xc"), roll[2]).alias("xc"),
         moved(F.col("yc"), roll[3]).alias("yc"),
         F.when(collapse, 0.001).otherwise(F.col("w")).alias("w"),
         F.when(collapse, 0.001).otherwise(F.col("h")).alias("h"),
         (hit | relabel).alias("damaged"),
     )
+
+
+def degraded_images(pixels: DataFrame, touched: DataFrame, level: Level, seed: int = 42) -> DataFrame:
+    """seq, width, height, channels, data: pixels of touched images damaged, the others as they are."""
+    flagged = pixels.join(touched.select("seq").withColumn("_touched", F.lit(True)), "seq", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts(batches):
+            made = []
+            for r in part.itertuples(index=False):
+                data = r.data
+                if r.touched and r.width > 0:
+                    shape = (r.height, r.width) if r.channels == 1 else (r.height, r.width, r.channels)
+                    rng = np.random.default_rng([seed, r.seq % (1 << 63)])
+                    data = K.degrade(np.frombuffer(r.data, np.uint8).reshape(shape), rng, level.darken).tobytes()
+                made.append(data)
+            yield part[["seq", "width", "height", "channels"]].assign(data=made)
+
+    damaged = S.is_true(F.col("_touched")) & F.lit(level.images)
+    wanted = flagged.select("seq", "width", "height", "channels", "data", damaged.alias("touched"))
+    return wanted.mapInPandas(run, "seq long, width int, height int, channels int, data binary")

@@ -8,17 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions import geometry as G
 from lumenframe.functions import scalars as S
 from lumenframe.operators import dataset as D
+from lumenframe.operators import kernels as I
 from lumenframe.operators import pixels as P
 from lumenframe.operators import ranked as R
 from lumenframe.operators import rules as V
 from lumenframe.operators import statistics as T
 from lumenframe.operators import training as M
+from lumenframe.plans import pipeline as Y
 from lumenframe.plans import testbed as B
 from lumenframe.plans.oracles import ORACLES
 from lumenframe.sources import annotations as A
@@ -842,9 +845,16 @@ def hist_stretch(spark, sf_dir):
     return _mapped(spark, sf_dir, P.histogram_stretch(F.col("pixels")))
 
 
+def _kernels(spark, sf_dir, f, color: bool = False, places: int | None = None) -> DataFrame:
+    """What kernels make of each tile: channel k of ``f``'s result is its k-th layer."""
+    tiles = B.color_tiles(spark, sf_dir) if color else B.tiles(spark, sf_dir)
+    made = P.kernel(tiles, f, 8, channels=3 if color else 1)
+    return made if places is None else made.withColumn("value", F.round("value", places))
+
+
 @query
 def equalize(spark, sf_dir):
-    return _mapped(spark, sf_dir, P.equalize(F.col("pixels")))
+    return _kernels(spark, sf_dir, I.equalize).select("vec_id", "place", F.col("value").cast("int").alias("value"))
 
 
 @query
@@ -870,13 +880,125 @@ def gamma_lut(spark, sf_dir):
 
 @query
 def cdf_match(spark, sf_dir):
-    reference = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i * 4 + 1).cast("int"))
-    return _mapped(spark, sf_dir, P.match_histogram(F.col("pixels"), reference))
+    """Levels matched to those of a ramp of 64 values."""
+    ramp = (np.arange(64) * 4 + 1).astype(np.uint8).reshape(8, 8)
+    made = _kernels(spark, sf_dir, lambda t: I.match_histogram(t, ramp))
+    return made.select("vec_id", "place", F.col("value").cast("int").alias("value"))
 
 
 @query
 def channel_histogram(spark, sf_dir):
-    return _mapped(spark, sf_dir, P.channel_histogram(F.col("pixels")), 6)
+    made = _kernels(spark, sf_dir, lambda t: I.color_histogram(t[..., None]).astype(float), places=6)
+    return made.select("vec_id", "place", "value")
+
+
+@query
+def color_histogram(spark, sf_dir):
+    return _kernels(spark, sf_dir, lambda t: I.color_histogram(t).astype(float), True, 6).select("vec_id", "place", "value")
+
+
+@query
+def pixel_noise(spark, sf_dir):
+    """Spread of what a small blur takes away."""
+    noise = P.measures(F.col("pixels"), 8)["noise_level"]
+    return B.tiles(spark, sf_dir).select("vec_id", F.round(noise, 4).alias("noise_level"))
+
+
+@query
+def kernel_morphology(spark, sf_dir):
+    """Layers: the seven operations on a square of three, erosion by a cross, dilation by an ellipse of five."""
+    names = ("erosion", "dilation", "opening", "closing", "gradient", "tophat", "blackhat")
+
+    def layers(t):
+        return np.dstack([I.morphology(t, n) for n in names] + [I.erode(t, I.element("cross", 3)), I.dilate(t, I.element("ellipse", 5))])
+
+    return _kernels(spark, sf_dir, layers)
+
+
+@query
+def kernel_filters(spark, sf_dir):
+    """Layers: median, Gaussian and bilateral blur of three, sharpening by kernel, by Laplacian and by unsharp mask."""
+
+    def layers(t):
+        blurred = [I.median_blur(t, 3), I.gaussian_blur(t, 3), I.bilateral(t, 3)]
+        return np.dstack([*blurred, I.kernel_sharpen(t), I.laplacian_sharpen(t), I.unsharp_mask(t)])
+
+    return _kernels(spark, sf_dir, layers)
+
+
+@query
+def kernel_clahe(spark, sf_dir):
+    """Contrast-limited equalisation in one tile."""
+    return _kernels(spark, sf_dir, lambda t: I.clahe(t, 2.0, 1))
+
+
+@query
+def kernel_sizes(spark, sf_dir):
+    """Layers: half the size by nearest, linear and area."""
+    return _kernels(spark, sf_dir, lambda t: np.dstack([I.resize(t, 4, 4, m) for m in ("nearest", "linear", "area")]))
+
+
+@query
+def kernel_letterbox(spark, sf_dir):
+    """A tile in a wider frame, one and a half times as wide as high."""
+    return _kernels(spark, sf_dir, lambda t: I.letterbox(t, 12, 8, 7))
+
+
+@query
+def kernel_white_balance(spark, sf_dir):
+    """Layers: gray world and stretched channels (blue, green, red each)."""
+    return _kernels(spark, sf_dir, lambda t: np.dstack([I.gray_world(t), I.simple_white_balance(t)]), True)
+
+
+@query
+def kernel_gray_masks(spark, sf_dir):
+    """Layers: luma, pixels darker than the background, pixels with stain."""
+
+    def layers(t):
+        return np.dstack([I.to_gray(t), I.background_mask(t, 160), I.tissue_mask(I.optical_density(t), 0.9)])
+
+    return _kernels(spark, sf_dir, layers, True)
+
+
+@query
+def kernel_lab(spark, sf_dir):
+    """Layers: lightness and the two colour axes."""
+    return _kernels(spark, sf_dir, I.to_lab, True)
+
+
+@query
+def kernel_lab_moments(spark, sf_dir):
+    """Means, then deviations, of the three axes of each tile."""
+
+    def moments(t):
+        found = I.lab_moments(t)
+        return np.concatenate([found.mean, found.std])
+
+    return _kernels(spark, sf_dir, moments, True, 5).select("vec_id", "place", "value")
+
+
+@query
+def kernel_matched_moments(spark, sf_dir):
+    """Axes shifted and scaled to given moments, as ``reinhard`` does before it goes back to colours."""
+    wanted = I.Moments(np.array([120.0, 130.0, 125.0]), np.array([20.0, 5.0, 8.0]))
+    return _kernels(spark, sf_dir, lambda t: I.matched_moments(I.to_lab(t), wanted), True, 4)
+
+
+@query
+def kernel_hsv(spark, sf_dir):
+    """Layers: hue, saturation, value; then the tile with its saturation kept, with hues turned once around, and without colour."""
+
+    def layers(t):
+        return np.dstack([I.to_hsv(t), I.adjust_saturation(t, 1.0), I.adjust_hue(t, 180.0), I.adjust_saturation(t, 0.0)])
+
+    return _kernels(spark, sf_dir, layers, True, 4)
+
+
+@query
+def kernel_scales(spark, sf_dir):
+    """Layers: the unit scale and the scale of a photographic corpus (blue, green, red each)."""
+    unit, corpus = Y.normalizer("unit"), Y.normalizer("imagenet")
+    return _kernels(spark, sf_dir, lambda t: np.dstack([unit(t), corpus(t)]), True, 3)
 
 
 # -- degradation and sinks ---------------------------------------------------
@@ -886,7 +1008,7 @@ def channel_histogram(spark, sf_dir):
 def degrade_boxes(spark, sf_dir):
     images, boxes = _both(spark, sf_dir)
     found = M.degraded_boxes(images, boxes, M.LEVELS["severe"], exclude_split="val")
-    return found.select("seq", "object_index", "class_id", F.round("xc", 6).alias("xc"), F.round("yc", 6).alias("yc"), "w", "h", "damaged")
+    return found.select("seq", "object_index", "class_id", "class_name", F.round("xc", 6).alias("xc"), F.round("yc", 6).alias("yc"), "w", "h", "damaged")
 
 
 @query
@@ -895,7 +1017,7 @@ def degradation_index(spark, sf_dir):
     images, boxes = _both(spark, sf_dir)
     out = None
     for level in ("clean", "moderate", "extreme"):
-        damaged = M.degraded_boxes(images, boxes, M.LEVELS[level]).join(boxes.select("seq", "object_index", "class_name", "confidence"), ["seq", "object_index"])
+        damaged = M.degraded_boxes(images, boxes, M.LEVELS[level]).withColumn("confidence", F.lit(None).cast("double"))
         issues = V.apply(damaged.join(images.select("seq", "dataset", "image_path"), "seq"), V.v2_center_box_rules(), "v2", F.col("object_index"))
         part = issues.groupBy("rule_id").agg(F.count("*").alias("n")).select(F.lit(level).alias("level"), "rule_id", "n")
         out = part if out is None else out.unionByName(part)
@@ -917,13 +1039,13 @@ def class_folder_paths(spark, sf_dir):
     return K.class_folder(*_both(spark, sf_dir))
 
 
-# -- rows only ---------------------------------------------------------------
+# -- training ----------------------------------------------------------------
 
 
 @query
-def forest_train_eval(spark, sf_dir):
-    """A random forest on tiles: accuracy on a stratified quarter."""
-    rows = B.table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("features"))
+def training_halves(spark, sf_dir):
+    """Rows of each class in the training and test shares, and the weight of a training row."""
+    rows = B.table(spark, sf_dir, "embeddings").select("vec_id", "label")
     train, test = M.stratified_halves(rows, "label", "vec_id")
-    model = M.train_forest(train, "label", trees=20)
-    return T.accuracy(M.predict(model, test), "label", "predicted")
+    sizes = train.groupBy("label").agg(F.count("*").alias("n_train")).join(test.groupBy("label").agg(F.count("*").alias("n_test")), "label")
+    return sizes.join(M.class_weights(train, "label"), "label").select("label", "n_train", "n_test", F.round("weight", 6).alias("weight"))

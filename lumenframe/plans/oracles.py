@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 _IMAGES = r"""images AS (
   SELECT o_orderkey AS seq, 'img_' || (o_orderkey % 9973) AS image_id,
          o_orderpriority || '/img_' || (o_orderkey % 9973)
@@ -260,6 +262,60 @@ _NEIGHBOURS = ",\n".join(
 )
 
 
+_CELLS = "cells AS (SELECT vec_id, place // 8 AS r, place % 8 AS c, CAST(v AS INTEGER) AS v FROM px)"
+
+
+def _mirror(at: str) -> str:
+    return f"CASE WHEN {at} < 0 THEN -({at}) WHEN {at} > 7 THEN 14 - ({at}) ELSE {at} END"
+
+
+def _around(reach: int) -> str:
+    """Every pixel with its neighbours up to ``reach`` away, mirrored at the border: v, nv, dr, dc."""
+    steps = ", ".join(map(str, range(-reach, reach + 1)))
+    return (
+        f"around{reach} AS (SELECT g.vec_id, g.r, g.c, g.v, a.d AS dr, b.d AS dc, k.v AS nv FROM cells g, (SELECT unnest([{steps}]) AS d) a, (SELECT unnest([{steps}]) AS d) b "
+        f"JOIN cells k ON k.vec_id = g.vec_id AND k.r = {_mirror('g.r + a.d')} AND k.c = {_mirror('g.c + b.d')})"
+    )
+
+
+def _bell(sigma: float, reach: int) -> str:
+    """Weight of a neighbour under a normalised Gaussian."""
+    total = sum(math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-reach, reach + 1))
+    return f"exp(-(dr * dr + dc * dc) / {2 * sigma * sigma!r}::DOUBLE) / {total * total!r}::DOUBLE"
+
+
+def _byte(value: str) -> str:
+    return f"least(255, greatest(0, round_even({value}, 0)))::DOUBLE"
+
+
+def _layers(table: str, *values: str, place: str = "r * 8 + c") -> str:
+    return " UNION ALL ".join(
+        f"SELECT vec_id, CAST({k} AS INTEGER) AS channel, CAST({place} AS INTEGER) AS place, CAST({v} AS DOUBLE) AS value FROM {table}" for k, v in enumerate(values)
+    )
+
+
+_COLORS = """colors AS (
+  SELECT b.vec_id, b.place, CAST(b.v AS INTEGER) AS b, CAST(g.v AS INTEGER) AS g, CAST((b.v * 3 + 40) % 256 AS INTEGER) AS r
+  FROM px b JOIN px g ON g.vec_id = b.vec_id AND g.place = 63 - b.place)"""
+
+
+def _linear(channel: str) -> str:
+    x = f"({channel} / 255.0::DOUBLE)"
+    return f"CASE WHEN {x} <= 0.04045 THEN {x} / 12.92::DOUBLE ELSE pow(({x} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END"
+
+
+def _cie(value: str) -> str:
+    return f"CASE WHEN {value} > 0.008856 THEN cbrt({value}) ELSE 7.787::DOUBLE * {value} + 16 / 116.0::DOUBLE END"
+
+
+_LAB = f"""linear AS (SELECT vec_id, place, {_linear('b')} AS b, {_linear('g')} AS g, {_linear('r')} AS r FROM colors),
+xyz AS (SELECT vec_id, place, (0.412453::DOUBLE * r + 0.357580::DOUBLE * g + 0.180423::DOUBLE * b) / 0.950456::DOUBLE AS x,
+  0.212671::DOUBLE * r + 0.715160::DOUBLE * g + 0.072169::DOUBLE * b AS y, (0.019334::DOUBLE * r + 0.119193::DOUBLE * g + 0.950227::DOUBLE * b) / 1.088754::DOUBLE AS z FROM linear),
+curve AS (SELECT vec_id, place, {_cie('x')} AS x, {_cie('y')} AS y, {_cie('z')} AS z FROM xyz),
+lab AS (SELECT vec_id, place, {_byte('(116 * y - 16) * 2.55::DOUBLE')} AS l, {_byte('500 * (x - y) + 128')} AS a, {_byte('200 * (y - z) + 128')} AS b FROM curve),
+spread AS (SELECT vec_id, avg(l) AS ml, stddev_pop(l) AS sl, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM lab GROUP BY vec_id)"""
+
+
 def _judged(low: float = 20, high: float = 235, contrast: float = 20, blur: float = 200, entropy: float = 3, score: float = 70) -> str:
     """Score and issues of measured tiles under thresholds."""
     light = f"CASE WHEN brightness BETWEEN {low} AND {high} THEN 100.0::DOUBLE ELSE greatest(0.0, 100.0 - least(abs(brightness - {low}), abs(brightness - {high}))) END"
@@ -294,17 +350,19 @@ _PREDICTED = (
 
 
 def _damaged(share: str, seed: int, exclude: str) -> str:
-    rolls = [_uniform(str(seed + k), "seq", "object_index") for k in range(1, 6)]
+    rolls = [_uniform(str(seed + k), "seq", "object_index") for k in range(1, 7)]
     return (
-        f"touched AS (SELECT seq, {_uniform(str(seed), 'seq')} < {share} AND split <> '{exclude}' AS touched FROM images),\n"
-        f"rolled AS (SELECT b.*, t.touched, {', '.join(f'{r} AS r{k}' for k, r in enumerate(rolls))} FROM boxes b JOIN touched t USING (seq)),\n"
-        "damaged AS (SELECT seq, object_index, class_name, confidence,\n"
-        "  CAST(CASE WHEN touched AND r4 < 0.3 THEN ((class_id + 1) % 4 + 4) % 4 ELSE class_id END AS INTEGER) AS class_id,\n"
+        f"dealt AS (SELECT seq, row_number() OVER (ORDER BY {_uniform(str(seed), 'seq')}, seq) AS place, count(*) OVER () AS n FROM images WHERE split <> '{exclude}'),\n"
+        f"hit AS (SELECT seq FROM dealt WHERE place <= round_even(n * {share}::DOUBLE, 0)),\n"
+        f"rolled AS (SELECT b.*, b.seq IN (SELECT seq FROM hit) AS touched, {', '.join(f'{r} AS r{k}' for k, r in enumerate(rolls))} FROM boxes b),\n"
+        "others AS (SELECT own.class_name AS own, list_sort(list(DISTINCT b.class_name)) AS names FROM (SELECT DISTINCT class_name FROM boxes) own JOIN boxes b ON b.class_name <> own.class_name GROUP BY own.class_name),\n"
+        "damaged AS (SELECT seq, object_index, class_id, confidence,\n"
+        "  CASE WHEN touched AND r4 < 0.3 THEN names[CAST(floor(r5 * len(names)) AS INTEGER) + 1] ELSE class_name END AS class_name,\n"
         "  CASE WHEN touched AND r0 < 0.5 AND r1 >= 0.5 THEN least(1.2, xc + 0.3 + 0.3 * r2) ELSE xc END AS xc,\n"
         "  CASE WHEN touched AND r0 < 0.5 AND r1 >= 0.5 THEN least(1.2, yc + 0.3 + 0.3 * r3) ELSE yc END AS yc,\n"
         "  CASE WHEN touched AND r0 < 0.5 AND r1 < 0.5 THEN 0.001 ELSE w END AS w,\n"
         "  CASE WHEN touched AND r0 < 0.5 AND r1 < 0.5 THEN 0.001 ELSE h END AS h,\n"
-        "  touched AND (r0 < 0.5 OR r4 < 0.3) AS damaged FROM rolled)"
+        "  touched AND (r0 < 0.5 OR r4 < 0.3) AS damaged FROM rolled JOIN others ON own = class_name)"
     )
 
 
@@ -709,7 +767,7 @@ ORACLES: dict[str, str] = {
         _TILES,
         "c AS (SELECT a.vec_id, a.place, a.v, (SELECT count(*) FROM px b WHERE b.vec_id = a.vec_id AND b.v <= a.v) AS below FROM px a)",
         "f AS (SELECT c.*, first_value(below) OVER (PARTITION BY vec_id ORDER BY v) AS first FROM c)",
-        then="SELECT vec_id, CAST(place AS INTEGER) AS place, CASE WHEN 64 > first THEN CAST(floor((below - first) * 255.0::DOUBLE / (64 - first) + 0.5) AS INTEGER) ELSE v END AS value FROM f",
+        then="SELECT vec_id, CAST(place AS INTEGER) AS place, CASE WHEN 64 > first THEN CAST(round_even((below - first) * 255.0::DOUBLE / (64 - first), 0) AS INTEGER) ELSE v END AS value FROM f",
     ),
     "adjust_contrast": _mapped(_u8(f"({_u8('v + 12.0')} - 127.5::DOUBLE) * 1.5 + 127.5")),
     "brightness_normalize": _mapped(f"CASE WHEN mean > 0 THEN {_u8('v * (128.0::DOUBLE / mean)')} ELSE v END"),
@@ -725,13 +783,112 @@ ORACLES: dict[str, str] = {
         "k AS (SELECT vec_id, unnest(range(16)) AS b FROM tiles)",
         then="SELECT k.vec_id, CAST(k.b AS INTEGER) AS place, round(count(p.v) / 64.0::DOUBLE, 6) AS value FROM k LEFT JOIN px p ON p.vec_id = k.vec_id AND p.v * 16 // 256 = k.b GROUP BY k.vec_id, k.b",
     ),
+    "color_histogram": _with(
+        _TILES, _COLORS,
+        "k AS (SELECT vec_id, unnest(range(48)) AS b FROM tiles)",
+        "n AS (SELECT vec_id, b // 16 AS b FROM colors UNION ALL SELECT vec_id, 16 + g // 16 FROM colors UNION ALL SELECT vec_id, 32 + r // 16 FROM colors)",
+        then="SELECT k.vec_id, CAST(k.b AS INTEGER) AS place, round(count(n.b) / 64.0::DOUBLE, 6) AS value FROM k LEFT JOIN n ON n.vec_id = k.vec_id AND n.b = k.b GROUP BY k.vec_id, k.b",
+    ),
+    "pixel_noise": _with(
+        _TILES, _CELLS, _around(1),
+        f"g AS (SELECT vec_id, r, c, any_value(v) - sum(nv * {_bell(0.8, 1)}) AS d FROM around1 GROUP BY vec_id, r, c)",
+        then="SELECT vec_id, round(stddev_pop(d), 4) AS noise_level FROM g GROUP BY vec_id",
+    ),
+    "kernel_morphology": _with(
+        _TILES, _CELLS,
+        """e AS (SELECT g.vec_id, g.r, g.c, any_value(g.v) AS v, min(k.v) FILTER (abs(k.r - g.r) <= 1 AND abs(k.c - g.c) <= 1) AS lo, max(k.v) FILTER (abs(k.r - g.r) <= 1 AND abs(k.c - g.c) <= 1) AS hi,
+          min(k.v) FILTER (abs(k.r - g.r) + abs(k.c - g.c) <= 1) AS lo_cross, max(k.v) FILTER (abs(k.r - g.r) < 2 OR k.c = g.c) AS hi_ellipse
+          FROM cells g JOIN cells k ON k.vec_id = g.vec_id AND abs(k.r - g.r) <= 2 AND abs(k.c - g.c) <= 2 GROUP BY g.vec_id, g.r, g.c)""",
+        """o AS (SELECT g.vec_id, g.r, g.c, any_value(g.v) AS v, any_value(g.lo) AS lo, any_value(g.hi) AS hi, any_value(g.lo_cross) AS lo_cross, any_value(g.hi_ellipse) AS hi_ellipse,
+          max(k.lo) AS opened, min(k.hi) AS closed FROM e g JOIN e k ON k.vec_id = g.vec_id AND abs(k.r - g.r) <= 1 AND abs(k.c - g.c) <= 1 GROUP BY g.vec_id, g.r, g.c)""",
+        then=_layers("o", "lo", "hi", "opened", "closed", "hi - lo", "v - opened", "closed - v", "lo_cross", "hi_ellipse"),
+    ),
+    "kernel_filters": _with(
+        _TILES, _CELLS, _around(1), _around(2),
+        "w AS (SELECT *, CASE WHEN abs(dr) + abs(dc) <= 1 THEN exp(-(dr * dr + dc * dc) / 11250.0::DOUBLE) * exp(-((nv - v) * (nv - v)) / 11250.0::DOUBLE) ELSE 0 END AS bw FROM around1)",
+        f"a AS (SELECT vec_id, r, c, any_value(v) AS v, list_sort(list(nv))[5] AS middle, sum(nv * {_bell(0.8, 1)}) AS bell, sum(nv * bw) / sum(bw) AS two_sided, "
+        "sum(CASE WHEN abs(dr) + abs(dc) = 1 THEN nv ELSE 0 END) AS plus FROM w GROUP BY vec_id, r, c)",
+        f"u AS (SELECT vec_id, r, c, {_byte('sum(nv * ' + _bell(1.0, 2) + ')')} AS soft FROM around2 GROUP BY vec_id, r, c)",
+        "f AS (SELECT * FROM a JOIN u USING (vec_id, r, c))",
+        then=_layers("f", "middle", _byte("bell"), _byte("two_sided"), _byte("5 * v - plus"), _byte("5 * v - plus"), _byte("2 * v - soft")),
+    ),
+    "kernel_clahe": _with(
+        _TILES,
+        "k AS (SELECT vec_id, v, count(*) AS n FROM px GROUP BY vec_id, v)",
+        "o AS (SELECT vec_id, sum(greatest(n - 1.0::DOUBLE, 0)) AS over FROM k GROUP BY vec_id)",
+        "t AS (SELECT a.vec_id, a.v, (SELECT sum(least(b.n, 1)) FROM k b WHERE b.vec_id = a.vec_id AND b.v <= a.v) + (a.v + 1) * o.over / 256.0::DOUBLE AS s FROM k a JOIN o USING (vec_id))",
+        then=f"SELECT p.vec_id, CAST(0 AS INTEGER) AS channel, CAST(place AS INTEGER) AS place, {_byte('s * 255 / 64')} AS value FROM px p JOIN t ON t.vec_id = p.vec_id AND t.v = p.v",
+    ),
+    "kernel_sizes": _with(
+        _TILES, _CELLS,
+        "q AS (SELECT vec_id, r // 2 AS r, c // 2 AS c, max(v) FILTER (r % 2 = 0 AND c % 2 = 0) AS first, avg(v) AS mean FROM cells GROUP BY vec_id, r // 2, c // 2)",
+        then=_layers("q", "first", _byte("mean"), _byte("mean"), place="r * 4 + c"),
+    ),
+    "kernel_letterbox": _with(
+        _TILES, _CELLS,
+        "f AS (SELECT vec_id, unnest(range(96)) AS p FROM tiles)",
+        then="SELECT f.vec_id, CAST(0 AS INTEGER) AS channel, CAST(p AS INTEGER) AS place, coalesce(v, 7)::DOUBLE AS value FROM f LEFT JOIN cells k ON k.vec_id = f.vec_id AND k.r = p // 12 AND k.c = p % 12 - 2",
+    ),
+    "kernel_white_balance": _with(
+        _TILES, _COLORS,
+        "s AS (SELECT vec_id, avg(b) AS mb, avg(g) AS mg, avg(r) AS mr, min(b) AS lb, max(b) AS hb, min(g) AS lg, max(g) AS hg, min(r) AS lr, max(r) AS hr FROM colors GROUP BY vec_id)",
+        "f AS (SELECT * FROM colors JOIN s USING (vec_id))",
+        then=_layers(
+            "f", *[_byte(f"{x} * ((mb + mg + mr) / 3 / m{x})") for x in "bgr"],
+            *[f"CASE WHEN h{x} > l{x} THEN {_byte(f'({x} - l{x}) * 255.0::DOUBLE / (h{x} - l{x})')} ELSE {x} END" for x in "bgr"], place="place",
+        ),
+    ),
+    "kernel_gray_masks": _with(
+        _TILES, _COLORS,
+        "f AS (SELECT *, (1868 * b + 9617 * g + 4899 * r + 8192) // 16384 AS y FROM colors)",
+        then=_layers("f", "y", "(y < 160)::INT", "(-ln(greatest(least(b, g, r), 1) / 255.0::DOUBLE) > 0.9)::INT", place="place"),
+    ),
+    "kernel_lab": _with(_TILES, _COLORS, _LAB, then=_layers("lab", "l", "a", "b", place="place")),
+    "kernel_lab_moments": _with(
+        _TILES, _COLORS, _LAB,
+        then=" UNION ALL ".join(f"SELECT vec_id, CAST({k} AS INTEGER) AS place, round({m}, 5) AS value FROM spread" for k, m in enumerate(("ml", "ma", "mb", "sl", "sa", "sb"))),
+    ),
+    "kernel_matched_moments": _with(
+        _TILES, _COLORS, _LAB,
+        "f AS (SELECT * FROM lab JOIN spread USING (vec_id))",
+        then=_layers(
+            "f",
+            *[
+                f"round(least(255, greatest(0, ({x} - m{x}) * ({std}::DOUBLE / greatest(s{x}, 1e-8)) + {mean})), 4)"
+                for x, mean, std in (("l", 120, 20), ("a", 130, 5), ("b", 125, 8))
+            ],
+            place="place",
+        ),
+    ),
+    "kernel_hsv": _with(
+        _TILES, _COLORS,
+        "m AS (SELECT *, greatest(b, g, r) AS hi, greatest(b, g, r) - least(b, g, r) AS d FROM colors)".replace("m AS", "hs AS"),
+        "f AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN hi = r THEN (g - b)::DOUBLE / d WHEN hi = g THEN 2 + (b - r)::DOUBLE / d ELSE 4 + (r - g)::DOUBLE / d END AS h FROM hs)",
+        then=_layers(
+            "f", "round(CASE WHEN h < 0 THEN h * 30 + 180 ELSE h * 30 END, 4)", "round(CASE WHEN hi > 0 THEN d * 255.0::DOUBLE / hi ELSE 0 END, 4)", "hi",
+            "b", "g", "r", "b", "g", "r", "hi", "hi", "hi", place="place",
+        ),
+    ),
+    "kernel_scales": _with(
+        _TILES, _COLORS,
+        then=_layers(
+            "colors", *[f"round({x} / 255.0::DOUBLE, 3)" for x in "bgr"],
+            *[f"round(({x} / 255.0::DOUBLE - {m}::DOUBLE) / {d}::DOUBLE, 3)" for x, m, d in (("b", 0.485, 0.229), ("g", 0.456, 0.224), ("r", 0.406, 0.225))], place="place",
+        ),
+    ),
     "degrade_boxes": _with(
         _IMAGES, _BOXES, _damaged("0.5", 42, "val"),
-        then="SELECT seq, object_index, class_id, round(xc, 6) AS xc, round(yc, 6) AS yc, w, h, damaged FROM damaged",
+        then="SELECT seq, object_index, class_id, class_name, round(xc, 6) AS xc, round(yc, 6) AS yc, w, h, damaged FROM damaged",
     ),
     "degradation_index": _with(
         _IMAGES, _BOXES, then="SELECT * FROM " + " UNION ALL SELECT * FROM ".join(_level(n, s) for n, s in (("clean", "0.0"), ("moderate", "0.25"), ("extreme", "0.75")))
     ),
+    "training_halves": _with(
+        "images AS (SELECT vec_id AS seq, label FROM embeddings)",
+        _SPLITS.format(uniform=_uniform("42", "seq"), stratum="label", free="TRUE", train="0.75", val="0.0"),
+        "c AS (SELECT label, count(*) FILTER (place <= a) AS n_train, count(*) FILTER (place > a) AS n_test FROM bounds GROUP BY label)",
+        then="SELECT label, n_train, n_test, round(sum(n_train) OVER ()::DOUBLE / (count(*) OVER () * n_train), 6) AS weight FROM c",
+    ),
     "yolo_label_lines": _with(
         _IMAGES, _BOXES,
         "ids AS (SELECT class_id, row_number() OVER (ORDER BY class_id) - 1 AS new_id FROM (SELECT DISTINCT class_id FROM boxes))",

@@ -17,9 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.operators import kernels as K
+from lumenframe.operators.training import parts
 
 Step = Callable[[np.ndarray], np.ndarray]
 
+# Channel means and deviations of a photographic corpus.
+CORPUS_MEAN, CORPUS_STD = np.array([0.485, 0.456, 0.406]), np.array([0.229, 0.224, 0.225])
+
 #: Order in which enabled steps run.
 ORDER = ("quality", "resize", "clahe", "denoise", "sharpen", "color", "normalize")
 
@@ -106,10 +110,14 @@ def _normalized(image: np.ndarray, method: str = "min_max", low: float = 0.0, hi
     if method == "z_score":
         return np.clip((x - x.mean()) / x.std() if x.std() else x, 0, 1)
     if method == "imagenet":
-        return (x / 255 - np.array([0.485, 0.456, 0.406])) / np.array([0.229, 0.224, 0.225])
+        return (x / 255 - CORPUS_MEAN) / CORPUS_STD
     raise ValueError(f"unknown method: {method}")
 
 
+def normalizer(method: str) -> Step:
+    return lambda image: _normalized(image, method)
+
+
 def default_registry() -> Registry:
     registry = Registry()
     steps = {
@@ -194,7 +202,7 @@ class Pipeline:
         )
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+            for batch in parts(batches):
                 out = []
                 for row in batch.itertuples(index=False):
                     made = {"path": row.path, "width": -1, "height": -1, "channels": -1, "data": None, "passed": False, "error": "corrupted", "history": []}

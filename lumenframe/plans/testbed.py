@@ -133,3 +133,11 @@ def planted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
             j, F.lit("[1, 2.5, 3, 4]"), at_55=None, at_56='"1 2 3 4"', at_57="[1, 2, 3]", at_58='[1, "2", 3, 4]', at_59="[]", at_60="[1, true, 3, 4]", at_61="7"
         ).alias("bbox_raw"),
     )
+
+
+def color_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of three channels: the levels, the levels backwards, and the levels stretched around."""
+    p = F.col("pixels")
+    red = F.transform(p, lambda x: (x * 3 + 40) % 256)
+    triples = F.transform(F.arrays_zip(p.alias("b"), F.reverse(p).alias("g"), red.alias("r")), lambda z: F.array(z["b"], z["g"], z["r"]))
+    return tiles(spark, sf_dir).select("vec_id", "label", F.flatten(triples).alias("pixels"))
