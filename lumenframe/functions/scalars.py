@@ -119,17 +119,26 @@ def clamp(value: Column, low, high) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
+# Steps of ``uniform``, within 64-bit integers.
+_MODULUS = 1 << 31
+_STEP, _SHIFT = 1103515245, 12345
+_MIX = ((15, 739982445), (12, 695872825))
+
+
 def uniform(seed: int, *keys: Column) -> Column:
     """A repeatable number in [0, 1) from integer keys.
 
-    A linear congruential step keeps it within 64-bit integers, so any SQL engine
-    can repeat it.
+    A linear congruential step takes up each key; shifts and products then mix the bits,
+    so neighbouring seeds and keys give unrelated numbers. All stays within 64-bit
+    integers, so any SQL engine can repeat it.
     """
-    state = F.lit(seed % 2147483648).cast("long")
+    state = F.lit(seed % _MODULUS).cast("long")
     for key in keys:
-        key = F.pmod(key.cast("long"), F.lit(2147483648))
-        state = F.pmod((state + key) * F.lit(1103515245) + F.lit(12345), F.lit(2147483648))
-    return state / F.lit(2147483648.0)
+        key = F.pmod(key.cast("long"), F.lit(_MODULUS))
+        state = F.pmod((state + key) * F.lit(_STEP) + F.lit(_SHIFT), F.lit(_MODULUS))
+    for shift, factor in _MIX:
+        state = F.pmod(state.bitwiseXOR(F.shiftright(state, shift)) * F.lit(factor), F.lit(_MODULUS))
+    return state.bitwiseXOR(F.shiftright(state, 15)) / F.lit(float(_MODULUS))
 
 
 def value_range(value: Column) -> Column:

@@ -232,7 +232,9 @@ def _uniform(seed: str, *keys: str) -> str:
     state = seed
     for key in keys:
         state = f"((({state} + {key} % 2147483648) * 1103515245 + 12345) % 2147483648)"
-    return f"({state} / 2147483648.0::DOUBLE)"
+    for shift, factor in ((15, 739982445), (12, 695872825)):
+        state = f"((xor(CAST({state} AS BIGINT), CAST({state} AS BIGINT) >> {shift}) * {factor}) % 2147483648)"
+    return f"(xor(CAST({state} AS BIGINT), CAST({state} AS BIGINT) >> 15) / 2147483648.0::DOUBLE)"
 
 
 def _mapped(value: str) -> str:

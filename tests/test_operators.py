@@ -57,6 +57,16 @@ def test_splits(spark, shares):
         R.assign_splits(images, 0.5, 0.5, 0.5)
 
 
+def test_random_numbers_are_even_and_unrelated(spark):
+    rows = spark.range(20000).select(*[S.uniform(42 + k, F.col("id"), F.lit(3)).alias(f"u{k}") for k in range(4)])
+    found = np.array([tuple(r) for r in rows.collect()])
+    assert 0 <= found.min() and found.max() < 1 and np.abs(found.mean(0) - 0.5).max() < 0.01
+    assert np.abs(np.corrcoef(found.T) - np.eye(4)).max() < 0.03
+    for a in range(3):
+        share = np.histogram(found[found[:, a] < 0.3, a + 1], bins=10, range=(0, 1))[0] / (found[:, a] < 0.3).sum()
+        assert np.abs(share - 0.1).max() < 0.02
+
+
 def test_splits_keep_assigned_rows(spark):
     images = spark.createDataFrame([(1, "a", "test"), (2, "a", "train"), (3, "a", None)], "seq long, dataset string, split string")
     kept = {r.seq: r.new_split for r in R.assign_splits(images).collect()}
