@@ -22,6 +22,7 @@ from lumenframe.operators import rules as V
 from lumenframe.operators import statistics as T
 from lumenframe.operators import training as M
 from lumenframe.plans import pipeline as Y
+from lumenframe.plans import reports as E
 from lumenframe.plans import testbed as B
 from lumenframe.plans.oracles import ORACLES
 from lumenframe.sources import annotations as A
@@ -29,6 +30,8 @@ from lumenframe.sources import sinks as K
 from lumenframe.sources import sniff as N
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Thresholds that some of the test tiles fail.
+STRICT = P.Thresholds(126.0, 132.0, 34.0, 50.0, 9000.0, 5.2, 97.0)
 _QUERIES: dict[str, Query] = {}
 
 
@@ -810,8 +813,7 @@ def gate_report(spark, sf_dir):
 
 @query
 def quality_issue_histogram(spark, sf_dir):
-    strict = P.Thresholds(126.0, 132.0, 34.0, 50.0, 9000.0, 5.2, 97.0)
-    return P.issue_histogram(P.measured(B.tiles(spark, sf_dir), 8, strict))
+    return P.issue_histogram(P.measured(B.tiles(spark, sf_dir), 8, STRICT))
 
 
 def _mapped(spark, sf_dir, value: Column, places: int | None = None) -> DataFrame:
@@ -1001,6 +1003,55 @@ def kernel_scales(spark, sf_dir):
     return _kernels(spark, sf_dir, lambda t: np.dstack([unit(t), corpus(t)]), True, 3)
 
 
+# -- reports -----------------------------------------------------------------
+
+
+def _line_counts(lines: DataFrame) -> DataFrame:
+    """Lines of a report, those of issues by their first part, with their number."""
+    return lines.groupBy("section", F.substring_index("line", " | ", 1).alias("line")).agg(F.count("*").alias("n"))
+
+
+@query
+def report_v1_text(spark, sf_dir):
+    images, boxes = B.planted_images(spark, sf_dir), B.planted_boxes(spark, sf_dir)
+    lines = E.v1_report(images, boxes)
+    return _line_counts(lines.filter("section < 52 OR line LIKE '[%'"))
+
+
+@query
+def report_v1_markdown(spark, sf_dir):
+    lines = E.v1_report(*_both(spark, sf_dir), markdown=True)
+    return lines.groupBy("section", F.substring_index("line", " - ", 1).alias("line")).agg(F.count("*").alias("n"), F.countDistinct("place").alias("n_places"))
+
+
+@query
+def report_v1_json(spark, sf_dir):
+    return E.v1_json(*_both(spark, sf_dir)).select(F.inline(F.array(F.from_json("report", "summary struct<n_issues: long, n_error: long>, statistics struct<n_objects: long>, metrics struct<class_score: double>")))).select(
+        "summary.n_issues", "summary.n_error", "statistics.n_objects", "metrics.class_score"
+    )
+
+
+@query
+def report_v2_text(spark, sf_dir):
+    images, boxes = B.planted_images(spark, sf_dir), B.planted_boxes(spark, sf_dir)
+    return _line_counts(E.v2_report(images, boxes))
+
+
+@query
+def report_gate_text(spark, sf_dir):
+    return E.gate_summary(P.measured(B.tiles(spark, sf_dir), 8, STRICT), 95.0)
+
+
+@query
+def report_assessment_text(spark, sf_dir):
+    return E.assessment_summary(P.measured(B.tiles(spark, sf_dir), 8, STRICT))
+
+
+@query
+def failed_tiles(spark, sf_dir):
+    return E.failed_ids(P.measured(B.tiles(spark, sf_dir), 8, STRICT), "vec_id")
+
+
 # -- degradation and sinks ---------------------------------------------------
 
 

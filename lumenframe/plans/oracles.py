@@ -385,6 +385,55 @@ def _six(prefix: str, *values: str, places: int = 6) -> str:
     return ", ".join(f"round(CAST({v} AS DOUBLE), {places}) AS {prefix}{k}" for k, v in enumerate(values, 1))
 
 
+def _rows(section: int, *lines: str) -> str:
+    """Lines of a section: SQL expressions over the one-row table ``whole``."""
+    return " UNION ALL ".join(f"SELECT CAST({section} AS INTEGER) AS section, {line} AS line FROM whole" for line in lines)
+
+
+def _field(name: str, value: str, width: int = 18, bullet: str = "") -> str:
+    head = f"- {name}: " if bullet else f"{name:<{width}}: "
+    return f"'{head}' || {value}"
+
+
+def _places(value: str) -> str:
+    return f"printf('%.2f', round(coalesce({value}, 0), 2)::DOUBLE)"
+
+
+_V1_SCORES = (
+    "greatest(0.0::DOUBLE, 100 - 5 * n_error) AS annotation_score, greatest(0.0::DOUBLE, 100 - 2 * (n_error + n_warning)) AS image_score, "
+    "greatest(0.0::DOUBLE, 100 - 3 * n_warning) AS class_score, greatest(0.0::DOUBLE, 100 - 4 * (n_error + n_critical)) AS box_score"
+)
+_V1_FACTS = f"""r AS (SELECT {_ROLLED} FROM issues),
+s AS (SELECT *, {_V1_SCORES} FROM r),
+whole AS (SELECT s.*, (annotation_score + image_score + class_score + box_score) / 4 AS quality_index, i.*, b.*, round(n_objects::DOUBLE / n_images, 4) AS objects_per_image
+  FROM s, (SELECT count(*) AS n_images, avg(width) AS average_width, avg(height) AS average_height FROM images) i,
+  (SELECT count(*) AS n_objects, count(DISTINCT class_name) AS n_classes FROM boxes) b)"""
+
+
+def _v1_sections(markdown: bool) -> list[str]:
+    yes = "CASE WHEN n_error + n_critical = 0 THEN 'True' ELSE 'False' END"
+    f = lambda name, value: _field(name, value, bullet="-" if markdown else "")
+    return [
+        _rows(21, f("Total Issues", "n_issues"), f("Critical", "n_critical"), f("Errors", "n_error"), f("Warnings", "n_warning"), f("Information", "n_info"), f("Passed", yes)),
+        _rows(31, f("Images", "n_images"), f("Objects", "n_objects"), f("Classes", "n_classes"), f("Objects / Image", _places("objects_per_image")),
+              f("Average Width", _places("average_width")), f("Average Height", _places("average_height"))),
+        _rows(41, *[f(n, _places(c)) for n, c in (("Annotation Score", "annotation_score"), ("Image Score", "image_score"), ("Class Score", "class_score"), ("Box Score", "box_score"), ("Quality Index", "quality_index"))]),
+    ]
+
+
+def _heads(*heads: tuple[int, tuple[str, ...]]) -> list[str]:
+    return [_rows(section, *[f"'{line}'" for line in lines]) for section, lines in heads]
+
+
+_REASONS = "why AS (SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM judged) GROUP BY issue), ranked AS (SELECT *, row_number() OVER (ORDER BY n DESC, issue) AS p FROM why)"
+
+
+def _placed(parts: list[tuple[int, list[str]]]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT CAST({section} AS INTEGER) AS section, CAST({k} AS BIGINT) AS place, {line} AS line FROM whole" for section, lines in parts for k, line in enumerate(lines)
+    )
+
+
 ORACLES: dict[str, str] = {
     "images_view": _with(_IMAGES, then="SELECT * FROM images"),
     "boxes_view": _with(_BOXES, then="SELECT * FROM boxes"),
@@ -878,6 +927,79 @@ ORACLES: dict[str, str] = {
             *[f"round(({x} / 255.0::DOUBLE - {m}::DOUBLE) / {d}::DOUBLE, 3)" for x, m, d in (("b", 0.485, 0.229), ("g", 0.456, 0.224), ("r", 0.406, 0.225))], place="place",
         ),
     ),
+    "report_v1_text": "WITH " + _v1_issues(planted=True) + ",\n" + _V1_FACTS + ",\nlines AS ("
+    + " UNION ALL ".join(
+        [
+            *_heads(
+                (10, ("=" * 70, "Validation Report", "=" * 70)), (20, ("", "SUMMARY", "-" * 70)), (30, ("", "DATASET STATISTICS", "-" * 70)),
+                (40, ("", "QUALITY METRICS", "-" * 70)), (50, ("", "ISSUES", "-" * 70)), (32, ("Dataset Distribution",)), (33, ("Class Distribution",)),
+            ),
+            *_v1_sections(False),
+            "SELECT 32, printf('  %-20s %d', dataset, count(*)) FROM images WHERE dataset IS NOT NULL GROUP BY dataset",
+            "SELECT 33, printf('  %-20s %d', class_name, count(*)) FROM boxes WHERE class_name IS NOT NULL GROUP BY class_name",
+            "SELECT 52, '[' || severity || '] ' || category FROM issues",
+        ]
+    )
+    + ") SELECT section, line, count(*) AS n FROM lines GROUP BY ALL",
+    "report_v1_markdown": "WITH " + _V1 + ",\n" + _V1_FACTS + ",\nlines AS ("
+    + " UNION ALL ".join(
+        [
+            *_heads(
+                (10, ("# Validation Report", "")), (20, ("## Summary",)), (30, ("", "## Dataset Statistics")), (40, ("", "## Quality Metrics")), (50, ("", "## Issues")),
+            ),
+            *_v1_sections(True),
+            "SELECT 52, '- **' || severity || '** (' || category || ')' FROM issues",
+        ]
+    )
+    + ") SELECT section, line, count(*) AS n, count(*) AS n_places FROM lines GROUP BY ALL",
+    "report_v1_json": "WITH " + _V1 + ",\n" + _V1_FACTS + " SELECT n_issues, n_error, n_objects, class_score FROM whole",
+    "report_v2_text": "WITH " + _v2(1, 100000, None, True) + f""",
+r AS (SELECT {_ROLLED} FROM issues),
+i AS (SELECT count(*) AS n_images, CAST(sum(n_objects) AS BIGINT) AS n_objects, min(width) AS min_width, max(width) AS max_width, avg(width) AS mean_width, min(height) AS min_height,
+  max(height) AS max_height, avg(height) AS mean_height, avg(n_objects) AS mean_objects, min(n_objects) AS min_objects, max(n_objects) AS max_objects, count(*) FILTER (n_objects = 0) AS n_empty FROM counted),
+b AS (SELECT min(w) AS min_w, max(w) AS max_w, avg(w) AS mean_w, min(h) AS min_h, max(h) AS max_h, avg(h) AS mean_h FROM boxes),
+d AS (SELECT string_agg(dataset, '+' ORDER BY dataset) AS dataset_name FROM (SELECT DISTINCT dataset FROM images WHERE dataset IS NOT NULL)),
+t AS (SELECT *, {_clamped('n_error', 'n_objects')} AS c1, {_clamped('n_error', 'n_images')} AS c2, {_clamped('n_warning', 'n_objects')} AS c3, {_clamped('n_issues', 'n_objects')} AS c4 FROM r, i, b, d),
+whole AS (SELECT *, round(round((c1 + c2 + c3 + c4) * 100) / 4) / 100 AS q FROM t), lines AS (""" + " UNION ALL ".join(
+        [
+            *_heads(
+                (10, ("=" * 79, "Dataset Validation Report", "=" * 79, "")), (20, ("Metadata", "-" * 79)), (30, ("", "Validation Summary", "-" * 79)),
+                (40, ("", "Dataset Statistics", "-" * 79)), (50, ("", "Quality Metrics", "-" * 79)), (60, ("", "Validation Issues", "-" * 79)), (70, ("=" * 79,)),
+            ),
+            _rows(21, _field("Dataset Name", "dataset_name")),
+            _rows(31, _field("Validation Passed", "CASE WHEN n_error + n_critical = 0 THEN 'True' ELSE 'False' END"), _field("Total Images", "n_images"), _field("Total Objects", "n_objects"),
+                  _field("Total Issues", "n_issues"), _field("Information", "n_info"), _field("Warnings", "n_warning"), _field("Errors", "n_error"), _field("Critical", "n_critical")),
+            _rows(41, *[_field(n, v, 27) for n, v in (
+                ("Total Images", "n_images"), ("Total Objects", "n_objects"), ("Minimum Width", "min_width"), ("Maximum Width", "max_width"), ("Average Width", _places("mean_width")),
+                ("Minimum Height", "min_height"), ("Maximum Height", "max_height"), ("Average Height", _places("mean_height")), ("Average Objects/Image", _places("mean_objects")),
+                ("Minimum Objects/Image", "min_objects"), ("Maximum Objects/Image", "max_objects"), ("Empty Images", "n_empty"),
+                *[(f"{w} Box {l}", _places(f"{k}_{s}")) for l, s in (("Width", "w"), ("Height", "h")) for w, k in (("Minimum", "min"), ("Maximum", "max"), ("Average", "mean"))])]),
+            _rows(51, _field("Completeness", _places("c1")), _field("Image Integrity", _places("c2")), _field("Class Consistency", _places("c3")), _field("Box Validity", _places("c4")), _field("Quality Index", _places("q")),
+                  _field("Grade", "CASE WHEN q >= 95 THEN 'A+' WHEN q >= 90 THEN 'A' WHEN q >= 80 THEN 'B' WHEN q >= 70 THEN 'C' WHEN q >= 60 THEN 'D' ELSE 'F' END")),
+            "SELECT 62, '[' || severity || '] ' || rule_id FROM issues",
+        ]
+    )
+    + ") SELECT section, line, count(*) AS n FROM lines GROUP BY ALL",
+    "report_gate_text": _with(
+        _TILES, _NEIGHBOURS, _judged(126, 132, 34, 9000, 5.2, 97), _REASONS,
+        "whole AS (SELECT count(*) AS n, count(*) FILTER (quality_score >= 95) AS ok, avg(quality_score) AS m, min(quality_score) AS lo, max(quality_score) AS hi FROM judged)",
+        then=_placed([
+            (10, [f"'{'=' * 70}'", "'Dataset Quality Report'", f"'{'=' * 70}'"]),
+            (11, [_field("Total images", "n"), _field("Corrupted", "0"), _field("Passed", "printf('%d (%.1f%%)', ok, round(round(ok::DOUBLE / n, 4) * 100, 1))"), _field("Failed", "n - ok")]),
+            (12, [_field("Quality score", f"'mean=' || {_places('m')} || ' min=' || {_places('lo')} || ' max=' || {_places('hi')}")]),
+            (13, ["''", "'Failure reasons:'"]),
+        ]) + " UNION ALL SELECT 13, p + 1, printf('  %4d  %s', n, issue) FROM ranked",
+    ),
+    "report_assessment_text": _with(
+        _TILES, _NEIGHBOURS, _judged(126, 132, 34, 9000, 5.2, 97), _REASONS,
+        "whole AS (SELECT count(*) AS n, count(*) FILTER (len(issues) = 0) AS ok, avg(quality_score) AS m FROM judged)",
+        then=_placed([
+            (10, [f"'{'=' * 70}'", "'Quality Assessment'", f"'{'=' * 70}'"]),
+            (11, [_field("Total images", "n", 15), _field("Passed", "printf('%d (%.2f%%)', ok, round(ok * 100.0::DOUBLE / n, 2))", 15), _field("Failed", "n - ok", 15), _field("Mean quality", _places("m"), 15)]),
+            (13, ["''", "'Issue breakdown:'"]),
+        ]) + " UNION ALL SELECT 13, p + 1, printf('  %-30s %d', issue, n) FROM ranked",
+    ),
+    "failed_tiles": _with(_TILES, _NEIGHBOURS, _judged(126, 132, 34, 9000, 5.2, 97), then="SELECT vec_id FROM judged WHERE len(issues) > 0"),
     "degrade_boxes": _with(
         _IMAGES, _BOXES, _damaged("0.5", 42, "val"),
         then="SELECT seq, object_index, class_id, class_name, round(xc, 6) AS xc, round(yc, 6) AS yc, w, h, damaged FROM damaged",

@@ -1,9 +1,7 @@
-"""Writers: label files, manifests, class folders, reports."""
+"""Writers: label files, manifests, class folders, images, small texts."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,14 +90,6 @@ def report_json(one_row: DataFrame) -> str:
     return one_row.select(F.to_json(F.struct(*one_row.columns))).first()[0]
 
 
-def report_text(title: str, one_row: DataFrame, markdown: bool = False) -> str:
-    values = json.loads(report_json(one_row))
-    if markdown:
-        return f"# {title}\n\n" + "".join(f"- **{k}**: {v}\n" for k, v in values.items())
-    width = max(map(len, values), default=0)
-    return f"{title}\n{'=' * len(title)}\n" + "".join(f"{k:<{width}} : {v}\n" for k, v in values.items())
-
-
 def save(report: str, any_frame: DataFrame, path: str) -> str:
     write_text(any_frame, report, path)
     return path

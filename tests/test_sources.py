@@ -163,4 +163,3 @@ def test_manifest_and_export(spark, tmp_path):
     assert (tmp_path / "files/train/y.txt").read_text() == ""
     assert N.read_manifest((tmp_path / "out/data.yaml").read_text())["names"] == {0: "R", 1: "P"}
     row = spark.createDataFrame([(4, 0.75)], "total int, rate double")
-    assert "total" in K.report_text("Gate", row) and "**rate**" in K.report_text("Gate", row, markdown=True)
