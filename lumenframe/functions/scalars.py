@@ -28,6 +28,11 @@ def bare_extension(path: Column) -> Column:
     return F.when(F.instr(path, ".") > 0, F.lower(F.substring_index(path, ".", -1)))
 
 
+def plain_path(path: Column) -> Column:
+    """Path whose ``file:`` scheme, in any of its spellings, is left out."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def normalized_path(path: Column) -> Column:
     """Path without empty and ``.`` parts; a scheme and a leading slash stay. Paths without such parts are only looked at."""
     scheme = F.regexp_extract(path, r"^[A-Za-z][A-Za-z0-9+.-]*:/*", 0)

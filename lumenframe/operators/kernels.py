@@ -298,11 +298,70 @@ def match_histogram(image: np.ndarray, reference: np.ndarray) -> np.ndarray:
 
 
 def gamma(image: np.ndarray, g: float) -> np.ndarray:
+    return _gamma(image, g)
+
+
+def _gamma(image: np.ndarray, g: float) -> np.ndarray:
     if g <= 0:
         raise ValueError("gamma must be positive")
     return (np.power(np.arange(256) / 255.0, 1.0 / g) * 255.0).astype(np.uint8)[image]
 
 
+def contrast_stretch(image: np.ndarray, low: int = 0, high: int = 255) -> np.ndarray:
+    if high <= low:
+        raise ValueError("upper bound must exceed lower bound")
+    return truncated((image.astype(float) - low) * (255.0 / (high - low)))
+
+
+def histogram_stretch(image: np.ndarray) -> np.ndarray:
+    """Each channel spread over 0..255; a constant one stays."""
+
+    def one(c: np.ndarray) -> np.ndarray:
+        low, span = float(c.min()), float(c.max()) - float(c.min())
+        return truncated((c - low) * 255.0 / span) if span else c
+
+    return per_channel(image, one)
+
+
+def brightness_normalize(image: np.ndarray, target: float = 128.0) -> np.ndarray:
+    """Scaled to a mean level."""
+    mean = image.mean()
+    return truncated(image * (target / mean)) if mean > 0 else image
+
+
+def histogram_operation(image: np.ndarray, operation: str, **options) -> np.ndarray:
+    """One of the histogram operations by name; ``histogram`` leaves the image as it is."""
+    check_histogram_options(operation, options)
+    found = {
+        "equalize": equalize, "clahe": clahe, "gamma": lambda x, gamma=1.0: _gamma(x, gamma), "contrast_stretch": contrast_stretch, "stretch": histogram_stretch,
+        "brightness": brightness_normalize, "matching": match_histogram, "histogram": lambda x: x,
+    }
+    return found[operation](image, **options)
+
+
+HISTOGRAM_OPERATIONS = ("equalize", "clahe", "gamma", "contrast_stretch", "stretch", "brightness", "matching", "histogram")
+
+
+def check_histogram_options(operation: str, options: dict) -> None:
+    """Raise where an operation is unknown or its options make no sense."""
+    if operation not in HISTOGRAM_OPERATIONS:
+        raise TypeError(f"unknown histogram operation: {operation}")
+    if operation == "gamma" and options.get("gamma", 1.0) <= 0:
+        raise ValueError("gamma must be positive")
+    if operation == "contrast_stretch" and options.get("high", 255) <= options.get("low", 0):
+        raise ValueError("upper bound must exceed lower bound")
+    if operation == "matching" and options.get("reference") is None:
+        raise ValueError("matching needs a reference image")
+
+
+def stain_operation(image: np.ndarray, method: str, reference=None, standardize: bool = False) -> np.ndarray:
+    """Stain normalisation by name, after the lightness is standardised if asked."""
+    if method not in ("macenko", "reinhard", "none"):
+        raise ValueError(f"unknown stain method: {method}")
+    image = standardize_brightness(image) if standardize else image
+    return image if method == "none" else {"macenko": macenko, "reinhard": reinhard}[method](image, reference)
+
+
 def gray_world(image: np.ndarray) -> np.ndarray:
     means = image.reshape(-1, 3).mean(0)
     return to_uint8(image * (means.mean() / np.where(means > 0, means, 1)))

@@ -21,11 +21,14 @@ from lumenframe.operators import ranked as R
 from lumenframe.operators import rules as V
 from lumenframe.operators import statistics as T
 from lumenframe.operators import training as M
+from lumenframe.plans import build as U
+from lumenframe.plans import fixtures as X
 from lumenframe.plans import pipeline as Y
 from lumenframe.plans import reports as E
 from lumenframe.plans import testbed as B
 from lumenframe.plans.oracles import ORACLES
 from lumenframe.sources import annotations as A
+from lumenframe.sources import listing as L
 from lumenframe.sources import sinks as K
 from lumenframe.sources import sniff as N
 
@@ -1003,6 +1006,258 @@ def kernel_scales(spark, sf_dir):
     return _kernels(spark, sf_dir, lambda t: np.dstack([unit(t), corpus(t)]), True, 3)
 
 
+# -- files -------------------------------------------------------------------
+
+
+@query
+def file_listing(spark, sf_dir):
+    found = L.list_files(spark, X.folder(spark))
+    return X.below(found).select("path", "kind", F.when(~F.col("path").endswith(".png"), F.col("length")).alias("length"))
+
+
+@query
+def file_listings_by_kind(spark, sf_dir):
+    root = X.folder(spark)
+    parts = {
+        "images": L.image_files(spark, root), "annotations": L.annotation_files(spark, root), "with csv": L.annotation_files(spark, root, with_csv=True),
+        "top only": L.list_files(spark, f"{root}/yolo", recursive=False), "absent": L.list_files(spark, f"{root}/none"),
+    }
+    return D.union_sources(*[rows.select(F.lit(k).alias("what"), X.inside(F.col("path")).alias("path")) for k, rows in parts.items()])
+
+
+@query
+def file_counts(spark, sf_dir):
+    root = X.folder(spark)
+    names = ("yolo", "voc", "clinical", "broken", "none")
+    return D.union_sources(*[L.count_files(L.list_files(spark, f"{root}/{n}")).withColumn("folder", F.lit(n)) for n in names])
+
+
+@query
+def file_checks(spark, sf_dir):
+    """What a file scan says of images: found, length, and whether they decode."""
+    root = X.folder(spark)
+    named = ("broken/bad.png", "broken/zero.png", "broken/absent.png", "points/p.png")
+    images = spark.createDataFrame([(k, f"{root}/{n}") for k, n in enumerate(named)], "seq long, image_path string")
+    decoded = L.read_images(spark, root).select(
+        S.plain_path(F.col("path")).alias("image_path"), F.col("width").alias("decoded_width"), F.col("height").alias("decoded_height")
+    )
+    images = images.withColumn("image_path", S.plain_path(F.col("image_path")))
+    facts = L.with_file_facts(images, L.list_files(spark, root)).join(decoded, "image_path", "left")
+    return facts.select(
+        "seq", "file_found", (F.coalesce("file_length", F.lit(0)) > 0).alias("has_bytes"), F.coalesce("decoded_width", F.lit(0)).alias("width"), F.coalesce("decoded_height", F.lit(0)).alias("height")
+    )
+
+
+@query
+def image_headers(spark, sf_dir):
+    return X.below(L.image_sizes(L.read_images(spark, X.folder(spark))))
+
+
+@query
+def image_pixels(spark, sf_dir):
+    """Channel means of decoded images (blue, green, red)."""
+    found = X.below(L.read_images(spark, X.folder(spark))).filter("width > 0")
+    part = lambda k: F.sequence(F.lit(k + 1), F.length("data"), F.lit(3))
+    mean = lambda k: F.aggregate(part(k), F.lit(0.0), lambda a, i: a + F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10).cast("int")) / F.size(part(k))
+    return found.select("path", "channels", *[F.round(mean(k), 4).alias(n) for k, n in enumerate(("blue", "green", "red"))])
+
+
+@query
+def split_folders(spark, sf_dir):
+    return L.find_splits(L.list_files(spark, X.folder(spark)))
+
+
+@query
+def content_digests(spark, sf_dir):
+    return X.below(L.content_digests(spark, X.folder(spark))).filter("path NOT LIKE '%.png'")
+
+
+@query
+def detected_formats(spark, sf_dir):
+    texts = X.below(A.read_texts(spark, X.folder(spark))).filter("path NOT LIKE '%.png'")
+    return texts.select("path", N.detect(F.col("path"), F.col("text")).alias("format"), N.coarse_format(F.col("path")).alias("coarse"))
+
+
+def _catalog(spark) -> U.Catalog:
+    """All layouts of the fixture: some by their files, some by name."""
+    root, catalog = X.folder(spark), U.Catalog(spark)
+    for name in ("yolo", "voc", "coco", "classes", "csv"):
+        catalog.auto_register(f"{root}/{name}")
+    catalog.register("points", f"{root}/points", "Point TXT")
+    catalog.register("rowcol", f"{root}/rowcol", "Row/column JSON")
+    catalog.register("clinical", f"{root}/clinical", "Clinical", "Report")
+    catalog.register("broken", f"{root}/broken", "YOLO")
+    return catalog
+
+
+@query
+def catalog_entries(spark, sf_dir):
+    """Formats, classes and states of the registered datasets."""
+    entries = _catalog(spark).prepare_all()
+    rows = [(e.name, e.annotation, e.task, e.status, "|".join(f"{k}={v}" for k, v in sorted(e.classes.items()))) for e in entries]
+    return spark.createDataFrame(rows, "name string, annotation string, task string, status string, classes string")
+
+
+_DETECTION = ("yolo", "points", "voc", "coco", "rowcol")
+
+
+@query
+def built_boxes(spark, sf_dir):
+    catalog = _catalog(spark)
+    parts = []
+    for name in (*_DETECTION, "classes", "csv"):
+        built = catalog.build(name)
+        parts.append(built.boxes.join(built.images.select("seq", "dataset", "image_path"), "seq"))
+    sides = [F.round(c, 6).alias(c) for c in ("xc", "yc", "w", "h")]
+    return D.union_sources(*parts).select("dataset", S.filename(F.col("image_path")).alias("image"), "object_index", "class_id", "class_name", *sides)
+
+
+@query
+def built_log(spark, sf_dir):
+    built, errors = _catalog(spark).build_many()
+    failed = spark.createDataFrame([(k, "", "ERROR", 0) for k in sorted(errors)], "dataset string, image string, status string, objects long")
+    return built.log.select("dataset", X.inside(F.col("image")).alias("image"), "status", "objects").unionByName(failed)
+
+
+@query
+def built_images(spark, sf_dir):
+    built, _ = _catalog(spark).build_many(list(_DETECTION))
+    return built.images.select("dataset", "image_id", "width", "height", "split")
+
+
+@query
+def clinical_reports(spark, sf_dir):
+    found = _catalog(spark).clinical("clinical")
+    counts = F.array_join(F.array_sort(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), "|")
+    return found.select("dataset", S.filename(F.col("path")).alias("file"), counts.alias("counts"), F.array_join("findings", "|").alias("findings"))
+
+
+@query
+def exported_files(spark, sf_dir):
+    """Label files, images and manifest of an export, and images by class, as they lie in folders."""
+    root, source = X.scratch(spark, "export"), X.folder(spark)
+    built = _catalog(spark).build("yolo")
+    K.export_yolo(built.images, built.boxes, f"{root}/yolo", f"{source}/yolo")
+    K.export_classification(built.images, built.boxes, f"{root}/classes", f"{source}/yolo")
+    texts = X.below(A.read_texts(spark, root)).select("path", F.when(~F.col("path").endswith(".png"), F.col("text")).alias("text"))
+    return texts
+
+
+@query
+def processed_export(spark, sf_dir):
+    """Images written after processing, the broken one as it was."""
+    root, source = X.scratch(spark, "export"), X.folder(spark)
+    pixels = L.read_images(spark, source).filter("path LIKE '%/voc/%' OR path LIKE '%/broken/bad%'")
+    done = Y.Pipeline.from_config({"resize": {"width": 5, "height": 4, "keep_aspect_ratio": False}, "normalize": {"method": "unit"}}).apply(pixels)
+    originals = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select("path", "content")
+    K.write_files(K.processed_files(done, originals, source, root))
+    return X.below(L.image_sizes(L.read_images(spark, root)))
+
+
+# -- preprocessing -----------------------------------------------------------
+
+
+def _tile_images(spark, sf_dir) -> DataFrame:
+    """Tiles as decoded gray images, and one broken file."""
+    bytes_ = F.unhex(F.array_join(F.transform("pixels", lambda p: F.lpad(F.hex(p), 2, "0")), ""))
+    tiles = B.tiles(spark, sf_dir).select(
+        F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("channels"), bytes_.alias("data")
+    )
+    broken = spark.createDataFrame([("broken", -1, -1, -1, None)], "path string, width int, height int, channels int, data binary")
+    return tiles.unionByName(broken)
+
+
+def _fails_on_dark(image):
+    if image.mean() < 126:
+        raise ValueError("too dark")
+    return image
+
+
+def _two_steps() -> Y.Pipeline:
+    pipeline = Y.Pipeline.from_config({"resize": {"width": 4, "height": 4, "keep_aspect_ratio": False, "method": "area"}})
+    pipeline.append("check", _fails_on_dark)
+    return pipeline
+
+
+@query
+def pipeline_rows(spark, sf_dir):
+    """Images after two steps, the second of which fails on dark ones."""
+    done = _two_steps().apply(_tile_images(spark, sf_dir))
+    steps = F.array_join(F.transform("history", lambda h: F.concat_ws(":", h["step"], h["status"])), ",")
+    return done.select("path", "width", "height", "dtype", "passed", "error", steps.alias("steps"), F.round("brightness", 4).alias("brightness"), F.length("data").alias("n_bytes"))
+
+
+@query
+def pipeline_report(spark, sf_dir):
+    done = _two_steps().apply(_tile_images(spark, sf_dir))
+    return Y.run_report(done)
+
+
+@query
+def pipeline_summary(spark, sf_dir):
+    return E.run_summary(_two_steps().apply(_tile_images(spark, sf_dir)))
+
+
+@query
+def pipeline_records(spark, sf_dir):
+    """Sidecar records of each image, read back."""
+    records = E.run_records(_two_steps().apply(_tile_images(spark, sf_dir)))
+    parsed = records.select(F.from_json("record", "path string, passed boolean, error string, history array<struct<step: string>>").alias("r")).select("r.*")
+    return parsed.groupBy("passed", "error").agg(F.count("*").alias("n"), F.sum(F.size("history")).alias("n_steps"))
+
+
+@query
+def assessed_images(spark, sf_dir):
+    """An assessment that takes over cached results of the images of an earlier one."""
+    images = _tile_images(spark, sf_dir)
+    earlier = Y.assess(images.filter("path LIKE '1%'"), thresholds=STRICT).withColumn("quality_score", F.lit(12.5))
+    found = Y.assess(images, earlier, STRICT)
+    return found.groupBy("source", "corrupted", "passed").agg(F.count("*").alias("n"), F.count_if(F.col("quality_score") == 12.5).alias("n_taken"))
+
+
+@query
+def pipeline_editing(spark, sf_dir):
+    """Names of a pipeline's steps as it is edited, and of the registry's."""
+    made = Y.Pipeline.from_config({"sharpen": {"method": "kernel"}, "resize": {}, "histogram": {"operation": "equalize"}})
+    states = [("configured", made.names())]
+    made.insert(1, "first", lambda x: x)
+    made.append("last", lambda x: x)
+    states.append(("extended", made.names()))
+    made.remove("RESIZE")
+    states.append(("removed", made.names()))
+    made.clear()
+    states.append(("cleared", made.names()))
+    registry = Y.Registry()
+    registry.register(" Blur ", lambda: lambda x: x)
+    registry.register("sharp", lambda: lambda x: x)
+    states.append(("registered", registry.names()))
+    registry.unregister("BLUR")
+    states.append(("unregistered", registry.names()))
+    states.append(("known", [n for n in ("sharp", "blur") if registry.exists(n)]))
+    registry.clear()
+    states.append(("emptied", registry.names()))
+    return spark.createDataFrame([(k, ",".join(v)) for k, v in states], "state string, names string")
+
+
+@query
+def rejected_configs(spark, sf_dir):
+    """Configurations that are refused, and why."""
+    ramp = np.zeros((4, 4), np.uint8)
+    configs = {
+        "fine": {"resize": {"width": 5, "height": 5}, "histogram": {"operation": "matching", "reference": ramp}}, "width": {"resize": {"width": 0}}, "clip": {"clahe": {"clip_limit": 0}},
+        "kernel": {"denoise": {"size": -1}}, "sharpen": {"sharpen": {"size": 0}}, "unknown": {"rotate": {}}, "gamma": {"histogram": {"operation": "gamma", "gamma": 0}},
+        "bounds": {"histogram": {"operation": "contrast_stretch", "low": 9, "high": 9}}, "reference": {"histogram": {"operation": "matching"}}, "operation": {"histogram": {"operation": "melt"}},
+    }
+    rows = []
+    for name, config in configs.items():
+        try:
+            Y.check_config(config)
+            rows.append((name, "accepted"))
+        except (KeyError, TypeError, ValueError) as error:
+            rows.append((name, type(error).__name__))
+    return spark.createDataFrame(rows, "name string, outcome string")
+
+
 # -- reports -----------------------------------------------------------------
 
 

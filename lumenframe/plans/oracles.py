@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+from lumenframe.plans import fixtures
+
 _IMAGES = r"""images AS (
   SELECT o_orderkey AS seq, 'img_' || (o_orderkey % 9973) AS image_id,
          o_orderpriority || '/img_' || (o_orderkey % 9973)
@@ -434,6 +437,59 @@ def _placed(parts: list[tuple[int, list[str]]]) -> str:
     )
 
 
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
+def _values(columns: str, rows) -> str:
+    """Rows written out, with types from the columns' list (name and type, with commas)."""
+    names, kinds = zip(*(c.split() for c in columns.split(", ")))
+    table = ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in rows)
+    return f"SELECT {', '.join(f'CAST({n} AS {k}) AS {n}' for n, k in zip(names, kinds))} FROM (VALUES {table}) t({', '.join(names)})"
+
+
+_FILES = fixtures.files()
+_PICTURES = [n for n in _FILES if n.endswith(".png") and not n.startswith("broken")]
+_ANNOTATION_FILES = [n for n in _FILES if n.endswith((".txt", ".xml", ".json", ".csv"))]
+
+
+def _kind(name: str) -> str:
+    return "image" if name.endswith(".png") else "annotation" if name in _ANNOTATION_FILES else "other"
+
+
+_FOUND = {
+    "images": [n for n in _FILES if n.endswith(".png")],
+    "annotations": [n for n in _ANNOTATION_FILES if not n.endswith(".csv")],
+    "with csv": _ANNOTATION_FILES,
+    "top only": ["yolo/data.yaml", "yolo/readme.txt"],
+}
+_FORMATS = {
+    "yolo/data.yaml": "Unknown", "yolo/readme.txt": "Generic TXT", "yolo/train/a.txt": "YOLO", "yolo/valid/b.txt": "Generic TXT", "points/p.txt": "Point TXT", "voc/v.xml": "Pascal VOC",
+    "voc/w.xml": "Pascal VOC", "coco/c1.json": "COCO", "coco/c2.json": "COCO", "rowcol/r1.json": "Row/column JSON", "rowcol/r2.json": "Row/column JSON", "classes/Other/none.md": "Unknown",
+    "csv/labels.csv": "CSV", "clinical/r.txt": "Generic TXT", "clinical/count.txt": "Counts report", "clinical/smear.txt": "Findings report",
+}
+#: dataset, image, object_index, class_id, class_name, xc, yc, w, h of what the fixture's annotations say.
+_BUILT = (
+    ("yolo", "a.png", 0, 0, "cell", 0.5, 0.5, 0.25, 0.5), ("yolo", "a.png", 1, 9, "odd", 0.25, 0.125, 0.1, 0.2),
+    ("points", "p.png", 0, 1, "Class_1", 0.5, 0.5, 0.109375, 0.145833), ("points", "p.png", 1, 2, "Class_2", 0.1, 0.1, 0.109375, 0.145833),
+    ("voc", "v.png", 0, 2, "Platelets", 0.2, 0.3, 0.2, 0.2), ("voc", "v.png", 1, 0, "RBC", 0.5, 0.5, 1.0, 1.0),
+    ("coco", "s.png", 0, 3, "WBC", 0.35, 0.3, 0.2, 0.2), ("coco", "s.png", 1, 7, "Class_7", 0.05, 0.1, 0.1, 0.2), ("coco", "t.png", 0, 1, "A", 0.25, 0.25, 0.5, 0.5),
+    ("coco", "u.png", 0, 3, "WBC", 0.2, 0.2, 0.2, 0.2), ("rowcol", "s.png", 0, 0, "RBC", 0.25, 0.25, 0.5, 0.5),
+    ("classes", "a.png", 0, 0, "Lymphocyte", 0.5, 0.5, 1.0, 1.0), ("classes", "a.png", 0, 1, "Neutrophil", 0.5, 0.5, 1.0, 1.0),
+    ("csv", "001.png", 0, 1, "Class_1", 0.5, 0.5, 1.0, 1.0), ("csv", "002.png", 0, 2, "Class_2", 0.5, 0.5, 1.0, 1.0),
+)
+_LOGGED = {
+    "yolo/train/a.png": 2, "yolo/valid/b.png": 0, "points/p.png": 2, "voc/v.png": 2, "voc/w.png": 0, "coco/s.png": 2, "coco/t.png": 1, "coco/u.png": 1, "coco/x.png": 0, "rowcol/s.png": 1,
+    "rowcol/q.png": 0, "classes/Neutrophil/a.png": 1, "classes/Lymphocyte/a.png": 1, "csv/001.png": 1, "csv/002.png": 1,
+}
+_SHRUNK = (
+    "half AS (SELECT vec_id, round_even(avg(v), 0) AS v FROM cells GROUP BY vec_id, r // 2, c // 2), "
+    "dark AS (SELECT h.vec_id, avg(h.v) < 126 AS dark, any_value(m.mean) AS mean FROM half h JOIN m USING (vec_id) GROUP BY h.vec_id)"
+)
+
+
 ORACLES: dict[str, str] = {
     "images_view": _with(_IMAGES, then="SELECT * FROM images"),
     "boxes_view": _with(_BOXES, then="SELECT * FROM boxes"),
@@ -927,6 +983,106 @@ ORACLES: dict[str, str] = {
             *[f"round(({x} / 255.0::DOUBLE - {m}::DOUBLE) / {d}::DOUBLE, 3)" for x, m, d in (("b", 0.485, 0.229), ("g", 0.456, 0.224), ("r", 0.406, 0.225))], place="place",
         ),
     ),
+    "file_listing": _values("path VARCHAR, kind VARCHAR, length BIGINT", [(n, _kind(n), None if n.endswith(".png") else len(c)) for n, c in _FILES.items()]),
+    "file_listings_by_kind": _values("what VARCHAR, path VARCHAR", [(k, n) for k, names in _FOUND.items() for n in names]),
+    "file_counts": _values(
+        "folder VARCHAR, n_images BIGINT, n_annotations BIGINT, n_files BIGINT", [("yolo", 3, 3, 7), ("voc", 2, 2, 4), ("clinical", 0, 3, 3), ("broken", 2, 0, 2), ("none", 0, 0, 0)]
+    ),
+    "file_checks": _values(
+        "seq BIGINT, file_found BOOLEAN, has_bytes BOOLEAN, width INTEGER, height INTEGER",
+        [(0, True, True, -1, -1), (1, True, False, -1, -1), (2, False, False, 0, 0), (3, True, True, 8, 6)],
+    ),
+    "image_headers": _values(
+        "path VARCHAR, width INTEGER, height INTEGER", [(n, 8 + k % 3, 6) for k, n in enumerate(_PICTURES)] + [("broken/bad.png", 0, 0), ("broken/zero.png", 0, 0)]
+    ),
+    "image_pixels": _values(
+        "path VARCHAR, channels INTEGER, blue DOUBLE, green DOUBLE, red DOUBLE",
+        [(n, 3, *(round(float(m) + 1e-9, 4) for m in fixtures.picture(8 + k % 3, 6, k).reshape(-1, 3).mean(0))) for k, n in enumerate(_PICTURES)],
+    ),
+    "split_folders": _values("split VARCHAR, n BIGINT", [("train", 2), ("val", 2), ("test", 1)]),
+    "content_digests": _values(
+        "path VARCHAR, md5 VARCHAR, sha256 VARCHAR", [(n, hashlib.md5(c).hexdigest(), hashlib.sha256(c).hexdigest()) for n, c in _FILES.items() if not n.endswith(".png")]
+    ),
+    "detected_formats": _values(
+        "path VARCHAR, format VARCHAR, coarse VARCHAR", [(n, f, n.rsplit(".", 1)[1].upper() if n in _ANNOTATION_FILES else "UNKNOWN") for n, f in _FORMATS.items()]
+    ),
+    "catalog_entries": _values(
+        "name VARCHAR, annotation VARCHAR, task VARCHAR, status VARCHAR, classes VARCHAR",
+        [
+            ("yolo", "YOLO", "Detection", "READY", "0=cell|9=odd"), ("voc", "Pascal VOC", "Detection", "READY", "0=RBC|2=Platelets"), ("coco", "COCO", "Detection", "READY", ""),
+            ("classes", "None", "Classification", "READY", "0=Lymphocyte|1=Neutrophil"), ("csv", "CSV", "Classification", "READY", ""), ("points", "Point TXT", "Detection", "READY", ""),
+            ("rowcol", "Row/column JSON", "Detection", "READY", ""), ("clinical", "Clinical", "Report", "ERROR", ""), ("broken", "YOLO", "Detection", "ERROR", ""),
+        ],
+    ),
+    "built_boxes": _values("dataset VARCHAR, image VARCHAR, object_index INTEGER, class_id INTEGER, class_name VARCHAR, xc DOUBLE, yc DOUBLE, w DOUBLE, h DOUBLE", _BUILT),
+    "built_log": _values(
+        "dataset VARCHAR, image VARCHAR, status VARCHAR, objects BIGINT",
+        [(n.split("/")[0], n, "SUCCESS", k) for n, k in _LOGGED.items()]
+        + [("yolo", "yolo/test/lonely.png", "FAILED", 0), ("broken", "broken/bad.png", "FAILED", 0), ("broken", "broken/zero.png", "FAILED", 0), ("clinical", "", "ERROR", 0)],
+    ),
+    "built_images": _values(
+        "dataset VARCHAR, image_id VARCHAR, width INTEGER, height INTEGER, split VARCHAR",
+        [
+            (n.split("/")[0], n.rsplit("/", 1)[1][:-4], 8 + k % 3, 6, "val" if "valid" in n else "train")
+            for k, n in enumerate(_PICTURES)
+            if n.split("/")[0] in ("yolo", "points", "voc", "coco", "rowcol") and "lonely" not in n
+        ],
+    ),
+    "clinical_reports": _values(
+        "dataset VARCHAR, file VARCHAR, counts VARCHAR, findings VARCHAR",
+        [("clinical", "r.txt", "Hemoglobin=14.0|WBC=7.2", "target cells|microcytic"), ("clinical", "count.txt", "", ""), ("clinical", "smear.txt", "", "")],
+    ),
+    "exported_files": "SELECT path, replace(text, '~', chr(10)) AS text FROM ("
+    + _values(
+        "path VARCHAR, text VARCHAR",
+        [
+            ("yolo/labels/train/a.txt", "0 0.500000 0.500000 0.250000 0.500000~1 0.250000 0.125000 0.100000 0.200000~"), ("yolo/labels/val/b.txt", ""),
+            ("yolo/data.yaml", "train: images/train~val: images/val~test: images/test~nc: 2~names:~  0: cell~  1: odd~"), ("yolo/images/train/a.png", None), ("yolo/images/val/b.png", None),
+            ("classes/train/cell/a.png", None), ("classes/val/unlabeled/b.png", None),
+        ],
+    )
+    + ")",
+    "processed_export": _values("path VARCHAR, width INTEGER, height INTEGER", [("voc/v.png", 5, 4), ("voc/w.png", 5, 4), ("broken/bad.png", 0, 0)]),
+    "pipeline_rows": _with(
+        _TILES, _CELLS, _SHRUNK,
+        then="""SELECT vec_id::VARCHAR AS path, 4 AS width, 4 AS height, 'uint8' AS dtype, NOT dark AS passed, CASE WHEN dark THEN 'too dark' END AS error,
+        'resize:SUCCESS,check:' || CASE WHEN dark THEN 'FAILED' ELSE 'SUCCESS' END AS steps, round(mean, 4) AS brightness, 16 AS n_bytes FROM dark
+        UNION ALL SELECT 'broken', -1, -1, NULL, FALSE, 'corrupted', '', NULL, NULL""",
+    ),
+    "pipeline_report": _with(
+        _TILES, _CELLS, _SHRUNK,
+        then="""SELECT count(*) + 1 AS n_images, count(*) FILTER (NOT dark) AS n_passed, count(*) FILTER (dark) + 1 AS n_failed, 2 * count(*) AS n_steps, count(*) FILTER (dark) AS n_failed_steps,
+        round(count(*) FILTER (NOT dark) * 100.0::DOUBLE / (count(*) + 1), 2) AS success_percent FROM dark""",
+    ),
+    "pipeline_summary": _with(
+        _TILES, _CELLS, _SHRUNK,
+        "whole AS (SELECT count(*) AS n, count(*) FILTER (NOT dark) AS ok FROM dark)",
+        then=_placed([
+            (10, [f"'{'=' * 60}'", "'Preprocessing Summary'", f"'{'=' * 60}'"]),
+            (11, [_field("Processed Images", "ok"), _field("Failed Images", "n + 1 - ok"), _field("Success Rate", _places("round(ok * 100.0::DOUBLE / (n + 1), 2)") + " || '%'"), _field("Applied Steps", "2 * n"), _field("Average Quality", "'0.00'")]),
+            (12, [f"'{'=' * 60}'"]),
+        ]),
+    ),
+    "pipeline_records": _with(
+        _TILES, _CELLS, _SHRUNK,
+        then="SELECT NOT dark AS passed, CASE WHEN dark THEN 'too dark' END AS error, count(*) AS n, 2 * count(*) AS n_steps FROM dark GROUP BY dark UNION ALL SELECT FALSE, 'corrupted', 1, 0",
+    ),
+    "assessed_images": _with(
+        _TILES, _NEIGHBOURS, _judged(126, 132, 34, 9000, 5.2, 97),
+        then="""SELECT CASE WHEN vec_id::VARCHAR LIKE '1%' THEN 'cached' ELSE 'measured' END AS source, FALSE AS corrupted, len(issues) = 0 AS passed, count(*) AS n,
+        count(*) FILTER (vec_id::VARCHAR LIKE '1%') AS n_taken FROM judged GROUP BY 1, 3 UNION ALL SELECT 'measured', TRUE, FALSE, 1, 0""",
+    ),
+    "pipeline_editing": _values(
+        "state VARCHAR, names VARCHAR",
+        [
+            ("configured", "resize,sharpen,histogram"), ("extended", "resize,first,sharpen,histogram,last"), ("removed", "first,sharpen,histogram,last"), ("cleared", ""),
+            ("registered", "blur,sharp"), ("unregistered", "sharp"), ("known", "sharp"), ("emptied", ""),
+        ],
+    ),
+    "rejected_configs": _values(
+        "name VARCHAR, outcome VARCHAR",
+        [("fine", "accepted"), ("unknown", "KeyError"), ("operation", "TypeError")] + [(n, "ValueError") for n in ("width", "clip", "kernel", "sharpen", "gamma", "bounds", "reference")],
+    ),
     "report_v1_text": "WITH " + _v1_issues(planted=True) + ",\n" + _V1_FACTS + ",\nlines AS ("
     + " UNION ALL ".join(
         [

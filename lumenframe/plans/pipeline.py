@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.operators import kernels as K
+from lumenframe.operators import pixels as P
 from lumenframe.operators.training import parts
 
 Step = Callable[[np.ndarray], np.ndarray]
@@ -134,12 +135,40 @@ def default_registry() -> Registry:
         "macenko": K.macenko,
         "reinhard": K.reinhard,
         "standardize_brightness": K.standardize_brightness,
+        "histogram": K.histogram_operation,
+        "stain": K.stain_operation,
     }
     for name, f in steps.items():
         registry.register(name, _bound(f))
     return registry
 
 
+def check_config(config: dict[str, dict], registry: Registry | None = None) -> None:
+    """Raise where a step is unknown or an option is out of range."""
+    unknown = set(config) - set((registry or default_registry()).names())
+    if unknown:
+        raise KeyError(f"unknown steps: {sorted(unknown)}")
+    positive = {
+        "resize": {"width": 640, "height": 640}, "clahe": {"clip_limit": 2.0, "grid": 8}, "denoise": {"size": 5}, "sharpen": {"size": 5}, "color": {"gamma": 1.0},
+    }
+    for step, options in positive.items():
+        for name, default in options.items():
+            if step in config and config[step].get(name, default) <= 0:
+                raise ValueError(f"{step}: {name} must be greater than 0")
+    if "histogram" in config:
+        options = dict(config["histogram"])
+        K.check_histogram_options(options.pop("operation", "histogram"), options)
+
+
+def _prepared(name: str, options: dict) -> dict:
+    """Options whose reference image is replaced by what its step needs of it, found once."""
+    reference = options.get("reference")
+    method = options.get("method") if name == "stain" else name
+    if isinstance(reference, np.ndarray) and method in ("macenko", "reinhard"):
+        return options | {"reference": K.stains_of(reference) if method == "macenko" else K.lab_moments(reference)}
+    return options
+
+
 @dataclass
 class Pipeline:
     """Ordered steps with options; ``run`` handles one image, ``apply`` a DataFrame."""
@@ -151,11 +180,12 @@ class Pipeline:
     def from_config(cls, config: dict[str, dict], registry: Registry | None = None) -> Pipeline:
         """``config``: options of the enabled steps; they run in the fixed order."""
         registry = registry or default_registry()
-        unknown = set(config) - set(registry.names())
-        if unknown:
-            raise KeyError(f"unknown steps: {sorted(unknown)}")
+        check_config(config, registry)
         names = [n for n in ORDER if n in config] + [n for n in config if n not in ORDER]
-        return cls([(n, registry.create(n, **config[n])) for n in names])
+        return cls([(n, registry.create(n, **_prepared(n, config[n]))) for n in names])
+
+    def summary(self) -> str:
+        return " > ".join(self.names()) or "(empty)"
 
     def append(self, name: str, step: Step) -> None:
         self.steps.append((name, step))
@@ -197,7 +227,7 @@ class Pipeline:
         pipeline = self
         names = ("brightness", "contrast", "dynamic_range", "entropy", "blur_score", "sharpness", "noise_level")
         schema = (
-            "path string, width int, height int, channels int, data binary, passed boolean, error string, "
+            "path string, width int, height int, channels int, data binary, dtype string, passed boolean, error string, "
             "history array<struct<step: string, status: string, seconds: double, message: string>>, " + ", ".join(f"{n} double" for n in names)
         )
 
@@ -205,7 +235,7 @@ class Pipeline:
             for batch in parts(batches):
                 out = []
                 for row in batch.itertuples(index=False):
-                    made = {"path": row.path, "width": -1, "height": -1, "channels": -1, "data": None, "passed": False, "error": "corrupted", "history": []}
+                    made = {"path": row.path, "width": -1, "height": -1, "channels": -1, "data": None, "dtype": None, "passed": False, "error": "corrupted", "history": []}
                     made |= dict.fromkeys(names)
                     if row.width > 0:
                         shape = (row.height, row.width) if row.channels == 1 else (row.height, row.width, row.channels)
@@ -218,6 +248,7 @@ class Pipeline:
                             "width": image.shape[1],
                             "channels": 1 if image.ndim == 2 else image.shape[2],
                             "data": np.ascontiguousarray(image).tobytes(),
+                            "dtype": image.dtype.name,
                             "passed": not failed,
                             "error": "; ".join(failed) or None,
                             "history": history,
@@ -244,3 +275,24 @@ def run_report(processed: DataFrame) -> DataFrame:
         F.sum("n_failed_steps").alias("n_failed_steps"),
         F.round(F.count_if("passed") * 100.0 / F.count("*"), 2).alias("success_percent"),
     )
+
+
+def assess(images: DataFrame, cached: DataFrame | None = None, thresholds: P.Thresholds = P.Thresholds()) -> DataFrame:
+    """path, measures, quality_score, issues, passed, corrupted, source of images.
+
+    ``cached`` has results of an earlier run by path (as ``Pipeline.apply`` gives them,
+    with quality_score and issues): those images are not measured again.
+    """
+    names = ("brightness", "contrast", "blur_score", "entropy")
+    if cached is None:
+        measured = Pipeline.from_config({"quality": {}}).apply(images)
+        score = P.quality_score(*[F.col(n) for n in names], thresholds)
+        scored = measured.withColumn("quality_score", score)
+        m = {n: F.col(n) for n in (*names, "quality_score")}
+        corrupted = F.col("width") < 0
+        issues = F.when(corrupted, F.array(F.lit("corrupted"))).otherwise(P.quality_issues(m, thresholds))
+        out = scored.select("path", *names, "quality_score", issues.alias("issues"), corrupted.alias("corrupted"))
+        return out.withColumns({"passed": F.size("issues") == 0, "source": F.lit("measured")})
+    known = cached.select("path", *names, "quality_score", "issues", "corrupted", "passed", F.lit("cached").alias("source"))
+    fresh = assess(images.join(cached.select("path"), "path", "left_anti"), None, thresholds)
+    return fresh.unionByName(known.join(images.select("path"), "path", "left_semi"))

@@ -13,14 +13,23 @@ from pyspark.sql import types as T
 
 from lumenframe.functions import scalars as S
 from lumenframe.schema import POINT_BOX, POINT_FRAME, class_ids
+from lumenframe.sources.listing import empty_files
 
 # -- reading -----------------------------------------------------------------
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path, text: whole files."""
-    found = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+def any_case(suffix: str) -> str:
+    """A glob of files with a suffix in any case."""
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+
+
+def read_texts(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
+    """path, text: whole files, empty ones too; with a suffix no other file is opened."""
+    glob = any_case(suffix) if suffix else None
+    reader = spark.read.option("recursiveFileLookup", "true")
+    found = (reader.option("pathGlobFilter", glob) if glob else reader).text(path, wholetext=True)
+    texts = found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return texts.unionByName(empty_files(spark, path, glob=glob).withColumn("text", F.lit("")))
 
 
 def lines(text: Column) -> Column:
@@ -100,7 +109,9 @@ def report_findings(text: Column) -> Column:
 _POINT = T.StructType([T.StructField("r", T.DoubleType()), T.StructField("c", T.DoubleType())])
 ROWCOL_RECORD = T.StructType(
     [
-        T.StructField("image", T.StructType([T.StructField("pathname", T.StringType()), T.StructField("shape", _POINT)])),
+        T.StructField(
+            "image", T.StructType([T.StructField("pathname", T.StringType()), T.StructField("file_name", T.StringType()), T.StructField("shape", _POINT)])
+        ),
         T.StructField(
             "objects",
             T.ArrayType(
@@ -170,23 +181,51 @@ def rowcol_boxes(record: Column) -> Column:
     return F.filter(F.transform(record["objects"], one), lambda b: b["class_id"].isNotNull())
 
 
-def coco_boxes(documents: DataFrame) -> DataFrame:
-    """image_key, file_name, width, height, class_id, class_name, xc, yc, w, h of parsed documents.
+def rowcol_by_name(documents: DataFrame) -> DataFrame:
+    """name, first, b (boxes in file order), width, height of row/column records; the last record of a name counts.
+
+    ``documents``: file, text. ``first`` tells the order in which names first occur, files in path order.
+    """
+    rows = documents.select("file", F.posexplode(rowcol_records(F.col("text"))).alias("at", "r"))
+    place = F.struct("file", "at")
+    path = F.coalesce(F.nullif(F.col("r.image.pathname"), F.lit("")), F.col("r.image.file_name"))
+    named = rows.select(S.filename(path).alias("name"), place.alias("place"), "r").filter("name <> ''")
+    newest = named.groupBy("name").agg(F.min("place").alias("first"), F.max_by("r", "place").alias("r"))
+    shape = F.col("r.image.shape")
+    return newest.select(
+        "name", "first", rowcol_boxes(F.col("r")).alias("b"), F.coalesce(shape["c"], F.lit(0.0)).cast("int").alias("width"), F.coalesce(shape["r"], F.lit(0.0)).cast("int").alias("height")
+    )
+
+
+def coco_boxes(documents: DataFrame, merged: bool = False) -> DataFrame:
+    """file, file_name, first, at, width, height, class_id, class_name, xc, yc, w, h of parsed documents.
 
-    ``documents``: file, doc (COCO_DOCUMENT). Ids are local to a file. Annotations of
-    unknown images and images without a name are dropped; a later image of the same
-    name in one file replaces an earlier one.
+    ``documents``: file, doc (COCO_DOCUMENT). Ids are local to a file, unless ``merged``:
+    then the files count as one document, with the categories of the first file.
+    Annotations of unknown images and images without a name are dropped; a later image of
+    the same name in one document replaces an earlier one. ``first`` and ``at`` are the
+    places of the image and of the annotation.
     """
-    images = documents.select("file", F.posexplode("doc.images").alias("at", "i")).select("file", "at", "i.*").filter("file_name IS NOT NULL")
-    newest = images.groupBy("file", "file_name").agg(F.max(F.struct("at", "id", "width", "height")).alias("i"))
-    images = newest.select("file", "file_name", "i.id", "i.width", "i.height")
-    notes = documents.select("file", F.explode("doc.annotations").alias("a")).select(
-        "file", F.col("a.image_id").alias("id"), F.coalesce("a.category_id", F.lit(-1)).alias("class_id"), F.col("a.bbox").alias("bbox")
+    document = F.lit("") if merged else F.col("file")
+    images = documents.select("file", F.posexplode("doc.images").alias("at", "i")).select(document.alias("document"), F.struct("file", "at").alias("first"), "i.*")
+    newest = images.filter("file_name IS NOT NULL").groupBy("document", "file_name").agg(
+        F.min("first").alias("first"), F.max_by(F.struct("id", "width", "height"), "first").alias("i")
     )
-    names = documents.select("file", F.explode("doc.categories").alias("c")).select(
-        "file", F.col("c.id").alias("class_id"), F.col("c.name").alias("class_name")
+    images = newest.select("document", "file_name", "first", "i.id", "i.width", "i.height")
+    notes = documents.select("file", F.posexplode("doc.annotations").alias("at", "a")).select(
+        document.alias("document"),
+        F.struct("file", "at").alias("at"),
+        F.col("a.image_id").alias("id"),
+        F.coalesce("a.category_id", F.lit(-1)).alias("class_id"),
+        F.col("a.bbox").alias("bbox"),
     )
-    joined = images.join(notes, ["file", "id"]).join(names, ["file", "class_id"], "left")
+    named = documents.filter("size(doc.categories) > 0")
+    if merged:
+        named = named.orderBy("file").limit(1)
+    names = named.select(document.alias("document"), F.explode("doc.categories").alias("c")).groupBy("document", F.col("c.id").alias("class_id")).agg(
+        F.first("c.name").alias("class_name")
+    )
+    joined = images.join(notes, ["document", "id"]).join(names, ["document", "class_id"], "left")
     sized = F.col("width") * F.col("height") != 0
 
     def share(value: Column, of: str) -> Column:
@@ -194,8 +233,10 @@ def coco_boxes(documents: DataFrame) -> DataFrame:
 
     x, y, w, h = (F.get("bbox", F.lit(k)) for k in range(4))
     return joined.select(
-        "file",
+        F.col("document").alias("file"),
         "file_name",
+        "first",
+        "at",
         "width",
         "height",
         "class_id",
@@ -207,25 +248,61 @@ def coco_boxes(documents: DataFrame) -> DataFrame:
     )
 
 
+def coco_by_name(documents: DataFrame) -> DataFrame:
+    """name, first, b (boxes in file order) of every image of merged documents, those without boxes too."""
+    box = F.struct("at", "class_id", "class_name", "xc", "yc", "w", "h")
+    found = coco_boxes(documents, merged=True).groupBy(S.filename(F.col("file_name")).alias("name")).agg(F.array_sort(F.collect_list(box)).alias("b"))
+    images = documents.select("file", F.posexplode("doc.images").alias("at", "i")).select(S.filename(F.col("i.file_name")).alias("name"), F.struct("file", "at").alias("first"))
+    listed = images.filter("name <> ''").groupBy("name").agg(F.min("first").alias("first"))
+    empty = F.array().cast(found.schema["b"].dataType)
+    return listed.join(found, "name", "left").withColumn("b", F.coalesce("b", empty))
+
+
+def clinical_records(texts: DataFrame) -> DataFrame:
+    """path, counts (map of numbers) and findings of clinical reports (path, text)."""
+    return texts.select("path", report_values(F.col("text")).alias("counts"), report_findings(F.col("text")).alias("findings"))
+
+
 def read_voc(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", "annotation").option("recursiveFileLookup", "true").schema(VOC_ANNOTATION).load(path)
+    """Annotations of XML files, with the path of their file."""
+    found = spark.read.format("xml").option("rowTag", "annotation").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(".xml"))
+    return found.schema(VOC_ANNOTATION).load(path).select("*", F.col("_metadata.file_path").alias("path"))
+
+
+def voc_array(objects: Column, size: Column) -> Column:
+    """Boxes of one annotation in file order; unknown classes are dropped."""
+    width, height = _or_one(size["width"]), _or_one(size["height"])
+
+    def one(o: Column) -> Column:
+        b = o["bndbox"]
+        return F.struct(
+            mapped_class(F.trim(o["name"])).alias("class_id"),
+            ((b["xmin"] + b["xmax"]) / 2.0 / width).alias("xc"),
+            ((b["ymin"] + b["ymax"]) / 2.0 / height).alias("yc"),
+            ((b["xmax"] - b["xmin"]) / width).alias("w"),
+            ((b["ymax"] - b["ymin"]) / height).alias("h"),
+        )
+
+    return F.coalesce(F.filter(F.transform(objects, one), lambda b: b["class_id"].isNotNull()), F.array().cast(_BOX_ARRAY))
+
+
+_BOX_ARRAY = "array<struct<class_id: int, xc: double, yc: double, w: double, h: double>>"
 
 
 def voc_boxes(annotations: DataFrame) -> DataFrame:
-    """filename, width, height, class_id, xc, yc, w, h; unknown classes are dropped."""
-    rows = annotations.select("filename", F.col("size.width").alias("width"), F.col("size.height").alias("height"), F.explode("object").alias("o"))
-    b = F.col("o.bndbox")
-    width, height = _or_one(F.col("width")), _or_one(F.col("height"))
-    return rows.select(
-        "filename",
-        "width",
-        "height",
-        mapped_class(F.col("o.name")).alias("class_id"),
-        ((b["xmin"] + b["xmax"]) / 2.0 / width).alias("xc"),
-        ((b["ymin"] + b["ymax"]) / 2.0 / height).alias("yc"),
-        ((b["xmax"] - b["xmin"]) / width).alias("w"),
-        ((b["ymax"] - b["ymin"]) / height).alias("h"),
-    ).filter("class_id IS NOT NULL")
+    """filename, width, height, object_index, class_id, xc, yc, w, h; unknown classes are dropped."""
+    rows = annotations.select(
+        "filename", F.col("size.width").alias("width"), F.col("size.height").alias("height"), F.posexplode(voc_array(F.col("object"), F.col("size"))).alias("object_index", "b")
+    )
+    return rows.select("filename", "width", "height", "object_index", "b.*")
+
+
+def voc_classes(annotations: DataFrame, most_files: int = 50) -> DataFrame:
+    """class_id, label: names of known classes in the first files by path, the first name of each class."""
+    head = annotations.orderBy("path").limit(most_files)
+    rows = head.select("path", F.posexplode("object").alias("at", "o")).select(F.struct("path", "at").alias("place"), F.trim("o.name").alias("label"))
+    known = rows.withColumn("class_id", mapped_class(F.col("label"))).filter("class_id IS NOT NULL")
+    return known.groupBy("class_id").agg(F.min_by("label", "place").alias("label"))
 
 
 # -- classification ----------------------------------------------------------

@@ -15,11 +15,29 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def _binary(spark: SparkSession, root: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
+
+
+def empty_files(spark: SparkSession, root: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
+    """path of files without content, which Spark's readers leave out.
+
+    The driver's own file index knows all names; those that a scan does not give are empty.
+    """
+    found = _binary(spark, root, recursive, glob)
+    named = spark.createDataFrame([(name,) for name in found.inputFiles()], "path string")
+    decoded = named.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"))
+    known = found.select(S.plain_path(F.col("path")).alias("plain"))
+    return decoded.withColumn("plain", S.plain_path(F.col("path"))).join(known, "plain", "left_anti").select("path")
+
+
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """path, length, kind (image, annotation or other); content is never read."""
+    """path, length, kind (image, annotation or other), empty files too; content is never read."""
     if not path_exists(spark, root):
         return spark.createDataFrame([], "path string, length long, kind string")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
+    found = _binary(spark, root, recursive).select("path", "length")
+    found = found.unionByName(empty_files(spark, root, recursive).withColumn("length", F.lit(0).cast("long")))
     path = F.col("path")
     kind = (
         F.when(S.has_extension(path, IMAGE_EXTENSIONS), "image")
@@ -64,16 +82,21 @@ def _image_glob() -> str:
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """path, width, height, channels, data (BGR rows); an undecodable file has width -1."""
+    """path, width, height, channels, data (BGR rows); an undecodable or empty file has width -1."""
     source = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", _image_glob())
     found = source.load(root)
-    return found.select(
+    broken = F.lit(-1)
+    empty = empty_files(spark, root, glob=_image_glob()).select(
+        "path", broken.alias("width"), broken.alias("height"), broken.alias("channels"), F.lit(None).cast("binary").alias("data")
+    )
+    decoded = found.select(
         F.col("image.origin").alias("path"),
         F.col("image.width").alias("width"),
         F.col("image.height").alias("height"),
         F.col("image.nChannels").alias("channels"),
         F.col("image.data").alias("data"),
     )
+    return decoded.unionByName(empty)
 
 
 def image_sizes(images: DataFrame) -> DataFrame:
@@ -86,11 +109,13 @@ def image_sizes(images: DataFrame) -> DataFrame:
 
 def content_digests(spark: SparkSession, root: str) -> DataFrame:
     """path, md5, sha256 of each file."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    found = _binary(spark, root).select("path", "content")
+    found = found.unionByName(empty_files(spark, root).withColumn("content", F.lit(b"")))
     return found.select("path", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
 
 
 def with_file_facts(images: DataFrame, files: DataFrame) -> DataFrame:
     """Images with file_found and file_length from a listing."""
-    facts = files.select(F.col("path").alias("image_path"), F.col("length").alias("file_length"))
-    return images.join(facts, "image_path", "left").withColumn("file_found", F.col("file_length").isNotNull())
+    facts = files.select(S.plain_path(F.col("path")).alias("_plain"), F.col("length").alias("file_length"))
+    joined = images.withColumn("_plain", S.plain_path(F.col("image_path"))).join(facts, "_plain", "left").drop("_plain")
+    return joined.withColumn("file_found", F.col("file_length").isNotNull())

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions import scalars as S
@@ -54,26 +62,123 @@ def write_yolo(labels: DataFrame, names: DataFrame, root: str) -> None:
     """Label texts as a table partitioned by split, and data.yaml beside it.
 
     One small file for each image would be millions of files; the table holds the file
-    name and its text, and ``write_label_files`` unpacks it where files are needed.
+    name and its text, and ``export_yolo`` writes single files where they are needed.
     """
     labels.write.mode("overwrite").partitionBy("split").parquet(f"{root}/labels")
     found = {r["new_id"]: r["name"] for r in names.orderBy("new_id").collect()}  # one row per class
     write_text(labels, manifest_text(found), f"{root}/data.yaml")
 
 
-def write_label_files(labels: DataFrame, root: str) -> None:
-    """One text file for each image, split/stem.txt, written by the executors."""
+def label_files(labels: DataFrame, root: str) -> DataFrame:
+    """path, content of one text file for each image: root/split/stem.txt."""
+    path = F.concat_ws("/", F.lit(root.rstrip("/")), "split", F.concat("stem", F.lit(".txt")))
+    return labels.select(path.alias("path"), F.col("label_text").cast("binary").alias("content"))
 
-    def write(rows) -> None:
-        import os
 
-        for row in rows:
-            folder = os.path.join(root, row["split"])
-            os.makedirs(folder, exist_ok=True)
-            with open(os.path.join(folder, row["stem"] + ".txt"), "w") as out:
-                out.write(row["label_text"])
+def write_label_files(labels: DataFrame, root: str) -> int:
+    return write_files(label_files(labels, root))
 
-    labels.select("split", "stem", "label_text").foreachPartition(write)
+
+# -- files -------------------------------------------------------------------
+
+
+def write_files(files: DataFrame) -> int:
+    """Write path, content rows as files, from the executors; returns how many.
+
+    Paths name a store that all executors reach (a shared folder or an object store). A
+    repeated task writes the same files again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import posixpath
+
+        from pyarrow import fs
+
+        n = 0
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                name = path.as_py()
+                store, inside = fs.FileSystem.from_uri(name if ":" in name.split("/", 1)[0] else "file://" + name)
+                store.create_dir(posixpath.dirname(inside), recursive=True)
+                with store.open_output_stream(inside) as out:
+                    out.write(content.as_py() or b"")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def copies(spark: SparkSession, source_root: str, targets: DataFrame) -> DataFrame:
+    """path, content of copies: ``targets`` has the image_path of a file below ``source_root`` and its target path."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source_root)
+    wanted = targets.select(S.plain_path(F.col("image_path")).alias("image_path"), F.col("target").alias("path"))
+    return found.select(S.plain_path(F.col("path")).alias("image_path"), "content").join(wanted, "image_path").select("path", "content")
+
+
+def savable(image: np.ndarray) -> np.ndarray:
+    """Bytes of an image of any range: floats up to 1 are scaled to 255."""
+    if image.dtype == np.uint8:
+        return image
+    image = image.astype(np.float32)
+    most = image.max() if image.size else 1.0
+    return np.clip(image * 255.0 if most <= 1.0 + 1e-6 else image, 0, 255).astype(np.uint8)
+
+
+def png_bytes(image: np.ndarray) -> bytes:
+    """A PNG of a gray or BGR image."""
+    image = savable(image)
+    rows = image[:, :, None] if image.ndim == 2 else image[..., 2::-1]
+    height, width, channels = rows.shape
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), np.ascontiguousarray(rows).reshape(height, -1)], axis=1)
+    head = struct.pack(">IIBBBBB", width, height, 8, 0 if channels == 1 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def processed_files(processed: DataFrame, originals: DataFrame, source_root: str, target_root: str) -> DataFrame:
+    """path, content of processed images as PNG, in the folders they came from; the original where processing failed.
+
+    ``processed``: path, width, height, channels, data, dtype, passed; ``originals``: path, content.
+    """
+    processed, originals = (rows.withColumn("path", S.plain_path(F.col("path"))) for rows in (processed, originals))
+    target = output_path(F.col("path"), re.sub("^file:/+", "/", source_root), target_root)
+    good = processed.filter("passed").select(target.alias("path"), "width", "height", "channels", "data", "dtype")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 16):
+                made = []
+                for r in batch.iloc[at : at + 16].itertuples(index=False):
+                    shape = (r.height, r.width) if r.channels == 1 else (r.height, r.width, r.channels)
+                    made.append((r.path, png_bytes(np.frombuffer(r.data, r.dtype).reshape(shape))))
+                yield pd.DataFrame(made, columns=["path", "content"])
+
+    failed = processed.filter(~F.col("passed")).select("path").join(originals, "path").select(target.alias("path"), "content")
+    return good.mapInPandas(run, "path string, content binary").unionByName(failed)
+
+
+def export_yolo(images: DataFrame, boxes: DataFrame, root: str, source_root: str | None = None) -> dict[str, int]:
+    """Label files, data.yaml and, with ``source_root``, the images, in root/labels and root/images by split."""
+    root = root.rstrip("/")
+    labels = yolo_labels(images, boxes)
+    written = {"labels": write_label_files(labels, f"{root}/labels")}
+    names = {r["new_id"]: r["name"] for r in class_names(boxes).collect()}  # one row per class
+    write_text(images, manifest_text(dict(sorted(names.items()))), f"{root}/data.yaml")
+    if source_root:
+        split = F.coalesce(F.nullif(F.col("split"), F.lit("")), F.lit("train"))
+        target = F.concat_ws("/", F.lit(f"{root}/images"), split, S.filename(F.col("image_path")))
+        written["images"] = write_files(copies(images.sparkSession, source_root, images.select("image_path", target.alias("target"))))
+    return written
+
+
+def export_classification(images: DataFrame, boxes: DataFrame, root: str, source_root: str) -> int:
+    """Images copied to root/split/class; returns how many."""
+    targets = images.select("seq", "image_path").join(class_folder(images, boxes), "seq")
+    targets = targets.select("image_path", F.concat(F.lit(root.rstrip("/") + "/"), "target").alias("target"))
+    return write_files(copies(images.sparkSession, source_root, targets))
 
 
 def write_text(any_frame: DataFrame, text: str, path: str) -> None:

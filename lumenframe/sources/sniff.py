@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions import scalars as S
@@ -160,6 +160,20 @@ def folder_classes(files: DataFrame) -> DataFrame:
     return folders.withColumn("class_id", F.row_number().over(Window.orderBy("label")) - 1)
 
 
+def find_manifest(spark: SparkSession, root: str) -> str | None:
+    """Path of the manifest at a dataset's root, if it has one."""
+    from lumenframe.sources.listing import path_exists
+
+    names = (f"{root.rstrip('/')}/{n}" for n in ("data.yaml", "data.yml"))
+    return next((n for n in names if path_exists(spark, n)), None)
+
+
+def manifest_classes(spark: SparkSession, root: str) -> dict[int, str]:
+    """Class names of a dataset's manifest (one small file), none without one."""
+    path = find_manifest(spark, root)
+    return read_manifest(spark.read.text(path, wholetext=True).first()[0])["names"] if path else {}
+
+
 def read_manifest(text: str) -> dict:
     """A dataset manifest (YAML): names as an id map, nc, and split paths."""
     import yaml
