@@ -82,6 +82,16 @@ def write_label_files(labels: DataFrame, root: str) -> int:
 # -- files -------------------------------------------------------------------
 
 
+def _store(path: str):
+    """The file system of a path, and the path within it."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    local = re.sub("^file:/+", "/", path)
+    return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(quote(path, safe=":/"))
+
+
 def write_files(files: DataFrame) -> int:
     """Write path, content rows as files, from the executors; returns how many.
 
@@ -92,13 +102,10 @@ def write_files(files: DataFrame) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import posixpath
 
-        from pyarrow import fs
-
         n = 0
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
-                name = path.as_py()
-                store, inside = fs.FileSystem.from_uri(name if ":" in name.split("/", 1)[0] else "file://" + name)
+                store, inside = _store(path.as_py())
                 store.create_dir(posixpath.dirname(inside), recursive=True)
                 with store.open_output_stream(inside) as out:
                     out.write(content.as_py() or b"")

@@ -64,3 +64,26 @@ def test_catalog(spark, folders):
     assert set(errors) == {"empty"} and everything.images.count() == 3 + 1 + 2 + 1 + 2
     with pytest.raises(ValueError):
         catalog.register("yolo", "x", "YOLO")
+
+
+def test_preprocessing_in_a_build(spark, folders):
+    catalog = Catalog(spark)
+    catalog.auto_register(str(folders / "yolo"))
+    assert catalog.build("yolo").processed is None
+    assert catalog.enable_preprocessing({"resize": {"width": 4, "height": 3}}).names() == ["resize"]
+    done = catalog.build("yolo").processed.collect()
+    assert len(done) == 4 and all(r.passed and (r.width, r.height) == (4, 3) and r.brightness > 0 for r in done)
+    catalog.disable_preprocessing()
+    assert catalog.build("yolo").processed is None
+
+
+def test_file_order_decides(spark, tmp_path):
+    png(tmp_path / "m.png", 4, 4)
+    (tmp_path / "m.txt").write_text("9 0.9 0.9 0.1 0.1\n1 0.1 0.1 0.1 0.1\n")
+    catalog = Catalog(spark)
+    catalog.register("set", str(tmp_path), "YOLO", classes={1: "one", 9: "nine"})
+    built = catalog.build("set")
+    assert [(r.object_index, r.class_name) for r in built.boxes.orderBy("object_index").collect()] == [(0, "nine"), (1, "one")]
+    from lumenframe.sources.sinks import class_folder
+
+    assert class_folder(built.images, built.boxes).first().target == "train/nine/m.png"

@@ -235,6 +235,48 @@ def test_streaming_ingest(spark, tmp_path):
     assert merged.count() == 21 and merged.filter("k = 9").count() == 2
 
 
+def test_streaming_windows(spark, tmp_path):
+    from lumenframe.streaming import ingest as I
+
+    rows = spark.createDataFrame([("2024-01-01 00:00:01", "a"), ("2024-01-01 00:04:59", "a"), ("2024-01-01 00:05:00", "b"), ("2024-01-01 00:20:00", "a")], "t string, kind string")
+    rows = rows.select(F.to_timestamp("t").alias("ts"), "kind")
+    rows.write.parquet(str(tmp_path / "in"))
+    counted = I.counts_by_window(I.landing(spark, str(tmp_path / "in"), rows.schema), "ts", "kind", "5 minutes", "1 hour")
+    query = counted.writeStream.format("memory").queryName("windows").outputMode("complete").start()
+    query.processAllAvailable()
+    query.stop()
+    found = {(r.window_start.minute, r.kind, r.n) for r in spark.table("windows").collect()}
+    assert found == {(0, "a", 2), (5, "b", 1), (20, "a", 1)}
+
+
+def test_validate_and_report(spark, small, tmp_path):
+    from lumenframe.plans import reports as E
+
+    images, boxes = small
+    issues = E.validate_and_report(images, boxes, str(tmp_path))
+    assert issues.count() == V.v2_issues(images, boxes).count() and issues.columns == list(V.ISSUE_COLUMNS)
+    lines = [r.value for r in spark.read.text(str(tmp_path / "validation_report.txt")).collect()]
+    assert lines[1] == "Dataset Validation Report" and any(line.startswith("[ERROR] OBJ001") for line in lines)
+    clean = boxes.filter("seq IN (0, 1)")
+    none = E.text(E.v1_report(images.filter("seq IN (0, 1)"), clean))
+    assert "No validation issues found." in none and "Passed            : True" in none
+    path = E.save(E.v1_report(images, boxes, markdown=True), str(tmp_path / "report.md"))
+    assert open(path).read().startswith("# Validation Report\n\n## Summary\n- Total Issues: 1\n")
+
+
+def test_paths(spark):
+    rows = [("a/./b//c/", "a/b/c", "a/b/c"), ("/x/../y", "/x/../y", "/y"), ("s3://k/a//b/../c", "s3://k/a/b/../c", "s3://k/a/c"), ("plain.jpg", "plain.jpg", "plain.jpg"), ("a/../../b", "a/../../b", "b"), (None, None, None)]
+    found = spark.createDataFrame(rows, "p string, n string, r string").select(S.normalized_path(F.col("p")), "n", S.resolved_path(F.col("p")), "r").collect()
+    assert all(r[0] == r[1] and r[2] == r[3] for r in found)
+
+
+def test_value_ranges_keep_the_order(spark):
+    rng = np.random.default_rng(1)
+    values = np.unique(np.concatenate([rng.normal(0, 1e3, 500), rng.normal(0, 1e-3, 200), np.arange(-300, 300), [0.0, 1e18, -1e18]])).tolist()
+    found = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(S.value_range(F.col("v"))).collect()]
+    assert found == sorted(found) and len(set(found)) > 500
+
+
 def test_dataset_rules_on_a_listing(spark):
     rows = [("d/a.jpg", 5, "image"), ("e/a.jpg", 5, "image"), ("d/b.jpg", 5, "image"), ("d/a.txt", 0, "annotation"), ("d/x.md", 1, "other")]
     files = spark.createDataFrame(rows, "path string, length long, kind string")

@@ -2,6 +2,7 @@ import json
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,38 +25,50 @@ def one(spark, text, column):
 
 
 def test_yolo_text(spark):
-    found = one(spark, "0 0.5 0.5 0.1 0.2\n\n1 0.25 0.25 0.05 0.05\nbad line\n", A.yolo_boxes)
-    assert len(found) == 2 and found[0].class_id == 0 and found[0].h == 0.2
-    assert one(spark, "", A.yolo_boxes) == [] and one(spark, None, A.yolo_boxes) is None
+    text = "  7\t0.125 0.75 0.0625 0.5 0.33\r\n4 .5 1e-1 0.2 0.3\n\n5 0.1 0.2 0.3\nseven 0.1 0.1 0.1 0.1\n-1 0 0 0 0"
+    found = one(spark, text, A.yolo_boxes)
+    assert [tuple(b) for b in found] == [(7, 0.125, 0.75, 0.0625, 0.5), (4, 0.5, 0.1, 0.2, 0.3), (-1, 0.0, 0.0, 0.0, 0.0)]
+    assert one(spark, "", A.yolo_boxes) == [] and one(spark, "\n \n", A.yolo_boxes) == []
 
 
 def test_point_text(spark):
-    found = one(spark, "100 100 3\n200 150 7", A.point_boxes)
-    assert [b.class_id for b in found] == [3, 7]
-    assert found[0].xc == 100 / 640 and found[0].w == 70 / 640 and found[1].yc == 150 / 480
+    found = one(spark, "16 36 5\n\n608.0 444 0 tail\n1 2\nx 1 1", A.point_boxes)
+    assert [(b.class_id, b.xc, b.yc) for b in found] == [(5, 0.025, 0.075), (0, 0.95, 0.925)]
+    assert {(b.w, b.h) for b in found} == {(70 / 640, 70 / 480)}
+    wide = spark.createDataFrame([("10 10 1",)], "t string").select(A.point_boxes(F.col("t"), (100, 50), 20).alias("b")).first().b
+    assert tuple(wide[0]) == (1, 0.1, 0.2, 0.2, 0.4)
 
 
 def test_report(spark):
-    text = "Hemoglobin: 1\nHemoglobin: 13.5\nRBC_Count: 4.8\nWBC_Count: 7200\nMorphology: Microcytic, Hypochromic\nNote: none"
-    assert one(spark, text, A.report_values) == {"Hemoglobin": 13.5, "RBC_Count": 4.8, "WBC_Count": 7200.0}
-    assert one(spark, text, A.report_findings) == ["Microcytic", "Hypochromic"]
-    assert one(spark, "x: 1", A.report_findings) == []
+    text = "Ferritin : 31\nferritin: 5\nMorphology: old\nFerritin: 40.25\nplain line\n: 3\nTime: 10:30\nMORPHOLOGY: ovalocytes ,, tear drops,"
+    assert one(spark, text, A.report_values) == {"Ferritin": 40.25, "ferritin": 5.0, "": 3.0}
+    assert one(spark, text, A.report_findings) == ["ovalocytes", "tear drops"]
+    assert one(spark, "x: 1", A.report_findings) == [] and one(spark, "", A.report_values) == {}
 
 
 def record(name, *objects):
     return {
-        "image": {"pathname": name, "shape": {"r": 1200, "c": 1600}},
+        "image": {"pathname": name, "shape": {"r": 80, "c": 160}},
         "objects": [{"category": c, "bounding_box": {"minimum": {"r": a, "c": b}, "maximum": {"r": d, "c": e}}} for c, a, b, d, e in objects],
     }
 
 
 def test_rowcol_json(spark):
-    items = [record("/s.png", ("trophozoite", 100, 100, 200, 220), ("leukocyte", 60, 60, 120, 120), ("difficult", 200, 200, 240, 240))]
-    for text in (json.dumps(items), json.dumps(items[0])):
-        records = one(spark, text, A.rowcol_records)
-        assert len(records) == 1
-    boxes = spark.createDataFrame([(json.dumps(items),)], "t string").select(F.explode(A.rowcol_records(F.col("t"))).alias("r")).select(A.rowcol_boxes(F.col("r")).alias("b")).first().b
-    assert [b.class_id for b in boxes] == [3, 1] and boxes[0].xc == 160 / 1600 and boxes[0].h == 100 / 1200
+    items = [record("deep/er/n.tif", ("Gametocyte", 8, 16, 24, 48), ("no such cell", 1, 1, 2, 2), ("red blood cell", 0, 0, 80, 160)), record("", ("ring", 0, 0, 1, 1))]
+    for text, n in ((json.dumps(items), 2), (json.dumps(items[0]), 1), ("[]", 0)):
+        assert len(one(spark, text, A.rowcol_records)) == n
+    texts = spark.createDataFrame([("f", json.dumps(items))], "file string, text string")
+    found = {r.name: r for r in A.rowcol_by_name(texts).collect()}
+    assert set(found) == {"n.tif"} and (found["n.tif"].width, found["n.tif"].height) == (160, 80)
+    assert [tuple(b) for b in found["n.tif"].b] == [(3, 0.2, 0.2, 0.2, 0.2), (0, 0.5, 0.5, 1.0, 1.0)]
+
+
+def test_later_records_replace_earlier_ones(spark):
+    first, later = record("a/n.png", ("ring", 0, 0, 8, 16)), record("b/n.png", ("leukocyte", 0, 0, 80, 160))
+    unshaped = {"image": {"file_name": "z.png"}, "objects": [{"category": "ring", "bounding_box": {"minimum": {"r": 1, "c": 2}, "maximum": {"r": 3, "c": 6}}}]}
+    texts = spark.createDataFrame([("2.json", json.dumps([later])), ("1.json", json.dumps([first, unshaped]))], "file string, text string")
+    found = {r.name: r for r in A.rowcol_by_name(texts).collect()}
+    assert [b.class_id for b in found["n.png"].b] == [1] and tuple(found["z.png"].b[0]) == (3, 4.0, 2.0, 4.0, 2.0) and found["z.png"].width == 0
 
 
 def test_coco(spark):
@@ -162,4 +175,24 @@ def test_manifest_and_export(spark, tmp_path):
     assert (tmp_path / "files/train/x.txt").read_text() == "1 0.500000 0.500000 0.100000 0.200000\n0 0.100000 0.100000 0.100000 0.100000\n"
     assert (tmp_path / "files/train/y.txt").read_text() == ""
     assert N.read_manifest((tmp_path / "out/data.yaml").read_text())["names"] == {0: "R", 1: "P"}
-    row = spark.createDataFrame([(4, 0.75)], "total int, rate double")
+
+
+def test_png_bytes_are_read_back(spark, tmp_path):
+    gray = np.arange(12, dtype=np.uint8).reshape(3, 4) * 20
+    colour = np.random.default_rng(1).integers(0, 256, (5, 7, 3)).astype(np.uint8)
+    rows = [(f"{tmp_path}/in/x/gray.png", bytearray(K.png_bytes(gray))), (f"file://{tmp_path}/in/x y/colour.png", bytearray(K.png_bytes(colour))), (f"{tmp_path}/in/unit.png", bytearray(K.png_bytes(colour / 255.0)))]
+    assert K.write_files(spark.createDataFrame(rows, "path string, content binary")) == 3
+    found = {r.path.rsplit("/", 1)[1]: r for r in L.read_images(spark, str(tmp_path / "in")).collect()}
+    assert bytes(found["colour.png"].data) == colour.tobytes() and found["gray.png"].channels == 1 and bytes(found["gray.png"].data) == gray.tobytes()
+    assert np.abs(np.frombuffer(found["unit.png"].data, np.uint8).astype(int) - colour.ravel()).max() <= 1
+    assert K.write_files(spark.createDataFrame([], "path string, content binary")) == 0
+
+
+def test_empty_files_are_listed(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    for name in ("empty.txt", "a b/em+pty%.PNG", "a b/plain.txt"):
+        (tmp_path / name).write_bytes(b"x" if "plain" in name else b"")
+    found = {(r.path.split(str(tmp_path))[1], r.length, r.kind) for r in L.list_files(spark, str(tmp_path)).collect()}
+    assert found == {("/empty.txt", 0, "annotation"), ("/a b/em+pty%.PNG", 0, "image"), ("/a b/plain.txt", 1, "annotation")}
+    assert sorted(r.text for r in A.read_texts(spark, str(tmp_path), ".txt").collect()) == ["", "x"]
+    assert [r.width for r in L.read_images(spark, str(tmp_path)).collect()] == [-1]
