@@ -49,7 +49,7 @@ BANDS = 24
 ROWS = 5
 THRESHOLD = 85
 #: Shingles in one block of a large bucket, whatever the lengths of its texts.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Standard deviations that a signature may fall short of the threshold.
 SLACK = 6
 #: Nodes from here on stand for classes without any id.
@@ -131,6 +131,19 @@ class _Forest:
             p = q
 
 
+def _holders(sets: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each shingle in order of sets, sets that hold shingle 0, 1, ..., where each shingle's list begins)."""
+    hashes = np.concatenate(sets)
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    fresh = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+    del hashes
+    codes = np.empty(len(order), np.int32)
+    codes[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    holders = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+    return codes, holders, np.append(np.flatnonzero(fresh), len(order))
+
+
 def forest_links(
     sets: list[np.ndarray], side: np.ndarray, threshold: int, minima: Minima, n_minima: int
 ) -> list[tuple[int, int]]:
@@ -140,11 +153,7 @@ def forest_links(
     signs = np.stack([minima.of(s) for s in sets]).astype(np.uint8)
     j = threshold / 100
     need = n_minima * j - SLACK * np.sqrt(n_minima * j * (1 - j))
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    owners = np.repeat(np.arange(n), sizes)
-    by_code = np.argsort(codes, kind="stable")
-    holders = owners[by_code]
-    starts = np.searchsorted(codes[by_code], np.arange(codes.max() + 2))
+    codes, holders, starts = _holders(sets, sizes)
     bounds = np.concatenate(([0], np.cumsum(sizes)))
     two_sides = side.min() != side.max()
     forest, links = _Forest(n), []
