@@ -62,6 +62,17 @@ def normalized_class_name(name: Column) -> Column:
     return F.translate(F.lower(F.trim(name)), "- ", "__")
 
 
+def as_array(value: Column, is_array: bool) -> Column:
+    """An array as it is, anything else as an array of one; null as an empty one."""
+    listed = value if is_array else F.when(value.isNotNull(), F.array(value))
+    return F.coalesce(listed, F.array())
+
+
+def field_or(struct: Column, names: list[str], name: str, default=None) -> Column:
+    """A field of a struct with the fields ``names``, or a default where it lacks the field or is null."""
+    return F.coalesce(struct[name], F.lit(default)) if name in names else F.lit(default)
+
+
 def safe_divide(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)))
 

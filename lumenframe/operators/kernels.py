@@ -670,6 +670,32 @@ def color_histogram(image: np.ndarray, bins: int = 16) -> np.ndarray:
     return np.concatenate(parts).astype(np.float32)
 
 
+# -- explanation -------------------------------------------------------------
+
+
+def class_activation_map(activations: np.ndarray, gradients: np.ndarray) -> np.ndarray:
+    """Heat map (0 to 1) of a network's layer: its channels weighted by their mean gradients, negative parts cut off.
+
+    Both arrays are channels x rows x columns, from any deep-learning library.
+    """
+    heat = np.maximum(np.tensordot(gradients.mean((1, 2)), activations, 1), 0)
+    heat = heat - heat.min()
+    return heat / (heat.max() + 1e-8)
+
+
+def rainbow(level: np.ndarray) -> np.ndarray:
+    """BGR colours from blue over green to red of levels 0 to 1."""
+    return to_uint8(np.stack([np.clip(1.5 - np.abs(4 * level - k), 0, 1) for k in (1, 2, 3)], axis=-1) * 255)
+
+
+def heatmap_overlay(heat: np.ndarray, image: np.ndarray, alpha: float = 0.4) -> np.ndarray:
+    """A heat map (0 to 1) in colours over an image of any size."""
+    height, width = image.shape[:2]
+    sized = _between(_between(heat.astype(float), height, 0), width, 1)
+    colored = rainbow((sized * 255).astype(np.uint8) / 255)
+    return to_uint8(colored * alpha + image * (1 - alpha))
+
+
 # Sizes of the blur and strengths of the noise and the darkening.
 BLUR_SIZES, NOISE = (9, 15, 21), 35.0
 DARK_BLUR_SIZES, DARK_FACTORS = (121, 151, 171), (0.05, 0.10)

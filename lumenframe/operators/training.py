@@ -99,8 +99,10 @@ def importances(model: RandomForestClassificationModel, names: list[str]) -> lis
     return sorted(zip(names, model.featureImportances.toArray().tolist()), key=lambda x: -x[1])
 
 
-def permutation_importance(model: RandomForestClassificationModel, rows: DataFrame, label: str, n_features: int, repeats: int = 3, seed: int = 42) -> list[tuple[int, float]]:
-    """(feature number, mean loss of accuracy when its column is shuffled), greatest first.
+def permutation_importance(
+    model: RandomForestClassificationModel, rows: DataFrame, label: str, n_features: int, repeats: int = 3, seed: int = 42
+) -> list[tuple[int, float, float]]:
+    """(feature number, mean and deviation of the loss of accuracy when its column is shuffled), greatest mean first.
 
     One job for all features: each row is repeated with one feature replaced by that of
     the row at a random other place, by a join on row numbers.
@@ -108,18 +110,27 @@ def permutation_importance(model: RandomForestClassificationModel, rows: DataFra
     numbered = R.global_number(rows.withColumn("_u", S.uniform(seed, F.xxhash64(*rows.columns) % 1000003)), ["_u"], "_no", F.floor(F.col("_u") * 64))
     numbered = numbered.select(F.col("features"), F.col(label).alias("_label"), "_no").persist()
     n = numbered.count()
-    base = predict(model, numbered).agg(F.avg((F.col("_label") == F.col("predicted")).cast("double"))).first()[0]
+    right = F.avg((F.col("_label") == F.col("predicted")).cast("double"))
+    base = predict(model, numbered).agg(right).first()[0]
     trials = numbered.crossJoin(rows.sparkSession.range(n_features).withColumnRenamed("id", "_feature")).crossJoin(
         rows.sparkSession.range(repeats).withColumnRenamed("id", "_repeat")
     )  # rows x features x repeats: the method's own work
-    partner = F.pmod(F.col("_no") * 7919 + F.col("_feature") * 104729 + F.col("_repeat") * 1299709 + seed, F.lit(n)) + 1
+    step = next(p for p in (7919, 7927) if n % p)  # without a common divisor the partners are a permutation
+    partner = F.pmod(F.col("_no") * step + F.col("_feature") * 104729 + F.col("_repeat") * 1299709 + seed, F.lit(n)) + 1
     other = numbered.select(F.col("_no").alias("_partner"), F.col("features").alias("_other"))
     mixed = trials.withColumn("_partner", partner).join(other, "_partner")
     swapped = F.transform("features", lambda x, i: F.when(i == F.col("_feature"), F.get("_other", i)).otherwise(x))
     scored = predict(model, mixed.withColumn("features", swapped))
-    losses = scored.groupBy("_feature").agg((F.lit(base) - F.avg((F.col("_label") == F.col("predicted")).cast("double"))).alias("loss")).collect()
+    losses = scored.groupBy("_feature", "_repeat").agg((F.lit(base) - right).alias("loss"))
+    found = losses.groupBy("_feature").agg(F.avg("loss").alias("mean"), F.stddev_pop("loss").alias("std")).collect()  # one row per feature
     numbered.unpersist()
-    return sorted(((r["_feature"], r["loss"]) for r in losses), key=lambda x: -x[1])
+    return sorted(((r["_feature"], r["mean"], r["std"]) for r in found), key=lambda x: (-x[1], x[0]))
+
+
+def importance_report(found: list[tuple[int, float, float]], names: list[str], top: int = 10) -> str:
+    """The most important features as text."""
+    lines = ["=" * 70, "Feature Importance (by permutation)", "=" * 70]
+    return "\n".join(lines + [f"  {names[k]:20} {mean:+.4f}  (± {std:.4f})" for k, mean, std in found[:top]])
 
 
 # -- degraded copies ---------------------------------------------------------

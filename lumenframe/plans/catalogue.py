@@ -999,6 +999,13 @@ def kernel_hsv(spark, sf_dir):
     return _kernels(spark, sf_dir, layers, True, 4)
 
 
+@query
+def kernel_overlay(spark, sf_dir):
+    """A ramp of heat over each tile."""
+    heat = np.arange(64).reshape(8, 8) / 64
+    return _kernels(spark, sf_dir, lambda t: I.heatmap_overlay(heat, t), True)
+
+
 @query
 def kernel_scales(spark, sf_dir):
     """Layers: the unit scale and the scale of a photographic corpus (blue, green, red each)."""
@@ -1078,6 +1085,45 @@ def detected_formats(spark, sf_dir):
     return texts.select("path", N.detect(F.col("path"), F.col("text")).alias("format"), N.coarse_format(F.col("path")).alias("coarse"))
 
 
+@query
+def path_checks(spark, sf_dir):
+    """What paths are, and which folders can be preprocessed."""
+    root, rows = X.folder(spark), []
+    for name in ("yolo", "yolo/train/a.png", "clinical", "absent"):
+        path = f"{root}/{name}"
+        try:
+            L.check_folder(spark, path)
+            outcome = "fine"
+        except (FileNotFoundError, NotADirectoryError, ValueError) as error:
+            outcome = type(error).__name__
+        rows.append((name, L.path_exists(spark, path), L.is_folder(spark, path), L.is_file(spark, path), outcome))
+    return spark.createDataFrame(rows, "name string, found boolean, folder boolean, file boolean, outcome string")
+
+
+@query
+def reference_image(spark, sf_dir):
+    """A reference image read once: its size and the means of its lightness and colour axes."""
+    image = L.read_reference(spark, f"{X.folder(spark)}/voc/v.png")
+    try:
+        L.read_reference(spark, f"{X.folder(spark)}/broken")
+        refused = False
+    except ValueError:
+        refused = True
+    return spark.createDataFrame([(image.shape[0], image.shape[1], float(image.sum()), refused)], "height int, width int, total double, refused boolean")
+
+
+@query
+def coerced_values(spark, sf_dir):
+    """Scalars and nulls as arrays, and fields that a struct may lack."""
+    customers = B.table(spark, sf_dir, "customer")
+    segment = F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment"))
+    box = F.struct(segment.alias("segment"), F.col("c_nationkey").alias("nation"))
+    return customers.select(
+        "c_custkey", F.array_join(S.as_array(segment, False), ",").alias("one"), F.size(S.as_array(F.split(segment, "U"), True)).alias("n_parts"),
+        S.field_or(box, ["segment", "nation"], "segment", "-").alias("segment"), S.field_or(box, ["segment", "nation"], "age", "none").alias("age"),
+    )
+
+
 def _catalog(spark) -> U.Catalog:
     """All layouts of the fixture: some by their files, some by name."""
     root, catalog = X.folder(spark), U.Catalog(spark)

@@ -976,6 +976,11 @@ ORACLES: dict[str, str] = {
             "b", "g", "r", "b", "g", "r", "hi", "hi", "hi", place="place",
         ),
     ),
+    "kernel_overlay": _with(
+        _TILES, _COLORS,
+        "h AS (SELECT *, floor(place * 255 / 64.0::DOUBLE) / 255.0::DOUBLE AS x FROM colors)",
+        then=_layers("h", *[_byte(f"{_byte(f'greatest(0, least(1, 1.5::DOUBLE - abs(4 * x - {k}))) * 255')} * 0.4::DOUBLE + {c} * 0.6::DOUBLE") for k, c in ((1, "b"), (2, "g"), (3, "r"))], place="place"),
+    ),
     "kernel_scales": _with(
         _TILES, _COLORS,
         then=_layers(
@@ -1006,6 +1011,17 @@ ORACLES: dict[str, str] = {
     "detected_formats": _values(
         "path VARCHAR, format VARCHAR, coarse VARCHAR", [(n, f, n.rsplit(".", 1)[1].upper() if n in _ANNOTATION_FILES else "UNKNOWN") for n, f in _FORMATS.items()]
     ),
+    "path_checks": _values(
+        "name VARCHAR, found BOOLEAN, folder BOOLEAN, file BOOLEAN, outcome VARCHAR",
+        [
+            ("yolo", True, True, False, "fine"), ("yolo/train/a.png", True, False, True, "NotADirectoryError"), ("clinical", True, True, False, "ValueError"),
+            ("absent", False, False, False, "FileNotFoundError"),
+        ],
+    ),
+    "reference_image": _values("height INTEGER, width INTEGER, total DOUBLE, refused BOOLEAN", [(6, 9, float(fixtures.picture(9, 6, 4).sum()), True)]),
+    "coerced_values": """SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE '' END AS one,
+        CAST(CASE WHEN c_custkey % 3 > 0 THEN len(string_split(c_mktsegment, 'U')) ELSE 0 END AS INTEGER) AS n_parts,
+        CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE '-' END AS segment, 'none' AS age FROM customer""",
     "catalog_entries": _values(
         "name VARCHAR, annotation VARCHAR, task VARCHAR, status VARCHAR, classes VARCHAR",
         [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,34 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.exists(where) and store.getFileStatus(where).isDirectory()
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    return path_exists(spark, path) and not is_folder(spark, path)
+
+
+def check_folder(spark: SparkSession, root: str) -> None:
+    """Raise unless ``root`` is a folder with an image below it."""
+    if not path_exists(spark, root):
+        raise FileNotFoundError(root)
+    if not is_folder(spark, root):
+        raise NotADirectoryError(root)
+    if list_files(spark, root).filter("kind = 'image'").isEmpty():
+        raise ValueError(f"no images below {root}")
+
+
+def read_reference(spark: SparkSession, path: str) -> np.ndarray:
+    """One reference image (three channels of bytes) for all tasks."""
+    row = read_images(spark, path).first()
+    if row is None or row["width"] <= 0 or row["channels"] != 3:
+        raise ValueError(f"no colour image at {path}")
+    return np.frombuffer(bytes(row["data"]), np.uint8).reshape(row["height"], row["width"], 3)
+
+
 def _binary(spark: SparkSession, root: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(root)

@@ -249,3 +249,32 @@ def test_degraded_names_are_other_classes(spark):
     assert len(touched) <= 45 and len(changed) < len(found) / 2
     alone = boxes.filter("class_name = 'a'")
     assert {r.class_name for r in M.degraded_boxes(images, alone, M.LEVELS["extreme"]).collect()} == {"a"}
+
+
+def test_activation_map_and_overlay():
+    act, grad = np.random.default_rng(3).normal(size=(2, 3, 4, 5))
+    wanted = np.maximum(sum(grad[k].mean() * act[k] for k in range(3)), 0)
+    wanted = (wanted - wanted.min()) / (wanted.max() - wanted.min() + 1e-8)
+    found = K.class_activation_map(act, grad)
+    assert np.abs(found - wanted).max() < 1e-6 and found.shape == (4, 5)
+    image = np.full((8, 10, 3), 100, np.uint8)
+    over = K.heatmap_overlay(found, image)
+    assert over.shape == image.shape and np.array_equal(K.heatmap_overlay(np.zeros((2, 2)), image)[0, 0], [round(0.5 * 255 * 0.4 + 60), 60, 60])
+    assert K.rainbow(np.array([0.25, 0.5, 0.75])).tolist() == [[255, 128, 0], [128, 255, 128], [0, 128, 255]]
+
+
+def test_histogram_and_stain_steps():
+    image = color(15, 12)
+    gray = K.to_gray(image)
+    assert np.array_equal(K.histogram_operation(image, "equalize"), K.equalize(image)) and np.array_equal(K.histogram_operation(gray, "histogram"), gray)
+    assert np.array_equal(K.histogram_operation(gray, "gamma", gamma=2.0), K.gamma(gray, 2.0)) and K.histogram_operation(gray, "brightness", target=60).mean() < 61
+    spread = K.histogram_operation(gray // 4 + 50, "stretch")
+    assert spread.min() == 0 and spread.max() == 255 and np.array_equal(K.histogram_operation(np.full((2, 2), 9, np.uint8), "stretch"), np.full((2, 2), 9))
+    matched = K.histogram_operation(gray, "matching", reference=color(16, 12))
+    assert set(np.unique(matched)) <= set(np.unique(K.to_gray(color(16, 12))))
+    for operation, options, error in (("melt", {}, TypeError), ("gamma", {"gamma": 0}, ValueError), ("matching", {}, ValueError), ("contrast_stretch", {"low": 5, "high": 5}, ValueError)):
+        with pytest.raises(error):
+            K.histogram_operation(gray, operation, **options)
+    assert np.array_equal(K.stain_operation(image, "none"), image) and np.array_equal(K.stain_operation(image, "reinhard", color(17, 9)), K.reinhard(image, color(17, 9)))
+    with pytest.raises(ValueError):
+        K.stain_operation(image, "dye")

@@ -218,7 +218,9 @@ def test_training(spark):
     model = M.train_forest(train, "class_id", trees=10)
     assert T.accuracy(M.predict(model, test), "class_id", "predicted").first().accuracy > 0.7
     assert len(M.importances(model, [str(k) for k in range(18)])) == 18
-    assert len(M.permutation_importance(model, test, "class_id", 18, repeats=1)) == 18
+    found = M.permutation_importance(model, test, "class_id", 18, repeats=2)
+    assert len(found) == 18 and {k for k, _, _ in found} == set(range(18)) and found[0][1] >= found[-1][1] and all(std >= 0 for _, _, std in found)
+    assert len(M.importance_report(found, list(K.FEATURE_NAMES), 5).split("\n")) == 8
 
 
 def test_streaming_ingest(spark, tmp_path):
