@@ -62,7 +62,7 @@ def uuid_urn(key: Column) -> Column:
 
 #: Elements whose content no reader sees as text.
 INVISIBLE = ("script", "style", "noscript", "template", "textarea", "select", "iframe", "object", "svg", "math", "canvas", "audio", "video")
-_HIDDEN = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(rf"<{t}(?:[\s/][^>]*)?>.*?(?:</{t}\s*>|\z)" for t in INVISIBLE)
+_HIDDEN = rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(INVISIBLE)})(?:[\s/][^>]*)?>.*?(?:</\1\s*>|\z)"
 _BLOCK = r"(?i)<(?:/?(?:p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|title)|br)(?:[ \t\r\n/][^>]*)?>"
 
 
