@@ -49,7 +49,7 @@ BANDS = 24
 ROWS = 5
 THRESHOLD = 85
 #: Shingles in one block of a large bucket, whatever the lengths of its texts.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 #: Standard deviations that a signature may fall short of the threshold.
 SLACK = 6
 #: Nodes from here on stand for classes without any id.
