@@ -183,11 +183,6 @@ def issue_histogram(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
-def with_cached(measured_now: Column, cached: Column) -> Column:
-    """A cached score where there is one."""
-    return F.coalesce(cached, measured_now)
-
-
 # -- point transforms --------------------------------------------------------
 
 

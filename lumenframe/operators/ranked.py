@@ -93,10 +93,6 @@ def first_seen(rows: DataFrame, keys: list[Column], order: list[str]) -> DataFra
     )
 
 
-def distinct_in_order(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.min(order).alias(order))
-
-
 def capped(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of each key (Spark keeps n rows a key before the shuffle)."""
     window = Window.partitionBy(key).orderBy(*order)

@@ -187,6 +187,3 @@ def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
 def top_reasons(issues: DataFrame, column: str, n: int) -> DataFrame:
     return issues.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)
 
-
-def rounded_mean(value: Column, places: int = 3) -> Column:
-    return F.round(F.avg(value), places)

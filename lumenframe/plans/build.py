@@ -21,8 +21,6 @@ from lumenframe.sources import annotations as A
 from lumenframe.sources import listing as L
 from lumenframe.sources import sniff as N
 
-BOX_COLUMNS = ("class_id", "class_name", "xc", "yc", "w", "h", "confidence")
-
 
 @dataclass
 class Entry:
@@ -147,10 +145,11 @@ class Catalog:
     def disable_preprocessing(self) -> None:
         self.preprocessing = None
 
-    def register(self, name: str, root: str, annotation: str, task: str = "Detection", classes: dict[int, str] | None = None) -> Entry:
+    def register(self, name: str, root: str, annotation: str, task: str | None = None, classes: dict[int, str] | None = None) -> Entry:
+        """Add a folder; its task is that of its annotation layout unless given."""
         if name in self.entries:
             raise ValueError(f"{name!r} is registered already")
-        self.entries[name] = Entry(name, root.rstrip("/"), annotation, task, classes or {})
+        self.entries[name] = Entry(name, root.rstrip("/"), annotation, task or TASKS.get(annotation, "Unknown"), classes or {})
         return self.entries[name]
 
     def get(self, name: str) -> Entry | None:

@@ -59,10 +59,6 @@ def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return B.images(spark, sf_dir), B.boxes(spark, sf_dir)
 
 
-def _flag(condition: Column) -> Column:
-    return condition.cast("int")
-
-
 # -- views and projections ---------------------------------------------------
 
 
@@ -279,6 +275,17 @@ def distinct_ids_first_seen(spark, sf_dir):
     return D.image_ids(B.images(spark, sf_dir))
 
 
+@query
+def point_lookups(spark, sf_dir):
+    """Images found by id and by path, and the sizes of the splits."""
+    images = B.images(spark, sf_dir)
+    path = "2-HIGH/img_33.tif"
+    parts = {"id": D.get_by_id(images, "img_33"), "path": D.get_by_path(images, path), "no id": D.get_by_id(images, "nothing")}
+    found = D.union_sources(*[rows.select(F.lit(k).alias("what"), F.col("seq").alias("value")) for k, rows in parts.items()])
+    sizes = {"train": D.train_set(images), "val": D.val_set(images), "test": D.test_set(images)}
+    return D.union_sources(found, *[rows.agg(F.count("*").alias("value")).withColumn("what", F.lit(k)) for k, rows in sizes.items()])
+
+
 # -- geometry ----------------------------------------------------------------
 
 
@@ -840,6 +847,17 @@ def norm_standardize(spark, sf_dir):
     return _mapped(spark, sf_dir, P.standardize(F.col("pixels"), 0.485, 0.229), 6)
 
 
+@query
+def norm_unit(spark, sf_dir):
+    return _mapped(spark, sf_dir, P.unit_scale(F.col("pixels")), 6)
+
+
+@query
+def unit_rows(spark, sf_dir):
+    """Tiles as vectors of length 1."""
+    return _mapped(spark, sf_dir, P.rows_unit_length(F.col("pixels")), 6)
+
+
 @query
 def contrast_stretch(spark, sf_dir):
     return _mapped(spark, sf_dir, P.contrast_stretch(F.col("pixels"), 64, 192))
@@ -1131,7 +1149,7 @@ def _catalog(spark) -> U.Catalog:
         catalog.auto_register(f"{root}/{name}")
     catalog.register("points", f"{root}/points", "Point TXT")
     catalog.register("rowcol", f"{root}/rowcol", "Row/column JSON")
-    catalog.register("clinical", f"{root}/clinical", "Clinical", "Report")
+    catalog.register("clinical", f"{root}/clinical", "Clinical")
     catalog.register("broken", f"{root}/broken", "YOLO")
     return catalog
 
@@ -1189,6 +1207,37 @@ def exported_files(spark, sf_dir):
     return texts
 
 
+@query
+def exported_log(spark, sf_dir):
+    """A build log written as CSV and read again."""
+    path = X.scratch(spark, "export")
+    K.write_log(_catalog(spark).build("yolo").log, path)
+    found = spark.read.option("header", True).csv(path)
+    return found.select("dataset", X.inside(F.col("image")).alias("image"), "status", "objects", F.coalesce("message", F.lit("")).alias("message"))
+
+
+@query
+def saved_dataset(spark, sf_dir):
+    """A dataset saved whole and loaded again."""
+    path = X.scratch(spark, "export")
+    images, boxes = _both(spark, sf_dir)
+    K.save_dataset({"images": images, "boxes": boxes}, path)
+    loaded = K.load_dataset(spark, path, ("images", "boxes"))
+    return T.summary(loaded["images"], loaded["boxes"])
+
+
+@query
+def summary_json(spark, sf_dir):
+    """The summary of a dataset as JSON text."""
+    text = K.report_json(T.summary(*_both(spark, sf_dir)))
+    return spark.createDataFrame([(text,)], "report string")
+
+
+@query
+def annotation_tasks(spark, sf_dir):
+    return spark.createDataFrame(sorted(U.TASKS.items()), "annotation string, task string")
+
+
 @query
 def processed_export(spark, sf_dir):
     """Images written after processing, the broken one as it was."""
@@ -1252,6 +1301,14 @@ def pipeline_records(spark, sf_dir):
     return parsed.groupBy("passed", "error").agg(F.count("*").alias("n"), F.sum(F.size("history")).alias("n_steps"))
 
 
+@query
+def sidecar_records(spark, sf_dir):
+    """What is written beside each processed image, without its pixels, read back."""
+    written = K.sidecars(_two_steps().apply(_tile_images(spark, sf_dir)))
+    read = written.select("path", F.from_json("metadata", "width int, passed boolean, data string, history array<struct<step: string, status: string>>").alias("m")).select("path", "m.*")
+    return read.select("path", "width", "passed", F.col("data").isNull().alias("no_pixels"), F.size("history").alias("n_steps"))
+
+
 @query
 def assessed_images(spark, sf_dir):
     """An assessment that takes over cached results of the images of an earlier one."""

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.sources import sinks as K
+from lumenframe.sources.listing import path_exists
 
 
 def picture(width: int, height: int, seed: int = 0) -> np.ndarray:
@@ -95,7 +96,7 @@ _WRITTEN: dict[str, str] = {}
 def folder(spark: SparkSession) -> str:
     """The folder, written once a session; it goes when the session's JVM ends."""
     session = spark.sparkContext.applicationId
-    if session not in _WRITTEN:
+    if session not in _WRITTEN or not path_exists(spark, _WRITTEN[session]):
         root = scratch(spark, "fixture")
         rows = [(f"{root}/{name}", bytearray(content)) for name, content in files().items()]
         K.write_files(spark.createDataFrame(rows, "path string, content binary"))

@@ -46,10 +46,6 @@ px AS (SELECT vec_id, label, unnest(range(64)) AS place, unnest(pixels) AS v FRO
 st AS (SELECT vec_id, any_value(label) AS label, count(*) AS n, min(v) AS least, max(v) AS most, sum(v)::DOUBLE AS total, sum(v * v)::DOUBLE AS squares FROM px GROUP BY vec_id),
 m AS (SELECT *, total / n AS mean, sqrt(greatest(0.0, squares / n - (total / n) * (total / n))) AS std FROM st)"""
 
-_LABEL_TEXTS = r"""texts AS (
-  SELECT seq, string_agg(format('{:d} {:.3f} {:.2f} {:.6f} {:.5f}', class_id, xc, yc, w, h), chr(10) ORDER BY object_index) AS text
-  FROM boxes GROUP BY seq)"""
-
 _COUNTED = r"""counted AS (
   SELECT i.*, coalesce(b.n_objects, 0) AS n_objects FROM images i
   LEFT JOIN (SELECT seq, count(*) AS n_objects FROM boxes GROUP BY seq) b USING (seq))"""
@@ -563,6 +559,13 @@ ORACLES: dict[str, str] = {
     "lookup_last_wins": _with(_IMAGES, then="SELECT * FROM images QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY seq DESC) = 1"),
     "first_match": _with(_IMAGES, then="SELECT * FROM images WHERE width >= 1000 AND split = 'val' ORDER BY seq LIMIT 1"),
     "distinct_ids_first_seen": _with(_IMAGES, then="SELECT image_id, min(seq) AS first_seq FROM images GROUP BY image_id"),
+    "point_lookups": _with(
+        _IMAGES,
+        then="""SELECT 'id' AS what, max(seq) AS value FROM images WHERE image_id = 'img_33' HAVING count(*) > 0
+        UNION ALL SELECT 'path', max(seq) FROM images WHERE image_path = '2-HIGH/img_33.tif' HAVING count(*) > 0
+        UNION ALL SELECT 'train', count(*) FROM images WHERE split = 'train' UNION ALL SELECT 'val', count(*) FROM images WHERE split = 'val'
+        UNION ALL SELECT 'test', count(*) FROM images WHERE split = 'test'""",
+    ),
     "box_basic": _with(
         _CORNERS,
         then="SELECT x1, y1, x2, y2, w1 AS width, h1 AS height, w1 * h1 AS area, (x1 + x2) / 2.0 AS cx, (y1 + y2) / 2.0 AS cy, round(sqrt(w1 * w1 + h1 * h1), 6) AS diagonal FROM geo",
@@ -866,6 +869,8 @@ ORACLES: dict[str, str] = {
     ),
     "quality_issue_histogram": _with(_TILES, _NEIGHBOURS, _judged(126, 132, 34, 9000, 5.2, 97), then="SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM judged) GROUP BY issue"),
     "norm_minmax": _mapped("round(CASE WHEN most > least THEN (v - least)::DOUBLE / (most - least) ELSE least(1.0, greatest(0.0, v)) END, 6)"),
+    "norm_unit": _mapped("round(v / 255.0::DOUBLE, 6)"),
+    "unit_rows": _mapped("round(CASE WHEN squares > 0 THEN v / sqrt(squares) ELSE v END, 6)"),
     "norm_zscore_clip": _mapped("round(least(1.0, greatest(0.0, CASE WHEN std > 0 THEN (v - mean) / std ELSE v END)), 6)"),
     "norm_standardize": _mapped("round((v / 255.0::DOUBLE - 0.485::DOUBLE) / 0.229::DOUBLE, 6)"),
     "contrast_stretch": _mapped(_u8("(v - 64) * (255.0::DOUBLE / 128)")),
@@ -1058,6 +1063,23 @@ ORACLES: dict[str, str] = {
         ],
     )
     + ")",
+    "exported_log": _values(
+        "dataset VARCHAR, image VARCHAR, status VARCHAR, objects VARCHAR, message VARCHAR",
+        [("yolo", "yolo/train/a.png", "SUCCESS", "2", ""), ("yolo", "yolo/valid/b.png", "SUCCESS", "0", ""), ("yolo", "yolo/test/lonely.png", "FAILED", "0", "no annotation")],
+    ),
+    "saved_dataset": _with(
+        _IMAGES, _BOXES,
+        then="SELECT (SELECT count(*) FROM images) AS n_images, (SELECT count(DISTINCT dataset) FROM images) AS n_datasets, count(*) AS n_objects, count(DISTINCT class_name) AS n_classes FROM boxes",
+    ),
+    "summary_json": _with(
+        _IMAGES, _BOXES,
+        then="""SELECT printf('{"n_images":%d,"n_datasets":%d,"n_objects":%d,"n_classes":%d}', (SELECT count(*) FROM images), (SELECT count(DISTINCT dataset) FROM images),
+        count(*), count(DISTINCT class_name)) AS report FROM boxes""",
+    ),
+    "annotation_tasks": _values(
+        "annotation VARCHAR, task VARCHAR",
+        [(a, "Detection") for a in ("YOLO", "Point TXT", "Pascal VOC", "COCO", "Row/column JSON")] + [("CSV", "Classification"), ("None", "Classification"), ("Clinical", "Report")],
+    ),
     "processed_export": _values("path VARCHAR, width INTEGER, height INTEGER", [("voc/v.png", 5, 4), ("voc/w.png", 5, 4), ("broken/bad.png", 0, 0)]),
     "pipeline_rows": _with(
         _TILES, _CELLS, _SHRUNK,
@@ -1083,6 +1105,10 @@ ORACLES: dict[str, str] = {
         _TILES, _CELLS, _SHRUNK,
         then="SELECT NOT dark AS passed, CASE WHEN dark THEN 'too dark' END AS error, count(*) AS n, 2 * count(*) AS n_steps FROM dark GROUP BY dark UNION ALL SELECT FALSE, 'corrupted', 1, 0",
     ),
+    "sidecar_records": _with(
+        _TILES, _CELLS, _SHRUNK,
+        then="SELECT vec_id::VARCHAR AS path, 4 AS width, NOT dark AS passed, TRUE AS no_pixels, 2 AS n_steps FROM dark UNION ALL SELECT 'broken', -1, FALSE, TRUE, 0",
+    ),
     "assessed_images": _with(
         _TILES, _NEIGHBOURS, _judged(126, 132, 34, 9000, 5.2, 97),
         then="""SELECT CASE WHEN vec_id::VARCHAR LIKE '1%' THEN 'cached' ELSE 'measured' END AS source, FALSE AS corrupted, len(issues) = 0 AS passed, count(*) AS n,

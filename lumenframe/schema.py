@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 BOX = T.StructType(
@@ -34,30 +33,6 @@ IMAGE = T.StructType(
     ]
 )
 
-ISSUE = T.StructType(
-    [
-        T.StructField("engine", T.StringType()),
-        T.StructField("stage", T.IntegerType()),
-        T.StructField("rule_id", T.StringType()),
-        T.StructField("severity", T.StringType()),
-        T.StructField("category", T.StringType()),
-        T.StructField("dataset", T.StringType()),
-        T.StructField("image_path", T.StringType()),
-        T.StructField("object_index", T.IntegerType()),
-        T.StructField("message", T.StringType()),
-    ]
-)
-
-BUILD_LOG = T.StructType(
-    [
-        T.StructField("dataset", T.StringType()),
-        T.StructField("image", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("objects", T.IntegerType()),
-        T.StructField("message", T.StringType()),
-    ]
-)
-
 # File suffixes by role.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff")
 ANNOTATION_EXTENSIONS = (".txt", ".xml", ".json", ".csv")
@@ -78,7 +53,3 @@ POINT_FRAME = (640, 480)
 def class_ids() -> dict[str, int]:
     return {alias: class_id for class_id, aliases in CLASS_ALIASES.items() for alias in aliases}
 
-
-def class_alias_dim(spark: SparkSession) -> DataFrame:
-    """alias, class_id: a few literal rows, safe to broadcast."""
-    return spark.createDataFrame(sorted(class_ids().items()), "alias string, class_id int")

@@ -207,6 +207,16 @@ def save(report: str, any_frame: DataFrame, path: str) -> str:
     return path
 
 
+def save_dataset(parts: dict[str, DataFrame], root: str) -> None:
+    """Whole tables of a dataset, each in a folder of its own."""
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+
+
+def load_dataset(spark: SparkSession, root: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{root.rstrip('/')}/{name}") for name in names}
+
+
 def write_log(log: DataFrame, path: str) -> None:
     """A build log as CSV."""
     log.write.mode("overwrite").option("header", True).csv(path)

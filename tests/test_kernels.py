@@ -235,6 +235,26 @@ def test_degraded_images_touch_only_the_share(spark):
     assert all(d == bytes(data) for d in (bytes(r.data) for r in M.degraded_images(pixels, touched, M.Level("x", 0.5, images=False)).collect()))
 
 
+def test_image_only_damage_darkens(spark):
+    images = spark.range(10).select(F.col("id").alias("seq"), F.lit("train").alias("split"))
+    data = bytearray(color(2, 12).tobytes())
+    pixels = spark.createDataFrame([(k, 12, 12, 3, data) for k in range(10)], "seq long, width int, height int, channels int, data binary")
+    touched = M.touched_images(images, M.IMAGE_ONLY.share)
+    out = {r.seq: np.frombuffer(r.data, np.uint8).mean() for r in M.degraded_images(pixels, touched, M.IMAGE_ONLY).collect()}
+    dark = {k for k, mean in out.items() if mean < 20}
+    assert len(dark) == 5 and dark == {r.seq for r in touched.collect()}
+    boxes = images.select("seq", F.lit(0).alias("object_index"), F.lit(1).alias("class_id"), F.lit("a").alias("class_name"), *[F.lit(0.5).alias(c) for c in ("xc", "yc", "w", "h")])
+    assert M.degraded_boxes(images, boxes, M.IMAGE_ONLY).filter("damaged").count() == 0
+
+
+def test_baseline_features(spark):
+    image = color(5, 20)
+    rows = [("a", 20, 20, 3, bytearray(image.tobytes())), ("g", 4, 4, 1, bytearray(bytes(range(16)))), ("broken", -1, -1, -1, None)]
+    found = {r.path: r.features for r in M.baseline_features(spark.createDataFrame(rows, "path string, width int, height int, channels int, data binary")).collect()}
+    assert set(found) == {"a", "g"} and len(found["a"]) == 1764 + 48
+    assert np.allclose(found["a"], np.concatenate([K.hog(K.to_gray(image)), K.color_histogram(image)]), atol=1e-6)
+
+
 def test_degraded_names_are_other_classes(spark):
     images = spark.range(60).select(F.col("id").alias("seq"), F.lit("train").alias("split"))
     boxes = images.crossJoin(spark.range(4).withColumnRenamed("id", "object_index")).select(
