@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 from .common import bitmap_bits, discard, fresh_name, materialize, text_or_empty
 
 PREFIX_CHARS = 256
-#: Bits in one row of Spark's ``bitmap_construct_agg``.
-BITS_PER_ROW = 32768
 
 
 def normalized(text: Column) -> Column:

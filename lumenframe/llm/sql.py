@@ -113,7 +113,50 @@ SELECT page_id, warc_type, record_id, refers_to, target_uri, '2024-01-01T00:00:0
 """
 
 
+NEAR_DEDUP = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                               ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+
+#: Every diagonal of a document and an item with enough equal tokens, and its best segment: 1 for an equal token, -2 for another.
+DECONTAMINATION = r"""
+WITH d AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS p FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS t FROM documents)),
+b AS (SELECT item_id, len(t) AS n, unnest(t) AS w, unnest(range(len(t))) AS p FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS t FROM benchmark)),
+c AS (SELECT doc_id, item_id, any_value(b.n) AS n, d.p - b.p AS g FROM d JOIN b ON d.w = b.w GROUP BY doc_id, item_id, d.p - b.p HAVING count(*) >= least(13, 0.8 * any_value(b.n))),
+a AS (
+  SELECT c.doc_id, c.item_id, c.n, c.g, d.p, CASE WHEN d.w = b.w THEN 1 ELSE -2 END AS gain
+  FROM c JOIN b ON b.item_id = c.item_id JOIN d ON d.doc_id = c.doc_id AND d.p = b.p + c.g),
+q AS (SELECT *, sum(gain) OVER (PARTITION BY doc_id, item_id, g ORDER BY p) AS s, row_number() OVER (PARTITION BY doc_id, item_id, g ORDER BY p) AS k FROM a),
+z AS (SELECT doc_id, item_id, n, g, min(p) AS first FROM q GROUP BY ALL),
+f AS (SELECT doc_id, item_id, n, g, k, s, p FROM q UNION ALL SELECT doc_id, item_id, n, g, 0, 0, first - 1 FROM z),
+o AS (SELECT *, min(s) OVER (PARTITION BY doc_id, item_id, g ORDER BY k) AS low FROM f),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, g ORDER BY s - low DESC, k) AS r FROM o),
+u AS (
+  SELECT t.doc_id, t.item_id, t.n, t.g, t.k AS last, t.s - t.low AS best, max(o.k) AS begin
+  FROM t JOIN o ON o.doc_id = t.doc_id AND o.item_id = t.item_id AND o.g = t.g AND o.k <= t.k AND o.s = t.low WHERE t.r = 1 GROUP BY ALL),
+v AS (
+  SELECT u.doc_id, u.item_id, u.n, last - begin AS n_span, (best + 2 * (last - begin)) / 3 AS n_equal, z.first + begin AS doc_start
+  FROM u JOIN z USING (doc_id, item_id, g))
+SELECT doc_id, item_id, CAST(n_equal AS BIGINT) AS n_equal, CAST(n_span AS BIGINT) AS n_span, CAST(doc_start AS BIGINT) AS doc_start
+FROM v WHERE n_equal >= least(13, 0.8 * n)
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, n_span, doc_start) = 1
+"""
+
+
 ORACLES = {
+    "op4_minhash_near_dedup": NEAR_DEDUP,
+    "op7_spaced_seed_decontamination": DECONTAMINATION,
     "op1_warc_derivatives": WARC,
     "op5_url_filter": URL_FILTER,
     "op6_chat_snapshot_collapse": CHAT,

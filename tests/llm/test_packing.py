@@ -83,3 +83,12 @@ def test_encoder_agrees_on_all_documents():
     fast, exact = P.Encoder(JSON, RANKS), P.Encoder(JSON)
     for text in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist():
         assert fast.ids(text or "") == exact.ids(text or "")
+
+
+def test_evolution_beats_best_fit_where_best_fit_is_poor():
+    rng = random.Random(1)
+    lengths = [rng.randrange(260, 500) for _ in range(4000)]
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    best_fit = P._built([], order, lengths, 1024)[0][0]
+    (n_bins, _), bins = P.evolve(lengths, 1024, [], random.Random(1))
+    assert n_bins <= 0.985 * best_fit and sorted(i for b in bins for i in b) == list(range(4000))
