@@ -110,10 +110,6 @@ def is_empty(value: Column) -> Column:
     return value.isNull() | (value == "")
 
 
-def is_empty_array(value: Column) -> Column:
-    return F.coalesce(F.size(value) == 0, F.lit(True))
-
-
 def valid_size(width: Column, height: Column) -> Column:
     return is_positive(width) & is_positive(height)
 

@@ -357,6 +357,18 @@ def box_distances(spark, sf_dir):
     return _corners(spark, sf_dir).select(*_ONE, *_TWO, F.round(G.center_distance(a, b), 6).alias("distance"))
 
 
+@query
+def box_arrays(spark, sf_dir):
+    """Boxes as arrays of any length: which are boxes, and what the others count as."""
+    p, s = F.col("l_partkey") % 7, F.col("l_suppkey") % 5
+    corners = F.array(p.cast("double"), s.cast("double"), (p + 3).cast("double"), F.when(s > 0, s * 2.0))
+    array = F.when(p == 0, F.slice(corners, 1, 3)).when(p == 1, F.lit(None)).otherwise(corners)
+    box = G.Box.of_array(array)
+    return B.table(spark, sf_dir, "lineitem").groupBy(G.is_well_formed(array).alias("well_formed")).agg(
+        F.count("*").alias("n"), F.sum(G.area(box)).alias("area"), F.sum(G.side_area(box.x2, box.y2)).alias("sides"), F.count(box.x1).alias("n_known")
+    )
+
+
 @query
 def crop_rectangles(spark, sf_dir):
     images, boxes = _both(spark, sf_dir)
@@ -826,6 +838,16 @@ def quality_issue_histogram(spark, sf_dir):
     return P.issue_histogram(P.measured(B.tiles(spark, sf_dir), 8, STRICT))
 
 
+@query
+def sharp_issue_histogram(spark, sf_dir):
+    """Issues of tiles when sharpness counts too."""
+    rows = P.measured(B.tiles(spark, sf_dir), 8)
+    names = ("brightness", "contrast", "blur_score", "entropy", "quality_score", "sharpness")
+    strict = P.Thresholds(minimum_sharpness=190.0, minimum_contrast=36.0)
+    issues = P.quality_issues({n: F.col(n) for n in names}, strict, with_sharpness=True)
+    return P.issue_histogram(rows.select(issues.alias("issues")))
+
+
 def _mapped(spark, sf_dir, value: Column, places: int | None = None) -> DataFrame:
     shown = value if places is None else F.transform(value, lambda x: F.round(x, places))
     exploded = B.tiles(spark, sf_dir).select("vec_id", F.posexplode(shown).alias("place", "value"))
@@ -955,6 +977,55 @@ def kernel_clahe(spark, sf_dir):
     return _kernels(spark, sf_dir, lambda t: I.clahe(t, 2.0, 1))
 
 
+@query
+def kernel_clahe_bright(spark, sf_dir):
+    """The same, brought back to the tile's own brightness."""
+    return _kernels(spark, sf_dir, lambda t: I.clahe(t, 2.0, 1, keep_brightness=True))
+
+
+@query
+def odd_sizes(spark, sf_dir):
+    """Sizes as kernels take them: odd, at least 1."""
+    return spark.createDataFrame([(n, I.odd(n)) for n in (-3, 0, 1, 2, 3, 8, 9)], "size int, odd int")
+
+
+@query
+def od_inverse(spark, sf_dir):
+    """Levels of a density that is a tenth higher."""
+    density = F.transform(P.optical_density(F.col("pixels")), lambda d: d * 1.1)
+    return _mapped(spark, sf_dir, P.from_optical_density(density))
+
+
+@query
+def color_step(spark, sf_dir):
+    """The colour step of a pipeline on gray tiles: brightness, then contrast."""
+    step = Y.default_registry().create("color", white_balance=False, brightness=12.0, contrast=1.5)
+    return _kernels(spark, sf_dir, step)
+
+
+@query
+def step_dispatch(spark, sf_dir):
+    """Each method of each step against the kernel it stands for: layers of differences."""
+    registry = Y.default_registry()
+    ramp = (np.arange(192) + 20).astype(np.uint8).reshape(8, 8, 3)
+    cases = [
+        (("denoise", {"method": "gaussian", "size": 3}), lambda t: I.gaussian_blur(t, 3)), (("denoise", {"method": "median", "size": 3}), lambda t: I.median_blur(t, 3)),
+        (("denoise", {"method": "bilateral", "size": 3}), lambda t: I.bilateral(t, 3)), (("denoise", {"method": "nlm", "template": 3, "search": 5}), lambda t: I.non_local_means(t, 10.0, 3, 5)),
+        (("sharpen", {"method": "unsharp"}), I.unsharp_mask), (("sharpen", {"method": "kernel"}), I.kernel_sharpen), (("sharpen", {"method": "laplacian"}), I.laplacian_sharpen),
+        (("resize", {"width": 8, "height": 8}), lambda t: t), (("morphology", {"operation": "closing"}), lambda t: I.erode(I.dilate(t, np.ones((3, 3), bool)), np.ones((3, 3), bool))),
+        (("histogram", {"operation": "equalize"}), I.equalize), (("histogram", {"operation": "contrast_stretch", "low": 9, "high": 99}), lambda t: I.contrast_stretch(t, 9, 99)),
+        (("histogram", {"operation": "histogram"}), lambda t: t), (("stain", {"method": "reinhard", "reference": ramp}), lambda t: I.reinhard(t, ramp)),
+        (("stain", {"method": "none", "standardize": True}), I.standardize_brightness), (("quality", {}), lambda t: t),
+        (("color", {"saturation": 0.5, "hue": 20.0}), lambda t: I.adjust_hue(I.adjust_saturation(I.gray_world(t), 0.5), 20.0)),
+    ]
+    steps = [(registry.create(name, **options), plain) for (name, options), plain in cases]
+
+    def layers(t):
+        return np.dstack([np.abs(step(t).astype(float) - plain(t)).sum(2) for step, plain in steps])
+
+    return _kernels(spark, sf_dir, layers, True).groupBy("channel").agg(F.count("*").alias("n"), F.sum("value").alias("difference"))
+
+
 @query
 def kernel_sizes(spark, sf_dir):
     """Layers: half the size by nearest, linear and area."""

@@ -609,6 +609,9 @@ ORACLES: dict[str, str] = {
         then="SELECT x1, y1, x2, y2, u1, v1, u2, v2, round(sqrt(((u1 + u2) / 2 - (x1 + x2) / 2) * ((u1 + u2) / 2 - (x1 + x2) / 2) "
         "+ ((v1 + v2) / 2 - (y1 + y2) / 2) * ((v1 + v2) / 2 - (y1 + y2) / 2)), 6) AS distance FROM geo",
     ),
+    "box_arrays": """WITH b AS (SELECT l_partkey % 7 AS p, l_suppkey % 5 AS s FROM lineitem), w AS (SELECT *, p > 1 AND s > 0 AS well_formed FROM b)
+        SELECT well_formed, count(*) AS n, CAST(sum(CASE WHEN well_formed THEN 3 * s END) AS DOUBLE) AS area, CAST(sum(CASE WHEN well_formed THEN (p + 3) * 2 * s ELSE 0 END) AS DOUBLE) AS sides,
+        count(*) FILTER (well_formed) AS n_known FROM w GROUP BY well_formed""",
     "crop_rectangles": _with(
         _IMAGES, _BOXES,
         then="SELECT * FROM (SELECT seq, object_index, "
@@ -868,6 +871,12 @@ ORACLES: dict[str, str] = {
         "round(count(*) FILTER (quality_score >= 95) * 1.0::DOUBLE / count(*), 4) AS pass_rate FROM judged GROUP BY label",
     ),
     "quality_issue_histogram": _with(_TILES, _NEIGHBOURS, _judged(126, 132, 34, 9000, 5.2, 97), then="SELECT issue, count(*) AS n FROM (SELECT unnest(issues) AS issue FROM judged) GROUP BY issue"),
+    "sharp_issue_histogram": _with(
+        _TILES, _NEIGHBOURS, _judged(),
+        then="""SELECT issue, count(*) AS n FROM (SELECT unnest([CASE WHEN brightness < 20 THEN 'brightness_too_low' END, CASE WHEN brightness > 235 THEN 'brightness_too_high' END,
+        CASE WHEN contrast < 36 THEN 'contrast_too_low' END, CASE WHEN sharpness < 190 THEN 'sharpness_too_low' END, CASE WHEN blur_score < 200 THEN 'blurry' END,
+        CASE WHEN entropy < 3 THEN 'entropy_too_low' END, CASE WHEN quality_score < 70 THEN 'quality_score_below_threshold' END]) AS issue FROM judged) WHERE issue IS NOT NULL GROUP BY issue""",
+    ),
     "norm_minmax": _mapped("round(CASE WHEN most > least THEN (v - least)::DOUBLE / (most - least) ELSE least(1.0, greatest(0.0, v)) END, 6)"),
     "norm_unit": _mapped("round(v / 255.0::DOUBLE, 6)"),
     "unit_rows": _mapped("round(CASE WHEN squares > 0 THEN v / sqrt(squares) ELSE v END, 6)"),
@@ -931,6 +940,21 @@ ORACLES: dict[str, str] = {
         "t AS (SELECT a.vec_id, a.v, (SELECT sum(least(b.n, 1)) FROM k b WHERE b.vec_id = a.vec_id AND b.v <= a.v) + (a.v + 1) * o.over / 256.0::DOUBLE AS s FROM k a JOIN o USING (vec_id))",
         then=f"SELECT p.vec_id, CAST(0 AS INTEGER) AS channel, CAST(place AS INTEGER) AS place, {_byte('s * 255 / 64')} AS value FROM px p JOIN t ON t.vec_id = p.vec_id AND t.v = p.v",
     ),
+    "kernel_clahe_bright": _with(
+        _TILES,
+        "k AS (SELECT vec_id, v, count(*) AS n FROM px GROUP BY vec_id, v)",
+        "o AS (SELECT vec_id, sum(greatest(n - 1.0::DOUBLE, 0)) AS over FROM k GROUP BY vec_id)",
+        "t AS (SELECT a.vec_id, a.v, (SELECT sum(least(b.n, 1)) FROM k b WHERE b.vec_id = a.vec_id AND b.v <= a.v) + (a.v + 1) * o.over / 256.0::DOUBLE AS s FROM k a JOIN o USING (vec_id))",
+        f"c AS (SELECT p.vec_id, place, {_byte('s * 255 / 64')} AS u FROM px p JOIN t ON t.vec_id = p.vec_id AND t.v = p.v)",
+        "a AS (SELECT vec_id, avg(u) AS mu FROM c GROUP BY vec_id)",
+        then=f"SELECT c.vec_id, CAST(0 AS INTEGER) AS channel, CAST(place AS INTEGER) AS place, {_byte('u * (m.mean / mu)')} AS value FROM c JOIN a USING (vec_id) JOIN m USING (vec_id)",
+    ),
+    "odd_sizes": _values("size INTEGER, odd INTEGER", [(-3, 1), (0, 1), (1, 1), (2, 3), (3, 3), (8, 9), (9, 9)]),
+    "od_inverse": _mapped(_u8("exp(-(-ln(greatest(v, 1) / 255.0::DOUBLE) * 1.1::DOUBLE)) * 255.0::DOUBLE")),
+    "color_step": _with(
+        _TILES, then=f"SELECT vec_id, CAST(0 AS INTEGER) AS channel, CAST(place AS INTEGER) AS place, {_byte('(least(255, v + 12) - 127.5::DOUBLE) * 1.5::DOUBLE + 127.5::DOUBLE')} AS value FROM px"
+    ),
+    "step_dispatch": _with(_TILES, then="SELECT CAST(unnest(range(16)) AS INTEGER) AS channel, (SELECT count(*) FROM px) AS n, 0.0::DOUBLE AS difference"),
     "kernel_sizes": _with(
         _TILES, _CELLS,
         "q AS (SELECT vec_id, r // 2 AS r, c // 2 AS c, max(v) FILTER (r % 2 = 0 AND c % 2 = 0) AS first, avg(v) AS mean FROM cells GROUP BY vec_id, r // 2, c // 2)",
