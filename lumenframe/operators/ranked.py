@@ -77,19 +77,20 @@ def assign_splits(
 def first_seen(rows: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
     """Column ``is_repeat``: not the first row of its keys.
 
-    Firsts are found by an aggregate with map-side combine and joined back, so a key
-    with very many rows is never sorted in one task.
+    Firsts are found by an aggregate with map-side combine, so a key with very many rows
+    is never sorted in one task; only those of keys that do repeat are joined back, so
+    where repeats are few the rows are not shuffled.
     """
     named = {f"_k{i}": k for i, k in enumerate(keys)}
     keyed = rows.withColumns(named)
-    firsts = keyed.groupBy(*named).agg(F.min(F.struct(*order)).alias("_first"))
+    firsts = keyed.groupBy(*named).agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     condition = None
     for name in named:
         equal = keyed[name].eqNullSafe(firsts[name])
         condition = equal if condition is None else condition & equal
-    joined = keyed.join(firsts, condition)
+    joined = keyed.join(firsts, condition, "left")
     return joined.select(
-        *[keyed[c] for c in rows.columns], (F.struct(*[keyed[o] for o in order]) != F.col("_first")).alias("is_repeat")
+        *[keyed[c] for c in rows.columns], S.is_true(F.struct(*[keyed[o] for o in order]) != F.col("_first")).alias("is_repeat")
     )
 
 
