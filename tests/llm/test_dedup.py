@@ -118,3 +118,32 @@ def test_components_with_null_ends_and_self_loops(spark):
     edges = spark.createDataFrame([(*r, "x", 0) for r in rows], "a long, b long, node string, u int")
     assert {(r.node, r.component) for r in connected_components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (9, 9), (10, 9)}
     assert connected_components(edges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_large_buckets_lose_no_link_beside_their_leader(spark, seed):
+    import random
+
+    rng = random.Random(70 + seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+
+    def changed(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"e{rng.randrange(10**6)}"
+        return out
+
+    star = [changed(base, 2) for _ in range(25)]
+    chains, tip = [], base
+    for _ in range(12):  # each step is linked with the one before, not with the first
+        tip = changed(tip, 3)
+        chains.append(tip)
+    apart = [changed(base, 9) for _ in range(12)]
+    pairs = [changed(a, 1) for a in apart[:6]]  # linked with each other, not with the family's middle
+    rows = list(enumerate(" ".join(t) for t in [base, *star, *chains, *apart, *pairs]))
+    rng.shuffle(rows)
+    wanted = brute_near(rows)
+    assert len({c for _, c in wanted.values()}) > 3
+    for block in (1 << 16, 900):
+        found = near_duplicates(docs(spark, rows), block=block).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == wanted
