@@ -1213,9 +1213,15 @@ def coerced_values(spark, sf_dir):
     )
 
 
+_CATALOGS: dict[str, U.Catalog] = {}
+
+
 def _catalog(spark) -> U.Catalog:
-    """All layouts of the fixture: some by their files, some by name."""
-    root, catalog = X.folder(spark), U.Catalog(spark)
+    """All layouts of the fixture, registered once: some by their files, some by name."""
+    root = X.folder(spark)
+    if root in _CATALOGS:
+        return _CATALOGS[root]
+    catalog = _CATALOGS[root] = U.Catalog(spark)
     for name in ("yolo", "voc", "coco", "classes", "csv"):
         catalog.auto_register(f"{root}/{name}")
     catalog.register("points", f"{root}/points", "Point TXT")
