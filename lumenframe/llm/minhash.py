@@ -303,15 +303,17 @@ def near_duplicates(
     read = mark_members(source, wanted, doc_slot, "wanted").filter("wanted").select("doc_id", "text")
     sets = materialize(_sets(read, words), "near-sets")
 
-    star_links, placed, written = _large_buckets(members, sets, threshold, block)
     nothing = F.lit(0)
-    small = members.filter("n_parts = 1").select("bucket", "set_key", "node", nothing.alias("part"), nothing.alias("other"))
-    tasks = (
-        small.unionByName(placed)
-        .join(sets, "set_key")
-        .select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "hashes")
+    placed = members.filter("n_parts = 1").select("bucket", "set_key", "node", nothing.alias("part"), nothing.alias("other"))
+    star_links, written = None, ()
+    if not members.filter("n_parts > 1").isEmpty():  # else no set needs to be shuffled for it
+        star_links, large, written = _large_buckets(members, sets, threshold, block)
+        placed = placed.unionByName(large)
+    tasks = placed.join(sets, "set_key").select(
+        "bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "hashes"
     )
-    links = materialize(_links(tasks, threshold, bands * rows).unionByName(star_links), "near-links")
+    links = _links(tasks, threshold, bands * rows)
+    links = materialize(links.unionByName(star_links) if star_links is not None else links, "near-links")
     discard(sets, members, wanted, *written)
     components = materialize(connected_components(links), "near-components")
 
