@@ -39,19 +39,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Bound the rows of an Arrow batch while a table is written.
+def _writing(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Bound the rows of an Arrow batch while a table is written, and delete its shuffle files then.
 
     Whole texts of any length travel in these batches, outside the heap; the
-    default of 10,000 rows would need hundreds of MB for each task.
+    default of 10,000 rows would need hundreds of MB for each task. Shuffle files
+    would otherwise stay until the driver's JVM happens to collect its garbage, so
+    those of all steps would lie on disk together.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    wanted = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -63,7 +70,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenframe/{label}-{uuid.uuid4().hex}"
-    with _arrow_rows(spark, ARROW_ROWS):
+    with _writing(spark, ARROW_ROWS):
         df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)

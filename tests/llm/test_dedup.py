@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -147,3 +148,57 @@ def test_large_buckets_lose_no_link_beside_their_leader(spark, seed):
     for block in (1 << 16, 900):
         found = near_duplicates(docs(spark, rows), block=block).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == wanted
+
+
+def test_near_texts_are_shuffled_once_for_a_family(spark, monkeypatch):
+    from lumenframe.llm import minhash
+
+    rows = list(enumerate([*family(11, 40), *family(12, 30), *family(13, 1)]))
+    dealt, links = [], minhash._links
+    monkeypatch.setattr(minhash, "_links", lambda tasks, *a: dealt.append(tasks.count()) or links(tasks, *a))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(spark, rows)).collect()}
+    assert found == brute_near(rows)
+    assert 0 < dealt[0] <= 70  # not once for each of the up to 24 buckets that a copy is in
+
+
+@pytest.mark.parametrize("crowd", [5, 1 << 12])
+def test_near_crowded_buckets_against_brute_force(spark, crowd):
+    rows = list(enumerate([*family(21, 30), *family(22, 14, words=60), *family(23, 9, edits=(0, 4, 9, 20))]))
+    found = near_duplicates(docs(spark, rows), crowd=crowd, block=2000).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_near(rows)
+
+
+def test_candidates_join_all_sets_that_may_be_linked():
+    import numpy as np
+
+    from lumenframe.llm.minhash import _packed, _unpacked, forest_candidates
+
+    rng = np.random.default_rng(4)
+    middles = rng.integers(0, 2**32, (3, 120), dtype=np.uint32)
+    signs = np.repeat(middles, 5, 0)
+    for row in signs:  # each agrees with its family's middle in 100 places
+        row[rng.choice(120, 20, replace=False)] = rng.integers(0, 2**32, 20, dtype=np.uint32)
+    signs = _unpacked([_packed(row) for row in signs], 120)
+    assert signs.shape == (15, 120)
+    edges = forest_candidates(signs, np.array([100] * 14 + [10]), 85)
+    assert len(edges) == 4 + 4 + 3  # the last is too small for a link
+    assert all(i // 5 == k // 5 and 14 not in (i, k) for i, k in edges)
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from lumenframe.llm.common import discard, materialize
+
+    def blocks():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name for name in (found.apply(k).toString() for k in range(found.size())) if name.startswith("shuffle_")}
+
+    before, setting = blocks(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    table = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    for _ in range(50):  # they go in the background
+        left = blocks() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    discard(table)
